@@ -7,16 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .license import license_report
+from .mixing import mix
 from .simhash import simhash_classes
+from .substr import remove_repeats
+from .tokens import sentencepiece_pieces, token_counts
+from .urlfilter import judge
+
+#: The vocabulary file of op9, a path on the driver.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), shingle=3, budget=3)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), sentencepiece_pieces(vocabulary))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_mixing": op2_mixing,
+        "op3_url_filter": op3_url_filter,
+        "op8_license_scan": op8_license_scan,
+        "op9_token_counts": op9_token_counts,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+
+    return dict(ORACLES)
