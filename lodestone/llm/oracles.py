@@ -1,5 +1,9 @@
 """DuckDB SQL for those corpus queries that SQL can express over whole tables."""
 
+from __future__ import annotations
+
+from .license import BASE_PHRASES, DRIFT, SHARE, TEMPLATES, K
+
 _URL = r"""
 WITH rules(rule, host, path, verdict) AS (VALUES
   ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
@@ -18,4 +22,59 @@ SELECT page_id, a.host AS host, a.path AS path,
 FROM at a
 """
 
-ORACLES: dict[str, str] = {"op3_url_filter": _URL}
+_TOPK = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> floor(256.0 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_CHAT = """
+SELECT conv_id, turn, 'message' AS kind, 0 AS idx, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status, turn AS place, 0 AS level,
+  CAST(to_json({'content': text, 'role': role, 'turn': turn}) AS VARCHAR) AS json
+FROM conversations WHERE NOT (role IN ('assistant', 'tool') AND starts_with(ltrim(text), '{'))
+"""
+
+_SUBSTRING = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, i, hash(list_slice(words, i, i + 19)) AS a, md5(array_to_string(list_slice(words, i, i + 19), ' ')) AS b FROM w, unnest(range(1, len(words) - 18)) AS t(i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS n FROM p),
+g AS (SELECT DISTINCT doc_id, i + d AS i FROM f, unnest(range(0, 20)) AS t(d) WHERE n > 1),
+l AS (SELECT doc_id, i, words[i] AS word FROM w, unnest(range(1, len(words) + 1)) AS t(i)),
+k AS (SELECT l.doc_id, string_agg(l.word, ' ' ORDER BY l.i) AS kept, count(*) AS n FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY 1)
+SELECT w.doc_id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+
+def _license() -> str:
+    grams = []
+    for kind, pairs in (("base", BASE_PHRASES.items()), ("own", ((v, k) for k, v in TEMPLATES.items()))):
+        for text, label in pairs:
+            words = text.split(" ")
+            grams += [f"('{kind}', '{label}', '{text}', {len(words)}, {j}, '{' '.join(words[j : j + K])}')" for j in range(len(words) - K + 1)]
+    return r"""
+WITH t(kind, label, template, m, j, gram) AS (VALUES %s),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+g AS (SELECT doc_id, i - 1 AS i, array_to_string(list_slice(words, i, i + %d), ' ') AS gram FROM w, unnest(range(1, len(words) - %d)) AS r(i)),
+v AS (SELECT doc_id, kind, label, template, m, i - j AS diagonal, count(*) AS votes FROM g JOIN t USING (gram) GROUP BY ALL),
+b AS (SELECT doc_id, label, diagonal AS start FROM v WHERE kind = 'base' AND votes = m - %d),
+c AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > %d THEN 1 ELSE 0 END AS fresh FROM v WHERE kind = 'own' WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+d AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS place FROM c),
+o AS (SELECT doc_id, label, least(1.0, CAST(sum(votes) AS DOUBLE) / (m - %d)) AS hit FROM d GROUP BY doc_id, label, template, m, place HAVING least(1.0, CAST(sum(votes) AS DOUBLE) / (m - %d)) >= %s),
+x AS (SELECT doc_id, label, start, 1.0 AS hit FROM b UNION ALL SELECT doc_id, label, NULL, hit FROM o),
+s AS (SELECT doc_id, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (start IS NOT NULL) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(hit) AS score FROM x GROUP BY 1)
+SELECT w.doc_id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM w LEFT JOIN s ON w.doc_id = s.doc_id
+""" % (", ".join(grams), K - 1, K - 2, K - 1, DRIFT, K - 1, K - 1, SHARE)
+
+
+ORACLES: dict[str, str] = {
+    "op3_url_filter": _URL,
+    "op6_topk": _TOPK,
+    "op7_chat_format": _CHAT,
+    "op8_license_scan": _license(),
+    "op10_substring_dedup": _SUBSTRING,
+}

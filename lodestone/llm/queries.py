@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_chats
 from .common import table
+from .decontam import contamination_report
 from .license import license_report
 from .mixing import mix
+from .oracles import ORACLES
+from .quality import score_documents
 from .simhash import simhash_classes
 from .substr import remove_repeats
 from .tokens import sentencepiece_pieces, token_counts
+from .topk import exact_topk
 from .urlfilter import judge
 
 #: The vocabulary file of op9, a path on the driver.
@@ -30,6 +35,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_col="quality")
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -47,6 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_mixing": op2_mixing,
         "op3_url_filter": op3_url_filter,
+        "op4_decontamination": op4_decontamination,
+        "op5_quality": op5_quality,
+        "op6_topk": op6_topk,
+        "op7_chat_format": op7_chat_format,
         "op8_license_scan": op8_license_scan,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
@@ -54,6 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import ORACLES
-
     return dict(ORACLES)
