@@ -12,19 +12,19 @@ own(name, pattern) AS (VALUES
   ('casino-host', '(?i)^[^/]*\bcasino\b[^/]*'), ('porn-host', '(?i)^[^/]*\bporn\b[^/]*'), ('ads-path', '(?i)^[^/]*/([^/]*/)*ads/'),
   ('login-page', '(?i)/login(\.[a-z]+)?$'), ('cart-page', '(?i)/cart/checkout\b'), ('feed-file', '(?i)/feed\.xml$')),
 cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(split_part(substr(url, instr(url, '://') + 3), '#', 1), '?', 1) ELSE '' END AS rest FROM pages),
-at AS (SELECT page_id,
+pos AS (SELECT page_id,
   translate(CASE WHEN contains(rest, '/') THEN split_part(rest, '/', 1) ELSE rest END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   CASE WHEN contains(rest, '/') THEN substr(rest, instr(rest, '/')) ELSE '' END AS path FROM cut)
 SELECT page_id, a.host AS host, a.path AS path,
   (SELECT arg_max(r.rule, length(r.rule)) FROM rules r WHERE (a.host = r.host OR ends_with(a.host, '.' || r.host)) AND starts_with(a.path, r.path)) AS rule,
   coalesce((SELECT arg_max(r.verdict, length(r.rule)) FROM rules r WHERE (a.host = r.host OR ends_with(a.host, '.' || r.host)) AND starts_with(a.path, r.path)),
     CASE WHEN EXISTS (SELECT 1 FROM own o WHERE regexp_matches(a.host || a.path, o.pattern)) THEN 'block' ELSE 'allow' END) AS verdict
-FROM at a
+FROM pos a
 """
 
 _TOPK = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> floor(256.0 * x)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT DISTINCT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256.0 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
