@@ -161,15 +161,30 @@ def _settle(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.ascontiguousarray(x), t) for x, t in zip(out, types, strict=True)], names)
 
 
-_SPAN = "array<struct<start:int,n:int,src:long,src_tag:int,src_start:int>>"
+_MARKS = "id long, tag int, spans array<struct<start:int,n:int,src:long,src_tag:int,src_start:int>>, asked array<struct<src_start:int,n:int>>"
+_LISTS = {
+    "spans": pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("src", pa.int64()), ("src_tag", pa.int32()), ("src_start", pa.int32())])),
+    "asked": pa.list_(pa.struct([("src_start", pa.int32()), ("n", pa.int32())])),
+}
+
+
+def _list(values: np.ndarray, columns: list[np.ndarray], names: list[str], n: int) -> pa.Array:
+    """Struct rows as lists, `values` telling (in order) the list of n that each belongs to."""
+    kinds = [pa.int64() if x == "src" else pa.int32() for x in names]
+    rows = pa.StructArray.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], names)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(values, minlength=n)))).astype(np.int32)), rows)
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Glue the runs of each document into maximal paths that follow one source."""
+    """Glue the runs of each document into maximal paths that follow one source: rows (id, tag, spans,
+    null). And what a batch's paths need to know of each source, once: rows (id, tag, null, asked)."""
+    names = ["id", "tag", "spans", "asked"]
+    span, ask = ["start", "n", "src", "src_tag", "src_start"], ["src_start", "n"]
     for batch in batches:
+        size = batch.num_rows
         lists = batch.column(2)
         x = lists.flatten()
-        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        row = np.repeat(np.arange(size), lists.value_lengths().to_numpy(zero_copy_only=False))
         start, n, src, tag, at = (x.field(i).to_numpy(zero_copy_only=False) for i in range(5))
         shift = at - start
         order = np.lexsort((start, shift, tag, src, row))
@@ -178,35 +193,40 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(row) > 1:
             new[1:] = (row[1:] != row[:-1]) | (src[1:] != src[:-1]) | (tag[1:] != tag[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > start[:-1] + n[:-1])
         begin = np.flatnonzero(new)
-        end = np.maximum.reduceat(start + n, begin) if len(begin) else begin
-        per = np.bincount(row[begin], minlength=batch.num_rows)
-        spans = pa.StructArray.from_arrays(
-            [pa.array(v.astype(np.int32), pa.int32()) if k != 2 else pa.array(v, pa.int64()) for k, v in enumerate((start[begin], end - start[begin], src[begin], tag[begin], start[begin] + shift[begin]))],
-            ["start", "n", "src", "src_tag", "src_start"],
-        )
-        offsets = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, spans)], ["id", "tag", "spans"])
+        if not len(begin):
+            continue
+        n = np.maximum.reduceat(start + n, begin) - start[begin]
+        row, start, src, tag, at = row[begin], start[begin], src[begin], tag[begin], (start + shift)[begin]
+        spans = _list(row, [start, n, src, tag, at], span, size)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans, pa.nulls(size, _LISTS["asked"])], names)
+        order = np.lexsort((n, at, tag, src))
+        src, tag, at, n = (v[order] for v in (src, tag, at, n))
+        new = np.ones(len(src), bool)
+        new[1:] = (src[1:] != src[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1]) | (n[1:] != n[:-1])
+        src, tag, at, n = (v[new] for v in (src, tag, at, n))
+        first = np.ones(len(src), bool)
+        first[1:] = (src[1:] != src[:-1]) | (tag[1:] != tag[:-1])
+        asked = _list(np.cumsum(first) - 1, [at, n], ask, int(first.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(src[first]), pa.array(tag[first]), pa.nulls(int(first.sum()), _LISTS["spans"]), asked], names)
 
 
 def _cut(window: int, with_text: bool):
-    """Apply the spans to the texts; tell what stands at both ends of each span."""
+    """Apply the spans to the texts; tell a digest of what stands at both ends of each span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 cols = {k: [] for k in ("id", "n_words", "n_removed", "kept_sha256", "text", "checks")}
                 texts = batch.column(1)
+                said: set[tuple] = set()
                 for i in range(batch.num_rows):
                     text = texts[i].as_py()
                     words = (text or "").encode().split()
                     spans, asked, tag, key = (batch.column(c)[i].as_py() for c in ("spans", "asked", "tag", "key"))
-                    checks = []
-                    if spans or asked:
-                        for s in asked or ():
-                            checks.append((key, tag, s["src_start"], s["n"]))
-                        mine = [(s["src"], s["src_tag"], s["src_start"], s["n"], s["start"]) for s in spans or ()]
-                        checks = [(*c, c[2]) for c in checks] + mine
-                        checks = [{"src": a, "src_tag": b, "src_start": c, "n": n, "digest": hashlib.blake2b(b" ".join(words[p : p + n + window - 1]), digest_size=16).hexdigest()} for a, b, c, n, p in checks]
+                    ends = [(key, tag, s["src_start"], s["n"], s["src_start"]) for s in asked or ()]
+                    ends += [(s["src"], s["src_tag"], s["src_start"], s["n"], s["start"]) for s in spans or ()]
+                    for *end, p in ends:
+                        said.add((*end, hashlib.blake2b(b" ".join(words[p : p + end[3] + window - 1]), digest_size=16).hexdigest()))
                     kept, gone = words, 0
                     if spans:
                         drop = np.zeros(len(words) + 1, np.int32)
@@ -226,7 +246,9 @@ def _cut(window: int, with_text: bool):
                     cols["n_removed"].append(gone)
                     cols["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
                     cols["text"].append(text if with_text else None)
-                    cols["checks"].append(checks)
+                    cols["checks"].append(None)
+                # what the batch says of the two ends of its paths, once, with its first row
+                cols["checks"][0] = [dict(zip(("src", "src_tag", "src_start", "n", "digest"), x, strict=True)) for x in sorted(said)]
                 kinds = {"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "text": pa.string(), "kept_sha256": pa.string(), "checks": pa.list_(pa.struct([("src", pa.int64()), ("src_tag", pa.int32()), ("src_start", pa.int32()), ("n", pa.int32()), ("digest", pa.string())]))}
                 out = [pa.array(v, kinds[k]) for k, v in cols.items()]
                 yield pa.RecordBatch.from_arrays([*out, *(batch.column(c) for c in batch.schema.names if c.startswith("also_"))], [*cols, *(c for c in batch.schema.names if c.startswith("also_"))])
@@ -240,6 +262,15 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _spans(rows: DataFrame, buckets: int, window: int, seed: int) -> DataFrame:
+    """A written table of the maximal repeated paths of each document (id, tag, spans) and of what the
+    paths of others need to know of it (id, tag, asked)."""
+    edges = rows.select("key", "tag", "text").mapInArrow(_edges(buckets, window, seed), "bucket int, a binary, b binary, c binary, d binary, e binary")
+    runs = edges.groupBy("bucket").applyInArrow(_settle, _RUN)
+    grouped = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "src", "src_tag", "src_start")).alias("runs"))
+    return materialize(grouped.mapInArrow(_compact, _MARKS), "spans")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = False, carry: list[str] | None = None, seed: int = 1) -> DataFrame:
     """One row for each input row: id_col, n_words, n_removed, kept_sha256, and with `with_text` the
     remaining text (kept stretches as they stood, joined by a space); `carry` names further columns.
@@ -258,14 +289,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(16, min(1 << 20, size // (BUCKET_EDGES * BYTES_PER_EDGE)))
     for attempt in range(5):
-        edges = rows.select("key", "tag", "text").mapInArrow(_edges(buckets, window, seed + attempt), "bucket int, a binary, b binary, c binary, d binary, e binary")
-        runs = edges.groupBy("bucket").applyInArrow(_settle, _RUN)
-        grouped = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "src", "src_tag", "src_start")).alias("runs"))
-        spans = materialize(grouped.mapInArrow(_compact, f"id long, tag int, spans {_SPAN}"), "spans")
-        _free(spark)
-        asked = spans.select(F.inline("spans")).select("src", "src_tag", "src_start", "n").distinct()
-        asked = asked.groupBy(F.col("src").alias("id"), F.col("src_tag").alias("tag")).agg(F.collect_list(F.struct("src_start", "n")).alias("asked"))
-        marks = spans.join(asked, ["id", "tag"], "full").select(F.col("id").alias("key"), "tag", "spans", "asked")
+        spans = _spans(rows, buckets, window, seed + attempt)
+        _free(spark)  # no frame refers to the edges' shuffle any more
+        marks = spans.groupBy(F.col("id").alias("key"), "tag").agg(F.first("spans", ignorenulls=True).alias("spans"), F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked"))
         kinds = dict(docs.select(*carry).dtypes) if carry else {}
         schema = "id long, n_words long, n_removed long, kept_sha256 string, text string, checks array<struct<src:long,src_tag:int,src_start:int,n:int,digest:string>>" + "".join(f", `also_{c}` {kinds[c]}" for c in carry)
         done = rows.join(marks, ["key", "tag"], "left").select("id", "text", "tag", "key", "spans", "asked", *(f"also_{c}" for c in carry))
