@@ -311,7 +311,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _blocks(keys: DataFrame, limit: int, rows: int, bits: int, budget: int, columns: list[str], by: list[str]):
-    """Pack the rows of each cut node into arrays and join the pairs of near nodes."""
+    """Pack the rows of each cut node into arrays and join the pairs of near nodes (r null: a node with
+    itself)."""
     spark = keys.sparkSession
     nodes = cut_trie(keys, by, bits, limit, rows)
     k = len(by)
@@ -329,7 +330,7 @@ def _blocks(keys: DataFrame, limit: int, rows: int, bits: int, budget: int, colu
             index.append((*n[: k + 2], i))
     for members in groups.values():
         near = near_nodes([(index[m][k], index[m][k + 1]) for m in members], budget)
-        pairs += [(members[i], members[j]) for i, j in near]
+        pairs += [(members[i], members[j] if i != j else None) for i, j in near]  # a node needs itself but once
     at = spark.createDataFrame([(*x, i) for x, i in zip(index, range(len(index)), strict=True)], ", ".join([*(f"{c} int" for c in by), "depth int, prefix long, chunk int, block int"]))
     depths = sorted({x[k] for x in index})
     sizes = spark.createDataFrame(spread, ", ".join([*(f"{c} int" for c in by), "depth int, prefix long, chunks int"]))
@@ -342,10 +343,10 @@ def _blocks(keys: DataFrame, limit: int, rows: int, bits: int, budget: int, colu
     located = located.join(F.broadcast(at), [*by, "depth", "prefix", "chunk"])
     packed = located.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("rows"))
     packed = packed.select("block", *(F.col(f"rows.{c}").alias(c) for c in columns))
-    two = spark.createDataFrame(pairs or [(0, 0)], "l int, r int")
+    two = spark.createDataFrame(pairs, "l int, r int")
     left = packed.select(F.col("block").alias("l"), *(F.col(c).alias(f"l_{c}") for c in columns))
     right = packed.select(F.col("block").alias("r"), *(F.col(c).alias(f"r_{c}") for c in columns))
-    return left.join(F.broadcast(two), "l").join(right, "r")
+    return left.join(F.broadcast(two), "l").join(right, "r", "left")
 
 
 def _limit(n: int) -> int:
@@ -363,13 +364,15 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     keys = materialize(prints.groupBy(F.col("fp").alias("key")).agg(F.min("id").alias("least")), "keys")
     n = keys.count()
+    if not n:
+        return docs.sparkSession.createDataFrame([], f"`{id_col}` long, fingerprint string, component_id long")
     parts = max(8, min(4096, n // 1024))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for l, r, a, b in zip(*(batch.column(c) for c in ("l", "r", "l_key", "r_key")), strict=True):
+            for r, a, b in zip(*(batch.column(c) for c in ("r", "l_key", "r_key")), strict=True):
                 a = np.sort(a.values.to_numpy(zero_copy_only=False).view(_U))
-                b = None if l.as_py() == r.as_py() else np.sort(b.values.to_numpy(zero_copy_only=False).view(_U))
+                b = None if r.as_py() is None else np.sort(b.values.to_numpy(zero_copy_only=False).view(_U))
                 x, y = _walk(a, b, budget, 64)
                 both = (a if b is None else np.concatenate([a, b])).view(np.int64)
                 if len(x):
@@ -389,7 +392,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: The near-duplicate operator's SimHash parts: words of the fingerprint that makes keys, 64-bit
 #: numbers of it, and of the fingerprint on full shingles that decides.
-KEY_SHINGLE, KEY_WORDS, SIGN_WORDS = 2, 4, 8
+KEY_SHINGLE, KEY_WORDS, SIGN_WORDS = 2, 4, 12
 
 
 def differing_share(similarity: float) -> float:
@@ -436,6 +439,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(rows.mapInArrow(sign, "id long, text_hash long, prints binary"), "signs")
     texts = materialize(signed.groupBy("text_hash").agg(F.min("id").alias("least"), F.first("prints").alias("prints")), "texts")
     n = texts.count()
+    if not n:
+        return docs.sparkSession.createDataFrame([], "id long, text_hash long, class_id long")
 
     def key(t: int):  # the t-th 32 bits of the prints in the high half of a long
         return F.conv(F.hex(F.expr(f"substring(prints, {4 * t + 1}, 4)")), 16, 10).cast("long")
@@ -447,14 +452,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for row in range(batch.num_rows):
                 sides = []
-                for side in ("l", "r"):
+                for side in ("l", "r") if batch.column("r")[row].is_valid else ("l",):
                     k, t, s = (batch.column(f"{side}_{c}")[row].values for c in ("key", "text_hash", "sign"))
                     k = k.to_numpy(zero_copy_only=False).view(_U)
                     order = np.argsort(k, kind="stable")
                     s = np.frombuffer(b"".join(s.to_pylist()), _U).reshape(-1, SIGN_WORDS)
                     sides.append((k[order], t.to_numpy(zero_copy_only=False)[order], s[order]))
-                if batch.column("l")[row].as_py() == batch.column("r")[row].as_py():
-                    sides.pop()
                 text, own = (np.concatenate([x[c] for x in sides]) for c in (1, 2))
 
                 def near(i, j, own=own):
