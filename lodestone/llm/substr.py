@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -257,9 +258,12 @@ def _cut(window: int, with_text: bool):
 
 
 def _free(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now rather than at some later collection. The
+    cleaner works in the background: the second round meets what the first has let go of."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _spans(rows: DataFrame, buckets: int, window: int, seed: int) -> DataFrame:
