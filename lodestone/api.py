@@ -16,6 +16,7 @@ from .functions.scoring import recall_status
 from .functions.text import new_id, retag_note, skip_prompt
 from .functions.vector import BigramEmbedder, Embedder, embed
 from .operators import bm25, graph, keys, maintain, recall, write
+from .operators.durable import cut
 from .schema import KEYS, LINKS, MEMORIES, conform
 from .sources import transcripts
 from .sources.store import Store
@@ -155,14 +156,15 @@ class Memory:
         asked = new.select(F.col("seq").alias("m"), F.posexplode("concepts").alias("pos", "concept"), "key_types").withColumn("concept", F.trim("concept")).where(F.length("concept") >= 2)
         asked = asked.select((F.col("m") * 1000 + F.col("pos")).alias("seq"), "m", "concept", F.coalesce(F.col("key_types")[F.col("concept")], F.lit("concept")).alias("key_type"))
         asked = embed(asked, "concept", self.embedder)
-        found = write.resolve_keys(asked, self.keys, self.config)
+        asked = cut(asked)
+        found = cut(write.resolve_keys(asked, self.keys, self.config))
         made = found.where("how = 'new'").join(asked.select("seq", "key_type", "embedding"), "seq")
-        grown = self.keys.unionByName(conform(made.withColumn("aliases", F.array().cast("array<string>")), KEYS))
+        grown = cut(self.keys.unionByName(conform(made.withColumn("aliases", F.array().cast("array<string>")), KEYS)))
         own = asked.select("seq", "m").join(found.select("seq", "key_id"), "seq").groupBy(F.col("m").alias("seq")).agg(F.collect_set("key_id").alias("keys"))
-        ready = new.join(own, "seq", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+        ready = cut(new.join(own, "seq", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))))
         out = write.add_batch(ready, self.memories, self.links, grown, self.now, self.config)
         hints = write.write_hints(new.select("memory_id", F.col("concepts").alias("keys")))
-        return dataclasses.replace(self, keys=grown, links=out["links"], memories=out["memories"]), {"errors": out["errors"], "contradictions": out["contradictions"], "hints": hints}
+        return dataclasses.replace(self, keys=grown, links=cut(out["links"]), memories=cut(out["memories"])), {"errors": out["errors"], "contradictions": out["contradictions"], "hints": hints}
 
     def correct(self, memory_id: str, content: str, concepts: list[str] | None = None) -> tuple[Memory, DataFrame]:
         """Supersede the newest version of a memory; keys are inherited where none are given. The new graph
@@ -178,7 +180,7 @@ class Memory:
         memories = graph_.memories.withColumn("supersedes", F.when(fresh, F.lit(head["head_id"])).otherwise(F.col("supersedes")))
         memories = write.apply_supersession(memories, self.spark.createDataFrame([("", head["head_id"])], "memory_id string, supersedes string"), self.config)
         note = self.spark.range(1).select(retag_note(F.array(*(F.lit(x) for x in have)).cast("array<string>"), F.array(*(F.lit(x) for x in concepts or [])).cast("array<string>")).alias("note"))
-        done = dataclasses.replace(graph_, memories=memories)
+        done = dataclasses.replace(graph_, memories=cut(memories))
         if old["supersedes"]:  # history keeps one predecessor
             done = done.forget([old["supersedes"]])
         return done, note

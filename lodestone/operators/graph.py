@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scoring import idf
+from .durable import cut
 
 DEFAULT = Config()
 
@@ -62,7 +63,7 @@ def related(seeds: DataFrame, keys: DataFrame, links: DataFrame, memories: DataF
     return both.withColumn("rank", rank).where(F.col("rank") <= config.related_limit).select("seed_id", "memory_id", "score", "n_shared", kind.alias("link_type"), "rank")
 
 
-def expand(scores: DataFrame, keys: DataFrame, links: DataFrame, memories: DataFrame, now: float, hops: int = 2, config: Config = DEFAULT, pairs: DataFrame | None = None, keep: bool = True) -> DataFrame:
+def expand(scores: DataFrame, keys: DataFrame, links: DataFrame, memories: DataFrame, now: float, hops: int = 2, config: Config = DEFAULT, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, memory_id, score, hop) after spreading scores (query_id, memory_id, score) over shared
     keys and explicit links, `hops` - 1 rounds, round-synchronously.
 
@@ -87,8 +88,8 @@ def expand(scores: DataFrame, keys: DataFrame, links: DataFrame, memories: DataF
             gain = gain.unionByName(linked.join(alive, "memory_id", "left_semi"))
         gain = gain.groupBy("query_id", "memory_id").agg(F.sum("gain").alias("gain"))
         state = state.join(gain, ["query_id", "memory_id"], "full").select("query_id", "memory_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"), F.coalesce("hop", F.lit(hop)).alias("hop"))
-        if hop > 2 and keep:
-            state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state
+        if hop > 2:
+            state = cut(state)
     return state
 
 
@@ -104,6 +105,7 @@ def supersession_heads(memories: DataFrame, rounds: int = 32) -> DataFrame:
     for _ in range(rounds):
         up = now.select(F.col("memory_id").alias("h"), F.col("head_id").alias("top"), F.col("steps").alias("more"))
         nxt = now.join(up, now["head_id"] == up["h"], "left").select("memory_id", F.coalesce("top", "head_id").alias("head_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))
+        nxt = cut(nxt)
         if not nxt.where("moved").limit(1).count():
             break
         now = nxt.drop("moved")

@@ -17,6 +17,8 @@ from ..config import Config
 from ..functions.scoring import at_least, clamp_weight, contradiction_band, superseded_depth
 from ..functions.text import conflicting_qualifier, new_id, phrase_key, short_concept, single_language, usable_keys
 from ..functions.vector import similar
+from ..schema import MEMORIES, conform
+from .durable import cut
 
 DEFAULT = Config()
 
@@ -56,15 +58,14 @@ def auto_links(memories: DataFrame, keys: DataFrame, links: DataFrame, config: C
 
 def _components(nodes: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, root): the smallest id of each node's component, by label spreading with pointer jumps."""
-    both = pairs.union(pairs.select(pairs.columns[1], pairs.columns[0])).toDF("x", "y").distinct()
-    now = nodes.select("id", F.col("id").alias("root"))
+    both = cut(pairs.union(pairs.select(pairs.columns[1], pairs.columns[0])).toDF("x", "y").distinct())
+    now = cut(nodes.select("id", F.col("id").alias("root")))
     for _ in range(rounds):
         low = both.join(now, both["y"] == now["id"]).groupBy("x").agg(F.min("root").alias("m"))
         nxt = now.join(low, now["id"] == low["x"], "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"))
         up = nxt.select(F.col("id").alias("r"), F.col("root").alias("rr"))
         nxt = nxt.join(up, nxt["root"] == up["r"], "left").select("id", F.coalesce("rr", "root").alias("root"))
-        if nxt.sparkSession.sparkContext.getCheckpointDir():
-            nxt = nxt.checkpoint()
+        nxt = cut(nxt)
         if not nxt.exceptAll(now).limit(1).count():
             break
         now = nxt
@@ -92,10 +93,10 @@ def resolve_keys(asked: DataFrame, keys: DataFrame, config: Config = DEFAULT) ->
     pairs = sims.where("query_id <> item_id").join(about, "query_id").join(items.drop("embedding"), "item_id").where(F.col("order") < F.col("mine"))
     short = short_concept(F.col("concept"))
     fits = F.when(short, F.lit(p.short_key_merge > 0) & at_least(F.col("sim"), p.short_key_merge or 2.0) & ~conflicting_qualifier(F.col("concept"), F.col("other"))).otherwise(at_least(F.col("sim"), p.key_merge))
-    pairs = pairs.where(fits).select("query_id", "item_id", "sim", "order", "mine")
+    pairs = cut(pairs.where(fits).select("query_id", "item_id", "sim", "order", "mine"))
     nodes = pairs.select(F.col("query_id").alias("id")).union(pairs.select("item_id")).distinct()
     comp = _components(nodes, pairs.select("query_id", "item_id"))
-    folded = pairs.join(comp, pairs["query_id"] == comp["id"]).drop("id").groupBy("root").applyInPandas(_fold_merges, "query_id string, target string")
+    folded = cut(pairs.join(comp, pairs["query_id"] == comp["id"]).drop("id").groupBy("root").applyInPandas(_fold_merges, "query_id string, target string"))
     done = heads.withColumn("own", new_id(F.col("name"))).join(folded, F.col("own") == F.col("query_id"), "left")
     done = done.select("name", F.coalesce("target", "own").alias("key"), F.when(F.col("target").isNotNull(), "merged").otherwise("new").alias("how"))
     out = rows.join(done, "name", "left")
@@ -134,6 +135,7 @@ def add_batch(new: DataFrame, memories: DataFrame, links: DataFrame, keys: DataF
     A new memory that duplicates a current one supersedes it, loses nothing of its namespace and ttl,
     and makes the old one shallower; history keeps one predecessor.
     """
+    memories = conform(memories, MEMORIES)
     usable = new.withColumn("key_ids", usable_keys(F.col("keys")))
     errors = usable.where(F.size("key_ids") == 0).select("memory_id", F.lit("no usable keys").alias("error"))
     rows = usable.where(F.size("key_ids") > 0)
@@ -141,9 +143,11 @@ def add_batch(new: DataFrame, memories: DataFrame, links: DataFrame, keys: DataF
     items = current.select(F.col("memory_id").alias("item_id"), "embedding", F.col("seq").alias("order")).unionByName(rows.select(F.col("memory_id").alias("item_id"), "embedding", F.col("seq").alias("order")))
     sims = similar(rows.select(F.col("memory_id").alias("query_id"), "embedding"), items, least=config.profile.memory_dedup)
     pairs = sims.where("query_id <> item_id").join(items.drop("embedding"), "item_id").join(rows.select(F.col("memory_id").alias("query_id"), F.col("seq").alias("mine")), "query_id").where(F.col("order") < F.col("mine"))
+    pairs = cut(pairs)
     nodes = pairs.select(F.col("query_id").alias("id")).union(pairs.select("item_id")).distinct()
     comp = _components(nodes, pairs.select("query_id", "item_id"))
     chains = pairs.join(comp, pairs["query_id"] == comp["id"]).drop("id").groupBy("root").applyInPandas(_fold_duplicates, "memory_id string, supersedes string")
+    chains = cut(chains)
     fresh = rows.join(chains, "memory_id", "left")
     fresh = fresh.select(
         "memory_id", "content", "embedding", F.lit(float(now)).alias("created_at"), F.lit(None).cast("string").alias("source"), "supersedes", F.lit(0.0).alias("depth"), F.lit(0).alias("access_count"),

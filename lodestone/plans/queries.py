@@ -5,6 +5,7 @@ Doubles leave both engines as round(x + 1e-10, 6), see functions.scoring.r6.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -686,7 +687,7 @@ def noise_sweep(spark, d):
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there now; its output as a table."""
-    name = f"drained_{abs(hash((str(stream.schema), mode)))}"
+    name = f"drained_{uuid.uuid4().hex}"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
@@ -700,16 +701,16 @@ def _event_stream(spark, d):
     return e.withColumn("t", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
-@query()
+@query(f"WITH {LOG}, {_MATCH}, o AS (SELECT mt.*, row_number() OVER (PARTITION BY mt.user_id ORDER BY ev.ts, read_id) AS n FROM mt JOIN ev ON ev.id = read_id) SELECT user_id, read_id, query_id, n AS n_confirmed, CASE WHEN n >= 3 THEN 'alias' ELSE 'none' END AS decision FROM o")
 def stream_autokey(spark, d):
     e = _event_stream(spark, d).where("event_type IN ('click', 'view')")
     rows = e.select("user_id", F.when(F.col("event_type") == "click", "query").otherwise("read").alias("kind"), F.col("t").alias("ts"), F.col("event_id").alias("id"))
     return _drained(spark, stateful.confirm_stream(rows, ttl=TTL), "append")
 
 
-@query()
+@query(ORACLES["hebbian_fold"])
 def stream_hebbian(spark, d):
     kind = F.col("event_type")
     delta = F.when(kind == "purchase", 0.1).when(kind == "view", 0.05).when(kind == "error", -0.2)
     e = _event_stream(spark, d).where(kind.isin("purchase", "view", "error")).select("user_id", "k", F.col("event_id").alias("seq"), delta.alias("delta"))
-    return _drained(spark, stateful.fold_stream(e, ["user_id", "k"]), "update")
+    return _drained(spark, stateful.fold_stream(e, ["user_id", "k"]), "update").withColumn("weight", r6(F.col("weight")))
