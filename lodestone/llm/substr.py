@@ -30,7 +30,7 @@ BUCKET_EDGES, BYTES_PER_EDGE = 1_000_000, 6
 #: Stands for a null id: later than any other.
 LAST = 2**63 - 1
 
-_RUN = "id long, tag int, start int, n int, src long, src_tag int, src_start int"
+_RUN = ["id", "tag", "start", "n", "src", "src_tag", "src_start"]
 _RUN_TYPES = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32]
 
 
@@ -141,25 +141,32 @@ def _edges(buckets: int, window: int, seed: int):
     return run
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    """A bucket: the runs of its edges that also start earlier."""
-    names = [x.split()[0] for x in _RUN.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+def _settle(blocks: int):
+    """Reduce side: a bucket's runs of edges that also start earlier, packed by block of documents."""
+
+    def run(group: pa.Table) -> pa.Table:
+        def column(name, kind):
+            return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+        if group.num_rows and group.column("bucket")[0].as_py() < 0:
+            a, b, c = (column(x, k).reshape(-1, 2) for x, k in (("a", np.int64), ("b", np.int32), ("c", np.int32)))
+            out = [a[:, 0], b[:, 0], c[:, 0], column("d", np.int32), a[:, 1], b[:, 1], c[:, 1]]
+        else:
+            n = column("d", np.int32)
+            begin = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n
+            ids, tags = np.repeat(column("a", np.int64), n), np.repeat(column("b", np.int32), n)
+            pos = np.repeat(column("c", np.int32) - begin.astype(np.int32), n) + np.arange(len(ids), dtype=np.int32)
+            gone, first = _removed(column("e", _U), [ids, tags, pos], [ids, pos])
+            out = _pack_runs(ids, tags, pos, gone, first)
+        block = (mix(np.ascontiguousarray(out[0]).view(_U)) % _U(blocks)).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        block, out = block[order], [x[order].astype(t) for x, t in zip(out, _RUN_TYPES, strict=True)]
+        cut = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = np.append(cut[1:], len(block))[: len(cut)]
+        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for x in out]
+        return pa.table([pa.array(block[cut], pa.int32()), *blobs], ["block", *_RUN])
 
-    def column(name, kind):
-        return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-
-    if group.num_rows and group.column("bucket")[0].as_py() < 0:
-        a, b, c = (column(x, k).reshape(-1, 2) for x, k in (("a", np.int64), ("b", np.int32), ("c", np.int32)))
-        out = [a[:, 0], b[:, 0], c[:, 0], column("d", np.int32), a[:, 1], b[:, 1], c[:, 1]]
-    else:
-        n = column("d", np.int32)
-        begin = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n
-        ids, tags = np.repeat(column("a", np.int64), n), np.repeat(column("b", np.int32), n)
-        pos = np.repeat(column("c", np.int32) - begin.astype(np.int32), n) + np.arange(len(ids), dtype=np.int32)
-        gone, first = _removed(column("e", _U), [ids, tags, pos], [ids, pos])
-        out = _pack_runs(ids, tags, pos, gone, first)
-    return pa.table([pa.array(np.ascontiguousarray(x), t) for x, t in zip(out, types, strict=True)], names)
+    return run
 
 
 _MARKS = "id long, tag int, spans array<struct<start:int,n:int,src:long,src_tag:int,src_start:int>>, asked array<struct<src_start:int,n:int>>"
@@ -176,39 +183,40 @@ def _list(values: np.ndarray, columns: list[np.ndarray], names: list[str], n: in
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(values, minlength=n)))).astype(np.int32)), rows)
 
 
-def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Glue the runs of each document into maximal paths that follow one source: rows (id, tag, spans,
-    null). And what a batch's paths need to know of each source, once: rows (id, tag, null, asked)."""
+def _compact(group: pa.Table) -> pa.Table:
+    """Glue the runs of a block's documents into maximal paths that follow one source: rows (id, tag,
+    spans, null). And what the block's paths need to know of each source, once: rows (id, tag, null,
+    asked)."""
     names = ["id", "tag", "spans", "asked"]
-    span, ask = ["start", "n", "src", "src_tag", "src_start"], ["src_start", "n"]
-    for batch in batches:
-        size = batch.num_rows
-        lists = batch.column(2)
-        x = lists.flatten()
-        row = np.repeat(np.arange(size), lists.value_lengths().to_numpy(zero_copy_only=False))
-        start, n, src, tag, at = (x.field(i).to_numpy(zero_copy_only=False) for i in range(5))
-        shift = at - start
-        order = np.lexsort((start, shift, tag, src, row))
-        row, start, n, src, tag, shift = (v[order] for v in (row, start, n, src, tag, shift))
-        new = np.ones(len(row), bool)
-        if len(row) > 1:
-            new[1:] = (row[1:] != row[:-1]) | (src[1:] != src[:-1]) | (tag[1:] != tag[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > start[:-1] + n[:-1])
-        begin = np.flatnonzero(new)
-        if not len(begin):
-            continue
-        n = np.maximum.reduceat(start + n, begin) - start[begin]
-        row, start, src, tag, at = row[begin], start[begin], src[begin], tag[begin], (start + shift)[begin]
-        spans = _list(row, [start, n, src, tag, at], span, size)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans, pa.nulls(size, _LISTS["asked"])], names)
-        order = np.lexsort((n, at, tag, src))
-        src, tag, at, n = (v[order] for v in (src, tag, at, n))
-        new = np.ones(len(src), bool)
-        new[1:] = (src[1:] != src[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1]) | (n[1:] != n[:-1])
-        src, tag, at, n = (v[new] for v in (src, tag, at, n))
-        first = np.ones(len(src), bool)
-        first[1:] = (src[1:] != src[:-1]) | (tag[1:] != tag[:-1])
-        asked = _list(np.cumsum(first) - 1, [at, n], ask, int(first.sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(src[first]), pa.array(tag[first]), pa.nulls(int(first.sum()), _LISTS["spans"]), asked], names)
+    ids, tags, start, n, src, src_tag, at = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in zip(_RUN, _RUN_TYPES, strict=True))
+    shift = at - start
+    order = np.lexsort((start, shift, src_tag, src, tags, ids))
+    ids, tags, start, n, src, src_tag, shift = (v[order] for v in (ids, tags, start, n, src, src_tag, shift))
+    begin = _breaks(ids, tags, src, src_tag, shift, more=start[1:] > start[:-1] + n[:-1])
+    n = np.maximum.reduceat(start + n, begin) - start[begin]
+    ids, tags, start, src, src_tag, at = (v[begin] for v in (ids, tags, start, src, src_tag, start + shift))
+    doc = _breaks(ids, tags)
+    row = np.repeat(np.arange(len(doc)), _lengths(doc, len(ids)))
+    spans = _list(row, [start, n, src, src_tag, at], ["start", "n", "src", "src_tag", "src_start"], len(doc))
+    own = pa.table([pa.array(ids[doc]), pa.array(tags[doc]), spans, pa.nulls(len(doc), _LISTS["asked"])], names)
+    order = np.lexsort((n, at, src_tag, src))
+    src, src_tag, at, n = (v[order] for v in (src, src_tag, at, n))
+    new = _breaks(src, src_tag, at, n)
+    src, src_tag, at, n = (v[new] for v in (src, src_tag, at, n))
+    doc = _breaks(src, src_tag)
+    asked = _list(np.repeat(np.arange(len(doc)), _lengths(doc, len(src))), [at, n], ["src_start", "n"], len(doc))
+    other = pa.table([pa.array(src[doc]), pa.array(src_tag[doc]), pa.nulls(len(doc), _LISTS["spans"]), asked], names)
+    return pa.concat_tables([own, other])
+
+
+def _breaks(*columns: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Where sorted rows differ from the ones before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        new[1:] = False if more is None else more
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def _cut(window: int, with_text: bool):
@@ -270,9 +278,9 @@ def _spans(rows: DataFrame, buckets: int, window: int, seed: int) -> DataFrame:
     """A written table of the maximal repeated paths of each document (id, tag, spans) and of what the
     paths of others need to know of it (id, tag, asked)."""
     edges = rows.select("key", "tag", "text").mapInArrow(_edges(buckets, window, seed), "bucket int, a binary, b binary, c binary, d binary, e binary")
-    runs = edges.groupBy("bucket").applyInArrow(_settle, _RUN)
-    grouped = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "src", "src_tag", "src_start")).alias("runs"))
-    return materialize(grouped.mapInArrow(_compact, _MARKS), "spans")
+    packed = "block int, " + ", ".join(f"{c} binary" for c in _RUN)
+    runs = edges.groupBy("bucket").applyInArrow(_settle(buckets), packed)
+    return materialize(runs.groupBy("block").applyInArrow(_compact, _MARKS), "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = False, carry: list[str] | None = None, seed: int = 1) -> DataFrame:
