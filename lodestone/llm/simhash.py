@@ -353,6 +353,18 @@ def _limit(n: int) -> int:
     return max(min(NODE_ROWS, max(1024, n // 32)), n // 1024)
 
 
+def _with_least(named: DataFrame, name: str) -> DataFrame:
+    """A written table of `named` (root, least, ...) with the smallest `least` of each row's root. A class
+    may hold a third of all rows: it's joined between two written tables, so that no aggregate stands
+    in the join's stage and AQE can split the class."""
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("root").agg(F.min("least").alias(name)), "least")
+    done = materialize(named.join(least, "root"), "classes")
+    drop_table(named)
+    drop_table(least)
+    return done
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
     """Every row's fingerprint and near-duplicate class: (id_col, fingerprint, component_id).
 
@@ -382,8 +394,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = tasks.mapInArrow(walk, "a long, b long")
     roots = components(edges)
     named = keys.join(roots, keys["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(named.join(least, "root").select("key", "component_id"), "classes")
+    classes = _with_least(named, "component_id").select("key", "component_id")
     # rows of a hot fingerprint are on the streamed side of a plain equi-join, which AQE can split
     return prints.join(classes, prints["fp"] == classes["key"]).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
@@ -472,6 +483,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = tasks.repartition(max(16, min(4096, n // 2048)), F.hash("l", "r")).mapInArrow(walk, "a long, b long")
     roots = components(edges)
     named = texts.select("text_hash", "least").join(roots, texts["text_hash"] == roots["node"], "left").select("text_hash", F.coalesce("root", "text_hash").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = materialize(named.join(least, "root").select("text_hash", "class_id"), "classes")
+    classes = _with_least(named, "class_id").select("text_hash", "class_id")
     return signed.select("id", "text_hash").join(classes, "text_hash").select("id", "text_hash", "class_id")
