@@ -78,6 +78,23 @@ def _shingle_hash(words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, _U)), np.array(at)
 
 
+def _once(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different hashes, ascending, and where each text's begin."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], np.searchsorted(text[new], np.arange(len(at)))
+
+
+def _text_hash(words) -> np.ndarray:
+    """A 64-bit hash of each text's word sequence."""
+    same, at = _shingle_hash(words, 1)
+    total = np.concatenate(([0], np.cumsum(mix(same) * (mix(np.arange(len(same)) - np.repeat(at[:-1], np.diff(at))) | _U(1))))).astype(_U)
+    return mix((total[at[1:]] - total[at[:-1]]) ^ np.diff(at).astype(_U)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp long): 64-bit SimHash over XXH64 of the word shingles, A-Z lower-cased. Texts of
     fewer words than a shingle count as one; null and wordless texts get fingerprint 0."""
@@ -404,6 +421,9 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: The near-duplicate operator's SimHash parts: words of the fingerprint that makes keys, 64-bit
 #: numbers of it, and of the fingerprint on full shingles that decides.
 KEY_SHINGLE, KEY_WORDS, SIGN_WORDS = 2, 4, 12
+#: Weight of the texts that one task verifies on one side: their different shingles, and as many as
+#: TEXT_WEIGHT more a text, so that many short ones stay bounded too.
+VERIFY_WEIGHT, TEXT_WEIGHT = 2_000_000, 100
 
 
 def differing_share(similarity: float) -> float:
@@ -411,13 +431,92 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def exact_links(sets: list[np.ndarray], signs: np.ndarray, right: np.ndarray | None, most: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sets (of different entries) have Jaccard `similarity` or
+    more, of those whose signs differ in at most `most` bits. right: only pairs of a set outside and
+    one inside this mask."""
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate(([0], np.cumsum(size)))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(ids), bool)
+    root = np.arange(len(sets))
+    out = []
+    for i in range(len(sets)) if right is None else np.flatnonzero(~right):
+        js = i + 1 + np.flatnonzero(root[i + 1 :] != root[i]) if right is None else np.flatnonzero(right & (root != root[i]))
+        js = js[np.minimum(size[js], size[i]) >= similarity * np.maximum(size[js], size[i]) - 1e-9]
+        js = js[np.bitwise_count(signs[js] ^ signs[i]).sum(1, dtype=np.int32) <= most]
+        if not len(js):
+            continue
+        mark[ids[at[i] : at[i + 1]]] = True
+        common = np.array([np.count_nonzero(mark[ids[at[j] : at[j + 1]]]) for j in js])
+        mark[ids[at[i] : at[i + 1]]] = False
+        js = js[common >= similarity * (size[js] + size[i] - common) - 1e-9]
+        if len(js):
+            met, one = np.unique(root[js], return_index=True)
+            out += [(int(i), int(j)) for j in js[one]]
+            root[np.isin(root, met)] = root[i]
+    return out
+
+
+def _verified(docs: DataFrame, texts: DataFrame, edges: DataFrame, text_col: str, shingle: int, most: int, similarity: float) -> DataFrame:
+    """(a, b): links by exact Jaccard of the shingle sets between texts of one component of `edges`, a
+    spanning forest of them in each task. Components are dealt to tasks by weight; a component
+    heavier than VERIFY_WEIGHT is cut in chunks that meet in pairs."""
+    spark = docs.sparkSession
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text", 500_000):
+                words = words_of(batch.column(0), lower=True)
+                h, at = _once(*_shingle_hash(words, shingle))
+                rows = pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
+                out = pa.RecordBatch.from_arrays([pa.array(_text_hash(words)), rows], ["text_hash", "shingles"])
+                yield out.filter(pa.array(np.diff(at) > 0))
+
+    def verify(group: pa.Table) -> pa.Table:
+        root, text, right = (group.column(c).to_numpy() for c in ("root", "text_hash", "right"))
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in group.column("shingles")]
+        signs = np.frombuffer(b"".join(group.column("sign").to_pylist()), _U).reshape(-1, SIGN_WORDS)
+        order = np.argsort(root, kind="stable")
+        a, b = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            side = right[rows] if right.any() else None
+            for i, j in exact_links([sets[x] for x in rows], signs[rows], side, most, similarity):
+                a.append(text[rows[i]])
+                b.append(text[rows[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    roots = components(edges)
+    members = materialize(roots.union(roots.select("root", "root")).distinct().toDF("text_hash", "root"), "members")
+    signs = texts.select("text_hash", F.expr(f"substring(prints, {8 * KEY_WORDS + 1}, {8 * SIGN_WORDS})").alias("sign"))
+    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(shingles, "text_hash long, shingles binary")
+    sets = sets.join(members.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(members.join(signs, "text_hash").join(sets, "text_hash"), "sets")
+    heavy = sets.groupBy("root").agg(F.sum(F.length("shingles") / 8 + TEXT_WEIGHT).alias("weight"))
+    heavy = materialize(heavy, "weights")
+    total = heavy.agg(F.sum("weight")).first()[0]
+    if not total:
+        return spark.createDataFrame([], "a long, b long")
+    buckets = math.ceil(total / VERIFY_WEIGHT)
+    dealt = sets.join(heavy.select("root", F.ceil(F.col("weight") / VERIFY_WEIGHT).cast("int").alias("chunks")), "root")
+    dealt = dealt.withColumn("chunk", F.expr("int(pmod(xxhash64(text_hash), chunks))")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    light = F.col("chunks") == 1
+    dealt = dealt.select(
+        light.alias("light"), F.when(light, F.expr(f"pmod(xxhash64(root), {buckets})")).otherwise(F.col("root")).alias("part"),
+        F.least("chunk", "other").alias("l"), F.greatest("chunk", "other").alias("r"), (F.col("chunk") > F.col("other")).alias("right"), "root", "text_hash", "sign", "shingles",
+    )
+    return dealt.groupBy("light", "part", "l", "r").applyInArrow(verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """(id, text_hash, class_id): near-duplicate classes of texts by similarity, not by equal prints.
 
     64 * KEY_WORDS bits of SimHash over 2-word shingles give tries of 32-bit keys; pairs within
-    `budget` bits in some trie are decided by 64 * SIGN_WORDS bits of SimHash over `shingle`-word
-    shingles, at the share of differing bits of `similarity` plus one standard error. Classes are
-    the connected components; class_id is the smallest id. Texts without words are no one's copy
+    `budget` bits in some trie are candidates if 64 * SIGN_WORDS bits of SimHash over `shingle`-word
+    shingles allow it, at the share of differing bits of `similarity` plus one standard error. Each
+    different shingle votes once, and pairs of a component of candidates are linked by the exact
+    Jaccard similarity of their sets of `shingle`-word shingles (64-bit hashes). Classes are the
+    connected components of links; class_id is the smallest id. Texts without words are no one's copy
     and aren't in the result; equal word sequences (A-Z lower-cased) always share a class.
     Null ids are ignored as class names. Repeated rows share a class.
     """
@@ -433,17 +532,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 has = np.diff(words.first) > 0
                 keys, signs = [], []
                 for k, n, out in ((KEY_SHINGLE, KEY_WORDS, keys), (shingle, SIGN_WORDS, signs)):
-                    h, at = _shingle_hash(words, k)
+                    h, at = _once(*_shingle_hash(words, k))
                     for s in range(n):
                         out.append(_majority(mix(h ^ _U(0x9E37 * (s + 1))), at) if len(h) else np.zeros(len(words), _U))
-                same, at = _shingle_hash(words, 1)
-                total = np.concatenate(([0], np.cumsum(mix(same) * (mix(np.arange(len(same)) - np.repeat(at[:-1], np.diff(at))) | _U(1))))).astype(_U)
-                text = mix((total[at[1:]] - total[at[:-1]]) ^ np.diff(at).astype(_U))
                 both = np.stack(keys + signs, 1)
                 width = both.shape[1] * 8
                 blob = both.tobytes()
                 rows = pa.array([blob[i * width : (i + 1) * width] for i in range(len(both))], pa.binary())
-                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(text.view(np.int64)), rows], ["id", "text_hash", "prints"])
+                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(_text_hash(words)), rows], ["id", "text_hash", "prints"])
                 yield out.filter(pa.array(has))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -481,7 +577,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     limit = max(NODE_ROWS, n // 1024)
     tasks = _blocks(keys, limit, n, 32, budget, ["key", "text_hash", "sign"], ["trie"])
     edges = tasks.repartition(max(16, min(4096, n // 2048)), F.hash("l", "r")).mapInArrow(walk, "a long, b long")
-    roots = components(edges)
+    roots = components(_verified(docs, texts, edges, text_col, shingle, most, similarity))
     named = texts.select("text_hash", "least").join(roots, texts["text_hash"] == roots["node"], "left").select("text_hash", F.coalesce("root", "text_hash").alias("root"), "least")
     classes = _with_least(named, "class_id").select("text_hash", "class_id")
     return signed.select("id", "text_hash").join(classes, "text_hash").select("id", "text_hash", "class_id")

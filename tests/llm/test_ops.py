@@ -133,6 +133,31 @@ def test_near_duplicates_by_similarity(spark):
     assert odd["2"] == 1 and odd["11"] == 1 and odd["7"] == 7 and "4" not in odd
 
 
+def test_repeated_lines_neither_make_nor_hide_copies(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
+    rows, want = [], {}
+    for c in range(10):
+        line = prose(20)
+        for k in range(2):  # one line 15 times, and 300 words of each text's own
+            rows.append((4 * c + k, prose(300) + f" {line}" * 15, "en", "a", 1))
+            want[4 * c + k] = 4 * c + k
+        own = prose(300)
+        for k in (2, 12):  # the same shingles, the line's more or less often
+            i = 4 * c + (2 if k == 2 else 3)
+            rows.append((i, own + f" {line}" * k, "en", "a", 1))
+            want[i] = 4 * c + 2
+    assert {r.id: r.class_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
+def test_heavy_components_are_verified_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VERIFY_WEIGHT", 3000)
+    rng = random.Random(3)
+    text = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(i, " ".join([*text[:i], f"own{i}", *text[i + 1 :]]), "en", "a", 1) for i in range(40)]
+    assert {r.class_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == {0}
+
+
 # ---------------------------------------------------------------- 2
 
 
