@@ -419,8 +419,9 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: The near-duplicate operator's SimHash parts: words of the fingerprint that makes keys, 64-bit
-#: numbers of it, and of the fingerprint on full shingles that decides.
-KEY_SHINGLE, KEY_WORDS, SIGN_WORDS = 2, 4, 12
+#: numbers of it, and of the fingerprint on full shingles that filters candidates; standard errors
+#: of slack that the filter leaves.
+KEY_SHINGLE, KEY_WORDS, SIGN_WORDS, SLACK = 2, 8, 12, 4
 #: Weight of the texts that one task verifies on one side: their different shingles, and as many as
 #: TEXT_WEIGHT more a text, so that many short ones stay bounded too.
 VERIFY_WEIGHT, TEXT_WEIGHT = 2_000_000, 100
@@ -513,7 +514,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     64 * KEY_WORDS bits of SimHash over 2-word shingles give tries of 32-bit keys; pairs within
     `budget` bits in some trie are candidates if 64 * SIGN_WORDS bits of SimHash over `shingle`-word
-    shingles allow it, at the share of differing bits of `similarity` plus one standard error. Each
+    shingles allow it, at the share of differing bits of `similarity` plus SLACK standard errors. Each
     different shingle votes once, and pairs of a component of candidates are linked by the exact
     Jaccard similarity of their sets of `shingle`-word shingles (64-bit hashes). Classes are the
     connected components of links; class_id is the smallest id. Texts without words are no one's copy
@@ -522,7 +523,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     share = differing_share(similarity)
     bits = 64 * SIGN_WORDS
-    most = round(bits * share + math.sqrt(bits * share * (1 - share)))
+    most = round(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
     tries = 2 * KEY_WORDS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

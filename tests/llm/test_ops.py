@@ -150,6 +150,46 @@ def test_repeated_lines_neither_make_nor_hide_copies(spark):
     assert {r.id: r.class_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == want
 
 
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def planted_copies(rng, kind, low, high):
+    """(text, copy, similarity): words appended, cut off or changed to a similarity from low to high."""
+    vocabulary = [f"v{i}" for i in range(3000)]
+    while True:
+        n = rng.randint(150, 400)
+        text = [rng.choice(vocabulary) for _ in range(n)]
+        if kind == "appended":
+            copy = text + rng.choices(vocabulary, k=int(n * rng.uniform(0.16, 0.5)))
+        elif kind == "truncated":
+            copy = text[: int(n * rng.uniform(0.65, 0.87))]
+        else:
+            copy = list(text)
+            for i in rng.sample(range(n), int(n * rng.uniform(0.015, 0.06))):
+                copy[i] = rng.choice(vocabulary)
+        j = jaccard(text, copy)
+        if low <= j < high:
+            return " ".join(text), " ".join(copy), j
+
+
+def test_near_duplicates_decide_at_the_similarity(spark):
+    rng = random.Random(4)
+    rows, plan = [], {}
+    for kind in ("appended", "truncated", "edited"):
+        for low, high in ((0.7, 0.8), (0.8, 0.83)):
+            for _ in range(100):
+                text, copy, j = planted_copies(rng, kind, low, high)
+                plan[len(rows)] = (kind, j >= 0.8)
+                rows += [(len(rows), text, "en", "a", 1), (len(rows) + 1, copy, "en", "a", 1)]
+    got = {r.id: r.class_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    linked = {k: sum(got[i + 1] == i for i, p in plan.items() if p == k) for k in set(plan.values())}
+    print(linked)
+    for kind in ("appended", "truncated", "edited"):
+        assert linked[kind, False] == 0 and linked[kind, True] >= 97, linked
+
+
 def test_heavy_components_are_verified_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "VERIFY_WEIGHT", 3000)
     rng = random.Random(3)
