@@ -23,7 +23,8 @@ _SUFFIX = "\x00"
 
 class Automaton:
     """Greedy longest-match piece counts for words over a vocabulary of initial pieces and
-    continuation pieces (which stand anywhere but at a word's start)."""
+    continuation pieces (which stand anywhere but at a word's start). An empty initial piece is the bare word
+    start: one piece, after which continuations spell the word."""
 
     def __init__(self, initial: Iterable[str], continuation: Iterable[str]):
         nodes: list[dict[str, int]] = [{}]
@@ -41,13 +42,17 @@ class Automaton:
             return at
 
         self.rest = add(_SUFFIX)  # where a continuation begins
+        bare = False  # whether the word start is a piece by itself
         for p in initial:
+            bare |= not p
             if p and _SUFFIX not in p:
                 accepts[add(p)] = True
         for p in continuation:
             if p and _SUFFIX not in p:
                 accepts[add(_SUFFIX + p)] = True
         fail, popped = [-1] * len(nodes), [0] * len(nodes)
+        if bare:
+            fail[0], popped[0] = self.rest, 1
         level = [0, self.rest]
         while level:  # breadth first: links go to shorter strings
             below = []
@@ -93,7 +98,7 @@ class Automaton:
 
 def sentencepiece_pieces(path: str) -> tuple[list[str], list[str]]:
     """(initial, continuation) pieces of a sentencepiece model file on the driver; control and byte
-    pieces are left out."""
+    pieces are left out; the bare word start is the empty initial piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, common, decontam, license, mixing, quality, simhash, substr, tokens, topk, urlfilter
+from lodestone.llm import chat, common, decontam, license, mixing, quality, queries, simhash, substr, tokens, topk, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -497,6 +497,21 @@ def test_automaton_is_greedy():
             assert a.count(w) == greedy(w, initial, rest), (w, initial, rest)
 
 
+def test_the_bare_word_start_spells_what_has_no_initial_piece(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY)
+    normal = {model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    vocabulary = tokens.sentencepiece_pieces(queries.VOCABULARY)
+    cases = ["1984", "7", "ñandú", "ço", "ßig", "中文", "hello", "Été", "\U0010ffff"]
+    df = spark.createDataFrame([*enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_unknown) for r in tokens.token_counts(df, vocabulary).collect()}
+    for i, word in enumerate(cases):
+        n = greedy("▁" + word, normal, normal)
+        assert got[i] == (abs(n), int(n < 0)), word
+    assert got[0] == (5, 0) and got[8] == (1, 1)
+    assert tokens.Automaton(["", "ab"], ["a", "c"]).count("ac") == 3 and tokens.Automaton(["", "ab"], ["a", "c"]).count("abb") == -1
+
+
 def test_token_counts(spark):
     vocabulary = (["t", "to", "token", "w", "o", "x"], ["o", "k", "en", "ken", *map(str, range(10)), "n", "e"])
     df = odd_docs(spark)
