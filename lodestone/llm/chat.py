@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 #: Argument types by the SQL type that a parsed JSON value has.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>"}
@@ -23,8 +23,6 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
     "fetch": {"url": ("string", True)},
     "calculate": {"expression": ("string", True), "digits": ("integer", False)},
 }
-#: Longest chain of calls that depend on each other's results; longer ones count as cycles.
-MAX_LEVELS = 64
 
 
 def _right(fields: dict[str, tuple[str, bool]]):
@@ -122,7 +120,8 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
     """(conv, call_id, place, level, cycle) of the owner calls, level by level: a call is settled once all
-    calls whose results it needs are. What MAX_LEVELS rounds don't settle is on a cycle."""
+    calls whose results it needs are. Rounds go on, one for each step of the longest chain, until one
+    settles nothing; what then is open depends on a cycle."""
     own = materialize(calls.where("owner").select("conv", "call_id", "turn", "needs"), "own")
     ready = own.where(F.size("needs") == 0).select("conv", "call_id", F.col("turn").alias("place"), F.lit(0).alias("level"), F.lit(False).alias("cycle"))
     open_ = materialize(own.where(F.size("needs") > 0).select("conv", "call_id", "turn", F.explode(F.array_distinct("needs")).alias("need")), "open")
@@ -133,7 +132,8 @@ def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
     open_ = materialize(open_.join(known, F.col("conv").eqNullSafe(F.col("kc")) & (F.col("need") == F.col("ki")), "left").withColumn("bound", F.col("ki").isNotNull()).drop("kc", "ki"), "open")
     late = results.groupBy(F.col("conv").alias("ac"), F.col("call_id").alias("ai")).agg(F.max("turn").alias("answer"))
     settled = materialize(ready.distinct(), "settled")
-    for _ in range(MAX_LEVELS):
+    before = open_.count()
+    while True:
         s = settled.select(F.col("conv").alias("sc"), F.col("call_id").alias("si"), F.col("place").alias("sp"), F.col("level").alias("sl"))
         step = open_.join(s, F.col("conv").eqNullSafe(F.col("sc")) & (F.col("need") == F.col("si")), "left").join(late, F.col("conv").eqNullSafe(F.col("ac")) & (F.col("need") == F.col("ai")), "left")
         step = step.groupBy("conv", "call_id", "turn").agg(
@@ -141,10 +141,13 @@ def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
         )
         new = step.where("free").select("conv", "call_id", F.greatest("turn", "sp").alias("place"), "level", F.lit(False).alias("cycle"))
         rest = materialize(open_.join(new.select(F.col("conv").alias("nc"), F.col("call_id").alias("ni")), F.col("conv").eqNullSafe(F.col("nc")) & (F.col("call_id") == F.col("ni")), "left_anti"), "open")
-        settled = materialize(settled.unionByName(new), "settled")
-        before, open_ = open_.count(), rest
+        both = materialize(settled.unionByName(new), "settled")
+        for x in (open_, settled):
+            drop_table(x)
+        open_, settled = rest, both
         after = open_.count()
         if not after or after == before:
             break
+        before = after
     stuck = open_.select("conv", "call_id", F.col("turn").alias("place"), F.lit(0).alias("level"), F.lit(True).alias("cycle")).distinct()
     return settled.unionByName(stuck)

@@ -447,6 +447,17 @@ def test_chat_links_calls_and_results(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chains_of_calls_are_no_cycles(spark):
+    n = 67
+    call = lambda i: f'{{"tool_calls":[{{"id":"c{i}","name":"fetch","arguments":{{"url":"{f"$c{i - 1}" if i else "u"}"}}}}]}}'
+    rows = [(1, n - i, "assistant", call(i)) for i in range(n)] + [(1, 100 + i, "tool", f'{{"tool_call_id":"c{i}","content":"x"}}') for i in range(n)]
+    rows += [(2, 0, "assistant", call(5).replace("$c4", "$c5"))]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    state = {(r.conv_id, r.call_id): (r.status, r.place, r.level) for r in got}
+    assert [state[1, f"c{i}"] for i in range(n)] == [("ok", 99 + i if i else n, 2 * i) for i in range(n)]
+    assert state[2, "c5"][0] == "cycle"
+
+
 # ---------------------------------------------------------------- 8
 
 
