@@ -1,7 +1,7 @@
 """Chat formatting with tool calls linked to their results.
 
 A message is a call message if its role is `assistant` and its text a JSON object with
-`tool_calls`: [{"id", "name", "arguments"}], and a result if its role is `tool` and its text a
+`tool_calls`: [{"id", "name", "arguments"}] and maybe `content`, and a result if its role is `tool` and its text a
 JSON object with `tool_call_id` and `content`. Calls meet results in a hash join on conversation and
 identifier; an argument "$ID" makes a call depend on the result of call ID. Every message, call
 and result becomes one row with its canonical JSON (keys sorted, no spaces, no nulls) and a place in a
@@ -60,7 +60,8 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """(conv_col, turn, kind, idx, call_id, status, place, level, json): a row for each plain message,
     call and result; sorted by (place, level, turn, idx) a conversation stands in topological order.
 
-    kind: message, call or result. idx: a call's position in its message, else 0. status: `ok` for
+    kind: message, call or result. Content beside calls is a message of its own, before them. idx: a
+    call's position in its message, -1 for content beside calls, else 0. status: `ok` for
     messages; for calls `ok`, `invalid` (arguments against the schema), `duplicate` (the id stands
     earlier in the conversation), `cycle` (depends on itself) or `open` (no result); for results `ok`
     or `orphan` (no such call). place: the latest turn of the row and all that it depends on; level:
@@ -81,6 +82,10 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.to_json(F.struct(F.col("text").alias("content"), "role", "turn")).alias("json"),
     )
     tools = materialize(m.where(is_call | is_result).select("conv", "turn", "role", "j"), "tools")
+    said = tools.where("role = 'assistant' AND j.content IS NOT NULL").select(
+        "conv", "turn", F.lit("message").alias("kind"), F.lit(-1).alias("idx"), F.lit(None).cast("string").alias("call_id"), F.lit("ok").alias("status"), F.col("turn").alias("place"), F.lit(0).alias("level"),
+        F.to_json(F.struct(F.col("j.content").alias("content"), "role", "turn")).alias("json"),
+    )
     calls = tools.where("role = 'assistant'").select("conv", "turn", F.posexplode("j.tool_calls").alias("idx", "c"))
     calls = calls.select("conv", "turn", "idx", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.try_parse_json(F.coalesce("c.arguments", F.lit("{}"))).alias("args"))
     typed = F.when(F.schema_of_variant("args").startswith("OBJECT"), F.col("args").try_cast("map<string, variant>"))
@@ -115,7 +120,7 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.greatest("r.turn", "d.place", "o.first.turn").alias("place"), (F.coalesce("d.level", F.lit(0)) + F.when(F.col("o.first").isNull(), 0).otherwise(1)).cast("int").alias("level"),
         F.to_json(F.struct(F.coalesce(F.when(F.col("r.content").rlike(r"^\s*[\[{]"), _canonical(F.col("r.content"))), F.col("r.content")).alias("content"), F.col("r.call_id").alias("id"), F.lit("tool").alias("role"), F.col("r.turn").alias("turn"))).alias("json"),
     )
-    return plain.unionByName(call_rows).unionByName(result_rows).withColumnRenamed("conv", conv_col)
+    return plain.unionByName(said).unionByName(call_rows).unionByName(result_rows).withColumnRenamed("conv", conv_col)
 
 
 def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:

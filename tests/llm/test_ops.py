@@ -447,6 +447,15 @@ def test_chat_links_calls_and_results(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_content_beside_calls_is_kept(spark):
+    call = '"tool_calls":[{"id":"a","name":"fetch","arguments":{"url":"u"}}]'
+    rows = [(1, 4, "assistant", f'{{"content":"I look it up.",{call}}}'), (2, 0, "assistant", f'{{"content":null,{call}}}'), (3, 0, "assistant", f"{{{call}}}")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    order = [(r.conv_id, r.kind) for r in sorted(got, key=lambda r: (r.conv_id, r.place, r.level, r.turn, r.idx))]
+    assert order == [(1, "message"), (1, "call"), (2, "call"), (3, "call")]
+    assert [r.json for r in got if r.kind == "message"] == ['{"content":"I look it up.","role":"assistant","turn":4}']
+
+
 def test_long_chains_of_calls_are_no_cycles(spark):
     n = 67
     call = lambda i: f'{{"tool_calls":[{{"id":"c{i}","name":"fetch","arguments":{{"url":"{f"$c{i - 1}" if i else "u"}"}}}}]}}'
