@@ -3,13 +3,14 @@
 All rolling word k-gram hashes of the texts meet the positions of the templates' k-grams in a
 broadcast join (templates are a constant list of bounded size). A meeting votes for the diagonal
 (text position - template position) of its template; neighbouring diagonals merge, so that words
-put in or left out don't break a place; and a place is verified on the words themselves. Only
-meetings are shuffled.
+put in or left out don't break a place; and a place is verified: its score is the longest run of
+meetings that goes forward in both text and template within a bounded total drift. Only meetings
+are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -52,7 +53,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
     Texts are lower-cased; words are runs of letters, digits and non-ASCII characters. A base
     phrase counts wherever its words stand consecutively. A template counts where at least SHARE of
-    its k-grams vote for diagonals within DRIFT of each other. Null texts are empty. Other columns
+    its k-grams stand in order, on diagonals that make a chain of gaps of DRIFT at most and lie within
+    half the template's length of each other (DRIFT at least). Null texts are empty. Other columns
     are ignored.
     """
     spark = docs.sparkSession
@@ -76,9 +78,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     return at.join(t, same).select("row", "kind", "label", "template", "m", "j", "i", (F.col("i") - F.col("j")).alias("diagonal"))
 
 
+def _in_order(positions: Column) -> Column:
+    """Length of the longest strictly increasing subsequence of an array (by least last entries)."""
+
+    def step(ends: Column, x: Column) -> Column:
+        n = F.size(F.filter(ends, lambda e: e < x))
+        return F.concat(F.slice(ends, F.lit(1), n), F.array(x), F.slice(ends, n + 2, F.greatest(F.size(ends) - n - 1, F.lit(0))))
+
+    return F.aggregate(positions, F.array().cast("array<int>"), step, F.size)
+
+
 def places(met: DataFrame) -> DataFrame:
     """(row, kind, label, start, hit) from the distinct meetings of `scan`; hit is the share of the
-    template's k-grams found there."""
+    template's k-grams found there in order."""
     votes = met.groupBy("row", "kind", "label", "template", "m", "diagonal").agg(F.count("*").alias("votes"), F.min("i").alias("start"))
     exact = votes.where((F.col("kind") == "base") & (F.col("votes") == F.col("m") - (K - 1)))
     exact = exact.select("row", "kind", "label", F.col("diagonal").alias("start"), F.lit(1.0).alias("hit"))
@@ -86,10 +98,20 @@ def places(met: DataFrame) -> DataFrame:
     own = Window.partitionBy("row", "template").orderBy("diagonal")
     chain = votes.where(F.col("kind") == "own").withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(own) > DRIFT).cast("int"))
     chain = chain.withColumn("place", F.sum(F.coalesce("new", F.lit(0))).over(own))
-    merged = chain.groupBy("row", "kind", "label", "template", "m", "place").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"))
-    share = F.least(F.lit(1.0), F.col("votes") / (F.col("m") - (K - 1)))
-    merged = merged.where(share >= SHARE).select("row", "kind", "label", "start", share.alias("hit"))
-    return exact.unionByName(merged)
+    merged = chain.groupBy("row", "template", "m", "place").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    grams = F.col("m") - (K - 1)
+    merged = merged.where(F.col("votes") / grams >= SHARE).select("row", "template", "place", "low", "high")
+    # each span of diagonals within the total drift; a meeting lies in as many as the drift is wide
+    t, p = met.where(F.col("kind") == "own").alias("t"), merged.alias("p")
+    inside = (F.col("t.row") == F.col("p.row")) & (F.col("t.template") == F.col("p.template")) & F.col("diagonal").between(F.col("low"), F.col("high"))
+    drift = F.greatest(F.lit(DRIFT), F.floor(F.col("m") / 2).cast("int"))
+    spans = t.join(p, inside).select("t.*", "place", F.explode(F.sequence(F.greatest("low", F.col("diagonal") - drift), F.col("diagonal"))).alias("span"))
+    # of meetings in the same text word the later template word comes first, so that only one counts
+    spans = spans.groupBy("row", "kind", "label", "template", "m", "place", "span").agg(F.collect_list(F.struct("i", (-F.col("j")).alias("back"))).alias("at"), F.min("i").alias("start"))
+    share = _in_order(F.transform(F.array_sort("at"), lambda x: -x["back"])) / grams
+    verified = spans.withColumn("hit", share).where(F.col("hit") >= SHARE).groupBy("row", "kind", "label", "template", "place").agg(F.max(F.struct("hit", (-F.col("start")).alias("back"))).alias("best"))
+    verified = verified.select("row", "kind", "label", (-F.col("best.back")).alias("start"), F.col("best.hit").alias("hit"))
+    return exact.unionByName(verified)
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:

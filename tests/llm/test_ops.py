@@ -493,6 +493,16 @@ def test_license_scan(spark):
     assert license.license_report(df.limit(0)).count() == 0
 
 
+def test_licenses_are_verified_in_order(spark):
+    t = license.TEMPLATES["mit"].split()
+    halves = t[13:] + t[:13]
+    put_in = [*t[:6], "and", "so", *t[6:18], "on", "then", *t[18:]]
+    texts = ["permission is " * 25, " ".join(halves), " ".join(reversed(t)), "x y " + " ".join(put_in), " ".join(t)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score * (len(t) - 1))) for r in license.license_report(df).collect()}
+    assert got == {0: ("", 0), 1: ("", 0), 2: ("", 0), 3: ("mit", len(t) - 3), 4: ("mit", len(t) - 1)}
+
+
 # ---------------------------------------------------------------- 9
 
 
