@@ -51,19 +51,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document with its size, its source's target and the copies that the mix takes."""
-    return mix(docs, weights=WEIGHTS, carry=["lang", "source", "n_chars"])
+    """The mix as a plan: every document, its text too, with its size, its source's target and the copies
+    that the mix takes; 0 for those it leaves out."""
+    return mix(docs, weights=WEIGHTS, carry=["text", "lang", "source", "n_chars"])
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontaminate", decontaminate), ("mix", mix_sources)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`; of the mix, the documents that it takes, each to be repeated `copies`
+    times."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir).where("copies > 0")
 
 
 #: No SQL expresses the classifier, SimHash and the knapsack; tests hold the stages against brute force.

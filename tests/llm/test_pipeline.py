@@ -80,6 +80,12 @@ def test_run_is_all_stages(spark, corpus):
     assert out.count() > 200 and not {r.doc_id for r in out.collect()} & {i for i, k in plan.items() if k == "leak"}
 
 
+def test_run_gives_the_mixed_corpus(spark, corpus):
+    d, _, _ = corpus
+    rows = P.run(spark, d).collect()
+    assert min(r.copies for r in rows) > 0 and all(r.text and len(r.text.split()) == r.size for r in rows)
+
+
 def test_empty_tables(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], DOCS).write.parquet(f"{d}/documents.parquet")
