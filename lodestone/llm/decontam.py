@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Edits allowed per character of an item, and the shortest piece that is looked up.
 RATE, LEAST_PIECE = 0.06, 8
+#: Characters from which an item of under five words has an error budget (scripts without spaces).
+LEAST_CHARS = 25
 #: Characters of items that one pass over the texts takes.
 BLOCK_CHARS = 4_000_000
 
@@ -26,9 +28,9 @@ def normalize(text: str | None) -> str:
 
 
 def edits(item: str, rate: float = RATE) -> int:
-    """The error budget of a normalized item: none for items under five words, and never so many that
-    pieces get shorter than LEAST_PIECE."""
-    if item.count(" ") < 4:
+    """The error budget of a normalized item: none for items of under five words that also have
+    under LEAST_CHARS characters, and never so many that pieces get shorter than LEAST_PIECE."""
+    if item.count(" ") < 4 and len(item) < LEAST_CHARS:
         return 0
     return max(0, min(int(rate * len(item)), len(item) // LEAST_PIECE - 1))
 

@@ -344,6 +344,15 @@ def test_decontamination(spark):
     assert decontam.contamination_report(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_spaces_have_an_error_budget(spark):
+    item = "".join(chr(0x4E00 + 37 * i) for i in range(40))
+    near = "前文" + item[:20] + "變" + item[21:] + "後文"
+    docs = spark.createDataFrame([(0, near), (1, item[:18] + "一二三四" + item[22:]), (2, "tiny itex")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "tiny item")], "item_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.least_distance) for r in decontam.contamination_report(docs, bench).collect()}
+    assert got == {0: ("7", 1), 1: ("", None), 2: ("", None)}
+
+
 def test_items_come_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 30)
     bench = spark.createDataFrame([(i, f"alpha beta gamma delta item{i}") for i in range(5)], "item_id long, text string")
