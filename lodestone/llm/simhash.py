@@ -419,9 +419,9 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: The near-duplicate operator's SimHash parts: words of the fingerprint that makes keys, 64-bit
-#: numbers of it, and of the fingerprint on full shingles that filters candidates; standard errors
-#: of slack that the filter leaves.
-KEY_SHINGLE, KEY_WORDS, SIGN_WORDS, SLACK = 2, 8, 12, 4
+#: numbers of it, and of the fingerprint on full shingles that filters candidates; how many of those the
+#: tries carry (every trie holds a copy); standard errors of slack that the filter leaves.
+KEY_SHINGLE, KEY_WORDS, SIGN_WORDS, WALK_WORDS, SLACK = 2, 8, 12, 4, 4
 #: Weight of the texts that one task verifies on one side: their different shingles, and as many as
 #: TEXT_WEIGHT more a text, so that many short ones stay bounded too.
 VERIFY_WEIGHT, TEXT_WEIGHT = 2_000_000, 100
@@ -513,8 +513,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, text_hash, class_id): near-duplicate classes of texts by similarity, not by equal prints.
 
     64 * KEY_WORDS bits of SimHash over 2-word shingles give tries of 32-bit keys; pairs within
-    `budget` bits in some trie are candidates if 64 * SIGN_WORDS bits of SimHash over `shingle`-word
-    shingles allow it, at the share of differing bits of `similarity` plus SLACK standard errors. Each
+    `budget` bits in some trie are candidates if 64 * WALK_WORDS bits of SimHash over `shingle`-word
+    shingles allow it, and then 64 * SIGN_WORDS bits, at the share of differing bits of `similarity` plus SLACK standard errors. Each
     different shingle votes once, and pairs of a component of candidates are linked by the exact
     Jaccard similarity of their sets of `shingle`-word shingles (64-bit hashes). Classes are the
     connected components of links; class_id is the smallest id. Texts without words are no one's copy
@@ -522,8 +522,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null ids are ignored as class names. Repeated rows share a class.
     """
     share = differing_share(similarity)
-    bits = 64 * SIGN_WORDS
-    most = round(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
+    walk_most, most = (round(bits * share + SLACK * math.sqrt(bits * share * (1 - share))) for bits in (64 * WALK_WORDS, 64 * SIGN_WORDS))
     tries = 2 * KEY_WORDS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -553,7 +552,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def key(t: int):  # the t-th 32 bits of the prints in the high half of a long
         return F.conv(F.hex(F.expr(f"substring(prints, {4 * t + 1}, 4)")), 16, 10).cast("long")
 
-    keys = texts.select("text_hash", F.expr(f"substring(prints, {8 * KEY_WORDS + 1}, {8 * SIGN_WORDS})").alias("sign"), F.posexplode(F.array(*(key(t) for t in range(tries)))).alias("trie", "k32"))
+    keys = texts.select("text_hash", F.expr(f"substring(prints, {8 * KEY_WORDS + 1}, {8 * WALK_WORDS})").alias("sign"), F.posexplode(F.array(*(key(t) for t in range(tries)))).alias("trie", "k32"))
     keys = materialize(keys.select("trie", F.shiftleft("k32", 32).alias("key"), "text_hash", "sign"), "keys")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -564,12 +563,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     k, t, s = (batch.column(f"{side}_{c}")[row].values for c in ("key", "text_hash", "sign"))
                     k = k.to_numpy(zero_copy_only=False).view(_U)
                     order = np.argsort(k, kind="stable")
-                    s = np.frombuffer(b"".join(s.to_pylist()), _U).reshape(-1, SIGN_WORDS)
+                    s = np.frombuffer(b"".join(s.to_pylist()), _U).reshape(-1, WALK_WORDS)
                     sides.append((k[order], t.to_numpy(zero_copy_only=False)[order], s[order]))
                 text, own = (np.concatenate([x[c] for x in sides]) for c in (1, 2))
 
                 def near(i, j, own=own):
-                    return np.bitwise_count(own[i] ^ own[j]).sum(1, dtype=np.int32) <= most
+                    return np.bitwise_count(own[i] ^ own[j]).sum(1, dtype=np.int32) <= walk_most
 
                 x, y = _walk(sides[0][0], sides[1][0] if len(sides) > 1 else None, budget, 32, near)
                 if len(x):
