@@ -68,8 +68,9 @@ def _unit(rows: list | np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def similar(queries: DataFrame, items: DataFrame, least: float | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query_id, item_id, sim): cosine of every query with every item, those of at least `least`.
+def similar(queries: DataFrame, items: DataFrame, least: float | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", block: int = BLOCK, top: int | None = None) -> DataFrame:
+    """(query_id, item_id, sim): cosine of every query with every item, those of at least `least`. top: of a
+    query's items only those that may be among its `top` best (ties at the sixth digit included) leave a batch.
 
     Queries come to the workers in blocks of bounded size; items are scanned once a block and never
     shuffled, and only survivors leave the kernel. Rows with null vectors take no part.
@@ -93,7 +94,10 @@ def similar(queries: DataFrame, items: DataFrame, least: float | None = None, qu
                     if m.shape[1] != q.shape[1]:
                         raise ValueError(f"vectors of {m.shape[1]} and {q.shape[1]} dimensions")
                     s = m @ q.T
-                    i, j = np.nonzero(s + 1e-10 >= least) if least is not None else (x.ravel() for x in np.indices(s.shape))
+                    keep = s + 1e-10 >= least if least is not None else np.ones(s.shape, bool)
+                    if top is not None and len(s) > top:
+                        keep &= s >= np.partition(s, len(s) - top, axis=0)[len(s) - top] - 2e-6
+                    i, j = np.nonzero(keep)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(s[i, j])], [query_id, item_id, "sim"])
 
         return source.mapInArrow(run, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -15,3 +17,39 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or "/tmp/checkpoints/lodestone")
     return df.checkpoint()
+
+
+#: Bytes of a table a core up to which a scan may be too few tasks.
+SPREAD_BYTES = 8 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "/tmp/checkpoints/lodestone"
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a columnar table in the shared folder: later plans prune its columns and read it instead of
+    computing it."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over the cores if it is so small that it may be one task, as a file of one row group is not
+    split; a larger table, or one of many files, has tasks enough and stays as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in plan.executedPlan().toString():  # no scan, but joins or aggregates
+        return df
+    if plan.optimizedPlan().stats().sizeInBytes() >= cores * SPREAD_BYTES:
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() <= 4 * cores else df
