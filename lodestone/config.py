@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import os
+import re
 import warnings
 from dataclasses import dataclass
 
@@ -70,6 +71,8 @@ class Config:
     rerank_min_score: float | None = None
     inject_min_rel: float = 0.2
     inject_max_chars: int = 2000
+    push_min_rel: float = 0.6
+    surfaced_chars: int = 400
     gate_population: int = 8
     sentence_max: int = 12
     sentence_min_chars: int = 10
@@ -81,7 +84,7 @@ class Config:
     buffer_ttl: float = 300.0
     buffer_size: int = 32
     # Where the code's defaults are open to choice.
-    bm25_scope: str = "active"
+    bm25_scope: str = "global"
     dedup_scope: str = "global"
     allow_transcripts: bool = False
 
@@ -90,18 +93,59 @@ def clamp(value: float, low: float, high: float) -> float:
     return max(low, min(high, value))
 
 
-def from_env(prefix: str = "LODESTONE_", profile: str = "bgem3", env: dict[str, str] | None = None) -> Config:
+# Model names by the family whose thresholds suit them.
+MODEL_FAMILIES = {
+    "bgem3": ("bge-m3", "bgem3", "baai/bge-m3", "fast-bge-m3", "bge_m3"),
+    "e5": ("fast-multilingual-e5-large", "multilingual-e5-large", "mle5large"),
+    "bge": ("fast-bge-base-en-v1.5", "bge-base-en-v1.5", "bgebaseenv15", "fast-bge-small-en-v1.5", "bge-small-en-v1.5", "bgesmallenv15"),
+    "minilm": ("fast-all-minilm-l6-v2", "all-minilm-l6-v2", "allminilml6v2"),
+}
+
+
+def normal_model(model: str) -> str:
+    """A model name in lower case, with dashes for spaces and underscores, without the prefix of an enumeration."""
+    return re.sub(r"[\s_]", "-", re.sub(r"(?i)^embeddingmodel\.", "", model.strip()).lower())
+
+
+def family_of(model: str) -> str | None:
+    """The family of a model name; None if it has none."""
+    name = normal_model(model)
+    return next((f for f, names in MODEL_FAMILIES.items() if name in names), None)
+
+
+def model_prefix(family: str | None, kind: str) -> str:
+    """What a text of a kind (`query` or `passage`) is prefixed with for models of a family."""
+    return f"{kind}: " if family == "e5" else ""
+
+
+def lookup(name: str, env: dict[str, str], prefix: str = "LODESTONE_", legacy: str | None = None) -> str | None:
+    """A setting under its prefix, else under an older one."""
+    return env.get(prefix + name, env.get(legacy + name) if legacy else None)
+
+
+def data_dir(env: dict[str, str] | None = None, prefix: str = "LODESTONE_", legacy: str | None = None, home: str | None = None, folder: str = ".lodestone", legacy_folder: str | None = None) -> str:
+    """The folder of a store: as set, else one in the home folder, of an older name if only that exists."""
+    env = dict(os.environ) if env is None else env
+    home = os.path.expanduser("~") if home is None else home
+    new, old = os.path.join(home, folder), legacy_folder and os.path.join(home, legacy_folder)
+    return lookup("DATA_DIR", env, prefix, legacy) or (old if old and os.path.exists(old) and not os.path.exists(new) else new)
+
+
+def from_env(prefix: str = "LODESTONE_", profile: str = "bgem3", env: dict[str, str] | None = None, legacy: str | None = None, model: str | None = None) -> Config:
     """A Config with overrides such as LODESTONE_KEY_MERGE or LODESTONE_RELATED_LIMIT; values that don't
-    parse or lie out of range are ignored. An unknown profile means "bge", with a warning."""
+    parse or lie out of range are ignored. legacy: an older prefix, second choice. model: its family's profile
+    replaces `profile`. An unknown profile or model means "bge", with a warning."""
     env = dict(os.environ) if env is None else env
+    if model is not None:
+        profile = family_of(model) or model
     if profile not in PROFILES:
         warnings.warn(f"unknown profile {profile!r}: using bge", stacklevel=2)
         profile = "bge"
 
     def number(name: str, low: float, high: float) -> float | None:
         try:
-            value = float(env[prefix + name])
-        except (KeyError, ValueError):
+            value = float(lookup(name, env, prefix, legacy) or "")
+        except ValueError:
             return None
         return value if low <= value <= high else None
 

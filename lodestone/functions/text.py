@@ -11,7 +11,10 @@ _ONE_CJK = r"^[\p{IsHangul}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]$"
 _MEANINGFUL = r"[\p{L}\p{N}_.+#-]+"
 _STRUCTURED = r"(?i)(?:^|[^a-z0-9])(v?\d+(?:\.\d+)+|#\d+|(?=[0-9a-f]*\d)[0-9a-f]{7,40})(?![a-z0-9])"
 # Words that say nothing about what a query is after.
-FILLER = ("a", "an", "and", "are", "do", "does", "for", "how", "in", "is", "it", "of", "on", "or", "the", "to", "was", "what", "when", "where", "which", "who", "why", "with")
+FILLER = (
+    "내", "나의", "뭐", "뭐야", "뭔가", "무슨", "어느", "있어", "있니", "알려", "알려줘", "해줘", "좋아해", "좋아하는", "선호하는", "쓰니", "했어", "관련", "대한",
+    "what", "which", "who", "where", "when", "why", "how", "is", "are", "was", "were", "do", "does", "did", "my", "me", "tell", "about", "the", "a", "an", "please",
+)
 
 
 def terms(text: Column) -> Column:
@@ -20,9 +23,9 @@ def terms(text: Column) -> Column:
 
 
 def query_tokens(text: Column, filler: tuple[str, ...] = FILLER) -> Column:
-    """Distinct meaningful tokens of a query: two characters or more, no filler."""
-    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(_MEANINGFUL), F.lit(0)), lambda t: F.length(t) >= 2)
-    return F.array_except(found, F.array(*(F.lit(w) for w in filler)))
+    """Meaningful tokens of a query, in order, repeats included: two characters or more, no filler."""
+    idle = F.array(*(F.lit(w) for w in filler))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_MEANINGFUL), F.lit(0)), lambda t: (F.length(t) >= 2) & ~F.array_contains(idle, t))
 
 
 def structured_tokens(text: Column) -> Column:
@@ -67,8 +70,9 @@ def usable_keys(keys: Column) -> Column:
 
 
 def parse_keys(raw: Column) -> Column:
-    """Keys given as a JSON array in a string."""
-    return F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
+    """Keys given as a JSON array in a string; any other string is one key, null none."""
+    listed = F.from_json(F.when(F.ltrim(raw).startswith("["), raw), "array<string>")
+    return F.coalesce(listed, F.when(raw.isNotNull(), F.array(raw)), F.array().cast("array<string>"))
 
 
 def literal_match(term: Column, query: Column) -> Column:
@@ -136,6 +140,36 @@ def merge_source(*maps: Column) -> Column:
 
 
 def retag_note(old_keys: Column, new_keys: Column) -> Column:
-    """What a correction should look at: keys that it inherited rather than got."""
-    inherited = F.array_except(old_keys, new_keys)
-    return F.when(F.size(inherited) > 0, F.concat(F.lit("keys kept from the earlier version: "), F.array_join(inherited, ", ")))
+    """What a correction that named no keys should look at: the keys that it inherited."""
+    inherited = (F.size(new_keys) == 0) & (F.size(old_keys) > 0)
+    return F.when(inherited, F.concat(F.lit("keys kept from the earlier version: "), F.array_join(old_keys, ", ")))
+
+
+def record_alias(found: Column, concept: Column, name: Column) -> Column:
+    """The aliases `found` of a concept with one more name, unless it has under two characters or stands there
+    already, whatever the case."""
+    n = F.trim(name)
+    known = (F.lower(n) == F.lower(concept)) | F.exists(found, lambda a: F.lower(a) == F.lower(n))
+    return F.when((F.length(n) < 2) | F.coalesce(known, F.lit(False)), found).otherwise(F.concat(found, F.array(n)))
+
+
+def surfaced_line(memory_id: Column, content: Column, relevance: Column, namespace: Column, most: int = 400) -> Column:
+    """One line of a passive hint: id, relevance, namespace and the first `most` characters."""
+    head = F.concat(F.lit("- ["), memory_id.cast("string"), F.coalesce(F.concat(F.lit(" rel="), relevance.cast("string")), F.lit("")))
+    where = F.when(F.coalesce(namespace, F.lit("")) != "", F.concat(F.lit(" ns="), namespace)).otherwise("")
+    text = F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit("…"))).otherwise(content)
+    return F.concat(head, where, F.lit("] "), text)
+
+
+def lenient_array(raw: Column) -> Column:
+    """An array of strings from JSON text; an empty one where it is none."""
+    return F.coalesce(F.from_json(F.when(F.ltrim(raw).startswith("["), raw), "array<string>"), F.array().cast("array<string>"))
+
+
+def lenient_object(raw: Column) -> Column:
+    """A map of strings from JSON text; null where it is no object."""
+    return F.from_json(F.when(F.ltrim(raw).startswith("{"), raw), "map<string,string>")
+
+
+def lenient_number(raw: Column, otherwise: float | None = None) -> Column:
+    return F.coalesce(F.expr("try_cast(null as double)") if raw is None else raw.try_cast("double"), F.lit(otherwise).cast("double"))
