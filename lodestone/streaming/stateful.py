@@ -13,14 +13,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import Config
 
 DEFAULT = Config()
-#: Pending queries that a key holds at most (the newest stay) as in the batch ring buffer.
-_STATE = "pending array<struct<ts:double,id:long>>, confirmed long"
+#: The latest queries of a key, those that a read took marked; `buffer_size` at most.
+_STATE = "pending array<struct<ts:double,id:long,taken:boolean>>, confirmed long"
 
 
 def confirm_stream(events: DataFrame, by: str = "user_id", ttl: float | None = None, config: Config = DEFAULT, watermark: str = "1 hour") -> DataFrame:
-    """(by, read_id, query_id, n_confirmed, decision) for each read that confirms a query about the same
-    thing at most `ttl` seconds before. events: by, kind (`query` or `read`), ts (timestamp), id.
-    State is per key, holds `buffer_size` queries at most and expires with the watermark."""
+    """(by, read_id, query_id, n_confirmed) for each read that confirms a query about the same thing: the
+    latest that no read took before, if at most `ttl` seconds old (see `maintain.match_buffer`). events: by, kind
+    (`query` or `read`), ts (timestamp), id. State is per key, holds `buffer_size` queries at most and
+    expires with the watermark."""
     ttl = config.buffer_ttl if ttl is None else ttl
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,17 +35,21 @@ def confirm_stream(events: DataFrame, by: str = "user_id", ttl: float | None = N
         for t, kind, i in zip(rows["t"], rows["kind"], rows["id"], strict=True):
             pending = [p for p in pending if t - p[0] <= ttl]
             if kind == "query":
-                pending = [*pending, (float(t), int(i))][-config.buffer_size :]
-            elif pending:
+                pending = [*pending, (float(t), int(i), False)][-config.buffer_size :]
+                continue
+            open_ = [n for n, p in enumerate(pending) if not p[2]]
+            if open_:
+                at, query, _ = pending[open_[-1]]
+                pending[open_[-1]] = (at, query, True)
                 confirmed += 1
-                out.append((key[0], int(i), pending[-1][1], confirmed, "alias" if confirmed >= config.promote_n else "none"))
+                out.append((key[0], int(i), query, confirmed))
         state.update((pending, confirmed))
         last = int(rows["t"].max() * 1000)
         state.setTimeoutTimestamp(max(last + int(ttl * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[by, "read_id", "query_id", "n_confirmed", "decision"])
+        yield pd.DataFrame(out, columns=[by, "read_id", "query_id", "n_confirmed"])
 
     rows = events.withWatermark("ts", watermark).select(by, "kind", "ts", "id")
-    schema = f"{by} long, read_id long, query_id long, n_confirmed long, decision string"
+    schema = f"{by} long, read_id long, query_id long, n_confirmed long"
     return rows.groupBy(by).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
