@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -13,9 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentences
 from ..functions.vector import Embedder, embed
-from ..schema import KEYS, LINKS, MEMORIES, conform, prune_links
+from ..operators.maintain import fold_weights, set_weights
+from ..schema import KEYS, LINKS, MEMORIES, SENTENCES, conform, prune_links
 
-_TABLES = {"keys": KEYS, "memories": MEMORIES, "links": LINKS}
+_TABLES = {"keys": KEYS, "memories": MEMORIES, "links": LINKS, "sentences": SENTENCES}
+
+
+#: The namespace that gets no sentence vectors.
+QUARANTINE = "bench"
+
+
+def fill_vectors(rows: DataFrame, sidecar: DataFrame, kind: str, id_col: str, text: str, embedder: Embedder) -> DataFrame:
+    """rows with a vector each: their own, else that of the sidecar (id, kind, part, embedding; kind m or k), else
+    one embedded now."""
+    side = sidecar.where((F.col("kind") == kind) & (F.col("part") == 0)).select(F.col("id").alias(id_col), F.col("embedding").alias("_side"))
+    own = F.when(F.size("embedding") > 0, F.col("embedding"))
+    rows = rows.join(side, id_col, "left").withColumn("embedding", F.coalesce(own, "_side"))
+    have, none = rows.where("embedding IS NOT NULL"), rows.where("embedding IS NULL").drop("embedding")
+    return have.drop("_side").unionByName(embed(none.drop("_side"), text, embedder))
 
 
 class Store:
@@ -28,30 +44,38 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> str | None:
-        p = self._path(f"{self.path}/{name}")
-        return self.spark.read.text(str(p), wholetext=True).first()[0] if self._fs.exists(p) else None
+    def _pointers(self) -> list[int]:
+        """The numbers of the pointer files, ascending."""
+        folder = self._path(self.path)
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"CURRENT-(\d+)\.json", n)))
 
-    def _write(self, name: str, text: str) -> None:
-        tmp, to = self._path(f"{self.path}/{name}.{uuid.uuid4().hex}"), self._path(f"{self.path}/{name}")
+    def _point(self, text: str) -> None:
+        """Write the next pointer under another name, then rename it: no moment is without a pointer."""
+        have = self._pointers()
+        tmp, to = self._path(f"{self.path}/.pointer-{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT-{(have[-1] if have else 0) + 1}.json")
         out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        self._fs.rename(tmp, to)
+        if not self._fs.rename(tmp, to):
+            raise RuntimeError(f"another writer has written {to}")
+        for n in have[:-1]:  # the one before stays as a way back
+            self._fs.delete(self._path(f"{self.path}/CURRENT-{n}.json"), False)
 
     def current(self) -> dict | None:
-        text = self._read("CURRENT.json")
-        return json.loads(text) if text else None
+        have = self._pointers()
+        return json.loads(self.spark.read.text(f"{self.path}/CURRENT-{have[-1]}.json", wholetext=True).first()[0]) if have else None
 
     def load(self) -> dict[str, DataFrame]:
-        """keys, memories, links of the current version; empty tables if there is none. Missing fields get
-        defaults, links to nothing are left out."""
+        """keys, memories, links and sentences of the current version; empty tables if there is none. Missing fields
+        get defaults, links to nothing are left out."""
         now = self.current()
         if now is None:
             return {name: self.spark.createDataFrame([], schema) for name, schema in _TABLES.items()}
-        out = {name: conform(self.spark.read.parquet(f"{self.path}/{now['version']}/{name}"), schema) for name, schema in _TABLES.items()}
+        out = {}
+        for name, schema in _TABLES.items():
+            folder = f"{self.path}/{now['version']}/{name}"
+            out[name] = conform(self.spark.read.parquet(folder), schema) if self._fs.exists(self._path(folder)) else self.spark.createDataFrame([], schema)
         out["links"] = prune_links(out["links"], out["keys"], out["memories"])
         return out
 
@@ -60,28 +84,46 @@ class Store:
         version = f"v-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{version}/{name}")
-        self._write("CURRENT.json", json.dumps({"version": version, "fingerprint": fingerprint}))
+        dim = tables["memories"].where("embedding IS NOT NULL").select(F.size("embedding").alias("d")).first() if "memories" in tables else None
+        self._point(json.dumps({"version": version, "fingerprint": fingerprint, "dim": dim and dim["d"]}))
         return version
 
     def append_log(self, events: DataFrame) -> None:
-        """Add to the operation log that folds into a later version."""
-        events.write.mode("append").parquet(f"{self.path}/log")
+        """Add reinforcements (key_id, memory_id, seq, delta) to the operation log of the current version."""
+        events.select("key_id", "memory_id", "seq", "delta").write.mode("append").parquet(f"{self.path}/log-{(self.current() or {}).get('version', 'none')}")
+
+    def compact(self) -> str | None:
+        """Fold the log into a new version; None, and no new version, if there is nothing to fold."""
+        now = self.current()
+        if now is None or not self._fs.exists(self._path(f"{self.path}/log-{now['version']}")):
+            return None
+        t = self.load()
+        events = self.spark.read.parquet(f"{self.path}/log-{now['version']}")
+        folded = fold_weights(events, t["links"]).select("key_id", "memory_id", "weight")
+        return self.save({**t, "links": set_weights(t["links"], folded)}, now.get("fingerprint"))
 
     def migrate(self, embedder: Embedder, force: bool = False, auto: bool = True) -> bool:
-        """Embed everything anew if the embedder isn't the one that the store was written with; content, links
-        and depth stay. The earlier version stays in its directory as a backup."""
+        """Embed everything anew if the embedder isn't the one that the store was written with, or has another
+        dimension; a store without a fingerprint is left alone unless its dimension differs. Content, links and
+        depth stay, and so does the earlier version in its directory."""
         now = self.current()
-        if now is None or (not force and (not auto or now.get("fingerprint") == embedder.fingerprint)):
+        if now is None:
+            return False
+        other = now.get("dim") not in (None, embedder.dim) or now.get("fingerprint") not in (None, embedder.fingerprint)
+        if not force and not (auto and other):
             return False
         t = self.load()
         t["memories"] = embed(t["memories"], "content", embedder)
         t["keys"] = embed(t["keys"], "concept", embedder)
+        t["sentences"] = sentence_vectors(t["memories"], embedder)
         self.save(t, embedder.fingerprint)
         return True
 
 
 def sentence_vectors(memories: DataFrame, embedder: Embedder, have: DataFrame | None = None) -> DataFrame:
-    """(memory_id, sent_idx, embedding) of the sentences of memories that have no pack yet."""
+    """(memory_id, sent_idx, embedding) of the sentences of memories that have no pack yet; those in quarantine
+    get none."""
+    memories = memories.where(F.coalesce("namespace", F.lit("")) != QUARANTINE) if "namespace" in memories.columns else memories
     rows = memories if have is None else memories.join(have.select("memory_id").distinct(), "memory_id", "left_anti")
     rows = rows.select("memory_id", F.posexplode(sentences(F.col("content"))).alias("sent_idx", "sentence"))
     return embed(rows, "sentence", embedder).select("memory_id", "sent_idx", "embedding")

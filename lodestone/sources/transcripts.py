@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import check_session, is_uuid
 
+UUID = r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 _BLOCKS = "array<struct<type:string,text:string>>"
 
 
@@ -85,12 +89,65 @@ def sessions(turns: DataFrame, by: str = "session_id", limit: int | None = None,
     return out
 
 
-def active_session(listed: DataFrame, now: float, max_age: float = 300.0) -> DataFrame:
-    """The latest session, if it is at most `max_age` seconds old."""
+def host_session(env: dict[str, str], variables: dict[str, str]) -> tuple[str, str] | None:
+    """(agent, session) that the host names: the first agent whose variable (variables: agent to name) holds a
+    UUID; None if none does."""
+    return next(((a, env[v]) for a, v in variables.items() if re.fullmatch(UUID, env.get(v, ""))), None)
+
+
+def transcripts_open(env: dict[str, str], variables: dict[str, str], flag: str = "LODESTONE_TRANSCRIPT_ACCESS") -> bool:
+    """Whether a caller may read transcripts: as the flag says, else if a host's session is set."""
+    return env[flag] == "true" if env.get(flag) in ("true", "false") else any(env.get(v) for v in variables.values())
+
+
+def active_session(listed: DataFrame, now: float, max_age: float = 300.0, host: tuple[str, str] | None = None) -> DataFrame:
+    """The session that the host names, whatever its age; else the latest, if it is at most `max_age` seconds old."""
+    if host is not None:
+        own = listed.where(F.col("session_id") == host[1])
+        return own.where(F.col("agent") == host[0]) if "agent" in listed.columns else own
     best = listed.orderBy(F.desc("mtime")).limit(1)
     return best.where(F.lit(float(now)) - F.col("mtime").cast("double") <= max_age)
 
 
+def host_link(turns: DataFrame, agent: str, session_id: str) -> DataFrame:
+    """One row (agent, session_id, turn): the latest turn of a session, 0 if it has none."""
+    mine = turns.where((F.col("session_id") == session_id) & (F.col("agent") == agent)) if "agent" in turns.columns else turns.where(F.col("session_id") == session_id)
+    return mine.agg(F.greatest(F.lit(0), F.count("*") - 1).alias("turn")).select(F.lit(agent).alias("agent"), F.lit(session_id).alias("session_id"), "turn")
+
+
+PARSERS = {"a": read_agent_a, "b": read_agent_b}
+
+
+def read_agent(spark: SparkSession, path: str, agent: str) -> DataFrame:
+    """The turns of an agent's logs, by the agent's own parser."""
+    if agent not in PARSERS:
+        raise ValueError(f"no parser for agent {agent!r}: one of {', '.join(PARSERS)}")
+    return PARSERS[agent](spark, path)
+
+
+def session_file(spark: SparkSession, root: str, agent: str, session_id: str) -> str | None:
+    """The log of a session below an agent's root: <session>.jsonl for agent a, *-<session>.jsonl for agent b, the
+    first by path. Ids that aren't UUIDs have none, nor do files that links lead out of the root to."""
+    if not re.fullmatch(UUID, session_id):
+        return None
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return None
+    inside = fs.resolvePath(top).toString().rstrip("/")
+    names = "" if agent == "a" else "*-"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{names}{session_id}.jsonl").load(root)
+    for r in files.select("path").sort("path").toLocalIterator():  # the files of one session
+        real = fs.resolvePath(jvm.org.apache.hadoop.fs.Path(r["path"])).toString()
+        local = jvm.org.apache.hadoop.fs.Path(r["path"]).toUri()
+        if local.getScheme() in (None, "file"):  # the local file system resolves no links by itself
+            real, inside = os.path.realpath(local.getPath()), os.path.realpath(top.toUri().getPath())
+        if real == inside or real.startswith(inside + "/"):
+            return r["path"]
+    return None
+
+
 def load_session(turns: DataFrame, session_id: str) -> DataFrame:
     """Turns of a session whatever the agent, the first agent that has it; ids that aren't UUIDs have none."""
     rows = turns.where(F.col("session_id") == session_id).where(is_uuid(F.col("session_id")))
