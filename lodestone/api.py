@@ -8,23 +8,24 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Config
 from .functions.scoring import recall_status
-from .functions.text import new_id, retag_note, skip_prompt
+from .functions.text import new_id, retag_note, skip_prompt, usable_keys
 from .functions.vector import BigramEmbedder, Embedder, embed
 from .operators import bm25, graph, keys, maintain, recall, write
 from .operators.durable import cut
-from .schema import KEYS, LINKS, MEMORIES, conform
+from .schema import KEYS, LINKS, MEMORIES, SENTENCES, conform
 from .sources import transcripts
-from .sources.store import Store
+from .sources.store import Store, sentence_vectors
 
 
 @dataclasses.dataclass(frozen=True)
 class Memory:
-    """A graph snapshot with its embedder, configuration and clock."""
+    """A graph snapshot with its embedder, configuration and clock; `indexed` adds a full-text index that writes
+    keep up to date."""
 
     keys: DataFrame
     links: DataFrame
@@ -32,32 +33,50 @@ class Memory:
     now: float
     embedder: Embedder = dataclasses.field(default_factory=BigramEmbedder)
     config: Config = dataclasses.field(default_factory=Config)
+    sentences: DataFrame | None = None
+    index: bm25.Index | None = None
 
     @staticmethod
     def empty(spark: SparkSession, now: float, **more) -> Memory:
-        return Memory(spark.createDataFrame([], KEYS), spark.createDataFrame([], LINKS), spark.createDataFrame([], MEMORIES), now, **more)
+        return Memory(spark.createDataFrame([], KEYS), spark.createDataFrame([], LINKS), spark.createDataFrame([], MEMORIES), now, sentences=spark.createDataFrame([], SENTENCES), **more)
 
     @staticmethod
     def load(store: Store, now: float, **more) -> Memory:
         t = store.load()
-        return Memory(t["keys"], t["links"], t["memories"], now, **more)
+        return Memory(t["keys"], t["links"], t["memories"], now, sentences=t["sentences"], **more)
 
     def save(self, store: Store) -> str:
-        return store.save({"keys": self.keys, "links": self.links, "memories": self.memories}, self.embedder.fingerprint)
+        tables = {"keys": self.keys, "links": self.links, "memories": self.memories}
+        return store.save(tables if self.sentences is None else {**tables, "sentences": self.sentences}, self.embedder.fingerprint)
 
     @property
     def spark(self) -> SparkSession:
         return self.memories.sparkSession
 
+    def indexed(self) -> Memory:
+        """With a full-text index of all memories that nothing supersedes."""
+        return dataclasses.replace(self, index=bm25.Index.build(self._unsuperseded()))
+
+    def _unsuperseded(self) -> DataFrame:
+        gone = self.memories.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("memory_id"))
+        return self.memories.join(gone, "memory_id", "left_anti")
+
     def _queries(self, texts: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
         return embed(rows, "query", self.embedder)
 
+    def _content_sims(self, texts: list[str], contexts: list[str | None] | None, namespace: str | None, least: float) -> DataFrame:
+        """Similarities to contents of the texts, or of longer contexts where given."""
+        cues = [c.strip() if c and c.strip() else t for t, c in zip(texts, contexts or texts, strict=True)]
+        return recall.content_similarities(self._queries(cues).drop("query"), graph.active(self.memories, self.now, namespace), self.sentences, least)
+
     # reads ----------------------------------------------------------------
 
-    def recall(self, texts: list[str], top_k: int = 8, namespace: str | None = None) -> DataFrame:
-        """Keys that answer each text."""
-        return keys.search_keys(self._queries(texts), self.keys, self.links, self.memories, self.now, top_k, namespace, config=self.config)
+    def recall(self, texts: list[str], top_k: int = 8, namespace: str | None = None, contexts: list[str | None] | None = None) -> DataFrame:
+        """Keys that answer each text; contexts: what the content path compares instead of the short text."""
+        p = self.config.profile
+        sims = self._content_sims(texts, contexts, namespace, min(p.content_gate(True), p.content_gate(False)))
+        return keys.search_keys(self._queries(texts), self.keys, self.links, self.memories, self.now, top_k, namespace, sims, self.config)
 
     def recall_hint(self, texts: list[str], namespace: str | None = None) -> DataFrame:
         """The nearest keys of texts that no key answers."""
@@ -72,20 +91,44 @@ class Memory:
         rows = self._queries(texts).select("query_id").join(n, "query_id", "left").fillna(0, ["n_hits"])
         return rows.withColumn("status", recall_status(F.col("n_hits"), F.lit(active)))
 
-    def recall_memories(self, texts: list[str], top_k: int = 10, hops: int = 1, namespace: str | None = None, min_rel: float = 0.0, min_depth: float = 0.0) -> DataFrame:
+    def recall_memories(self, texts: list[str], top_k: int = 10, hops: int = 1, namespace: str | None = None, min_rel: float = 0.0, min_depth: float = 0.0, contexts: list[str | None] | None = None) -> DataFrame:
         """Memories that answer each text."""
+        q, p = self._queries(texts), self.config.profile
+        index = self.index or bm25.Index.build(self._unsuperseded())
+        if self.config.bm25_scope == "active":
+            index = index.keep(graph.active(self.memories, self.now, namespace))
+        sparse = index.search(q, self.config.bm25_depth, seq=self.memories)
+        sims = self._content_sims(texts, contexts, namespace, -1.0 if p.gate_z > 0 else min(p.content_gate(True), p.content_gate(False)))
+        return recall.hybrid_recall(q, self.keys, self.links, self.memories, self.now, sparse, top_k, hops, namespace, min_rel, min_depth, sims, self.config)
+
+    def recalled(self, texts: list[str], found: DataFrame) -> Memory:
+        """The graph after an answer `found` of recall_memories was given: its memories are deeper, the links
+        of the matched keys to the best one stronger, those to memories that weren't returned weaker."""
         q = self._queries(texts)
-        docs = graph.active(self.memories, self.now, namespace) if self.config.bm25_scope == "active" else self.memories
-        index = bm25.postings(docs)
-        df = bm25.term_stats(index)
-        sparse = bm25.search(bm25.expand_terms(bm25.query_terms(q), df), index, bm25.corpus_stats(docs), df, k=self.config.bm25_depth, seq=docs)
-        return recall.hybrid_recall(q, self.keys, self.links, self.memories, self.now, sparse, top_k, hops, namespace, min_rel, min_depth, config=self.config)
-
-    def inject(self, texts: list[str], top_k: int = 2, namespace: str | None = None, min_rel: float = 0.0) -> DataFrame:
-        """Passages to put before a model's answer to each text; none for short texts and commands."""
-        found = self.recall_memories(texts, max(3 * top_k, 15), 2, namespace)
-        q = self._queries(texts).where(~skip_prompt(F.col("query")))
-        return recall.recall_inject(found.join(q.select("query_id"), "query_id", "left_semi"), q, self.keys, self.links, self.memories, top_k, min_rel, self.config)
+        sims = recall.similar(q, self.keys.where("key_type = 'concept'"), least=self.config.profile.key_recall, item_id="key_id", top=self.config.top_keys)
+        named = keys.literal_hits(q, self.keys.where("key_type <> 'concept'").withColumn("aliases", F.array().cast("array<string>"))).select("query_id", "key_id", F.lit(1.0).alias("sim"))
+        hits = recall._ranked(sims.unionByName(named).withColumnRenamed("sim", "score").join(self.keys.select("key_id", "seq"), "key_id"), self.config.top_keys).select("query_id", "key_id")
+        found = cut(found)
+        delta = maintain.recall_reinforcement(found, hits, self.links, graph.active(self.memories, self.now), self.config)
+        links = maintain.set_weights(self.links, self.links.join(delta, ["key_id", "memory_id"]).select("key_id", "memory_id", (F.col("weight") + F.col("delta")).alias("weight")), self.config)
+        return dataclasses.replace(self, links=cut(links), memories=cut(maintain.touch(self.memories, found, self.now, self.config)))
+
+    def inject(self, texts: list[str], top_k: int = 2, namespace: str | None = None, min_rel: float = 0.0, contexts: list[str | None] | None = None, by_depth: bool = False, shallow_slot: bool = False) -> DataFrame:
+        """Passages to put before a model's answer to each text."""
+        found = self.recall_memories(texts, max(3 * top_k, 15), 2, namespace, contexts=contexts)
+        return recall.recall_inject(found, self._queries(texts), self.keys, self.links, self.memories, top_k, min_rel, self.config, by_depth, shallow_slot)
+
+    def push(self, prompts: list[str], folders: list[str | None] | None = None, allowed: DataFrame | None = None, top_k: int = 2) -> DataFrame:
+        """(query_id, slot, memory_id, line): hints for prompts, none for short ones and commands. allowed: (prefix,
+        namespaces) by folder; the longest prefix of a prompt's folder counts."""
+        picked = self.inject(prompts, top_k, contexts=list(prompts))
+        use = self._queries(prompts).where(~skip_prompt(F.col("query"))).select("query_id")
+        by_query = None
+        if allowed is not None and folders is not None:
+            asked = self.spark.createDataFrame([(i, f.lower()) for i, f in enumerate(folders) if f], "query_id long, path string")
+            known = allowed.select(F.lower("prefix").alias("prefix"), F.col("namespaces").alias("namespace"))
+            by_query = asked.join(recall.namespace_of(asked.select("path").distinct(), known), "path").select("query_id", F.col("namespace").alias("namespaces"))
+        return recall.push_inject(picked.join(use, "query_id", "left_semi"), self.memories, by_query, self.config)
 
     def read_key(self, key_id: str, limit: int = 10, offset: int = 0, namespace: str | None = None) -> DataFrame:
         one = self.keys.where(F.col("key_id") == key_id).select("key_id")
@@ -98,20 +141,40 @@ class Memory:
 
     def read_memory(self, memory_id: str, via_key: str | None = None, namespace: str | None = None) -> tuple[DataFrame, Memory]:
         """The memory with its keys, and the graph after the read: deeper memory, stronger link."""
-        row = graph.active(self.memories, self.now, namespace).where(F.col("memory_id") == memory_id)
+        me = F.col("memory_id") == memory_id
+        row = self.memories.where(me & ~graph.expired(F.col("ttl"), self.now))
+        if namespace:
+            row = row.where(F.col("namespace") == namespace)
         if not row.limit(1).count():
             raise KeyError(f"no memory {memory_id}")
-        if via_key is not None and not self.links.where((F.col("key_id") == via_key) & (F.col("memory_id") == memory_id)).limit(1).count():
+        newer = self.memories.where(F.col("supersedes") == memory_id).select("memory_id").first()
+        if newer is not None:
+            raise KeyError(f"memory {memory_id} was superseded by {newer[0]}")
+        if via_key is not None and not self.links.where((F.col("key_id") == via_key) & me).limit(1).count():
             raise KeyError(f"memory {memory_id} has no key {via_key}")
-        me = F.col("memory_id") == memory_id
-        step = F.least(F.lit(1.0), F.col("depth") + self.config.depth_step)
-        memories = self.memories.withColumns({"depth": F.when(me, step).otherwise(F.col("depth")), "access_count": F.when(me, F.col("access_count") + 1).otherwise(F.col("access_count")), "last_accessed": F.when(me, F.lit(self.now)).otherwise(F.col("last_accessed"))})
         links = self.links
         if via_key is not None:
-            used = me & (F.col("key_id") == via_key)
-            links = links.withColumn("weight", F.when(used, F.least(F.lit(self.config.weight_max), F.col("weight") + self.config.reinforce)).otherwise(F.col("weight")))
+            links = maintain.set_weights(links, links.where(me & (F.col("key_id") == via_key)).withColumn("weight", F.col("weight") + self.config.reinforce), self.config)
+        memories = maintain.touch(self.memories, row, self.now, self.config)
         return row.join(keys.memory_keys(row, self.keys, self.links), "memory_id", "left"), dataclasses.replace(self, memories=memories, links=links)
 
+    def learn(self, confirmed: DataFrame) -> Memory:
+        """The graph after reads confirmed weakly matched keys (key_id, memory_id, query, cosine, ts, read_id): texts
+        that were confirmed often enough become aliases, or keys of their own linked to the memory read."""
+        learned = cut(maintain.learn_aliases(confirmed, self.keys, self.config))
+        taught = cut(maintain.apply_aliases(self.keys, learned))
+        new = learned.where("decision = 'newKey'").select("query", "memory_id", "ts", "name")
+        if not new.limit(1).count():
+            return dataclasses.replace(self, keys=taught)
+        base = (taught.agg(F.max("seq")).first()[0] or 0) + 1
+        asked = new.withColumn("seq", F.row_number().over(Window.orderBy("ts", "name")) + F.lit(base)).select("seq", F.col("query").alias("concept"), F.lit("concept").alias("key_type"), "memory_id")
+        asked = cut(embed(asked, "concept", self.embedder))
+        found = cut(write.resolve_keys(asked, taught, self.config))
+        made = found.where("how = 'new'").join(asked.select("seq", "key_type", "embedding"), "seq")
+        grown = cut(write.record_keys(taught.unionByName(conform(made.withColumn("aliases", F.array().cast("array<string>")), KEYS)), asked, found))
+        wanted = found.join(asked.select("seq", "memory_id"), "seq").select("key_id", "memory_id")
+        return dataclasses.replace(self, keys=grown, links=cut(maintain.upsert_links(self.links, wanted, self.config)))
+
     def related(self, memory_id: str) -> DataFrame:
         seed = self.memories.where(F.col("memory_id") == memory_id).select(F.col("memory_id").alias("seed_id"))
         return graph.related(seed, self.keys, self.links, self.memories, self.now, self.config)
@@ -123,8 +186,11 @@ class Memory:
         return {"keys": self.keys.count(), "memories": graph.active(self.memories, self.now).count(), "links": self.links.count()}
 
     def diagnose(self, text: str, k: int = 6) -> DataFrame:
-        """The nearest keys of a text whatever the gates."""
-        return keys.nearest_keys(self._queries([text]), self.keys, self.links, self.memories, self.now, k, config=self.config)
+        """(what, id, text, score): the nearest keys and the nearest memories of a text whatever the gates."""
+        near = keys.nearest_keys(self._queries([text]), self.keys, self.links, self.memories, self.now, k, config=self.config)
+        alive = graph.active(self.memories, self.now)
+        sims = recall._ranked(self._content_sims([text], None, None, -1.0).withColumnRenamed("sim", "score").join(alive.select("memory_id", "seq", "content"), "memory_id"), k)
+        return near.select(F.lit("key").alias("what"), F.col("key_id").alias("id"), F.col("concept").alias("text"), "score").unionByName(sims.select(F.lit("memory").alias("what"), F.col("memory_id").alias("id"), F.col("content").alias("text"), F.round("score", 3).alias("score")))
 
     def get_conversation(self, turns: DataFrame, session_id: str, turn: int | None = None) -> DataFrame:
         if not self.config.allow_transcripts:
@@ -146,50 +212,79 @@ class Memory:
 
     # writes ---------------------------------------------------------------
 
-    def remember(self, items: list[dict]) -> tuple[Memory, dict[str, DataFrame]]:
-        """Add memories {content, keys, key_types?, namespace?, ttl?} in order; the new graph, and `errors`,
-        `contradictions` and `hints`."""
-        base = (self.memories.agg(F.max("seq")).first()[0] or 0) + 1
-        rows = [(base + i, x["content"], list(x.get("keys") or []), dict(x.get("key_types") or {}), x.get("namespace", "default"), x.get("ttl")) for i, x in enumerate(items)]
-        new = self.spark.createDataFrame(rows, "seq long, content string, concepts array<string>, key_types map<string,string>, namespace string, ttl double")
-        new = embed(new.withColumn("memory_id", new_id(F.col("seq").cast("string"), F.col("content"))), "content", self.embedder)
-        asked = new.select(F.col("seq").alias("m"), F.posexplode("concepts").alias("pos", "concept"), "key_types").withColumn("concept", F.trim("concept")).where(F.length("concept") >= 2)
-        asked = asked.select((F.col("m") * 1000 + F.col("pos")).alias("seq"), "m", "concept", F.coalesce(F.col("key_types")[F.col("concept")], F.lit("concept")).alias("key_type"))
-        asked = embed(asked, "concept", self.embedder)
-        asked = cut(asked)
+    def _resolved(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(memory_id, keys: key ids) of rows (memory_id, seq, concepts, key_types), and the keys afterwards."""
+        asked = rows.select("memory_id", F.col("seq").alias("m"), F.posexplode(usable_keys(F.col("concepts"))).alias("pos", "concept"), "key_types")
+        most = (rows.agg(F.max(F.size("concepts"))).first()[0] or 0) + 1
+        asked = asked.select((F.col("m") * most + F.col("pos")).alias("seq"), "memory_id", "concept", F.coalesce(F.col("key_types")[F.col("concept")], F.lit("concept")).alias("key_type"))
+        asked = cut(embed(asked, "concept", self.embedder))
         found = cut(write.resolve_keys(asked, self.keys, self.config))
         made = found.where("how = 'new'").join(asked.select("seq", "key_type", "embedding"), "seq")
-        grown = cut(self.keys.unionByName(conform(made.withColumn("aliases", F.array().cast("array<string>")), KEYS)))
-        own = asked.select("seq", "m").join(found.select("seq", "key_id"), "seq").groupBy(F.col("m").alias("seq")).agg(F.collect_set("key_id").alias("keys"))
-        ready = cut(new.join(own, "seq", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))))
+        grown = self.keys.unionByName(conform(made.withColumn("aliases", F.array().cast("array<string>")), KEYS))
+        grown = cut(write.record_keys(grown, asked, found))
+        own = asked.select("seq", "memory_id").join(found.select("seq", "key_id"), "seq").groupBy("memory_id").agg(F.collect_set("key_id").alias("keys"))
+        return own, grown
+
+    def _with(self, before: Memory, fresh: DataFrame) -> Memory:
+        """This graph with the sentence vectors and the index of the memories `fresh`, as far as it has any."""
+        out = self
+        if self.sentences is not None and self.config.sentence_vectors:
+            out = dataclasses.replace(out, sentences=cut(self.sentences.unionByName(sentence_vectors(fresh, self.embedder))))
+        if before.index is not None:
+            gone = self.memories.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("memory_id"))
+            out = dataclasses.replace(out, index=before.index.add(fresh).discard(gone))
+        return out
+
+    def remember(self, items: list[dict]) -> tuple[Memory, dict[str, DataFrame]]:
+        """Add memories {content, keys, key_types?, namespace?, ttl?, related_to?, source?} in order; the new graph,
+        and `errors`, `duplicates`, `contradictions` and `hints`."""
+        base = (self.memories.agg(F.max("seq")).first()[0] or 0) + 1
+        rows = [(base + i, x["content"], list(x.get("keys") or []), dict(x.get("key_types") or {}), x.get("namespace", "default"), x.get("ttl"), list(x.get("related_to") or []), x.get("source")) for i, x in enumerate(items)]
+        new = self.spark.createDataFrame(rows, "seq long, content string, concepts array<string>, key_types map<string,string>, namespace string, ttl double, related_to array<string>, source string")
+        new = cut(embed(new.withColumn("memory_id", new_id(F.col("seq").cast("string"), F.col("content"))), "content", self.embedder))
+        own, grown = self._resolved(new)
+        ready = cut(new.join(own, "memory_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))))
         out = write.add_batch(ready, self.memories, self.links, grown, self.now, self.config)
         hints = write.write_hints(new.select("memory_id", F.col("concepts").alias("keys")))
-        return dataclasses.replace(self, keys=grown, links=cut(out["links"]), memories=cut(out["memories"])), {"errors": out["errors"], "contradictions": out["contradictions"], "hints": hints}
-
-    def correct(self, memory_id: str, content: str, concepts: list[str] | None = None) -> tuple[Memory, DataFrame]:
-        """Supersede the newest version of a memory; keys are inherited where none are given. The new graph
-        and a note (note) about inherited keys."""
+        done = dataclasses.replace(self, keys=grown, links=cut(out["links"]), memories=cut(out["memories"]))
+        fresh = done.memories.join(new.select("memory_id"), "memory_id", "left_semi")
+        return done._with(self, fresh), {"errors": out["errors"], "duplicates": out["duplicates"], "contradictions": out["contradictions"], "hints": hints}
+
+    def correct(self, memory_id: str, content: str, concepts: list[str] | None = None, related_to: list[str] | None = None) -> tuple[Memory, DataFrame]:
+        """Supersede the newest version of a memory. Namespace and expiry are the old one's, and so are explicit links
+        where none are given (an empty list: none) and the keys that still fit where none are given. The
+        new graph and a note (note) about inherited keys."""
         head = graph.supersession_heads(self.memories).where(F.col("memory_id") == memory_id).first()
         if head is None:
             raise KeyError(f"no memory {memory_id}")
         old = self.memories.where(F.col("memory_id") == head["head_id"]).first()
-        named = keys.memory_keys(self.memories.where(F.col("memory_id") == head["head_id"]), self.keys, self.links)
-        have = [r["concept"] for r in named.select("concept").collect()]  # the keys of one memory
-        graph_, _ = self.remember([{"content": content, "keys": concepts or have, "namespace": old["namespace"]}])
-        fresh = F.col("seq") == graph_.memories.agg(F.max("seq")).first()[0]
-        memories = graph_.memories.withColumn("supersedes", F.when(fresh, F.lit(head["head_id"])).otherwise(F.col("supersedes")))
-        memories = write.apply_supersession(memories, self.spark.createDataFrame([("", head["head_id"])], "memory_id string, supersedes string"), self.config)
-        note = self.spark.range(1).select(retag_note(F.array(*(F.lit(x) for x in have)).cast("array<string>"), F.array(*(F.lit(x) for x in concepts or [])).cast("array<string>")).alias("note"))
-        done = dataclasses.replace(graph_, memories=cut(memories))
+        seq = (self.memories.agg(F.max("seq")).first()[0] or 0) + 1
+        row = (seq, content, [c for c in concepts or []], {}, old["namespace"], old["ttl"], list(old["links"] if related_to is None else related_to), old["memory_id"])
+        new = self.spark.createDataFrame([row], "seq long, content string, concepts array<string>, key_types map<string,string>, namespace string, ttl double, related_to array<string>, supersedes string")
+        new = cut(embed(new.withColumn("memory_id", new_id(F.col("seq").cast("string"), F.col("content"))), "content", self.embedder))
+        own, grown = self._resolved(new)
+        given = own.select(F.explode("keys").alias("key_id"), "memory_id", F.lit(self.config.weight_default).alias("weight"))
+        kept = write.inherited_links(new.join(own, "memory_id", "left_anti"), self.links, grown, self.config)
+        near = keys.memory_keys(kept.select("memory_id").distinct(), grown, kept).agg(F.array_sort(F.collect_set("concept")).alias("old"))
+        note = near.crossJoin(own.agg(F.flatten(F.collect_list("keys")).alias("new"))).select(retag_note(F.col("old"), F.col("new")).alias("note"))  # a row each
+        fresh = conform(new.join(write.valid_links(new, self.memories), "memory_id", "left").withColumn("created_at", F.lit(float(self.now))), MEMORIES)
+        memories = write.apply_supersession(conform(self.memories, MEMORIES).unionByName(fresh), fresh.select("memory_id", "supersedes"), self.config)
+        memories = cut(memories.withColumn("contradicts", F.array_remove("contradicts", old["memory_id"])))
+        links = cut(self.links.select("key_id", "memory_id", "weight").unionByName(given.unionByName(kept)))
+        links = cut(links.unionByName(write.auto_links(fresh, grown, links, self.config)))
+        done = dataclasses.replace(self, keys=grown, links=links, memories=memories)._with(self, fresh)
         if old["supersedes"]:  # history keeps one predecessor
             done = done.forget([old["supersedes"]])
         return done, note
 
+    def _without(self, t: dict[str, DataFrame]) -> Memory:
+        out = dataclasses.replace(self, **t)
+        if self.sentences is not None:
+            out = dataclasses.replace(out, sentences=self.sentences.join(t["memories"].select("memory_id"), "memory_id", "left_semi").select(self.sentences.columns))
+        return out if self.index is None else dataclasses.replace(out, index=self.index.keep(t["memories"]))
+
     def forget(self, ids: list[str]) -> Memory:
-        t = maintain.forget(self.spark.createDataFrame([(i,) for i in ids], "memory_id string"), self.keys, self.links, self.memories)
-        return dataclasses.replace(self, **t)
+        return self._without(maintain.forget(self.spark.createDataFrame([(i,) for i in ids], "memory_id string"), self.keys, self.links, self.memories))
 
     def cleanup_expired(self) -> Memory:
-        return dataclasses.replace(self, **maintain.cleanup_expired(self.keys, self.links, self.memories, self.now, self.config))
-
-
+        return self._without(maintain.cleanup_expired(self.keys, self.links, self.memories, self.now, self.config))

@@ -71,26 +71,42 @@ def expand(scores: DataFrame, keys: DataFrame, links: DataFrame, memories: DataF
     part: linear in the links, where joining neighbours pairwise would be quadratic in a hub. Only
     newly reached memories form the next frontier; visited ones gain as well. Reach goes by counts,
     not by sums, which subtraction leaves dusty.
+
+    If scores have a column `via` (array of strings: what a memory matched by), so has the result: memories
+    reached from an anchored one, which is one with other evidence than "(bm25)", add "concept(via)" or
+    "(linked)" to theirs, and are anchored then. Scores spread from others as well.
     """
+    tracked = "via" in scores.columns
     rarity = key_idf(keys, links).select("key_id", "idf")
     alive = active(memories, now).select("memory_id")
     out = links.join(alive, "memory_id", "left_semi").join(rarity, "key_id").select("key_id", "memory_id", (F.lit(config.hop_decay) * F.col("idf") * F.col("weight")).alias("share"))
-    state = scores.select("query_id", "memory_id", "score", F.lit(1).alias("hop"))
+    if tracked:
+        out = out.join(keys.select("key_id", F.concat("concept", F.lit("(via)")).alias("tag")), "key_id")
+        scores = scores.select("query_id", "memory_id", "score", "via", F.exists("via", lambda v: v != "(bm25)").cast("int").alias("anchored"))
+    extra = ["via", "anchored"] if tracked else []
+    state = scores.select("query_id", "memory_id", "score", *extra, F.lit(1).alias("hop"))
+    none = F.array().cast("array<string>")
     for hop in range(2, max(1, min(5, hops)) + 1):
-        front = state.where(F.col("hop") == hop - 1).select("query_id", "memory_id", "score")
+        front = state.where(F.col("hop") == hop - 1).select("query_id", "memory_id", "score", *extra[1:])
         own = front.join(links.select("key_id", "memory_id"), "memory_id")
-        total = own.groupBy("query_id", "key_id").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
-        gain = total.join(out, "key_id").join(own.select("query_id", "key_id", "memory_id", F.col("score").alias("own")), ["query_id", "key_id", "memory_id"], "left")
+        sums = [F.sum("score").alias("total"), F.count("*").alias("n"), *([F.sum("anchored").alias("firm")] if tracked else [])]
+        total = own.groupBy("query_id", "key_id").agg(*sums)
+        mine = own.select("query_id", "key_id", "memory_id", F.col("score").alias("own"), *([F.col("anchored").alias("own_firm")] if tracked else []))
+        gain = total.join(out, "key_id").join(mine, ["query_id", "key_id", "memory_id"], "left")
         gain = gain.where(F.col("n") - F.when(F.col("own").isNotNull(), 1).otherwise(0) > 0)
-        gain = gain.select("query_id", "memory_id", (F.col("share") * (F.col("total") - F.coalesce("own", F.lit(0.0)))).alias("gain"))
+        tag = [F.when(F.col("firm") - F.coalesce("own_firm", F.lit(0)) > 0, F.col("tag")).alias("tag")] if tracked else []
+        gain = gain.select("query_id", "memory_id", (F.col("share") * (F.col("total") - F.coalesce("own", F.lit(0.0)))).alias("gain"), *tag)
         if pairs is not None:
-            linked = front.join(pairs, front["memory_id"] == pairs["src"]).select("query_id", F.col("dst").alias("memory_id"), (F.lit(config.hop_decay) * F.col("score")).alias("gain"))
+            linked = front.join(pairs, front["memory_id"] == pairs["src"])
+            tag = [F.when(F.col("anchored") > 0, "(linked)").alias("tag")] if tracked else []
+            linked = linked.select("query_id", F.col("dst").alias("memory_id"), (F.lit(config.hop_decay) * F.col("score")).alias("gain"), *tag)
             gain = gain.unionByName(linked.join(alive, "memory_id", "left_semi"))
-        gain = gain.groupBy("query_id", "memory_id").agg(F.sum("gain").alias("gain"))
-        state = state.join(gain, ["query_id", "memory_id"], "full").select("query_id", "memory_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"), F.coalesce("hop", F.lit(hop)).alias("hop"))
+        gain = gain.groupBy("query_id", "memory_id").agg(F.sum("gain").alias("gain"), *([F.collect_set("tag").alias("tags")] if tracked else []))
+        more = [F.array_union(F.coalesce("via", none), F.coalesce("tags", none)).alias("via"), F.greatest(F.coalesce("anchored", F.lit(0)), (F.size(F.coalesce("tags", none)) > 0).cast("int")).alias("anchored")] if tracked else []
+        state = state.join(gain, ["query_id", "memory_id"], "full").select("query_id", "memory_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"), *more, F.coalesce("hop", F.lit(hop)).alias("hop"))
         if hop > 2:
             state = cut(state)
-    return state
+    return state.drop("anchored")
 
 
 def far_penalty(state: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -98,15 +114,20 @@ def far_penalty(state: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return state.withColumn("score", F.when(F.col("hop") >= 2, F.col("score") * config.far_hop_factor).otherwise(F.col("score")))
 
 
-def supersession_heads(memories: DataFrame, rounds: int = 32) -> DataFrame:
-    """(memory_id, head_id, steps): the newest version of each memory, by pointer doubling."""
+def supersession_heads(memories: DataFrame) -> DataFrame:
+    """(memory_id, head_id, steps): the newest version of each memory, by pointer doubling, round by round until
+    none moves. Members of a cycle, which no write makes, are an error."""
     step = memories.where(F.col("supersedes").isNotNull()).groupBy(F.col("supersedes").alias("memory_id")).agg(F.min("memory_id").alias("head_id"))
-    now = memories.select("memory_id").join(step, "memory_id", "left").select("memory_id", F.coalesce("head_id", "memory_id").alias("head_id"), F.when(F.col("head_id").isNotNull(), 1).otherwise(0).alias("steps"))
-    for _ in range(rounds):
+    now = memories.select("memory_id").join(step, "memory_id", "left").select("memory_id", F.coalesce("head_id", "memory_id").alias("head_id"), F.when(F.col("head_id").isNotNull(), 1).otherwise(0).cast("long").alias("steps"))
+    n = None
+    while True:
         up = now.select(F.col("memory_id").alias("h"), F.col("head_id").alias("top"), F.col("steps").alias("more"))
         nxt = now.join(up, now["head_id"] == up["h"], "left").select("memory_id", F.coalesce("top", "head_id").alias("head_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))
         nxt = cut(nxt)
-        if not nxt.where("moved").limit(1).count():
-            break
+        longest = nxt.where("moved").agg(F.max("steps")).first()[0]
+        if longest is None:
+            return now.withColumn("steps", F.col("steps").cast("int"))
+        n = nxt.count() if n is None else n
+        if longest > n:
+            raise ValueError("memories supersede one another in a cycle")
         now = nxt.drop("moved")
-    return now

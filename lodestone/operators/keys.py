@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scoring import at_least, depth_factor, round3, time_factor
-from ..functions.text import literal_match
+from ..functions.text import literal_match, short_concept
 from ..functions.vector import similar
 from .graph import active, key_counts
 
@@ -66,8 +66,13 @@ def search_keys(queries: DataFrame, keys: DataFrame, links: DataFrame, memories:
     """
     top_k = max(1, min(20, top_k))
     p = config.profile
-    rows = _candidates(queries, keys, links, memories, now, namespace, content_sims, config, floor=min(p.key_recall, p.content_gate(short)))
-    near = at_least(F.col("key_sim"), p.key_recall) | at_least(F.col("content_sim"), p.content_gate(short))
+    gate = F.lit(p.content_gate(short))
+    if "query" in queries.columns:  # a short text has its own content gate
+        gate = F.when(F.coalesce(short_concept(F.col("query")), F.lit(False)), p.content_gate(True)).otherwise(gate)
+    gates = queries.select("query_id", gate.alias("gate"))
+    rows = _candidates(queries, keys, links, memories, now, namespace, content_sims, config, floor=min(p.key_recall, p.content_gate(short), p.content_gate("query" in queries.columns)))
+    rows = rows.join(gates, "query_id")
+    near = at_least(F.col("key_sim"), p.key_recall) | at_least(F.col("content_sim"), F.col("gate"))
     rows = _score(rows.where(F.col("literal").isNotNull() | (~F.col("key_type").isin("name", "proper_noun") & near)))
     order = [F.desc("score"), F.desc(F.col("literal").isNotNull()), F.desc("specificity"), F.asc("seq")]
     claimed = F.row_number().over(Window.partitionBy("query_id", "content_id", F.col("match_type") == "content").orderBy(*order))
@@ -107,6 +112,17 @@ def browse_keys(keys: DataFrame, links: DataFrame, memories: DataFrame, now: flo
     return rows.orderBy(F.desc("is_hub"), F.desc("n_memories"), "concept", "key_id").offset(max(0, offset)).limit(max(1, min(100, limit)))
 
 
+def browse_status(keys: DataFrame, links: DataFrame, memories: DataFrame, now: float, hubs_only: bool = False, namespace: str | None = None, config: Config = DEFAULT) -> DataFrame:
+    """One row (status, memory_count, key_count) of a namespace: `ok`, or `empty_namespace` if no key leads to an
+    active memory, hubs or not."""
+    alive = active(memories, now, namespace)
+    n = links.join(keys.select("key_id"), "key_id", "left_semi").join(alive.select("memory_id"), "memory_id", "left_semi").agg(F.count_distinct("memory_id").alias("memory_count"))
+    counts = key_counts(links, alive, config)
+    shown = (counts.where("is_hub") if hubs_only else counts).agg(F.count("*").alias("key_count"))
+    both = n.withColumn("_one", F.lit(1)).join(shown.withColumn("_one", F.lit(1)), "_one")
+    return both.select(F.when(F.col("memory_count") > 0, "ok").otherwise("empty_namespace").alias("status"), "memory_count", "key_count")
+
+
 def memory_keys(memory_ids: DataFrame, keys: DataFrame, links: DataFrame) -> DataFrame:
     """(memory_id, rank, key_id, concept, weight): the keys of memories, heaviest links first."""
     rows = links.join(memory_ids.select("memory_id"), "memory_id", "left_semi").join(keys.select("key_id", "concept", "seq"), "key_id")

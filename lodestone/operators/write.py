@@ -7,16 +7,14 @@ similar enough to matter; contradictions follow as a set-based join.
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scoring import at_least, clamp_weight, contradiction_band, superseded_depth
-from ..functions.text import conflicting_qualifier, new_id, phrase_key, short_concept, single_language, usable_keys
-from ..functions.vector import similar
+from ..functions.text import conflicting_qualifier, new_id, phrase_key, record_alias, short_concept, single_language, usable_keys
+from ..functions.vector import cosine, similar
 from ..schema import MEMORIES, conform
 from .durable import cut
 
@@ -56,20 +54,20 @@ def auto_links(memories: DataFrame, keys: DataFrame, links: DataFrame, config: C
     return sims.join(links.select("key_id", "memory_id"), ["key_id", "memory_id"], "left_anti")
 
 
-def _components(nodes: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, root): the smallest id of each node's component, by label spreading with pointer jumps."""
+def _components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, root): the smallest id of each node's component, by label spreading with pointer jumps, round by round
+    until nothing changes."""
     both = cut(pairs.union(pairs.select(pairs.columns[1], pairs.columns[0])).toDF("x", "y").distinct())
     now = cut(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(rounds):
+    while True:
         low = both.join(now, both["y"] == now["id"]).groupBy("x").agg(F.min("root").alias("m"))
         nxt = now.join(low, now["id"] == low["x"], "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"))
         up = nxt.select(F.col("id").alias("r"), F.col("root").alias("rr"))
         nxt = nxt.join(up, nxt["root"] == up["r"], "left").select("id", F.coalesce("rr", "root").alias("root"))
         nxt = cut(nxt)
         if not nxt.exceptAll(now).limit(1).count():
-            break
+            return nxt
         now = nxt
-    return now
 
 
 def resolve_keys(asked: DataFrame, keys: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -105,6 +103,38 @@ def resolve_keys(asked: DataFrame, keys: DataFrame, config: Config = DEFAULT) ->
     return out.select("seq", "concept", F.coalesce("id", "key").alias("key_id"), F.when((how != "equal") & (F.col("seq") > first_seq), "equal").otherwise(how).alias("how"))
 
 
+def record_keys(keys: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """keys after the requests `asked` (seq, concept, key_type) found theirs (seq, key_id): a concept key that an
+    entity request found becomes an entity key in place, of the first such request's type, and other
+    names, whatever the case, are recorded as aliases in order."""
+    hits = asked.select("seq", "concept", "key_type").join(found.select("seq", "key_id"), "seq")
+    entity = F.when(F.col("key_type") != "concept", F.struct("seq", F.col("key_type").alias("kind")))
+    said = hits.groupBy("key_id").agg(F.min(entity)["kind"].alias("_kind"), F.array_sort(F.collect_list(F.struct("seq", "concept"))).alias("_names"))
+    none = F.array().cast("array<string>")
+    names = F.transform(F.coalesce("_names", F.array().cast("array<struct<seq:bigint,concept:string>>")), lambda x: x["concept"])
+    aliases = F.aggregate(names, F.coalesce("aliases", none), lambda have, x: record_alias(have, F.col("concept"), x))
+    kind = F.when((F.col("key_type") == "concept") & F.col("_kind").isNotNull(), F.col("_kind")).otherwise(F.col("key_type"))
+    return keys.join(said, "key_id", "left").withColumns({"aliases": aliases, "key_type": kind}).select(keys.columns)
+
+
+def valid_links(wanted: DataFrame, memories: DataFrame) -> DataFrame:
+    """(memory_id, links): of the ids that a memory wants links to (memory_id, related_to) those that exist and
+    aren't its own, each once, in order."""
+    rows = wanted.select("memory_id", F.posexplode("related_to").alias("pos", "other")).where("other <> memory_id")
+    rows = rows.join(memories.select(F.col("memory_id").alias("other")).distinct(), "other", "left_semi").groupBy("memory_id", "other").agg(F.min("pos").alias("pos"))
+    return rows.groupBy("memory_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "other"))), lambda x: x["other"]).alias("links"))
+
+
+def inherited_links(new: DataFrame, links: DataFrame, keys: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(key_id, memory_id, weight): the links that corrections (memory_id, supersedes, embedding) take over: all but
+    those of concept keys that the new content has drifted away from; all, if none would be left."""
+    old = links.select("key_id", F.col("memory_id").alias("supersedes"), "weight")
+    rows = new.select("memory_id", "supersedes", F.col("embedding").alias("mine")).join(old, "supersedes").join(keys.select("key_id", "key_type", "embedding"), "key_id")
+    near = (F.col("key_type") != "concept") | F.coalesce(at_least(cosine(F.col("mine"), F.col("embedding")), config.profile.content_gate(True)), F.lit(True))
+    some = F.max(near).over(Window.partitionBy("memory_id"))
+    return rows.withColumn("_near", near).withColumn("_some", some).where(F.col("_near") | ~F.col("_some")).select("key_id", "memory_id", "weight")
+
+
 def _fold_merges(pairs: pd.DataFrame) -> pd.DataFrame:
     """In order, each key merges into the most similar candidate that itself stands."""
     merged: dict[str, str] = {}
@@ -133,7 +163,8 @@ def add_batch(new: DataFrame, memories: DataFrame, links: DataFrame, keys: DataF
     already resolved to key ids): `memories`, `links`, `contradictions`, and `errors` (memory_id, error).
 
     A new memory that duplicates a current one supersedes it, loses nothing of its namespace and ttl,
-    and makes the old one shallower; history keeps one predecessor.
+    and makes the old one shallower; history keeps one predecessor. `duplicates` (memory_id, supersedes,
+    conflict) tells them, and whether both have a key in common. related_to (ids), where given, become links.
     """
     memories = conform(memories, MEMORIES)
     usable = new.withColumn("key_ids", usable_keys(F.col("keys")))
@@ -149,17 +180,24 @@ def add_batch(new: DataFrame, memories: DataFrame, links: DataFrame, keys: DataF
     chains = pairs.join(comp, pairs["query_id"] == comp["id"]).drop("id").groupBy("root").applyInPandas(_fold_duplicates, "memory_id string, supersedes string")
     chains = cut(chains)
     fresh = rows.join(chains, "memory_id", "left")
+    linked_to = F.array().cast("array<string>")
+    if "related_to" in rows.columns:
+        everyone = memories.select("memory_id").unionByName(rows.select("memory_id"))
+        fresh, linked_to = fresh.join(valid_links(rows, everyone).withColumnRenamed("links", "_links"), "memory_id", "left"), F.coalesce("_links", linked_to)
+    source = F.col("source").cast("string") if "source" in rows.columns else F.lit(None).cast("string")
     fresh = fresh.select(
-        "memory_id", "content", "embedding", F.lit(float(now)).alias("created_at"), F.lit(None).cast("string").alias("source"), "supersedes", F.lit(0.0).alias("depth"), F.lit(0).alias("access_count"),
-        F.lit(float(now)).alias("last_accessed"), "namespace", (F.lit(float(now)) + F.col("ttl")).alias("ttl"), F.array().cast("array<string>").alias("links"), F.array().cast("array<string>").alias("contradicts"), "seq",
+        "memory_id", "content", "embedding", F.lit(float(now)).alias("created_at"), source.alias("source"), "supersedes", F.lit(0.0).alias("depth"), F.lit(0).alias("access_count"),
+        F.lit(float(now)).alias("last_accessed"), "namespace", (F.lit(float(now)) + F.col("ttl")).alias("ttl"), linked_to.alias("links"), F.array().cast("array<string>").alias("contradicts"), "seq",
     )
     everything = apply_supersession(memories.select(fresh.columns).unionByName(fresh), chains, config)
     own = rows.select(F.explode(F.array_distinct("key_ids")).alias("key_id"), "memory_id", F.lit(config.weight_default).alias("weight"))
     linked = links.select("key_id", "memory_id", "weight").unionByName(own)
     # contradictions look at the keys that were given, not at those that similarity adds
     apart = contradictions(everything.join(rows.select("memory_id"), "memory_id", "left_semi").unionByName(current.select(fresh.columns)), linked, config=config)
+    shared = linked.alias("a").join(chains.alias("c"), "memory_id").join(linked.select(F.col("key_id").alias("other"), F.col("memory_id").alias("supersedes")), "supersedes").where("key_id = other").select("memory_id").distinct().withColumn("conflict", F.lit(True))
+    duplicates = chains.join(shared, "memory_id", "left").select("memory_id", "supersedes", F.coalesce("conflict", F.lit(False)).alias("conflict"))
     linked = linked.unionByName(auto_links(fresh, keys, linked, config))
-    return {"memories": everything, "links": linked, "contradictions": apart, "errors": errors}
+    return {"memories": everything, "links": linked, "contradictions": apart, "errors": errors, "duplicates": duplicates}
 
 
 def apply_supersession(memories: DataFrame, chains: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -172,5 +210,3 @@ def write_hints(new: DataFrame) -> DataFrame:
     """(memory_id, phrases, mixed_languages) for new memories' keys worth a second look."""
     rows = new.select("memory_id", F.filter("keys", phrase_key).alias("phrases"), (~single_language(F.col("keys"))).alias("mixed_languages"))
     return rows.where((F.size("phrases") > 0) | F.col("mixed_languages"))
-
-
