@@ -5,6 +5,7 @@ Doubles leave both engines as round(x + 1e-10, 6), see functions.scoring.r6.
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -12,10 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import PROFILES
 from ..functions import text as T
 from ..functions.scoring import depth_factor, r6, time_factor
 from ..functions.vector import max_sim, similar
 from ..operators import bm25, evaluate, graph, keys, maintain, recall, write
+from ..operators.durable import shared_dir, spread
 from ..schema import prune_keys, prune_links
 from ..sources import transcripts
 from ..streaming import stateful
@@ -43,6 +46,25 @@ def r(x: str, digits: int = 6) -> str:
 TIME = f"(0.5 + 0.5 * exp(-greatest(0, {NOW} - created_at) * (1 - 0.7 * depth) / 2592000.0))"
 DEPTH = "(0.9 + 0.1 * depth)"
 
+# The idle words that coverage leaves out.
+_IDLE = "내 나의 뭐 뭐야 뭔가 무슨 어느 있어 있니 알려 알려줘 해줘 좋아해 좋아하는 선호하는 쓰니 했어 관련 대한 what which who where when why how is are was were do does did my me tell about the a an please"
+
+
+def _covers(query: str, hay: str) -> str:
+    """SQL: over half of a query's words, of two characters or more and not idle, stand in the text."""
+    w = f"list_filter(regexp_extract_all(lower({query}), '[\\p{{L}}\\p{{N}}_.+#-]+'), lambda x: length(x) >= 2 AND NOT list_contains(string_split('{_IDLE}', ' '), x))"
+    return f"(len(list_filter({w}, lambda x: contains(lower({hay}), x))) * 2 > len({w}))"
+
+
+def _structured(text: str) -> str:
+    """SQL: the structured tokens of a text, in order, distinct. Without look-around: every separator is followed
+    by a mark, so that what ends one token leaves the mark before the next."""
+    marked = f"regexp_replace(lower({text}), '([^a-z0-9])', '\\1' || chr(1), 'g')"
+    found = f"regexp_extract_all({marked}, '(?:^|\\x01)(v?[0-9]+(?:\\.\\x01[0-9]+)+|#\\x01[0-9]+|[0-9a-f]{{7,40}})(?:[^a-z0-9\\x01]|$)', 1)"
+    clean = f"list_filter(list_transform({found}, lambda x: replace(x, chr(1), '')), lambda x: regexp_matches(x, '[0-9]'))"
+    return f"list_filter({clean}, lambda x, i: list_position({clean}, x) = i)"
+
+
 # ------------------------------------------------------------------ graph
 
 
@@ -247,16 +269,95 @@ def recall_reinforce_decay(spark, d):
     return maintain.recall_reinforcement(res, hits, g.links, graph.active(g.memories, NOW)).withColumn("delta", r6(F.col("delta")))
 
 
+@query(f"WITH {CATALOG}, x AS (SELECT memory_id AS src, memory_id + 1 AS dst FROM m WHERE memory_id % 13 = 0 UNION ALL SELECT memory_id, memory_id + 26 FROM m WHERE memory_id % 13 = 0) SELECT DISTINCT src, dst FROM (SELECT src, dst FROM x UNION ALL SELECT dst, src FROM x) WHERE dst IN (SELECT memory_id FROM a)")
+def explicit_links(spark, d):
+    m = _linked(spark, d).memories
+    return graph.explicit_pairs(m).join(graph.active(m, NOW).select(F.col("memory_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def _linked(spark, d):
+    g = catalog(spark, d)
+    some = F.when(F.col("memory_id") % 13 == 0, F.array(F.col("memory_id") + 1, F.col("memory_id") + 26, F.col("memory_id"))).otherwise(F.array().cast("array<bigint>"))
+    return dataclasses.replace(g, memories=g.memories.withColumn("links", some))
+
+
+@query(f"""WITH {CATALOG}, sd AS (SELECT memory_id AS seed_id FROM m WHERE memory_id % 13 < 2),
+  pr AS (SELECT memory_id AS src, memory_id + 1 AS dst FROM m WHERE memory_id % 13 = 0 UNION SELECT memory_id, memory_id + 26 FROM m WHERE memory_id % 13 = 0), pp AS (SELECT src, dst FROM pr UNION SELECT dst, src FROM pr),
+  n AS (SELECT seed_id, memory_id, sum(s) AS score, sum(k) AS n_shared, max(e) AS e FROM (SELECT seed_id, o.memory_id AS memory_id, idf AS s, 1 AS k, 0 AS e FROM sd JOIN l i ON i.memory_id = seed_id JOIN l o ON o.key_id = i.key_id AND o.memory_id <> seed_id JOIN idf ON idf.key_id = i.key_id
+      UNION ALL SELECT seed_id, dst, 1.0, 0, 1 FROM sd JOIN pp ON src = seed_id) SEMI JOIN a USING (memory_id) GROUP BY 1, 2),
+  t AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY {r('score')} DESC, memory_id) AS INTEGER) AS rank FROM n)
+  SELECT seed_id, memory_id, {r('score')} AS score, CAST(n_shared AS BIGINT) AS n_shared, CASE WHEN e = 0 THEN 'key' WHEN n_shared = 0 THEN 'explicit' ELSE 'both' END AS link_type, rank FROM t WHERE rank <= 20""")
+def related_with_links(spark, d):
+    g = _linked(spark, d)
+    some = g.memories.where("memory_id % 13 < 2").select(F.col("memory_id").alias("seed_id"))
+    return graph.related(some, g.keys, g.links, g.memories, NOW).withColumn("score", r6(F.col("score")))
+
+
+@query(f"WITH {CATALOG}, rd AS (SELECT l_orderkey AS memory_id, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) SELECT memory_id, {r('least(1.0, depth + 0.05 * coalesce(n, 0))')} AS depth, CAST(coalesce(n, 0) AS INTEGER) AS access_count, CASE WHEN n IS NULL THEN created_at ELSE {NOW} END AS last_accessed FROM m LEFT JOIN rd USING (memory_id)")
+def read_reinforcement(spark, d):
+    m = catalog(spark, d).memories.withColumn("access_count", F.lit(0)).withColumn("last_accessed", F.col("created_at"))
+    read = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("memory_id"))
+    return maintain.touch(m, read, NOW).select("memory_id", r6(F.col("depth")).alias("depth"), "access_count", "last_accessed")
+
+
+@query(f"""WITH {CATALOG}, g AS (SELECT * FROM l WHERE NOT (key_id % 5 = 0 AND memory_id % 2 = 0)), h AS (SELECT key_id, memory_id, CASE WHEN memory_id % 3 = 0 THEN greatest(0.1, least(3.0, weight * 2 - 1)) ELSE weight END AS weight FROM g)
+  SELECT key_id, memory_id, {r('weight')} AS weight FROM h UNION ALL SELECT DISTINCT l.key_id, memory_id + 1, 1.0 FROM l WHERE memory_id % 40 = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.key_id = l.key_id AND h.memory_id = l.memory_id + 1)""")
+def link_changes(spark, d):
+    l = catalog(spark, d).links
+    left = maintain.unlink(l, l.where("key_id % 5 = 0 AND memory_id % 2 = 0"))
+    new = l.where("memory_id % 3 = 0").withColumn("weight", F.col("weight") * 2 - 1)
+    more = l.where("memory_id % 40 = 1").select("key_id", (F.col("memory_id") + 1).alias("memory_id"))
+    return maintain.upsert_links(maintain.set_weights(left, new), more).withColumn("weight", r6(F.col("weight")))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name AS concept, lower(trim(p_name)) AS name, CASE p_size % 10 WHEN 0 THEN 'name' WHEN 1 THEN 'proper_noun' ELSE 'concept' END AS kind FROM part),
+  k AS (SELECT lower(concept) AS name, min(p_partkey) AS first FROM p WHERE p_partkey % 3 = 0 GROUP BY 1),
+  r AS (SELECT p.*, coalesce('k' || first, substr(sha256(p.name), 1, 12)) AS key_id, first IS NOT NULL AS old FROM p LEFT JOIN k ON k.name = p.name)
+  SELECT key_id, CASE WHEN old THEN coalesce(arg_min(kind, p_partkey) FILTER (kind <> 'concept'), 'concept') WHEN arg_min(kind, p_partkey) = 'concept' THEN coalesce(arg_min(kind, p_partkey) FILTER (kind <> 'concept'), 'concept') ELSE arg_min(kind, p_partkey) END AS key_type,
+    count(*) AS n_requests, CAST(sum(CASE WHEN old OR p_partkey <> f THEN 1 ELSE 0 END) AS BIGINT) AS n_equal FROM (SELECT *, min(p_partkey) OVER (PARTITION BY name) AS f FROM r) GROUP BY key_id, old""")
+def key_requests(spark, d):
+    p = table(spark, d, "part")
+    kind = F.when(F.col("p_size") % 10 == 0, "name").when(F.col("p_size") % 10 == 1, "proper_noun").otherwise("concept")
+    no_vector = F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>").alias("embedding")  # equal names alone
+    asked = p.select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("concept"), kind.alias("key_type"), no_vector)
+    keyed = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key_id"), F.col("p_name").alias("concept"), F.array().cast("array<string>").alias("aliases"), F.lit("concept").alias("key_type"), no_vector, F.col("p_partkey").alias("seq"))
+    found = write.resolve_keys(asked, keyed, CONFIG)
+    made = found.where("how = 'new'").join(asked.select("seq", "key_type", "embedding"), "seq").withColumn("aliases", F.array().cast("array<string>"))
+    done = write.record_keys(keyed.unionByName(made.select(keyed.columns)), asked, found)
+    n = found.groupBy("key_id").agg(F.count("*").alias("n_requests"), F.sum((F.col("how") == "equal").cast("long")).alias("n_equal"))
+    return done.join(n, "key_id").select("key_id", "key_type", "n_requests", "n_equal")
+
+
 # ------------------------------------------------------------------ vectors
 
 
+@query(f"""WITH RECURSIVE {VECTORS}, nw AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n FROM v WHERE vec_id % 4 = 0),
+  cd AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS sim, CASE WHEN y.vec_id % 4 = 0 THEN 1000000 + y.vec_id ELSE y.vec_id END AS o FROM v x, v y WHERE x.vec_id % 4 = 0 AND x.vec_id <> y.vec_id AND (y.vec_id % 4 <> 0 OR y.vec_id < x.vec_id) AND list_cosine_similarity(x.e, y.e) + 1e-10 >= 0.42),
+  st(n, gone, a, pick) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+    SELECT n, CASE WHEN p IS NULL THEN gone ELSE list_append(gone, p) END, vec_id, p FROM (SELECT nw.n AS n, gone, vec_id, arg_max(b, (sim, -o)) AS p FROM st JOIN nw ON nw.n = st.n + 1 LEFT JOIN cd ON cd.a = vec_id AND NOT list_contains(gone, b) GROUP BY nw.n, gone, vec_id))
+  SELECT CAST(a AS VARCHAR) AS memory_id, CAST(pick AS VARCHAR) AS supersedes, CASE WHEN a + 1 IN (SELECT vec_id FROM v) THEN CAST(a + 1 AS VARCHAR) ELSE '' END AS links, CASE WHEN pick IS NOT NULL THEN x.label = y.label END AS conflict FROM st JOIN v x ON x.vec_id = a LEFT JOIN v y ON y.vec_id = pick""")
+def remember_batch(spark, d):
+    g = vectors(spark, d)
+    name = lambda c: (F.concat(F.lit("k"), F.col(c).cast("string")) if c == "key_id" else F.col(c).cast("string")).alias(c)
+    keyed = g.keys.select(name("key_id"), "seq", "concept", "aliases", F.lit("name").alias("key_type"), "embedding")
+    links = g.links.select(name("key_id"), name("memory_id"), "weight")
+    rows = g.memories.select(name("memory_id"), F.col("memory_id").alias("id"), "seq", "embedding", "namespace", F.lit("").alias("content"), F.lit(None).cast("double").alias("ttl"))
+    at = F.col("id").cast("string")
+    new = rows.where("id % 4 = 0").join(links.groupBy("memory_id").agg(F.collect_list("key_id").alias("keys")), "memory_id").withColumn("seq", F.col("seq") + 1_000_000)
+    new = new.withColumn("related_to", F.array((F.col("id") + 1).cast("string"), at, F.lit("nowhere"), (F.col("id") + 1).cast("string")))
+    old = rows.where("id % 4 <> 0")
+    out = write.add_batch(new, old, links.join(old.select("memory_id"), "memory_id", "left_semi"), keyed, NOW, CONFIG)
+    fresh = out["memories"].join(new.select("memory_id"), "memory_id", "left_semi")
+    return fresh.join(out["duplicates"].select("memory_id", "conflict"), "memory_id", "left").select("memory_id", "supersedes", F.array_join("links", ",").alias("links"), "conflict")
+
+
 @query(f"WITH {VECTORS}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {r('sim')} DESC, memory_id) AS INTEGER) AS rank FROM qm WHERE query_id <> memory_id) SELECT query_id, rank, memory_id, {r('sim')} AS sim FROM t WHERE rank <= 10")
 def cosine_topk(spark, d):
     return _nearest(spark, d, 10).select("query_id", "rank", "memory_id", r6(F.col("sim")).alias("sim"))
 
 
 def _nearest(spark, d, k):
-    sims = similar(vector_queries(spark, d), vectors(spark, d).memories, least=-2.0, item_id="memory_id").where("query_id <> memory_id")
+    sims = similar(vector_queries(spark, d), vectors(spark, d).memories, item_id="memory_id", top=k + 1).where("query_id <> memory_id")
     order = Window.partitionBy("query_id").orderBy(F.desc(r6(F.col("sim"))), "memory_id")
     return sims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -385,9 +486,7 @@ bs AS (SELECT query_id, doc_id AS memory_id, sum({_BM}) * count(DISTINCT q_term)
 
 
 def _index(spark, d):
-    docs = documents(spark, d)
-    index = bm25.postings(docs)
-    return docs, index, bm25.corpus_stats(docs), bm25.term_stats(index)
+    return bm25.Index.build(documents(spark, d))
 
 
 def _both_queries(spark, d):
@@ -396,10 +495,8 @@ def _both_queries(spark, d):
 
 
 def _sparse(spark, d):
-    _, index, stats, df = _index(spark, d)
     asked = _both_queries(spark, d).where("query IS NOT NULL")
-    wanted = bm25.expand_terms(bm25.query_terms(asked), df, prefix=False, fuzzy=False)
-    return bm25.search(wanted, index, stats, df, k=50)
+    return _index(spark, d).search(asked, 50, prefix=False, fuzzy=False)
 
 
 @query(f"WITH {VECTORS}, {_INDEX}, {_BS}, {_REC} SELECT query_id, memory_id, {r('score', 8)} AS score FROM fu")
@@ -430,14 +527,100 @@ hr AS (SELECT * FROM (SELECT mo.*, CAST(row_number() OVER (PARTITION BY query_id
 
 @query(f"WITH {VECTORS}, {_INDEX}, {_BS}, {_REC}, {_GATED} SELECT query_id, rank, memory_id, {r('score', 8)} AS score, {r('raw_sim')} AS raw_sim, 1 AS hop FROM hr")
 def hybrid_recall(spark, d):
-    return _recalled(spark, d).withColumn("score", r6(F.col("score"), 8)).withColumn("raw_sim", r6(F.col("raw_sim")))
+    return _recalled(spark, d).drop("matched_via").withColumn("score", r6(F.col("score"), 8)).withColumn("raw_sim", r6(F.col("raw_sim")))
+
+
+@query(f"WITH {VECTORS}, g AS (SELECT query_id, max(sim) AS top FROM qm WHERE query_id <> memory_id GROUP BY 1), kg AS (SELECT query_id, max(sim) AS near FROM qk WHERE key_id <> query_id GROUP BY 1) SELECT query_id, top + 1e-10 >= 0.999 OR near + 1e-10 >= 0.35 AS found FROM g JOIN kg USING (query_id)")
+def key_gate(spark, d):
+    c = dataclasses.replace(CONFIG, profile=dataclasses.replace(CONFIG.profile, key_gate=0.35, min_score=0.99, gate_z=0.0))
+    q, g = vector_queries(spark, d), vectors(spark, d)
+    best = similar(q, g.memories, item_id="memory_id", top=2).where("query_id <> memory_id")
+    keyed = similar(q, g.keys, least=0.35, item_id="key_id").where("key_id <> query_id").groupBy("query_id").agg(F.max("sim").alias("key_sim"))
+    return recall.anchored(best.withColumnRenamed("sim", "raw_sim"), recall.robust_z(best), keyed, c)
+
+
+#: Queries with text: a benchmark item and the name of a key, every third the name alone, which is short.
+_TEXTS = r"""
+qq AS (SELECT *, CASE WHEN len(list_filter(regexp_split_to_array(trim(query), '\s+'), lambda x: x <> '')) <= 2 OR length(trim(query)) <= 15 THEN 0.2 ELSE 0.25 END AS gate
+  FROM (SELECT q.query_id AS query_id, CASE WHEN q.query_id // 50 % 3 = 0 THEN '' ELSE coalesce(b.text || ' ', '') END || 'label ' || CAST(q.query_id // 50 % 10 AS VARCHAR) AS query FROM q LEFT JOIN benchmark b ON b.item_id * 50 = q.query_id)),
+qt AS (SELECT DISTINCT query_id, unnest({tok}) AS q_term FROM qq),
+w AS (SELECT DISTINCT q_term, length(q_term) AS n, CAST(floor(length(q_term) * 0.2 + 0.5) AS INTEGER) AS e FROM qt),
+x AS (SELECT q_term, term, 1.0 AS tw FROM w JOIN df ON q_term = term UNION ALL SELECT q_term, term, 0.375 * length(term) / (length(term) + 0.3 * (length(term) - n)) FROM w JOIN df ON starts_with(term, q_term) AND length(term) > n
+  UNION ALL SELECT q_term, term, 0.45 * length(term) / (length(term) + {lev}) FROM w JOIN df ON e > 0 AND term <> q_term AND abs(length(term) - n) <= e WHERE {lev} <= e),
+y AS (SELECT query_id, q_term, term, max(tw) AS tw FROM qt JOIN x USING (q_term) GROUP BY ALL),
+bs AS (SELECT query_id, doc_id AS memory_id, sum(tw * {bm}) * count(DISTINCT q_term) AS score FROM y JOIN df ON y.term = df.term JOIN ps ON ps.term = df.term, st GROUP BY 1, 2)
+"""
+#: DuckDB's levenshtein counts bytes: the letters of the test tables are first made single bytes.
+_LEV = "levenshtein(translate(q_term, 'éèêçíóñßöüä', 'ABCDEFGHIJK'), translate(term, 'éèêçíóñßöüä', 'ABCDEFGHIJK'))"
+_TEXTS = _TEXTS.replace("{lev}", _LEV).replace("{bm}", _BM).replace("{tok}", _TOKENS % "query")
+#: Recall of those in two hops, with the evidence of each row.
+_WIDE = f"""
+{_REC.replace('FROM qm WHERE sim + 1e-10 >= 0.25)', 'FROM qm JOIN qq USING (query_id) WHERE sim + 1e-10 >= gate)')},
+lb AS (SELECT query_id, memory_id, sum(idf / 61.0) AS boost FROM qq JOIN ke ON regexp_matches(lower(query), '(^|[^\\p{{L}}\\p{{N}}])label ' || label || '($|[^\\p{{L}}\\p{{N}}])') JOIN f USING (key_id) JOIN km USING (key_id) GROUP BY 1, 2),
+fb AS (SELECT coalesce(fu.query_id, lb.query_id) AS query_id, coalesce(fu.memory_id, lb.memory_id) AS memory_id, coalesce(score, 0) + coalesce(boost, 0) AS score FROM fu FULL JOIN lb ON lb.query_id = fu.query_id AND lb.memory_id = fu.memory_id),
+vt AS (SELECT query_id, memory_id, list(DISTINCT t) AS via FROM (SELECT query_id, memory_id, 'label ' || label AS t FROM ks JOIN km USING (key_id) JOIN ke USING (key_id) UNION ALL SELECT query_id, memory_id, '(content)' FROM dc UNION ALL SELECT query_id, memory_id, '(bm25)' FROM bq) GROUP BY 1, 2),
+a1 AS (SELECT fb.query_id AS query_id, fb.memory_id AS memory_id, fb.score * {DEPTH} * {TIME} AS score, coalesce(via, []) AS via, CASE WHEN len(list_filter(coalesce(via, []), lambda z: z <> '(bm25)')) > 0 THEN 1 ELSE 0 END AS firm
+  FROM fb JOIN vm USING (memory_id) LEFT JOIN vt ON vt.query_id = fb.query_id AND vt.memory_id = fb.memory_id),
+tt AS (SELECT query_id, key_id, sum(score) AS total, count(*) AS n, sum(firm) AS firm FROM a1 JOIN km USING (memory_id) GROUP BY 1, 2),
+gg AS (SELECT tt.query_id AS query_id, km.memory_id AS memory_id, 0.3 * idf * (total - coalesce(a1.score, 0)) AS gain, CASE WHEN tt.firm - coalesce(a1.firm, 0) > 0 THEN 'label ' || label || '(via)' END AS tag
+  FROM tt JOIN km USING (key_id) JOIN f USING (key_id) JOIN ke USING (key_id) LEFT JOIN a1 ON a1.query_id = tt.query_id AND a1.memory_id = km.memory_id WHERE n - CASE WHEN a1.memory_id IS NULL THEN 0 ELSE 1 END > 0),
+s2 AS (SELECT coalesce(a1.query_id, gg.query_id) AS query_id, coalesce(a1.memory_id, gg.memory_id) AS memory_id, (coalesce(score, 0) + coalesce(gain, 0)) * CASE WHEN a1.query_id IS NULL THEN 0.7 ELSE 1.0 END AS score, CASE WHEN a1.query_id IS NULL THEN 2 ELSE 1 END AS hop,
+  list_sort(list_distinct(list_filter(list_append(coalesce(via, []), tag), lambda z: z IS NOT NULL))) AS via FROM a1 FULL JOIN gg ON gg.query_id = a1.query_id AND gg.memory_id = a1.memory_id),
+s3 AS (SELECT s2.*, coalesce(raw_sim, 0) AS raw_sim, max(coalesce(raw_sim, 0)) OVER (PARTITION BY s2.query_id) AS best, max(score_) OVER (PARTITION BY s2.query_id) AS top_score FROM (SELECT *, score AS score_ FROM s2) s2 LEFT JOIN de ON de.query_id = s2.query_id AND de.memory_id = s2.memory_id),
+zz1 AS (SELECT query_id, count(*) AS n, max(sim) AS top, median(sim) AS med FROM qm GROUP BY 1), zz2 AS (SELECT query_id, median(abs(sim - med)) AS mad FROM qm JOIN zz1 USING (query_id) GROUP BY 1),
+rr AS (SELECT * FROM (SELECT s3.query_id AS query_id, memory_id, score_ AS score, hop, via, raw_sim, CAST(row_number() OVER (PARTITION BY s3.query_id ORDER BY {r('score_')} DESC, memory_id) AS INTEGER) AS rank
+  FROM s3 JOIN zz1 ON zz1.query_id = s3.query_id JOIN zz2 ON zz2.query_id = s3.query_id JOIN qq ON qq.query_id = s3.query_id
+  WHERE score_ + 1e-10 >= top_score * 0.05 AND (best + 1e-10 >= 0.999 OR (best + 1e-10 >= gate AND (n < 8 OR mad = 0 OR (top - med) / (1.4826 * mad) + 1e-10 >= 2.8)))) WHERE rank <= 20)
+"""
 
 
-@query()
-def recall_inject(spark, d):
+def _named_queries(spark, d):
+    n = F.floor(F.col("query_id") / 50)
+    text = F.concat(F.when(n % 3 == 0, "").otherwise(F.coalesce(F.concat("query", F.lit(" ")), F.lit(""))), F.lit("label "), (n % 10).cast("string"))
+    return _both_queries(spark, d).withColumn("query", text)
+
+
+def _recalled_wide(spark, d):
+    g, q = vectors(spark, d), _named_queries(spark, d)
+    sparse = _index(spark, d).search(q, 50)
+    return recall.hybrid_recall(q, g.keys, g.links, g.memories, NOW, bm25=sparse, top_k=10, hops=2, min_rel=0.05, config=CONFIG)
+
+
+@query(f"WITH {VECTORS}, {_INDEX}, {_TEXTS}, {_WIDE} SELECT query_id, rank, memory_id, {r('score', 8)} AS score, {r('raw_sim')} AS raw_sim, hop, array_to_string(via, ', ') AS matched_via FROM rr")
+def hybrid_recall_two_hops(spark, d):
+    rows = _recalled_wide(spark, d)
+    return rows.select("query_id", "rank", "memory_id", r6(F.col("score"), 8).alias("score"), r6(F.col("raw_sim")).alias("raw_sim"), "hop", F.array_join("matched_via", ", ").alias("matched_via"))
+
+
+_HAY = "content || ' ' || keys"
+_PICKED = f"""
+ij AS (SELECT rr.query_id AS query_id, rr.memory_id AS memory_id, rank, score, raw_sim, vm.label AS label, d.text AS content, 'label ' || vm.label AS keys, query FROM rr JOIN documents d ON d.doc_id = rr.memory_id JOIN vm ON vm.memory_id = rr.memory_id JOIN qq ON qq.query_id = rr.query_id WHERE len(list_filter(via, lambda z: z <> '(bm25)')) > 0),
+ic AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM ij WHERE len(list_filter({_structured('query')}, lambda x: NOT contains(lower({_HAY}), x))) = 0 AND {_covers('query', _HAY)}),
+ip AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS slot FROM ic WHERE score + 1e-10 >= top * 0.2) WHERE slot <= 3)
+"""
+
+
+def _texts(spark, d):
+    return vectors(spark, d).memories.join(table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content")), "memory_id")
+
+
+def _injected(spark, d):
     g = vectors(spark, d)
-    texts = g.memories.join(table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content")), "memory_id")
-    return recall.recall_inject(_recalled(spark, d), _both_queries(spark, d), g.keys, g.links, texts, top_k=3, min_rel=0.0, config=CONFIG)
+    return recall.recall_inject(_recalled_wide(spark, d), _named_queries(spark, d), g.keys, g.links, _texts(spark, d), top_k=3, min_rel=0.2, config=CONFIG)
+
+
+@query(f"WITH {VECTORS}, {_INDEX}, {_TEXTS}, {_WIDE}, {_PICKED} SELECT query_id, slot, memory_id, CASE WHEN length(content) > 2000 THEN rtrim(substr(content, 1, 1999)) || '…' ELSE content END AS text, keys FROM ip")
+def recall_inject(spark, d):
+    return _injected(spark, d).drop("raw_sim")
+
+
+@query(f"""WITH {VECTORS}, {_INDEX}, {_TEXTS}, {_WIDE}, {_PICKED} SELECT query_id, slot, memory_id,
+  '- [' || memory_id || ' rel=' || CAST(round(raw_sim + 1e-10, 3) AS VARCHAR) || ' ns=' || label || '] ' || CASE WHEN length(content) > 400 THEN substr(content, 1, 400) || '…' ELSE content END AS line
+  FROM ip WHERE round(raw_sim + 1e-10, 3) + 1e-10 >= 0.05 AND (query_id // 50 % 2 = 1 OR label IN (query_id // 50 % 10, 1, 2))""")
+def push_lines(spark, d):
+    n = F.floor(F.col("query_id") / 50)
+    allowed = vector_queries(spark, d).select("query_id", F.when(n % 2 == 0, F.array((n % 10).cast("string"), F.lit("1"), F.lit("2"))).alias("namespaces"))
+    return recall.push_inject(_injected(spark, d), _texts(spark, d), allowed, dataclasses.replace(CONFIG, push_min_rel=0.05))
 
 
 def _overlap(queries: list[str], texts: list[str]) -> np.ndarray:
@@ -459,13 +642,13 @@ def rerank_pool(spark, d):
   SELECT doc_id, CAST(CASE WHEN len(p) >= 2 THEN least(12, len(p)) ELSE 0 END AS INTEGER) AS n, CASE WHEN len(p) >= 2 THEN md5(array_to_string(list_slice(p, 1, 12), '|')) ELSE md5('') END AS joined FROM s""")
 def sentence_split(spark, d):
     s = T.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "|")).alias("joined"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "|")).alias("joined"))
 
 
 @query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_terms, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct, md5(array_to_string(t, ' ')) AS joined FROM (SELECT doc_id, {_TOKENS % 'text'} AS t FROM documents)")
 def tokenize_terms(spark, d):
     t = T.terms(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("joined"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(t).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("joined"))
 
 
 @query(r"SELECT doc_id, CAST(len(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: length(x) >= 2 OR regexp_matches(x, '^[\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}]$'))) AS INTEGER) AS n_usable FROM documents")
@@ -479,20 +662,37 @@ _NAMES = ("the", "on", "licensed", "mit license", "general public license", "all
 @query("WITH n(key_id, concept) AS (VALUES %s) SELECT doc_id AS query_id, key_id FROM documents, n WHERE contains(lower(text), concept) AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])' || concept || '($|[^\\p{L}\\p{N}])')" % ", ".join(f"({i}, '{c}')" for i, c in enumerate(_NAMES)))
 def literal_key_match(spark, d):
     named = spark.createDataFrame([(i, c, []) for i, c in enumerate(_NAMES)], "key_id int, concept string, aliases array<string>")
-    asked = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    asked = spread(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
     return keys.literal_hits(asked, named).select("query_id", "key_id")
 
 
-@query()
+_CODED = "url || ' v' || page_id % 9 || '.' || page_id % 7 || '.x #' || page_id % 50 || ', ' || substr(md5(url), 1, 10) || ' (2.' || page_id % 3 || ')'"
+
+
+def _coded(spark, d):
+    part = lambda n: (F.col("page_id") % n).cast("string")
+    text = F.concat("url", F.lit(" v"), part(9), F.lit("."), part(7), F.lit(".x #"), part(50), F.lit(", "), F.substring(F.md5("url"), 1, 10), F.lit(" (2."), part(3), F.lit(")"))
+    return table(spark, d, "pages").withColumn("text", text)
+
+
+@query(f"SELECT page_id, array_to_string({_structured(_CODED)}, ' ') AS tokens FROM pages")
 def structured_tokens(spark, d):
-    t = T.structured_tokens(F.col("url"))
-    return table(spark, d, "pages").select("page_id", F.array_join(t, " ").alias("tokens"))
+    return _coded(spark, d).select("page_id", F.array_join(T.structured_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT page_id, len(list_filter({_structured(_CODED)}, lambda x: NOT contains(lower(html || ' #' || page_id % 40 || ' 2.1'), x))) = 0 AS covered FROM pages")
+def structured_coverage(spark, d):
+    hay = F.concat("html", F.lit(" #"), (F.col("page_id") % 40).cast("string"), F.lit(" 2.1"))
+    return _coded(spark, d).select("page_id", T.covers_structured(F.col("text"), hay).alias("covered"))
 
 
-@query(r"""WITH t AS (SELECT page_id, html, list_filter(list_distinct(list_filter(regexp_extract_all(lower(url), '[\p{L}\p{N}_.+#-]+'), lambda x: length(x) >= 2)), lambda x: NOT list_contains([%s], x)) AS w FROM pages)
-  SELECT page_id, len(list_filter(w, lambda x: contains(lower(html), x))) * 2 > len(w) AS covered FROM t""" % ", ".join(f"'{w}'" for w in T.FILLER))
+_ASKED = "'tell me about the ' || url || ' where were you'"
+
+
+@query(f"SELECT page_id, {_covers(_ASKED, 'html')} AS covered FROM pages")
 def lexical_coverage(spark, d):
-    return table(spark, d, "pages").select("page_id", T.covers_lexically(F.col("url"), F.col("html")).alias("covered"))
+    asked = F.concat(F.lit("tell me about the "), "url", F.lit(" where were you"))
+    return table(spark, d, "pages").select("page_id", T.covers_lexically(asked, F.col("html")).alias("covered"))
 
 
 @query(r"SELECT p_partkey, len(list_filter(regexp_split_to_array(trim(p_name), '\s+'), lambda x: x <> '')) <= 2 OR length(trim(p_name)) <= 15 AS short FROM part")
@@ -512,22 +712,18 @@ def truncate_preview(spark, d):
 
 @query(f"WITH {_INDEX} SELECT term, df, CAST(n_docs AS BIGINT) AS n_docs, {r('avg_len')} AS avg_len FROM df, st")
 def bm25_stats(spark, d):
-    _, _, stats, df = _index(spark, d)
-    one = stats.first()
-    return df.select("term", "df", F.lit(one["n_docs"]).alias("n_docs"), r6(F.lit(one["avg_len"])).alias("avg_len"))
+    index = _index(spark, d)
+    one = index.stats().first()
+    return index.terms().select("term", "df", F.lit(one["n_docs"]).alias("n_docs"), r6(F.lit(one["avg_len"])).alias("avg_len"))
 
 
-#: DuckDB's levenshtein counts bytes: the letters of the test tables are first made single bytes.
-_LEV = "levenshtein(translate(q_term, 'éèêçíóñßöüä', 'ABCDEFGHIJK'), translate(term, 'éèêçíóñßöüä', 'ABCDEFGHIJK'))"
 _ITEMS = f"qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS % 'text'}) AS q_term FROM benchmark)"
 
 
 @query(f"""WITH {_INDEX}, {_ITEMS}, s AS (SELECT query_id, doc_id AS memory_id, sum({_BM}) * count(DISTINCT q_term) AS score FROM qt JOIN df ON q_term = df.term JOIN ps ON ps.term = df.term, st GROUP BY 1, 2),
   t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {r('score')} DESC, memory_id) AS INTEGER) AS rank FROM s) SELECT query_id, memory_id, {r('score')} AS score, rank FROM t WHERE rank <= 10""")
 def bm25_exact(spark, d):
-    _, index, stats, df = _index(spark, d)
-    wanted = bm25.expand_terms(bm25.query_terms(text_queries(spark, d)), df, prefix=False, fuzzy=False)
-    return bm25.search(wanted, index, stats, df, k=10).withColumn("score", r6(F.col("score")))
+    return _index(spark, d).search(text_queries(spark, d), 10, prefix=False, fuzzy=False).withColumn("score", r6(F.col("score")))
 
 
 @query(f"""WITH {_INDEX}, {_ITEMS}, w AS (SELECT DISTINCT q_term, length(q_term) AS n, CAST(floor(length(q_term) * 0.2 + 0.5) AS INTEGER) AS e FROM qt),
@@ -537,9 +733,7 @@ def bm25_exact(spark, d):
   s AS (SELECT query_id, doc_id AS memory_id, sum(tw * {_BM}) * count(DISTINCT q_term) AS score FROM y JOIN df ON y.term = df.term JOIN ps ON ps.term = df.term, st GROUP BY 1, 2),
   t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {r('score', 5)} DESC, memory_id) AS INTEGER) AS rank FROM s) SELECT query_id, memory_id, {r('score', 5)} AS score, rank FROM t WHERE rank <= 10""")
 def bm25_prefix_fuzzy(spark, d):
-    _, index, stats, df = _index(spark, d)
-    wanted = bm25.expand_terms(bm25.query_terms(text_queries(spark, d)), df)
-    return bm25.search(wanted, index, stats, df, k=10).withColumn("score", r6(F.col("score"), 5))
+    return _index(spark, d).search(text_queries(spark, d), 10).withColumn("score", r6(F.col("score"), 5))
 
 
 @query("SELECT namespace, count(*) AS n FROM (SELECT CASE WHEN source = 'src0' AND NOT regexp_matches(text, '[\\x{3130}-\\x{318F}\\x{AC00}-\\x{D7A3}]') THEN 'bench' ELSE source END AS namespace FROM documents) GROUP BY 1")
@@ -575,7 +769,18 @@ def _changes(spark, d):
     return e.where(kind.isin("purchase", "view", "error")).select("user_id", "k", F.col("id").alias("seq"), delta.alias("delta"))
 
 
-_MATCH = f"mt AS (SELECT r.user_id AS user_id, r.id AS read_id, arg_max(q.id, (q.ts, q.id)) AS query_id, r.ts - max(q.ts) AS delay FROM ev r JOIN ev q ON q.user_id = r.user_id AND q.event_type = 'click' AND q.ts <= r.ts AND r.ts - q.ts <= {TTL} WHERE r.event_type = 'view' GROUP BY r.user_id, r.id, r.ts)"
+#: Reads against a stack of pending queries, event by event: a read takes the latest that none took, if it is fresh.
+_MATCH = f"""
+o AS MATERIALIZED (SELECT user_id, id, ts, k, event_type = 'view' AS is_read, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'view', id) AS n FROM ev WHERE event_type IN ('click', 'view')),
+st(user_id, n, pending, read_id, ts, hit) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, ts DOUBLE, taken BOOLEAN)[]), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS STRUCT(id BIGINT, ts DOUBLE, taken BOOLEAN)) FROM o
+  UNION ALL
+  SELECT user_id, n, CASE WHEN NOT is_read THEN list_slice(list_append(pending, {{'id': id, 'ts': ts, 'taken': false}}), -32, 33) WHEN fresh THEN list_transform(pending, lambda x, i: {{'id': x.id, 'ts': x.ts, 'taken': x.taken OR i = p}}) ELSE pending END,
+    CASE WHEN is_read THEN id END, ts, CASE WHEN fresh THEN pending[p] END
+  FROM (SELECT *, is_read AND p IS NOT NULL AND ts - pending[p].ts <= {TTL} AS fresh
+    FROM (SELECT s.user_id AS user_id, o.n AS n, s.pending AS pending, o.id AS id, o.ts AS ts, o.is_read AS is_read, list_max(list_filter(list_transform(s.pending, lambda x, i: CASE WHEN NOT x.taken THEN i END), lambda x: x IS NOT NULL)) AS p FROM st s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1))),
+mt AS (SELECT user_id, read_id, hit.id AS query_id, ts, ts - hit.ts AS delay FROM st WHERE hit IS NOT NULL)
+"""
 
 
 def _matches(spark, d):
@@ -583,14 +788,26 @@ def _matches(spark, d):
     return maintain.match_buffer(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], TTL)
 
 
-@query(f"WITH {LOG}, {_MATCH} SELECT user_id, read_id, query_id, round(delay + 1e-10, 6) AS delay FROM mt")
+@query(f"WITH RECURSIVE {LOG}, {_MATCH} SELECT user_id, read_id, query_id, round(delay + 1e-10, 6) AS delay FROM mt")
 def recall_buffer_match(spark, d):
-    return _matches(spark, d).withColumn("delay", r6(F.col("delay")))
+    return _matches(spark, d).select("user_id", "read_id", "query_id", r6(F.col("delay")).alias("delay"))
+
 
+_TAUGHT = dataclasses.replace(CONFIG, profile=PROFILES["bgem3"], promote_n=2, max_aliases=2)
 
-@query(f"WITH {LOG}, {_MATCH} SELECT user_id, count(*) AS n_confirmed, CASE WHEN count(*) >= 3 THEN 'alias' ELSE 'none' END AS decision FROM mt GROUP BY 1")
+
+@query(f"""WITH RECURSIVE {LOG}, {_MATCH},
+  cf AS (SELECT mt.user_id AS user_id, read_id, mt.ts AS ts, CASE e.k % 5 WHEN 0 THEN 'a longer question about' ELSE 'topic' END || ' ' || e.k % 10 AS query, (e.id * 7 % 100) / 100.0 AS cosine FROM mt JOIN ev e ON e.id = query_id),
+  cn AS (SELECT *, row_number() OVER (PARTITION BY user_id, query ORDER BY ts, read_id) AS n FROM cf WHERE query <> 'topic 3'),
+  cw AS (SELECT *, CASE WHEN n < 2 OR query LIKE 'a longer%' THEN 'none' WHEN cosine + 1e-10 >= 0.86 THEN 'alias' WHEN cosine + 1e-10 >= 0.62 THEN 'newKey' WHEN cosine + 1e-10 >= 0.45 THEN 'alias' ELSE 'none' END AS would FROM cn),
+  cd AS (SELECT user_id, query, coalesce(min(n) FILTER (would <> 'none'), max(n)) AS n_confirmed FROM cw GROUP BY 1, 2),
+  ce AS (SELECT cd.*, would, ts, read_id FROM cd JOIN cw ON cw.user_id = cd.user_id AND cw.query = cd.query AND cw.n = n_confirmed)
+  SELECT user_id AS key_id, query, n_confirmed, CASE WHEN would = 'alias' AND (SELECT count(*) FROM ce o WHERE o.user_id = ce.user_id AND o.would = 'alias' AND (o.ts, o.read_id) < (ce.ts, ce.read_id)) >= 2 THEN 'none' ELSE would END AS decision FROM ce""")
 def alias_promotion(spark, d):
-    return maintain.alias_decisions(_matches(spark, d), ["user_id"])
+    e = log(spark, d).select(F.col("id").alias("query_id"), F.concat(F.when(F.col("k") % 5 == 0, "a longer question about").otherwise("topic"), F.lit(" "), (F.col("k") % 10).cast("string")).alias("query"), (F.col("id") * 7 % 100 / 100.0).alias("cosine"))
+    confirmed = _matches(spark, d).join(e, "query_id").select(F.col("user_id").alias("key_id"), F.col("read_id").alias("memory_id"), "query", "cosine", "ts", "read_id")
+    known = log(spark, d).select(F.col("user_id").alias("key_id")).distinct().select("key_id", F.lit("user").alias("concept"), F.array(F.lit("Topic 3")).alias("aliases"))
+    return maintain.learn_aliases(confirmed, known, _TAUGHT).select("key_id", "query", "n_confirmed", "decision")
 
 
 @query("WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) // 2 AS center FROM conversations) SELECT conv_id AS session_id, turn, role, CAST(pos AS INTEGER) AS pos FROM t WHERE abs(pos - center) <= 2")
@@ -670,10 +887,10 @@ def _run(spark, d):
 
 @query(f"""WITH {VECTORS}, {_RANKED}, h AS (SELECT query_id, min(rank) AS first_rank, count(*) FILTER (rank <= 5) AS in5 FROM rk SEMI JOIN rl USING (query_id, item_id) GROUP BY 1), n AS (SELECT query_id, count(*) AS n_relevant FROM rl GROUP BY 1)
   SELECT q.query_id AS query_id, coalesce(n_relevant, 0) AS n_relevant, CAST(first_rank AS INTEGER) AS first_rank, CAST(coalesce(first_rank = 1, false) AS INTEGER) AS hit1, {r('coalesce(in5 / nullif(n_relevant, 0), 0)')} AS recall5, CAST(coalesce(first_rank <= 5, false) AS INTEGER) AS hit5,
-    CAST(coalesce(first_rank <= 10, false) AS INTEGER) AS reach10, {r('coalesce(1.0 / first_rank, 0)')} AS mrr FROM q LEFT JOIN h ON h.query_id = q.query_id LEFT JOIN n ON n.query_id = q.query_id""")
+    CAST(coalesce(first_rank <= 10, false) AS INTEGER) AS reach10, CAST(coalesce(in5 = n_relevant, false) AS INTEGER) AS both5, {r('coalesce(1.0 / first_rank, 0)')} AS mrr FROM q LEFT JOIN h ON h.query_id = q.query_id LEFT JOIN n ON n.query_id = q.query_id""")
 def ranking_metrics(spark, d):
     m = evaluate.query_metrics(*_run(spark, d))
-    return m.select("query_id", "n_relevant", "first_rank", "hit1", r6(F.col("recall5")).alias("recall5"), "hit5", "reach10", r6(F.col("mrr")).alias("mrr"))
+    return m.select("query_id", "n_relevant", "first_rank", "hit1", r6(F.col("recall5")).alias("recall5"), "hit5", "reach10", "both5", r6(F.col("mrr")).alias("mrr"))
 
 
 @query(f"WITH {VECTORS}, {_RANKED}, c(n) AS (VALUES (2), (3), (5), (8), (10)) SELECT n, count(*) FILTER (EXISTS (SELECT 1 FROM rl WHERE rl.query_id = rk.query_id AND rl.item_id = rk.item_id)) AS found, count(*) FILTER (NOT EXISTS (SELECT 1 FROM rl WHERE rl.query_id = rk.query_id AND rl.item_id = rk.item_id)) AS noise FROM rk, c WHERE rank <= n GROUP BY 1")
@@ -685,12 +902,22 @@ def noise_sweep(spark, d):
 # ------------------------------------------------------------------ streams
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now; its output as a table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _drained(spark: SparkSession, stream: DataFrame, key: list[str] | None = None, version: str | None = None) -> DataFrame:
+    """Run a stream over what is there now; its output as a table in the shared folder. key and version: of a stream of
+    updates the row of highest version for each key."""
+    path = f"{shared_dir(spark)}/drained-{uuid.uuid4().hex}"
+    schema = stream.schema
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if key is None:
+        q = writer.format("parquet").option("path", f"{path}/rows").outputMode("append").start()
+    else:  # each batch writes its own folder, again if it is run again
+        q = writer.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    if key is None:
+        return rows
+    rest = [c for c in schema.names if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), version).alias("last")).select(*key, *(F.col(f"last.{c}").alias(c) for c in rest))
 
 
 def _event_stream(spark, d):
@@ -701,11 +928,11 @@ def _event_stream(spark, d):
     return e.withColumn("t", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
-@query(f"WITH {LOG}, {_MATCH}, o AS (SELECT mt.*, row_number() OVER (PARTITION BY mt.user_id ORDER BY ev.ts, read_id) AS n FROM mt JOIN ev ON ev.id = read_id) SELECT user_id, read_id, query_id, n AS n_confirmed, CASE WHEN n >= 3 THEN 'alias' ELSE 'none' END AS decision FROM o")
+@query(f"WITH RECURSIVE {LOG}, {_MATCH} SELECT user_id, read_id, query_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, read_id) AS n_confirmed FROM mt")
 def stream_autokey(spark, d):
     e = _event_stream(spark, d).where("event_type IN ('click', 'view')")
     rows = e.select("user_id", F.when(F.col("event_type") == "click", "query").otherwise("read").alias("kind"), F.col("t").alias("ts"), F.col("event_id").alias("id"))
-    return _drained(spark, stateful.confirm_stream(rows, ttl=TTL), "append")
+    return _drained(spark, stateful.confirm_stream(rows, ttl=TTL))
 
 
 @query(ORACLES["hebbian_fold"])
@@ -713,4 +940,14 @@ def stream_hebbian(spark, d):
     kind = F.col("event_type")
     delta = F.when(kind == "purchase", 0.1).when(kind == "view", 0.05).when(kind == "error", -0.2)
     e = _event_stream(spark, d).where(kind.isin("purchase", "view", "error")).select("user_id", "k", F.col("event_id").alias("seq"), delta.alias("delta"))
-    return _drained(spark, stateful.fold_stream(e, ["user_id", "k"]), "update").withColumn("weight", r6(F.col("weight")))
+    return _drained(spark, stateful.fold_stream(e, ["user_id", "k"]), ["user_id", "k"], "n_events").withColumn("weight", r6(F.col("weight")))
+
+
+@query("""WITH e AS (SELECT user_id, epoch(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER w >= 7200 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, fresh) AS n FROM g)
+  SELECT user_id, round(min(t), 3) AS start, round(max(t) + 7200, 3) AS end, count(*) AS n_events FROM s GROUP BY user_id, n HAVING max(t) + 7200 <= (SELECT max(t) - 3600 FROM e)""")
+def stream_idle_sessions(spark, d):
+    e = _event_stream(spark, d).select("user_id", F.col("t").alias("ts"))
+    rows = _drained(spark, stateful.idle_sessions(e, gap="2 hours"))
+    at = lambda c: F.round(F.unix_micros(c) / 1e6, 3)
+    return rows.select("user_id", at("start").alias("start"), at("end").alias("end"), "n_events")

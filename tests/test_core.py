@@ -14,6 +14,7 @@ from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.functions.vector import BigramEmbedder, check_dimension, cosine, embed, similar
 from lodestone.operators import bm25, evaluate, graph, keys, maintain, recall, write
+from lodestone.schema import KEYS, conform
 from lodestone.sources import store as ST
 from lodestone.sources import transcripts as TR
 
@@ -34,6 +35,10 @@ def test_profiles_and_environment():
     assert (c.profile.key_merge, c.profile.min_score, c.profile.gate_z, c.hub_links, c.related_limit, c.promote_n) == (0.5, 0.5, 2.5, 3, 5, 3)
     with pytest.warns(UserWarning):
         assert C.from_env(env={}, profile="?").profile == C.PROFILES["bge"]
+    assert C.from_env(env={"OLD_KEY_MERGE": "0.7", "OLD_MIN_SCORE": "0.1", "LODESTONE_MIN_SCORE": "0.2"}, legacy="OLD_", model=" BGE_M3 ").profile == C.dataclasses.replace(C.PROFILES["bgem3"], key_merge=0.7, min_score=0.2)
+    assert [C.family_of(x) for x in ("EmbeddingModel.MLE5Large", "all-minilm-l6-v2", "bge small en v1.5", "gpt")] == ["e5", "minilm", "bge", None]
+    assert C.model_prefix("e5", "query") == "query: " and C.model_prefix("bgem3", "query") == ""
+    assert C.data_dir({"LODESTONE_DATA_DIR": "/x"}) == "/x" and C.data_dir({"OLD_DATA_DIR": "/y"}, legacy="OLD_") == "/y" and C.data_dir({}, home="/nowhere") == "/nowhere/.lodestone"
 
 
 # ---------------------------------------------------------------- text
@@ -50,12 +55,13 @@ def test_text_functions(spark):
     assert texts(spark, ["한글 text", "kana か", "ㄱ"], T.has_hangul) == [True, False, True]
     assert texts(spark, ["Only one sentence here.", "First sentence here. Second one is here!\nThird line is long\nshort"], T.sentences) == [[], ["First sentence here.", "Second one is here!", "Third line is long"]]
     assert texts(spark, ["fix v1.2.3 and #42 in deadbeef1", "version 10.4 of feedface", "x1.2y"], T.structured_tokens) == [["v1.2.3", "#42", "deadbeef1"], ["10.4"], []]
-    assert texts(spark, ["what is the C++ api of Foo-Bar"], T.query_tokens) == [["c++", "api", "foo-bar"]]
+    assert texts(spark, ["what is the C++ api of Foo-Bar"], T.query_tokens) == [["c++", "api", "of", "foo-bar"]]
+    assert texts(spark, ["내 what were tell about please 관련 dog and dog"], T.query_tokens) == [["dog", "and", "dog"]]
     assert texts(spark, ["hi", "/cmd longer", "long enough"], T.skip_prompt) == [True, True, False]
     assert texts(spark, ["a" * 30], lambda t: T.preview(t, 10)) == ["a" * 9 + "…"]
     r = one(
         spark, T.usable_keys(F.array(*map(F.lit, [" ab ", "x", "中", "か", ""]))), T.literal_match(F.lit("C++"), F.lit("I like c++, a lot")), T.literal_match(F.lit("art"), F.lit("start of it")), T.literal_match(F.lit("a"), F.lit("a")),
-        T.covers_lexically(F.lit("red green blue"), F.lit("the red and green")), T.covers_lexically(F.lit("of the"), F.lit("of the")), T.covers_structured(F.lit("bug #12"), F.lit("see #13")),
+        T.covers_lexically(F.lit("red green blue"), F.lit("the red and green")), T.covers_lexically(F.lit("who is the"), F.lit("who is the")), T.covers_structured(F.lit("bug #12"), F.lit("see #13")),
         T.conflicting_qualifier(F.lit("Plan A"), F.lit("plan b")), T.conflicting_qualifier(F.lit("plan a"), F.lit("plans b")), T.aliases(F.array(*map(F.lit, ["K", "Key", "kEy", "Other"])), F.lit("other")), T.parse_keys(F.lit('["a","b"]')),
         T.merge_source(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")), F.create_map(F.lit("b"), F.lit("2"))), T.phrase_key(F.lit("a b c")), T.single_language(F.array(F.lit("한"), F.lit("a"))), T.is_uuid(F.lit("123e4567-e89b-12d3-a456-426614174000")), F.length(T.new_id(F.lit("x"))),
     )
@@ -223,6 +229,69 @@ def test_maintenance(spark):
     assert maintain.upsert_links(l, spark.createDataFrame([("go", "a"), ("go", "b")], "key_id string, memory_id string")).count() == 5
 
 
+def test_a_query_is_confirmed_once(spark):
+    """Each read takes the latest fresh query that none took before; the ring holds the newest queries."""
+    c = C.Config(buffer_size=3)
+    asked = spark.createDataFrame([("k", 1, 0.0), ("k", 2, 10.0), ("j", 3, 10.0), *[("r", 10 + i, 100.0 + i) for i in range(5)]], "key string, id long, ts double")
+    reads = spark.createDataFrame([("k", 1, 11.0), ("k", 2, 12.0), ("k", 3, 13.0), ("j", 4, 400.0), ("j", 5, 9.0), *[("r", 10 + i, 200.0 + i) for i in range(5)]], "key string, id long, ts double")
+    got = {(r.key, r.read_id): r.query_id for r in maintain.match_buffer(asked, reads, ["key"], 300.0, c).collect()}
+    assert got == {("k", 1): 2, ("k", 2): 1, ("r", 10): 14, ("r", 11): 13, ("r", 12): 12}
+
+
+def test_alias_learning(spark):
+    c = C.Config(promote_n=2, max_aliases=2)
+    k = conform(spark.createDataFrame([("k", "database", ["db"], "concept"), ("z", "other", [], "concept")], "key_id string, concept string, aliases array<string>, key_type string"), KEYS)
+    rows = [("k", "m", q, cos, float(t), t) for t, (q, cos) in enumerate([
+        ("DB", 0.9), ("DB", 0.9), ("Pg store", 0.9), ("pg store", 0.9), ("pg", 0.5), ("pg", 0.5), ("tables", 0.9), ("tables", 0.9), ("dbms", 0.7), ("dbms", 0.7), ("once", 0.9), ("x", 0.9), ("x", 0.9), ("far", 0.2), ("far", 0.2),
+        ("a question that is long", 0.9), ("a question that is long", 0.9)])]
+    confirmed = spark.createDataFrame(rows, "key_id string, memory_id string, query string, cosine double, ts double, read_id int")
+    learned = maintain.learn_aliases(confirmed, k, c)
+    assert {(r.name, r.decision, r.n_confirmed) for r in learned.collect()} == {("pg store", "alias", 2), ("pg", "alias", 2), ("tables", "none", 2), ("dbms", "newKey", 2), ("once", "none", 1), ("far", "none", 2), ("a question that is long", "none", 2)}
+    row = maintain.apply_aliases(k, learned).where("key_id = 'k'").first()
+    assert row.aliases == ["db", "pg store", "pg"] and [a.hits for a in row.learned_aliases] == [0, 0] and set(row.alias_candidates) == {"tables", "once", "far", "a question that is long"}
+    again = maintain.learn_aliases(spark.createDataFrame([("k", "m", "once", 0.9, 99.0, 99)], confirmed.schema), maintain.apply_aliases(k, learned), C.Config(promote_n=2, max_aliases=3))
+    assert [(r.n_confirmed, r.decision) for r in again.collect()] == [(2, "alias")]
+    hit = maintain.count_alias_hits(maintain.apply_aliases(k, learned), spark.createDataFrame([("k", "PG"), ("k", "pg"), ("k", "db")], "key_id string, alias string")).where("key_id = 'k'").first()
+    assert {a.alias: a.hits for a in hit.learned_aliases} == {"pg store": 0, "pg": 2}
+
+
+def test_requests_promote_and_name_keys(spark):
+    k = conform(spark.createDataFrame([("k1", "Ann", ["Annie"], "concept", 0)], "key_id string, concept string, aliases array<string>, key_type string, seq long"), KEYS)
+    asked = spark.createDataFrame([(1, "annie", "concept"), (2, "ANN", "name"), (3, "ann", "proper_noun"), (4, "Anna Lee", "concept")], "seq long, concept string, key_type string")
+    found = spark.createDataFrame([(1, "k1"), (2, "k1"), (3, "k1"), (4, "k1")], "seq long, key_id string")
+    row = write.record_keys(k, asked, found).first()
+    assert row.key_type == "name" and row.aliases == ["Annie", "Anna Lee"]
+    m, _, _ = tables(spark, [{"id": "a"}, {"id": "b"}], [], {})
+    wanted = spark.createDataFrame([("a", ["b", "a", "zz", "b"]), ("b", [])], "memory_id string, related_to array<string>")
+    assert {r.memory_id: r.links for r in write.valid_links(wanted, m).collect()} == {"a": ["b"]}
+
+
+def test_corrections_inherit_keys_that_fit(spark):
+    _, k, l = tables(spark, [{"id": "o"}, {"id": "p"}], [("near", "o", 1.5), ("far", "o", 1.0), ("Bob", "o", 1.0), ("far", "p", 2.0)], {"near": {"embedding": [1.0, 0.1]}, "far": {"embedding": [0.0, 1.0]}, "Bob": {"type": "name", "embedding": [0.0, 1.0]}})
+    new = spark.createDataFrame([("n", "o", [1.0, 0.0]), ("q", "p", [1.0, 0.0])], "memory_id string, supersedes string, embedding array<float>")
+    got = {(r.memory_id, r.key_id): r.weight for r in write.inherited_links(new, l, k).collect()}
+    assert got == {("n", "near"): 1.5, ("n", "Bob"): 1.0, ("q", "far"): 2.0}
+
+
+def test_evidence_follows_anchors(spark):
+    """A cluster that only full text found tags none of its neighbours; a real anchor does, over two hops."""
+    m, k, l = tables(spark, [{"id": x} for x in "ABCXY"] + [{"id": "L", "links": ["A"]}], [("ab", "A", 1.0), ("ab", "B", 1.0), ("bc", "B", 1.0), ("bc", "C", 1.0), ("xy", "X", 1.0), ("xy", "Y", 1.0)], {"ab": {}, "bc": {}, "xy": {}})
+    start = spark.createDataFrame([(1, "A", 1.0, ["(content)"]), (1, "X", 1.0, ["(bm25)"])], "query_id long, memory_id string, score double, via array<string>")
+    got = {r.memory_id: (r.hop, sorted(r.via)) for r in graph.expand(start, k, l, m, NOW, 3, pairs=graph.explicit_pairs(m)).collect()}
+    assert got == {"A": (1, ["(content)", "(linked)", "ab(via)"]), "X": (1, ["(bm25)"]), "Y": (2, []), "B": (2, ["ab(via)"]), "L": (2, ["(linked)"]), "C": (3, ["bc(via)"])}
+
+
+def test_an_index_is_kept(spark):
+    docs = spark.createDataFrame([("a", "red fox and dog"), ("b", "blue dog dog"), ("c", "")], "memory_id string, content string")
+    more = spark.createDataFrame([("d", "green fox")], "memory_id string, content string")
+    q = spark.createDataFrame([(1, "dog fox"), (2, "gre")], "query_id long, query string")
+    grown = bm25.Index.build(docs).add(more).discard(docs.where("memory_id = 'b'"))
+    fresh = bm25.Index.build(docs.where("memory_id <> 'b'").unionByName(more))
+    rows = lambda i: sorted((r.query_id, r.memory_id, round(r.score, 9), r["rank"]) for r in i.search(q, 10).collect())
+    assert rows(grown) == rows(fresh) and {(x[0], x[1]) for x in rows(grown)} == {(1, "a"), (1, "d"), (2, "d")}
+    assert rows(grown.keep(more)) and bm25.Index.build(docs.limit(0)).search(q, 10).count() == 0
+
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -248,11 +317,19 @@ def test_store_round_trip_and_migration(spark, tmp_path):
     s = ST.Store(spark, str(tmp_path / "s"))
     assert s.load()["memories"].count() == 0
     s.save({"keys": k, "memories": m, "links": l}, "old")
+    assert s._pointers() == [1]
     t = s.load()
     assert t["links"].count() == 1 and t["memories"].first().content == "hello world" and t["memories"].first().source is None
     e = BigramEmbedder(8)
     assert not s.migrate(e, auto=False) and s.migrate(e) and not s.migrate(e)
     assert len(s.load()["memories"].first().embedding) == 8 and s.current()["fingerprint"] == "bigram:8"
+    s.append_log(spark.createDataFrame([("x", "a", 1, 0.25), ("x", "a", 2, 0.25)], "key_id string, memory_id string, seq long, delta double"))
+    s.compact()
+    assert s.load()["links"].first().weight == pytest.approx(2.0) and s._pointers() == [2, 3] and s.compact() is None
+    side = spark.createDataFrame([("b", "m", 0, [0.0, 1.0])], "id string, kind string, part int, embedding array<float>")
+    rows = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "y", []), ("c", "zed", None)], "memory_id string, content string, embedding array<float>")
+    filled = {r.memory_id: list(r.embedding) for r in ST.fill_vectors(rows, side, "m", "memory_id", "content", BigramEmbedder(2)).collect()}
+    assert filled["a"] == [1.0, 0.0] and filled["b"] == [0.0, 1.0] and len(filled["c"]) == 2
     packs = ST.sentence_vectors(spark.createDataFrame([("a", "One sentence here. And another one."), ("b", "single")], "memory_id string, content string"), e)
     assert sorted((r.memory_id, r.sent_idx) for r in packs.collect()) == [("a", 0), ("a", 1)]
 
@@ -280,6 +357,18 @@ def test_transcripts(spark, tmp_path):
     t = TR.read_agent_a(spark, str(tmp_path / "a"))
     rows = t.orderBy("turn").collect()
     assert [(r.turn, r.role, r.content) for r in rows] == [(0, "user", "first question"), (1, "assistant", "x\ny"), (2, "user", "last")] and rows[0].session_id == uid
+    assert TR.read_agent(spark, str(tmp_path / "a"), "a").count() == 3 and TR.host_link(t, "a", uid).first().turn == 2 and TR.host_link(t, "b", uid).first().turn == 0
+    assert TR.session_file(spark, str(tmp_path / "a"), "a", uid).endswith(f"{uid}.jsonl") and TR.session_file(spark, str(tmp_path / "a"), "b", uid) is None and TR.session_file(spark, str(tmp_path / "a"), "a", "x") is None
+    out = tmp_path / "outside.jsonl"
+    other = uid.replace("123e", "923e")
+    out.write_text("{}")
+    (a / f"{other}.jsonl").symlink_to(out)
+    assert TR.session_file(spark, str(tmp_path / "a"), "a", other) is None
+    (a / f"{other}.jsonl").unlink()
+    assert TR.host_session({"S": uid}, {"a": "T", "b": "S"}) == ("b", uid) and TR.host_session({"S": "no"}, {"b": "S"}) is None
+    assert TR.transcripts_open({"S": uid}, {"b": "S"}) and not TR.transcripts_open({"S": uid, "LODESTONE_TRANSCRIPT_ACCESS": "false"}, {"b": "S"})
+    with pytest.raises(ValueError):
+        TR.read_agent(spark, str(tmp_path), "zz")
     listed = TR.sessions(t, limit=5).first()
     assert (listed.n_turns, listed.last_turn, listed.preview, listed.cwd) == (3, 2, "first question", "/w")
     assert TR.load_session(t, uid).count() == 3 and TR.load_session(t, "nope").count() == 0
@@ -315,6 +404,24 @@ def test_memory_facade(spark):
     read, after = g.read_memory(found.memory_id, via_key=hit.key_id)
     assert read.count() == 2 and after.links.where(F.col("key_id") == hit.key_id).first().weight == pytest.approx(1.1)
     assert after.memories.where(F.col("memory_id") == found.memory_id).first().depth == pytest.approx(0.05)
+    assert found.matched_via and g.sentences.count() == 0
+    long, more = g.remember([{"content": "The parrot is called Pico. It eats mango every day.", "keys": ["parrot"], "ttl": 500.0, "related_to": [found.memory_id, "zz"]}])
+    bird = long.memories.where("content LIKE '%parrot%'").first()
+    assert long.sentences.count() == 2 and bird.links == [found.memory_id] and more["duplicates"].count() == 0
+    kept, _ = long.correct(bird.memory_id, "The parrot is called Rio. It eats mango every day.")
+    rio = kept.memories.where("content LIKE '%Rio%'").first()
+    assert rio.ttl == bird.ttl == NOW + 500 and rio.links == [found.memory_id] and kept.sentences.where(F.col("memory_id") == rio.memory_id).count() == 2
+    with pytest.raises(KeyError, match="superseded"):
+        kept.read_memory(bird.memory_id)
+    found_by = g.indexed().recall_memories(["which port does the staging database use"]).orderBy("rank").first()
+    assert found_by.memory_id == found.memory_id and found_by.score == pytest.approx(found.score)
+    answered = g.recalled(["staging database"], spark.createDataFrame([(0, 1, found.memory_id)], "query_id long, rank int, memory_id string"))
+    assert answered.memories.where(F.col("memory_id") == found.memory_id).first().access_count == 1 and answered.links.agg(F.max("weight")).first()[0] == pytest.approx(1.1)
+    assert g.diagnose("staging database").where("what = 'memory'").count() == 2
+    pushed = g.push(["which port does the staging database use", "/cmd"]).collect()
+    assert all(r.query_id == 0 and r.line.startswith("- [") for r in pushed)
+    learned = g.learn(spark.createDataFrame([(hit.key_id, found.memory_id, "stage db", x, float(i), i) for i, x in enumerate([0.92, 0.92, 0.92])], "key_id string, memory_id string, query string, cosine double, ts double, read_id int"))
+    assert learned.memory_stats()["keys"] == 4 and learned.links.count() == 4
     fixed, note = g.correct(found.memory_id, "The staging database moved to port 6000 entirely")
     assert fixed.memory_stats()["memories"] == 2 and fixed.list_memories().where("content LIKE '%6000%'").count() == 1 and "staging database" in note.first().note
     left = fixed.forget([fixed.list_memories().where("content LIKE '%6000%'").first().memory_id])
