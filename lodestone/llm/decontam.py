@@ -14,10 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import spread
+
 #: Edits allowed per character of an item, and the shortest piece that is looked up.
 RATE, LEAST_PIECE = 0.06, 8
 #: Characters from which an item of under five words has an error budget (scripts without spaces).
 LEAST_CHARS = 25
+#: From here on (Thai, Lao, Tibetan, East Asian scripts) words stand without spaces.
+SPACELESS = "\u0e00"
 #: Characters of items that one pass over the texts takes.
 BLOCK_CHARS = 4_000_000
 
@@ -42,6 +46,22 @@ def cut(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
+def _joins(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word, in scripts that put spaces between words."""
+    return (a.isalnum() or a == "_") and (b.isalnum() or b == "_") and max(a, b) < SPACELESS
+
+
+def stands(item: str, text: str, lo: int, hi: int) -> bool:
+    """Whether the item stands in text[lo:hi] as it is, not as a part of longer words."""
+    at = text.find(item, lo, hi)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and _joins(text[at - 1], item[0])) and not (end < len(text) and _joins(item[-1], text[end])):
+            return True
+        at = text.find(item, at + 1, hi)
+    return False
+
+
 class Pattern:
     """Least edit distance of an item to any part of a text (Myers 1999, columns as Python integers)."""
 
@@ -113,7 +133,10 @@ class Matcher:
                 while b + 1 < len(places) and places[b + 1] - places[b] <= k:
                     b += 1
                 lo, hi = max(0, places[a] - k), places[b] + p.m + k
-                best = min(best, 0 if text.find(p.item, lo, hi) >= 0 else p.distance(text[lo:hi]))
+                if not k:
+                    best = 0 if stands(p.item, text, lo, hi) else best
+                else:
+                    best = min(best, 0 if text.find(p.item, lo, hi) >= 0 else p.distance(text[lo:hi]))
                 a = b + 1
             if best <= k:
                 out.append((i, best))
@@ -142,13 +165,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """docs with one more column, the benchmark items that stand in the row's text: array of (item,
     distance), by item.
 
-    An item stands in a text if some part of the text is within int(rate * characters) edits of it
-    (see `edits` for short items), both lower-cased with single spaces. Null and empty texts hold
+    An item stands in a text if some part of the text is within int(rate * characters) edits of it,
+    both lower-cased with single spaces. An item without a budget (see `edits`) must stand as it is and
+    not as a part of longer words: "the" stands in "the end", not in "then". Null and empty texts hold
     nothing; null and empty items stand nowhere. A null item id stays null. Repeated items count
     once, repeated rows each get their hits, an empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
-    out = docs.withColumn(column, F.array().cast(_HITS_SQL))
+    out = spread(docs).withColumn(column, F.array().cast(_HITS_SQL))
     for block in _blocks(benchmark, item_col, item_text_col):
         sent = sc.broadcast(block)  # BLOCK_CHARS characters, or one item
 
@@ -178,7 +202,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of docs, all columns, in whose text no benchmark item stands."""
-    return find_items(docs, benchmark, text_col, rate=rate, column="_hits").where(F.size("_hits") == 0).drop("_hits")
-
-
+    """The rows of docs, all columns, in whose text no benchmark item stands; see `find_items`."""
+    column = next(c for c in (f"_hits{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    return find_items(docs, benchmark, text_col, rate=rate, column=column).where(F.size(column) == 0).drop(column)
