@@ -1,7 +1,7 @@
 """License scans by diagonal voting, on DataFrame operations alone.
 
-All rolling word k-gram hashes of the texts meet the positions of the templates' k-grams in a
-broadcast join (templates are a constant list of bounded size). A meeting votes for the diagonal
+All rolling word k-gram hashes of the texts meet the positions of the templates' k-grams in an
+equi-join, a broadcast one while there are few templates. A meeting votes for the diagonal
 (text position - template position) of its template; neighbouring diagonals merge, so that words
 put in or left out don't break a place; and a place is verified: its score is the longest run of
 meetings that goes forward in both text and template within a bounded total drift. Only meetings
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.durable import spread
 from .common import materialize
 
 #: Words to find exactly, and their labels.
@@ -27,8 +28,9 @@ TEMPLATES = {
     "gfdl": "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
-#: Words of a k-gram, template words at most, and the share of a template that a place must have.
-K, MAX_TEMPLATE_WORDS, SHARE = 2, 100_000, 0.8
+#: Words of a k-gram, template k-grams up to which they are broadcast (more are shuffled), and the share of a
+#: template that a place must have.
+K, BROADCAST_GRAMS, SHARE = 2, 100_000, 0.8
 #: Diagonals that merge: so many words may have been put in or left out.
 DRIFT = 3
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,14 +44,18 @@ def _templates(spark, phrases: dict[str, str], templates: dict[str, str]) -> Dat
             if len(words) < K:
                 raise ValueError(f"a template needs {K} words")
             rows += [(kind, label, text, len(words), j, " ".join(words[j : j + K])) for j in range(len(words) - K + 1)]
-    if len(rows) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates of over {MAX_TEMPLATE_WORDS} words")
-    return spark.createDataFrame(rows, "kind string, label string, template string, m int, j int, gram string")
+    out = spark.createDataFrame(rows, "kind string, label string, template string, m int, j int, gram string")
+    out = out.select("*", *(F.split_part("gram", F.lit(" "), F.lit(e + 1)).alias(f"t{e}") for e in range(K))).withColumn("h", F.xxhash64(*(f"t{e}" for e in range(K))))
+    return F.broadcast(out) if len(rows) <= BROADCAST_GRAMS else out.hint("shuffle_merge")
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    return F.struct(F.xxhash64(id_col, text_col).alias("a"), F.xxhash64(F.lit(1), text_col, id_col).alias("b")).alias("row")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
     """The meetings of text k-grams and template k-grams: (row, kind, label, template, m, j, i,
-    diagonal), where row is the hash of a document's id and text, i and j are word positions.
+    diagonal), where row names a document by 128 bits of its id and text, i and j are word positions.
 
     Texts are lower-cased; words are runs of letters, digits and non-ASCII characters. A base
     phrase counts wherever its words stand consecutively. A template counts where at least SHARE of
@@ -62,7 +68,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     templates = TEMPLATES if templates is None else templates
     # lower() maps no character but A-Z and the Kelvin sign to an ASCII letter; no phrase word has a k
     words = F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), _BREAK)
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), words.alias("all"))
+    texts = spread(docs.select(id_col, text_col)).select(_row(id_col, text_col), words.alias("all"))
     # a text that begins or ends with a break has an empty string there
     lead, trail = (F.when(F.element_at("all", e) == "", 1).otherwise(0) for e in (1, -1))
     inner = F.slice("all", lead + 1, F.greatest(F.size("all") - lead - trail, F.lit(0)))
@@ -71,7 +77,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     gram = [f"w{e}" for e in range(K)]
     at = shifted.select("row", F.posexplode(F.arrays_zip(*gram)).alias("i", "g")).select("row", "i", *(F.col(f"g.{w}").alias(w) for w in gram))
     t = _templates(spark, phrases, templates)
-    t = F.broadcast(t.select("*", *(F.split_part("gram", F.lit(" "), F.lit(e + 1)).alias(f"t{e}") for e in range(K))).withColumn("h", F.xxhash64(*(f"t{e}" for e in range(K)))))  # MAX_TEMPLATE_WORDS rows at most
     same = F.xxhash64(*gram) == F.col("h")
     for e in range(K):
         same &= F.col(f"w{e}") == F.col(f"t{e}")
@@ -122,7 +127,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     met = scan(docs, id_col, text_col, phrases, templates)
     # one pass over the texts: the word counts and the few meetings are kept, not the words
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), _row(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     n_words = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
     found = places(materialize(met.distinct(), "met"))
     base = F.col("kind") == "base"

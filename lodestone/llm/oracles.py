@@ -49,26 +49,35 @@ FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 
 
 def _license() -> str:
+    """Own labels by brute force: chains of meetings grow one by one, forward in text and template, and all
+    of a chain's diagonals lie within the drift of its first and in one run of near diagonals."""
     grams = []
     for kind, pairs in (("base", BASE_PHRASES.items()), ("own", ((v, k) for k, v in TEMPLATES.items()))):
         for text, label in pairs:
             words = text.split(" ")
             grams += [f"('{kind}', '{label}', '{text}', {len(words)}, {j}, '{' '.join(words[j : j + K])}')" for j in range(len(words) - K + 1)]
     return r"""
-WITH t(kind, label, template, m, j, gram) AS (VALUES %s),
+WITH RECURSIVE t(kind, label, template, m, j, gram) AS (VALUES %(grams)s),
 w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
-g AS (SELECT doc_id, i - 1 AS i, array_to_string(list_slice(words, i, i + %d), ' ') AS gram FROM w, unnest(range(1, len(words) - %d)) AS r(i)),
-v AS (SELECT doc_id, kind, label, template, m, i - j AS diagonal, count(*) AS votes FROM g JOIN t USING (gram) GROUP BY ALL),
-b AS (SELECT doc_id, label, diagonal AS start FROM v WHERE kind = 'base' AND votes = m - %d),
-c AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > %d THEN 1 ELSE 0 END AS fresh FROM v WHERE kind = 'own' WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-d AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS place FROM c),
-o AS (SELECT doc_id, label, least(1.0, CAST(sum(votes) AS DOUBLE) / (m - %d)) AS hit FROM d GROUP BY doc_id, label, template, m, place HAVING least(1.0, CAST(sum(votes) AS DOUBLE) / (m - %d)) >= %s),
-x AS (SELECT doc_id, label, start, 1.0 AS hit FROM b UNION ALL SELECT doc_id, label, NULL, hit FROM o),
+g AS (SELECT doc_id, i - 1 AS i, array_to_string(list_slice(words, i, i + %(k)d - 1), ' ') AS gram FROM w, unnest(range(1, len(words) - %(k)d + 2)) AS r(i)),
+e AS MATERIALIZED (SELECT doc_id, kind, label, template, m, i, j, i - j AS d FROM g JOIN t USING (gram)),
+b AS (SELECT doc_id, label, d AS start FROM e WHERE kind = 'base' GROUP BY doc_id, label, template, m, d HAVING count(*) = m - %(k)d + 1),
+n AS MATERIALIZED (SELECT doc_id, label, template, m, i, j, d, CAST(greatest(%(drift)d, m // 2) AS INTEGER) AS drift FROM e WHERE kind = 'own'),
+f AS (SELECT DISTINCT doc_id, template, d FROM n),
+p AS MATERIALIZED (SELECT n.* FROM n SEMI JOIN (SELECT doc_id, template FROM n GROUP BY 1, 2, m HAVING count(DISTINCT j) >= %(share)s * (m - %(k)d + 1)) USING (doc_id, template)),
+c(doc_id, template, low, i, j, d, size) AS (
+  SELECT doc_id, template, lo.d, p.i, p.j, p.d, 1 FROM p JOIN f lo USING (doc_id, template) WHERE p.d BETWEEN lo.d AND lo.d + p.drift
+    AND NOT EXISTS (SELECT 1 FROM f a WHERE a.doc_id = p.doc_id AND a.template = p.template AND a.d >= lo.d AND a.d < p.d AND NOT EXISTS (SELECT 1 FROM f z WHERE z.doc_id = a.doc_id AND z.template = a.template AND z.d > a.d AND z.d <= a.d + %(drift)d))
+  UNION
+  SELECT c.doc_id, c.template, c.low, p.i, p.j, p.d, c.size + 1 FROM c JOIN p ON p.doc_id = c.doc_id AND p.template = c.template AND p.i > c.i AND p.j > c.j AND p.d BETWEEN c.low AND c.low + p.drift
+    AND NOT EXISTS (SELECT 1 FROM f a WHERE a.doc_id = p.doc_id AND a.template = p.template AND a.d >= c.low AND a.d < p.d AND NOT EXISTS (SELECT 1 FROM f z WHERE z.doc_id = a.doc_id AND z.template = a.template AND z.d > a.d AND z.d <= a.d + %(drift)d))),
+o AS (SELECT doc_id, any_value(q.label) AS label, CAST(max(size) AS DOUBLE) / (any_value(q.m) - %(k)d + 1) AS hit FROM c JOIN (SELECT DISTINCT label, template, m FROM t WHERE kind = 'own') q USING (template) GROUP BY doc_id, template),
+x AS (SELECT doc_id, label, start, 1.0 AS hit FROM b UNION ALL SELECT doc_id, label, NULL, hit FROM o WHERE hit >= %(share)s),
 s AS (SELECT doc_id, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (start IS NOT NULL) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(hit) AS score FROM x GROUP BY 1)
 SELECT w.doc_id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM w LEFT JOIN s ON w.doc_id = s.doc_id
-""" % (", ".join(grams), K - 1, K - 2, K - 1, DRIFT, K - 1, K - 1, SHARE)
+""" % {"grams": ", ".join(grams), "k": K, "drift": DRIFT, "share": SHARE}
 
 
 ORACLES: dict[str, str] = {
