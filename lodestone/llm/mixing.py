@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from ..operators.durable import spread
+from .common import WORD, drop_table, materialize
 
 #: Words of a remainder that the dynamic programme fits; what is above is filled by proportion.
 DP_WORDS = 1 << 16
@@ -105,7 +106,7 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     passes = int(target // size) if size else 0
     rows = rows.sort_values("size", ignore_index=True)
     extra = fit_lengths(rows["size"].to_numpy(np.int64), rows["docs"].to_numpy(np.int64), target - passes * size)
-    return pd.DataFrame({"source": rows["source"], "size": rows["size"], "passes": passes, "extra": extra})
+    return pd.DataFrame({"_source": rows["_source"], "size": rows["size"], "passes": passes, "extra": extra})
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
@@ -121,24 +122,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     carry = list(carry or ())
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     mark = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("_source"), size.alias("size"), mark.alias("_mark"), *(F.col(c).alias(f"_also_{c}") for c in carry))
-    if carry:  # texts aren't read or shuffled twice for their sizes
-        rows = materialize(rows, "sized")
+    # a null source under a name of its own, so that all joins and windows deal rows by the same plain columns
+    known = F.col(source_col).cast("string")
+    rows = spread(docs).select(F.col(id_col), F.when(known.isNull(), "0").otherwise(F.concat(F.lit("1"), known)).alias("_source"), size.alias("size"), mark.alias("_mark"), *(F.col(c).alias(f"_also_{c}") for c in carry))
+    rows = materialize(rows, "sized")  # words are counted once
     rows = rows.withColumn("_slot", F.pmod("_mark", F.lit(SLOTS)).cast("int"))
-    counts = materialize(rows.groupBy(F.col("_source").alias("source"), "size", F.col("_slot").alias("slot")).agg(F.count("*").alias("docs")), "counts")
-    sizes = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, share, most), "targets")
-    lengths = counts.groupBy("source", "size").agg(F.sum("docs").alias("docs"))
-    lengths = lengths.join(targets, lengths["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    fitted = lengths.groupBy("source").applyInPandas(_fit, "source string, size long, passes long, extra long")
-    before = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(rows.groupBy("_source", "size", "_slot").agg(F.count("*").alias("docs")), "counts")
+    sizes = counts.groupBy("_source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
+    named = sizes.select(F.when(F.col("_source") != "0", F.substring("_source", 2, 2**31 - 1)).alias("source"), "source_size")
+    targets = source_targets(named, weights, share, most)
+    targets = materialize(targets.select(F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source")).alias("_source"), "source_size", "target"), "targets")
+    lengths = counts.groupBy("_source", "size").agg(F.sum("docs").alias("docs")).join(targets, "_source")
+    fitted = lengths.groupBy("_source").applyInPandas(_fit, "_source string, size long, passes long, extra long")
+    before = Window.partitionBy("_source", "size").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = counts.withColumn("before", F.coalesce(F.sum("docs").over(before), F.lit(0)))  # SLOTS rows a length at most
-    c, f, t = slots.alias("c"), fitted.alias("f"), targets.alias("t")
-    plan = c.join(f, F.col("c.source").eqNullSafe(F.col("f.source")) & (F.col("c.size") == F.col("f.size"))).join(t, F.col("c.source").eqNullSafe(F.col("t.source")))
-    plan = materialize(plan.select("c.source", "c.size", "slot", "before", "passes", "extra", "source_size", "target"), "plan")
+    plan = slots.join(fitted, ["_source", "size"]).join(targets, "_source")
+    plan = materialize(plan.select("_source", "size", "_slot", "before", "passes", "extra", "source_size", "target"), "plan")
+    for x in (counts, targets):
+        drop_table(x)
     order = Window.partitionBy("_source", "size", "_slot").orderBy("_mark", id_col)
-    ranked = rows.withColumn("_rank", F.row_number().over(order))
-    p = plan.alias("p")
-    out = ranked.join(p, ranked["_source"].eqNullSafe(F.col("p.source")) & (ranked["size"] == F.col("p.size")) & (ranked["_slot"] == F.col("p.slot")))
+    out = rows.withColumn("_rank", F.row_number().over(order)).join(plan, ["_source", "size", "_slot"])
     copies = F.col("passes") + F.when(F.col("before") + F.col("_rank") <= F.col("extra"), 1).otherwise(0)
-    return out.select(F.col(id_col), ranked["size"].alias("size"), "source_size", "target", (copies * ranked["size"]).cast("long").alias("taken"), copies.cast("long").alias("copies"), *(F.col(f"_also_{c}").alias(c) for c in carry))
+    return out.select(F.col(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"), *(F.col(f"_also_{c}").alias(c) for c in carry))
