@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, pieces, rolling, words_of
+from ..operators.durable import spread
+from .common import drop_table, materialize, mix, pieces, rolling, words_of
 
 #: Labelled rows that a fit uses at most (about: a seeded share of them), and the sums' partitions.
 TRAIN_ROWS, SUM_PARTITIONS = 60_000, 16
@@ -134,31 +135,38 @@ class Model:
         return np.clip(np.interp(self.raw(x), *self.knots), 0.0, 1.0)
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, x array<double>) for each row."""
+def held_out(id_column: Column) -> Column:
+    """Rows that no fit may see: crc32 of the id as text leaves 1 on division by 3 (null id: false)."""
+    return F.coalesce(F.crc32(id_column.cast("string")) % 3 == 1, F.lit(False))
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int, seed: int) -> DataFrame:
+    """A written table (y, u, x) of the labelled rows of docs that a fit uses: those with label 0 or 1 that aren't
+    held out; of more than `train_rows` a share by the hash u (0 to 999,999) of the id. Ids alone are counted
+    and drawn, so that only the texts drawn are read into statistics."""
+    y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("_id")))
+    known = materialize(y.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "known")
+    n = known.count()
+    u = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000))
+    drawn = known.withColumn("u", u).where(F.col("u") < (1_000_000 if n <= train_rows else int(1_000_000 * train_rows / n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
-                x = statistics(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64()))], [id_col, "x"])
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
-
+                x = statistics(batch.column(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64()))], ["y", "u", "x"])
 
-def held_out(id_column: Column) -> Column:
-    """Rows that no fit may see: crc32 of the id as text leaves 1 on division by 3 (null id: false)."""
-    return F.coalesce(F.crc32(id_column.cast("string")) % 3 == 1, F.lit(False))
+    texts = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")))
+    picked = texts.join(F.broadcast(drawn), "_id")  # about train_rows ids
+    out = materialize(picked.select("y", "u", "text").mapInArrow(run, "y int, u long, x array<double>"), "labelled")
+    drop_table(known)
+    return out
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, seed: int = 7) -> Model:
-    """Fit on the labelled rows of `stats` that aren't held out; of more than `train_rows` a seeded
-    share. Labels other than 0 and 1 are left out. Without rows of both labels the model gives every
-    text the mean label (0.5 without labels)."""
-    y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("_id")))
-    rows = stats.join(y, stats[id_col] == y["_id"]).select("x", "y", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)).alias("u"))
-    rows = materialize(rows, "labelled")
+def fit(rows: DataFrame, seed: int = 7) -> Model:
+    """Fit on (y, u, x): four fifths, by u, for the ridge, a fifth for the calibration. Without rows of both
+    labels the model gives every text the mean label (0.5 without labels). The ridge grows with the rows in
+    the sums, so that labels that no fit sees don't matter."""
     n, ones = rows.agg(F.count("*"), F.sum("y")).first()
     ones = ones or 0
     rng = np.random.default_rng(seed)
@@ -166,8 +174,6 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     flat = Model(np.zeros(STATISTICS), np.ones(STATISTICS), weights, phase, np.array([ones / n if n else 0.5]), (np.zeros(0), np.zeros(0)))
     if not n or ones in (0, n):
         return flat
-    if n > train_rows:
-        rows = rows.where(F.col("u") < int(1_000_000 * train_rows / n))
     moments = rows.select([f(F.col("x")[i]).alias(f"{name}{i}") for i in range(STATISTICS) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     model = flat
     model.center = np.array([moments[f"m{i}"] for i in range(STATISTICS)])
@@ -175,18 +181,19 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     model.scale[~(model.scale > 1e-9)] = 1.0
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
+        a, b, n = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1), 0
         for part in batches:
             z = model.expand(np.stack(part["x"].to_numpy())) if len(part) else np.zeros((0, FEATURES + 1))
             a += z.T @ z
             b += z.T @ part["y"].to_numpy(float)
-        yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
+            n += len(part)
+        yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()], "n": [n]})
 
     fold = F.col("u") % 5 == 0
-    parts = rows.where(~fold).coalesce(SUM_PARTITIONS).mapInPandas(sums, "a binary, b binary").collect()  # SUM_PARTITIONS at most
+    parts = rows.where(~fold).coalesce(SUM_PARTITIONS).mapInPandas(sums, "a binary, b binary, n long").collect()  # SUM_PARTITIONS at most
     a = sum(np.frombuffer(p["a"]) for p in parts).reshape(FEATURES + 1, FEATURES + 1)
     b = sum(np.frombuffer(p["b"]) for p in parts)
-    model.solution = np.linalg.solve(a + RIDGE * n * np.eye(len(b)) / FEATURES, b)
+    model.solution = np.linalg.solve(a + RIDGE * sum(p["n"] for p in parts) * np.eye(len(b)) / FEATURES, b)
 
     def raws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -199,6 +206,13 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     return model
 
 
+def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int, seed: int = 7) -> Model:
+    rows = labelled_statistics(docs, labels, id_col, text_col, label_col, train_rows, seed)
+    model = fit(rows, seed)
+    drop_table(rows)
+    return model
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row for each document: id_col, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
@@ -206,25 +220,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     of no words. Repeated rows stay and score alike; an empty table gives no rows. Labels of unknown
     documents don't matter; see `fit` for which ones do.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col), "stats")
-    model = fit(stats, labels, id_col, label_col, train_rows)
+    model = trained(docs, labels, id_col, text_col, label_col, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                s = model.score(statistics(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
     kind = dict(docs.dtypes)[id_col]
-    out = stats.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    out = spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that score at least `least`; one further pass over the texts and no
-    shuffle of them."""
-    stats = materialize(document_statistics(docs, id_col, text_col), "stats")
-    model = fit(stats, labels, id_col, label_col, train_rows)
+    """The rows of docs, all columns, that score at least `least`; see `score_documents`. Texts aren't shuffled."""
+    model = trained(docs, labels, id_col, text_col, label_col, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -232,4 +243,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 text = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array(model.score(statistics(text)) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
