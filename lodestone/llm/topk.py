@@ -3,8 +3,9 @@
 Vectors get one more coordinate that lifts them to equal length, so that the largest inner product
 is the smallest distance. A vector's cell is its nearest pivot and the ring of its distance to it;
 cells are packed into chunks. For a block of queries, the rings around each query's own place are
-searched first and bound its k-th distance; every further chunk is left out once the triangle
-inequality puts all of it beyond that bound. Nothing is approximate: every row is indexed.
+searched first and bound its k-th distance; then only the rings are read that the triangle
+inequality doesn't put beyond the bound of every query of the block. Chunks lie in order of their
+cells, so the choice of rings reaches the scan. Nothing is approximate: every row is indexed.
 """
 
 from __future__ import annotations
@@ -155,11 +156,24 @@ def exact_topk(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK_ROWS)).cast("int")
     chunks = ringed.join(F.broadcast(rings.select("pivot", "ring", "n")), ["pivot", "ring"]).withColumn("chunk", deal)
     chunks = chunks.groupBy("pivot", "ring", "chunk").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.collect_list(F.struct("id", "v")).alias("rows"))
-    chunks = materialize(chunks.select("pivot", "ring", "near", "far", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vs")), "chunks")
-    drop_table(placed)
-    edges = rings.select("pivot", "ring", "lo", "hi").toPandas()  # PIVOTS * RINGS rows at most
+    cell = F.col("pivot") * RINGS + F.col("ring")
+    chunks = chunks.select(cell.alias("cell"), "chunk", "pivot", "ring", "near", "far", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vs"))
+    # in order of cells, so that a scan for some cells skips the files and row groups of others
+    files = max(1, -(-placed.count() // (16 * CHUNK_ROWS)))
+    chunks = materialize(chunks.repartitionByRange(files, "cell", "chunk").sortWithinPartitions("cell", "chunk"), "chunks")
+    edges = rings.select("pivot", "ring", "lo", "hi").toPandas().sort_values(["pivot", "ring"], ignore_index=True)  # PIVOTS * RINGS rows at most
+    cells = (edges["pivot"] * RINGS + edges["ring"]).to_numpy()
     width = lengths["d"]
 
+    def of(wanted: np.ndarray) -> DataFrame:
+        """The chunks of some cells: stretches of neighbouring ones are ranges that reach the scan."""
+        wanted = np.unique(wanted)
+        cut = np.flatnonzero(np.diff(np.searchsorted(cells, wanted), prepend=-2) != 1)
+        here = F.lit(False)
+        for a, b in zip(cut, np.append(cut[1:], len(wanted)), strict=True):
+            here |= F.col("cell").between(int(wanted[a]), int(wanted[b - 1]))
+        return chunks.where(here)
+
     def search(block: tuple[np.ndarray, np.ndarray], bound: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
@@ -176,15 +190,25 @@ def exact_topk(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
         d = space.to_pivots(block[1])
         own = d.argmin(1)
-        first = np.zeros((len(own), 2))  # rings around each query's own distance, until they hold enough rows
-        for p in np.unique(own):
-            e = edges[edges["pivot"] == p].sort_values("ring")
-            for r in np.flatnonzero(own == p):
-                at = int(np.searchsorted(e["hi"].to_numpy(), d[r, p])) if len(e) else 0
-                at = min(at, len(e) - 1)
-                first[r] = (e["ring"].iloc[max(0, at - 1)], e["ring"].iloc[min(len(e) - 1, at + 1)]) if len(e) else (0, -1)
+        if bound is None:  # the rings around each query's own distance
+            first = np.zeros((len(own), 2))
+            wanted = []
+            for p in np.unique(own):
+                e = edges[edges["pivot"] == p]
+                for r in np.flatnonzero(own == p):
+                    at = min(int(np.searchsorted(e["hi"].to_numpy(), d[r, p])), len(e) - 1)
+                    near = e["ring"].iloc[max(0, at - 1) : at + 2].to_numpy()
+                    first[r] = near[0], near[-1]
+                    wanted.append(p * RINGS + near)
+            wanted = np.concatenate(wanted)
+        else:  # every ring that the triangle inequality doesn't put beyond some query's bound
+            reach = np.where(bound == Search.EMPTY, np.inf, np.sqrt(np.maximum(2 * space.most - 2.0 * bound, 0)))
+            reach = reach * (1 + SLACK) + SLACK * np.sqrt(space.most)
+            away = d[:, edges["pivot"]]
+            least = np.maximum(np.maximum(away - edges["hi"].to_numpy(), edges["lo"].to_numpy() - away), 0)
+            wanted = cells[(least <= reach[:, None]).any(0)]
         sent = spark.sparkContext.broadcast(block)  # BLOCK_QUERIES vectors
-        return chunks.mapInArrow(run, "query_id long, vec_id long, score long")
+        return of(wanted).mapInArrow(run, "query_id long, vec_id long, score long")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
@@ -192,7 +216,8 @@ def exact_topk(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     out = None
-    queries = vectors.where(F.col("id") % query_every == 0).select("id", "v")
+    # queries near one another share a block, and so the cells that it reads
+    queries = materialize(placed.where(F.col("id") % query_every == 0).select("id", "v", "pivot", "d"), "queries").orderBy("pivot", "d", "id")
     block: list = []
 
     def flush() -> None:
@@ -213,6 +238,6 @@ def exact_topk(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             flush()
     if block:
         flush()
+    for x in (vectors, placed, rings, chunks, queries):
+        drop_table(x)
     return spark.createDataFrame([], schema) if out is None else out
-
-
