@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import spread
 from .common import WORD, pieces, words_of
 
 #: Vocabulary entries at most, and different words kept in a worker's memo.
@@ -145,7 +146,7 @@ def token_counts(docs: DataFrame, vocabulary: tuple[list[str], list[str]], id_co
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_words long, n_tokens long, n_unknown long").withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(run, f"id {kind}, n_words long, n_tokens long, n_unknown long").withColumnRenamed("id", id_col)
 
 
 __all__ = ["WORD", "Automaton", "sentencepiece_pieces", "token_counts"]
