@@ -3,6 +3,7 @@ vectorised word handling on Arrow string buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled at once inside a Python worker; bounds its memory.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 750_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "part") -> DataFrame:
+def materialize(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: cuts lineage, survives lost
-    executors, and lets later jobs prune columns."""
+    executors, and lets later jobs prune columns. rows: about how many there are, so that few rows make few
+    files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, rows // FILE_ROWS))).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -50,6 +52,52 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a file where a table's size is known.
+FILE_ROWS = 200_000
+#: Bits of a sieve.
+SIEVE_BITS = 1 << 25
+
+
+class Sieve:
+    """Which 64-bit hashes may be in a column of `df`: a bitmap of SIEVE_BITS bits whatever the table's size.
+    No hash of the column is ever missed; others pass the more often the larger the table is. What it
+    keeps out of a shuffle is a saving only: a join must follow."""
+
+    def __init__(self, df: DataFrame, column: str):
+        at = F.pmod(F.col(column), F.lit(SIEVE_BITS)) + 1
+        rows = df.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+        bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+        for r in rows.collect():  # SIEVE_BITS / 32768 rows of 4 KB
+            part = np.frombuffer(r["bits"], np.uint8)
+            at_ = (r["b"] - 1) * 4096
+            bits[at_ : at_ + len(part)] |= part
+        self.sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(_U) & _U(SIEVE_BITS - 1)
+        return (self.sent.value[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+
+    def passes(self, column: str):
+        """Whether a row's hash may be in the set, as a column."""
+
+        @F.arrow_udf("boolean")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for h in batches:
+                yield pa.array(self.test(h.to_numpy(zero_copy_only=False)))
+
+        return run(F.col(column))
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system: workers outlive their tasks, and an executor's memory
+    counts them all."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library, which has no such call
+        pass
+
+
 def ascii_lower(col):
     """A-Z to a-z, everything else unchanged."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

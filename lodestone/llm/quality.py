@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import spread
-from .common import drop_table, materialize, mix, pieces, rolling, words_of
+from .common import drop_table, materialize, mix, pieces, release, rolling, words_of
 
 #: Labelled rows that a fit uses at most (about: a seeded share of them), and the sums' partitions.
 TRAIN_ROWS, SUM_PARTITIONS = 60_000, 16
@@ -242,5 +242,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             for batch in pieces(whole, text_col):
                 text = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array(model.score(statistics(text)) >= least))
+        release()
 
     return spread(docs).mapInArrow(run, docs.schema)

@@ -56,6 +56,17 @@ def test_words_match_the_definition():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_a_text_has_one_hash_wherever_it_stands():
+    rng = random.Random(14)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 200))) for _ in range(300)]
+    seen = {}
+    for order in (texts, texts[::-1], [*texts[150:], "a b", *texts[:150]]):
+        w = common.words_of(pa.array(order))
+        for t, *h in zip(order, simhash._text_hash(w, 0), simhash._text_hash(w, 1), strict=True):
+            assert seen.setdefault(tuple(t.split()), h) == h
+    assert len({tuple(h) for h in seen.values()}) == len(seen) == len({h[0] for h in seen.values()})
+
+
 # ---------------------------------------------------------------- 1
 
 
@@ -113,6 +124,95 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 150)}}
 
 
+def test_a_long_path_is_one_component(spark):
+    order = random.Random(5).sample(range(5001), 5001)
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
+
+
+def test_a_walk_links_equal_keys_exactly():
+    """Keys of few values, and a near test that links neighbours in a line: forests must match brute force."""
+    rng = np.random.default_rng(6)
+    for size, other in ((300, 0), (200, 150), (40, 1)):
+        place = rng.permutation(size + other) * rng.integers(1, 3, size + other)
+        near = lambda i, j: np.abs(place[i] - place[j]) <= 1  # noqa: B023, E731
+        keys = rng.integers(0, 4, size + other).astype(np.uint64) << np.uint64(40)
+        keys[:size].sort()
+        keys[size:].sort()
+        x, y = simhash._walk(keys[:size], keys[size:] if other else None, 1, 64, near)
+        forest = simhash.Forest(size + other)
+        forest.union(x, y)
+        close = (np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 1) & (np.abs(place[:, None] - place[None, :]) <= 1)
+        if other:
+            close[:size, :size] = close[size:, size:] = False
+        assert forest.root.tolist() == roots(size + other, zip(*np.nonzero(close), strict=True))
+
+
+def test_near_keys_share_a_route():
+    rng = np.random.default_rng(9)
+    for bits, budget, depth in ((64, 3, 0), (64, 3, 9), (64, 3, 20), (32, 3, 8), (32, 3, 11), (32, 2, 17), (16, 5, 6)):
+        ways = simhash.routes(bits, budget, depth)
+        assert all(sum(n for _, n in w) >= min(depth, bits - budget) for w in ways)
+        for _ in range(200):
+            a = int(rng.integers(0, 2**62)) % (1 << bits)
+            b = a
+            for at in rng.choice(bits, budget, replace=False):
+                b ^= 1 << int(at)
+            cut = lambda x, w: [x >> (bits - first - n) & ((1 << n) - 1) for first, n in w]
+            assert any(cut(a, w) == cut(b, w) for w in ways)
+
+
+@pytest.mark.parametrize("limit", [100])
+def test_crowded_nodes_are_split_and_dealt(spark, limit):
+    """Keys in small groups, and some that crowd far over the limit, by one key and by many, against brute force."""
+    rng = np.random.default_rng(7)
+    own = rng.integers(0, 2**63, 60, dtype=np.int64)
+    flip = lambda x: x ^ (1 << rng.integers(0, 63, len(x)))
+    keys = np.concatenate([own, flip(own), flip(flip(flip(flip(own)))), (own[:1] & ~0xFFF) | rng.permutation(4096)[:400], np.full(50, own[5])])
+    df = spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)], "key long, i long")
+
+    def walk(blocks):
+        rows = [np.sort(b.to_numpy(zero_copy_only=False).view(np.uint64)) for b in blocks]
+        x, y = simhash._walk(rows[0], rows[1] if len(rows) > 1 else None, 3, 64)
+        both = np.concatenate(rows).view(np.int64)
+        return both[x], both[y]
+
+    edges, used = simhash._walk_nodes(df, [], "key", limit, len(keys), 64, 3, walk)
+    assert len(used) == 3 and used[1].agg(F.max("depth")).first()[0] > 40
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    near = np.bitwise_count((keys[:, None] ^ keys[None, :]).view(np.uint64)) <= 3
+    want = roots(len(keys), zip(*np.nonzero(near), strict=True))
+    least = {}
+    for i, x in enumerate(want):
+        least[x] = min(least.get(x, 2**63), int(keys[i]))
+    assert all(got.get(int(k), int(k)) == least[x] for k, x in zip(keys, want, strict=True))
+
+
+def test_the_sieve_misses_nothing(spark):
+    rng = np.random.default_rng(8)
+    have = rng.integers(-(2**63), 2**63 - 1, 2000, dtype=np.int64)
+    sieve = common.Sieve(spark.createDataFrame([(int(x),) for x in have], "h long"), "h")
+    assert sieve.test(have).all()
+    assert sieve.test(rng.integers(-(2**63), 2**63 - 1, 100_000, dtype=np.int64)).mean() < 0.001
+    df = spark.createDataFrame([(int(have[0]),), (int(have[0]) ^ 1,)], "h long")
+    assert [r.ok for r in df.select(sieve.passes("h").alias("ok")).collect()] == [True, bool(sieve.test(np.array([have[0] ^ 1]))[0])]
+    assert not common.Sieve(spark.createDataFrame([], "h long"), "h").test(have).any()
+
+
+def test_rows_go_by_id_and_text(spark):
+    base = " ".join(f"token{i}" for i in range(60))
+    own = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, base), (2, base), (2, own), (3, own + " end"), (3, own + " end"), (4, ""), (4, ""), (4, None), (None, base), (5, base.upper()), (6, LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "row", "_row0", "keep", "gone", "_gone_id"):
+        df = df.withColumn(c, F.lit("clash"))
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), r.text) for r in out.collect() if r.text)
+    assert got == sorted([("1", base), ("2", own), ("6", LONG)])
+    assert sorted(str(r.text) for r in out.where("doc_id = 4").collect()) == ["", "None"]
+
+
 def test_near_duplicates_by_similarity(spark):
     rng = random.Random(1)
     vocabulary = [f"v{i}" for i in range(3000)]
@@ -260,7 +360,7 @@ def test_mix_edges(spark):
 # ---------------------------------------------------------------- 3
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     urls = [
         None, "", "no scheme", "http://", "https://Example.COM/en/a", "https://www.example.com/en/a", "https://x.www.example.com/en/", "https://badexample.com/en/", "http://a.net/es/1?x#y", "http://net/fr/", "http://a.net/de/", "http://a.net/es",
         "https://a.com", "https://a.com?x=/", "ftp://b.org/feed.xml", "http://casino.org/", "http://b.org/x/ads/y", "http://b.org/Login", "http://u://v/com/", "http://a.net/ES/", "http://a.org/" + "p/" * 5000, "HTTP://A.COM/\n",
@@ -282,6 +382,14 @@ def test_url_filter(spark):
             assert r.verdict == max(fits)[2]
     by_id = {r.page_id: r for r in got}
     assert [by_id[i].pattern for i in (14, 15, 16, 17)] == ["feed-file", "casino-host", "ads-path", "login-page"]
+    monkeypatch.setattr(urlfilter, "CONSTANT_RULES", 3)
+    joined = urlfilter.judge(df)
+    assert joined.columns == ["page_id", "host", "path", "rule", "verdict", "pattern"] and sorted(map(str, joined.collect())) == sorted(map(str, got))
+    many = tuple(urlfilter.Rule.prefix(f"host{i}.org", "/p/", "block") for i in range(300))
+    asked = spark.createDataFrame([(i, f"http://x.host{i}.org/p/{i}") for i in range(0, 600, 3)], "page_id long, url string")
+    assert {r.page_id for r in urlfilter.judge(asked, rules=many).where("verdict = 'block'").collect()} == set(range(0, 300, 3))
+    assert urlfilter.judge(df.limit(0)).count() == 0
+    monkeypatch.undo()
     assert urlfilter.judge(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         urlfilter.judge(df, rules=(urlfilter.Rule.regex("all", "block", ".*"),))
@@ -353,6 +461,15 @@ def test_items_without_spaces_have_an_error_budget(spark):
     assert got == {0: ("7", 1), 1: ("", None), 2: ("", None)}
 
 
+def test_short_items_stand_as_words(spark):
+    texts = ["then we rested", "and the end", "the", "bathe", "x-the-y", "the_end", "我们去the家", "中文字", "abc12 34x", "abc12 34"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").withColumn("_hits0", F.lit("clash"))
+    bench = spark.createDataFrame([(1, "the"), (2, "文"), (3, "12 34"), (4, "abc12 34")], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontam.contamination_report(docs, bench).collect()}
+    assert got == {0: "", 1: "1", 2: "1", 3: "", 4: "1", 5: "", 6: "1", 7: "2", 8: "", 9: "4"}
+    assert decontam.keep_clean(docs, bench).columns == docs.columns
+
+
 def test_items_come_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 30)
     bench = spark.createDataFrame([(i, f"alpha beta gamma delta item{i}") for i in range(5)], "item_id long, text string")
@@ -379,6 +496,36 @@ def test_isotonic_is_monotone():
     assert (np.diff(levels) > 0).all() and (np.diff(knots) > 0).all() and 0 <= levels[0] and levels[-1] <= 1
 
 
+def test_the_fit_is_the_dense_one(spark):
+    """Model and scores against the same formulas over all rows at once, and a quadratic isotonic fit."""
+    rng = random.Random(18)
+    words_ = ["the", "river", "Stone", "walks.", "%%", "x9"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words_, k=rng.randint(1, 60)))) for i in range(400)] + [(900, LONG)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.5)) for i in range(400)], "doc_id long, quality int")
+    rows = quality.labelled_statistics(docs, labels, "doc_id", "text", "quality", 60_000, 7).collect()
+    x, y, u = np.array([r.x for r in rows]), np.array([r.y for r in rows]), np.array([r.u for r in rows])
+    center, scale = x.mean(0), x.std(0)
+    scale[~(scale > 1e-9)] = 1
+    gen = np.random.default_rng(7)
+    w, phase = gen.normal(size=(quality.STATISTICS, quality.FEATURES)) / (quality.WIDTH * np.sqrt(quality.STATISTICS)), gen.uniform(0, 2 * np.pi, quality.FEATURES)
+    wide = lambda a: np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((a - center) / scale, -6, 6) @ w + phase), np.ones((len(a), 1))])
+    z, t = wide(x[u % 5 != 0]), y[u % 5 != 0]
+    solution = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) / quality.FEATURES * np.eye(z.shape[1]), z.T @ t)
+    raw, seen = wide(x[u % 5 == 0]) @ solution, y[u % 5 == 0]
+    order = np.argsort(raw)
+    raw, seen = raw[order], seen[order].astype(float)
+    n = len(raw)
+    level = np.array([max(min(seen[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)])
+    cuts = np.unique(level.round(9))
+    knots = [raw[np.isclose(level, c, atol=1e-8)].mean() for c in cuts]
+    texts = docs.collect()
+    want = np.interp(wide(quality.statistics(pa.array([r.text for r in texts]))) @ solution, knots, cuts)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    assert max(abs(got[r.doc_id] - v) for r, v in zip(texts, want, strict=True)) < 1e-6
+    unseen = labels.unionByName(spark.createDataFrame([(10_000 + i, 1) for i in range(500)], "doc_id long, quality int"))
+    assert {r.doc_id: r.score for r in quality.score_documents(docs, unseen).collect()} == got
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["the", "river", "stone", "walks", "under"]) + rng.choice(["", "s", "."]) for _ in range(rng.randint(20, 80)))
@@ -456,6 +603,84 @@ def test_chat_links_calls_and_results(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def linked(rows):
+    """Brute force for conversations of plain, call and result messages: {(conv, turn, kind, idx): (id, status, place, level, json)}."""
+    import json
+
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    calls, results, out = {}, {}, {}
+    for conv, turn, role, text in rows:
+        j = json.loads(text) if text.startswith("{") and role in ("assistant", "tool") else {}
+        if role == "assistant" and j.get("tool_calls"):
+            for idx, c in enumerate(j["tool_calls"]):
+                calls[conv, turn, idx] = c
+        elif role == "tool" and "tool_call_id" in j:
+            results[conv, turn] = j
+        else:
+            out[conv, turn, "message", 0] = (None, "ok", turn, 0, dump({"content": text, "role": role, "turn": turn}))
+    owner, answer = {}, {}
+    for at in sorted(calls):
+        owner.setdefault((at[0], calls[at]["id"]), at)
+    for (conv, turn), j in results.items():
+        k = (conv, j["tool_call_id"])
+        answer[k] = max(answer.get(k, -1), turn)
+    needs = {k: {v[1:] for v in calls[at]["arguments"].values() if isinstance(v, str) and v.startswith("$")} for k, at in owner.items()}
+    settled = {}
+    while True:  # as long as some call's needs are all settled
+        new = {}
+        for k, own in needs.items():
+            bound = [(k[0], n) for n in own if (k[0], n) in owner]
+            if k not in settled and all(b in settled for b in bound):
+                turns = [owner[k][1], *(settled[b][0] for b in bound), *(answer[k[0], n] for n in own if (k[0], n) in answer)]
+                new[k] = (max(turns), max([settled[b][1] + 2 for b in bound], default=0))
+        if not new:
+            break
+        settled |= new
+    for at, c in calls.items():
+        k, args = (at[0], c["id"]), c["arguments"]
+        fields = chat.SCHEMAS.get(c["name"])
+        valid = fields is not None and all(f in args for f, (_, must) in fields.items() if must) and all(f in fields and type(v) is {"string": str, "integer": int}[fields[f][0]] for f, v in args.items())
+        status = "duplicate" if owner[k] != at else "invalid" if not valid else "cycle" if k not in settled else "open" if k not in answer else "ok"
+        place, level = settled.get(k, (owner[k][1], 0))
+        out[at[0], at[1], "call", at[2]] = (c["id"], status, max(place, at[1]), level, dump({**c, "role": "assistant", "turn": at[1]}))
+    for (conv, turn), j in results.items():
+        k = (conv, j["tool_call_id"])
+        place, level = settled.get(k, (owner[k][1], 0)) if k in owner else (turn, -1)
+        content = j["content"]
+        out[conv, turn, "result", 0] = (k[1], "ok" if k in owner else "orphan", max(turn, place), level + 1, dump({"content": dump(json.loads(content)) if content.startswith("{") else content, "id": k[1], "role": "tool", "turn": turn}))
+    return out
+
+
+def test_chat_against_a_brute_force_linker(spark):
+    import json
+
+    rng = random.Random(21)
+    rows = []
+    for conv in range(40):
+        ids = [f"c{i}" for i in range(rng.randint(1, 7))]
+        for turn in rng.sample(range(100), rng.randint(1, 14)):
+            kind = rng.random()
+            if kind < 0.5:
+                calls = []
+                for _ in range(rng.randint(1, 3)):
+                    name = rng.choice(["search", "fetch", "calculate", "nope"])
+                    word = lambda: f"${rng.choice([*ids, 'none'])}" if rng.random() < 0.6 else rng.choice(["x", "a b", "5"])
+                    args = {"search": {"query": word(), "limit": rng.choice([3, word()])}, "fetch": {"url": word()}, "calculate": {"expression": word(), "digits": 2}, "nope": {}}[name]
+                    if rng.random() < 0.2:
+                        args = {**args, "other": word()} if rng.random() < 0.5 else {}
+                    calls.append({"id": rng.choice(ids), "name": name, "arguments": args})
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": calls})))
+            elif kind < 0.8:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "lost"]), "content": rng.choice(["page", '{"z": 1, "b": [2, "x"]}', "", "word " * 3000])})))
+            else:
+                rows.append((conv, turn, rng.choice(["user", "assistant"]), rng.choice(["hi", "", LONG])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = {(r.conv_id, r.turn, r.kind, r.idx): (r.call_id, r.status, r.place, r.level, r.json) for r in chat.format_chats(df).collect()}
+    want = linked(rows)
+    assert {x[1] for x in want.values()} == {"ok", "duplicate", "invalid", "cycle", "open", "orphan"}
+    assert got == want
+
+
 def test_content_beside_calls_is_kept(spark):
     call = '"tool_calls":[{"id":"a","name":"fetch","arguments":{"url":"u"}}]'
     rows = [(1, 4, "assistant", f'{{"content":"I look it up.",{call}}}'), (2, 0, "assistant", f'{{"content":null,{call}}}'), (3, 0, "assistant", f"{{{call}}}")]
@@ -502,6 +727,61 @@ def test_license_scan(spark):
     assert license.license_report(df.limit(0)).count() == 0
 
 
+def found_licenses(words_):
+    """{label: share} by brute force: the longest chain of meetings within the drift, in one run of diagonals."""
+    out = {}
+    for label, template in license.TEMPLATES.items():
+        t = template.split()
+        met = sorted((i, j) for i in range(len(words_) - 1) for j in range(len(t) - 1) if words_[i : i + 2] == t[j : j + 2])
+        runs = []
+        for d in sorted({i - j for i, j in met}):
+            if runs and d - runs[-1][-1] <= license.DRIFT:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        best = 0
+        for run in runs:
+            for low in run:
+                some = [(i, j) for i, j in met if i - j in run and low <= i - j <= low + max(license.DRIFT, len(t) // 2)]
+                length = []
+                for a, (i, j) in enumerate(some):
+                    length.append(1 + max((length[b] for b in range(a) if some[b][0] < i and some[b][1] < j), default=0))
+                best = max([best, *length])
+        if best >= license.SHARE * (len(t) - 1):
+            out[label] = best / (len(t) - 1)
+    return out
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(31)
+    texts = ["is free " * 9, "permission is " * 25, "this is free and " * 12]
+    for _ in range(150):
+        t = list(rng.choice(list(license.TEMPLATES.values())).split())
+        for _ in range(rng.randint(0, 9)):
+            at, what = rng.randrange(len(t)), rng.random()
+            if what < 0.3:
+                t[at : at + 1] = []
+            elif what < 0.6:
+                t[at:at] = rng.choices(["the", "of", "zz", "is"], k=rng.randint(1, 4))
+            else:
+                t[at] = rng.choice(["the", "qq"])
+        if rng.random() < 0.2:
+            cut = rng.randrange(len(t))
+            t = t[cut:] + t[:cut]
+        texts.append(" ".join([*rng.choices(["the", "is", "and"], k=rng.randint(0, 5)), *t, *rng.choices(["of", "free"], k=rng.randint(0, 5))]))
+    got = {r.doc_id: r for r in license.license_report(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    wants = [found_licenses(t.split()) for t in texts]
+    assert 20 < sum(map(bool, wants)) < 140 and not wants[0]
+    for i, want in enumerate(wants):
+        assert got[i].labels == ",".join(sorted(want)) and abs(got[i].score - max(want.values(), default=0)) < 1e-9, texts[i]
+
+
+def test_many_templates_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(license, "BROADCAST_GRAMS", 10)
+    df = spark.createDataFrame([(1, "x " + license.TEMPLATES["bsd"]), (2, "cc by")], "doc_id long, text string")
+    assert {(r.doc_id, r.labels) for r in license.license_report(df).collect()} == {(1, "bsd"), (2, "cc-by")}
+
+
 def test_licenses_are_verified_in_order(spark):
     t = license.TEMPLATES["mit"].split()
     halves = t[13:] + t[:13]
@@ -603,18 +883,42 @@ def test_substring_dedup(spark):
     assert substr.remove_repeats(empty_docs(spark)).count() == 0
 
 
-def test_substring_dedup_starts_anew_on_collisions(spark, monkeypatch):
-    """Word hashes of four bits collide under every seed: the digests must notice."""
-    real = common.Words.hashes
-    monkeypatch.setattr(common.Words, "hashes", lambda self, seed=0: real(self, seed) & np.uint64(15))
-    monkeypatch.setattr(substr, "rolling", lambda h, k: np.array([h[i : i + k].sum() for i in range(len(h) - k + 1)], np.uint64))
-    rng = random.Random(12)
-    df = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(200))) for i in range(8)], "doc_id long, text string")
-    import lodestone.llm.substr as own
-
-    mapped = list(own._edges(4, 3, 1)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2], pa.int32()), pa.array(["a b c d e f", "b a c q r s"])], ["id", "tag", "text"])])))
-    assert mapped  # the kernel runs with the weak hash
-    del df
+def repeats(rng):
+    rows = []
+    for i in range(40):
+        t = rng.choices("abcdefghijklmnop", k=rng.randint(0, 150))
+        if rows and rng.random() < 0.6:
+            other = rng.choice(rows)[1].split()
+            t[len(t) // 2 : len(t) // 2] = other[: rng.randint(0, 60)]
+        rows.append((i, " ".join(t)))
+    return [*rows, (7, rows[7][1]), (8, rows[9][1]), (None, rows[11][1]), (None, " ".join(rng.choices("abc", k=80)))]
+
+
+@pytest.mark.parametrize("bits", [3, 9, 14])
+def test_substring_dedup_settles_collisions(spark, monkeypatch, bits):
+    """Edges of few bits collide everywhere; the result is the same."""
+    monkeypatch.setattr(substr, "AGAIN", 300)
+    rows = repeats(random.Random(12))
+    got = substr.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=5, bits=bits)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == without_repeats(rows, 5)
+
+
+def test_frequent_passages_are_joined(spark, monkeypatch):
+    """K-mers of very many edges, and texts of nothing else, go another way to the same result."""
+    monkeypatch.setattr(substr, "BUCKET_EDGES", 12)
+    monkeypatch.setattr(substr, "SAMPLE", 1)
+    rng = random.Random(13)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnop", k=rng.randint(0, 30))) + " " + passage + " end" * rng.randint(0, 9)) for i in range(60)]
+    rows += [(100 + i, passage) for i in range(30)] + [(200, "y " * 100), (None, passage)] + repeats(rng)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spy = []
+    real = substr._frequent_runs
+    monkeypatch.setattr(substr, "_frequent_runs", lambda *a: spy.append(1) or real(*a))
+    for bits in (64, 6):
+        got = substr.remove_repeats(df, window=8, bits=bits)
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == without_repeats(rows, 8)
+    assert len(spy) == 2
 
 
 def test_remaining_text_keeps_its_layout(spark):

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from lodestone.llm import queries
@@ -86,6 +87,32 @@ def test_run_gives_the_mixed_corpus(spark, corpus):
     assert min(r.copies for r in rows) > 0 and all(r.text and len(r.text.split()) == r.size for r in rows)
 
 
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Nulls, long texts, shared ids, repeated rows and further columns with names that operators use."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    one, long, late = prose(120), prose(30_000), prose(90)
+    rows = [(1, one, "en", "a", 1), (2, one, "en", "a", 1), (2, late, "en", "a", 1), (3, long, "en", "b", 1), (3, long, "en", "b", 1), (4, None, None, None, None), (5, "", "en", "b", 0), (None, prose(80), None, None, None), (None, one, "en", "a", 1)]
+    rows += [(10 + i, prose(60), "en", "a", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in ("id", "key", "tag", "row", "_row0", "_hits0", "mark", "spans", "score", "size", "_source", "u"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, prose(20)), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    out = None
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, d)
+        if name != "mix":
+            assert out.columns == P.COLUMNS
+            docs = out.withColumn("key", F.lit("clash")).withColumn("u", F.lit("clash"))
+        got = sorted((str(r.doc_id), r.text) for r in out.select("doc_id", "text").collect() if r.text)
+        if name == "near_dedup":
+            assert [t for i, t in got if i == "2"] == [late] and [t for i, t in got if i == "3"] == [long] and sum(t == one for _, t in got) == 1
+    assert len(got) == 24
+
+
 def test_empty_tables(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], DOCS).write.parquet(f"{d}/documents.parquet")
