@@ -80,10 +80,44 @@ SELECT w.doc_id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(
 """ % {"grams": ", ".join(grams), "k": K, "drift": DRIFT, "share": SHARE}
 
 
+_PHRASES = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, k FROM w, unnest([1, 2, 3, 4]) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i)),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, phrase, k, f AS a FROM f WHERE k > 1 AND f >= 30),
+o AS (SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND y.k > x.k AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.a >= 80 * x.a),
+u AS (SELECT c.*, j, array_to_string(list_slice(string_split(phrase, ' '), 1, j), ' ') AS x, array_to_string(list_slice(string_split(phrase, ' '), j + 1, k), ' ') AS y
+  FROM c ANTI JOIN o USING (lang, phrase), unnest(range(1, k)) AS s(j)),
+v AS (SELECT u.lang AS lang, u.phrase AS phrase, a, j, fx.f AS l, fy.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (CAST(fx.f AS HUGEINT) + fy.f) AS BIGINT) AS score
+  FROM u JOIN f fx ON fx.lang = u.lang AND fx.phrase = u.x AND fx.k = j JOIN f fy ON fy.lang = u.lang AND fy.phrase = u.y AND fy.k = u.k - j),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM v),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE o = 1)
+SELECT q.lang AS lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000
+"""
+
+#: Over code points rather than units: a unit ends where a letter does not follow a letter.
+_FIM = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+m AS (SELECT doc_id, text, length(text) AS chars, h, regexp_replace(regexp_replace(text, '[^A-Za-z]', '0', 'g'), '[A-Za-z]', '1', 'g') AS mask FROM t),
+e AS (SELECT doc_id, text, chars, h, list_filter(range(1, chars + 1), lambda i: mask[i] = '0' OR i = chars OR mask[i + 1] = '0') AS ends FROM m),
+d AS (SELECT *, len(ends) AS n, list_transform(range(0, 4), lambda g: list_reduce(list_transform(string_split(substr(h, CAST(8 * g + 1 AS INTEGER), 8), ''), lambda x: CAST(instr('0123456789abcdef', x) - 1 AS BIGINT)), lambda a, b: 16 * a + b)) AS v FROM e),
+c AS (SELECT *, least(v[1] % (n + 1), v[2] % (n + 1)) AS a, greatest(v[1] % (n + 1), v[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR v[3] % 100 >= 90 THEN 'plain' WHEN v[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+x AS (SELECT *, CASE WHEN a = 0 THEN 0 ELSE ends[a] END AS i, CASE WHEN b = 0 THEN 0 ELSE ends[b] END AS j FROM c),
+y AS (SELECT *, substr(text, 1, i) AS head, substr(text, i + 1, j - i) AS mid, substr(text, j + 1, chars - j) AS tail FROM x)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(i AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(j - i AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM y
+"""
+
 ORACLES: dict[str, str] = {
     "op3_url_filter": _URL,
     "op6_topk": _TOPK,
     "op7_chat_format": _CHAT,
     "op8_license_scan": _license(),
     "op10_substring_dedup": _SUBSTRING,
+    "op11_collocations": _PHRASES,
+    "op13_fill_in_middle": _FIM,
 }

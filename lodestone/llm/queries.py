@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import format_chats
 from .common import table
 from .decontam import contamination_report
+from .fim import fill_in_middle, restore
 from .license import license_report
 from .mixing import mix
 from .oracles import ORACLES
+from .phrases import collocations
 from .quality import score_documents
 from .simhash import simhash_classes
 from .substr import remove_repeats
@@ -63,6 +66,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=20)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle(table(spark, sf_dir, "documents")).withColumn("output_sha256", F.sha2("output", 256))
+    rows = restore(done, keep=("n", "prefix_chars", "middle_chars", "output_sha256", "form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -75,6 +88,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_collocations": op11_collocations,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
