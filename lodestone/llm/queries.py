@@ -11,6 +11,7 @@ from .chat import format_chats
 from .common import table
 from .decontam import contamination_report
 from .fim import fill_in_middle, restore
+from .langid import identify_languages
 from .license import license_report
 from .mixing import mix
 from .oracles import ORACLES
@@ -70,6 +71,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_in_middle(table(spark, sf_dir, "documents")).withColumn("output_sha256", F.sha2("output", 256))
     rows = restore(done, keep=("n", "prefix_chars", "middle_chars", "output_sha256", "form"))
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_collocations": op11_collocations,
+        "op12_language_id": op12_language_id,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
