@@ -1,4 +1,4 @@
-"""Vectors: embedders, and the cosine kernel that all similarity searches share."""
+"""Vectors: embedders, and what single pairs and groups of similarities need; see `similarity` for searches."""
 
 from __future__ import annotations
 
@@ -7,14 +7,9 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Query vectors of one pass over the items: what is broadcast is never larger.
-BLOCK = 4096
-
-
 class Embedder(Protocol):
     """Turns texts into vectors inside Python workers; `fingerprint` names model and settings."""
 
@@ -62,57 +57,13 @@ def check_dimension(vector: Column, dim: int) -> Column:
     return F.when(vector.isNull() | (F.size(vector) == dim), vector).otherwise(F.raise_error(F.format_string("vector of %d dimensions where %d are stored", F.size(vector), F.lit(dim))))
 
 
-def _unit(rows: list | np.ndarray) -> np.ndarray:
+def unit(rows: list | np.ndarray) -> np.ndarray:
+    """Rows of length one, in double; rows without length stay zero."""
     m = np.asarray(rows, np.float64)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1, norm)
 
 
-def similar(queries: DataFrame, items: DataFrame, least: float | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", block: int = BLOCK, top: int | None = None) -> DataFrame:
-    """(query_id, item_id, sim): cosine of every query with every item, those of at least `least`. top: of a
-    query's items only those that may be among its `top` best (ties at the sixth digit included) leave a batch.
-
-    Queries come to the workers in blocks of bounded size; items are scanned once a block and never
-    shuffled, and only survivors leave the kernel. Rows with null vectors take no part.
-    """
-    q_kind, i_kind = dict(queries.dtypes)[query_id], dict(items.dtypes)[item_id]
-    spark = items.sparkSession
-    source = items.where(F.col(vector).isNotNull()).select(F.col(item_id), F.col(vector))
-    schema = f"`{query_id}` {q_kind}, `{item_id}` {i_kind}, sim double"
-    out, held = None, []
-
-    def scan(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows])))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            names = pa.array(ids)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    m = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
-                    if m.shape[1] != q.shape[1]:
-                        raise ValueError(f"vectors of {m.shape[1]} and {q.shape[1]} dimensions")
-                    s = m @ q.T
-                    keep = s + 1e-10 >= least if least is not None else np.ones(s.shape, bool)
-                    if top is not None and len(s) > top:
-                        keep &= s >= np.partition(s, len(s) - top, axis=0)[len(s) - top] - 2e-6
-                    i, j = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(s[i, j])], [query_id, item_id, "sim"])
-
-        return source.mapInArrow(run, schema)
-
-    for r in queries.where(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            part = scan(held)
-            out, held = part if out is None else out.unionByName(part), []
-    if held:
-        part = scan(held)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
 def max_sim(sims: DataFrame, by: list[str]) -> DataFrame:
     """The best similarity of each group, say of a memory's whole vector and its sentences."""
     return sims.groupBy(*by).agg(F.max("sim").alias("sim"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.scoring import at_least, depth_factor, round3, time_factor
 from ..functions.text import literal_match, short_concept
-from ..functions.vector import similar
+from ..functions.similarity import similar
 from .graph import active, key_counts
 
 DEFAULT = Config()

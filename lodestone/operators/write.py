@@ -2,23 +2,30 @@
 
 Single adds see the effects of earlier ones. A batch keeps that order in three phases: keys
 resolve, then contents, each as an ordered fold over the connected components of pairs that are
-similar enough to matter; contradictions follow as a set-based join.
+similar enough to matter, heavy ones range by range; contradictions follow as a set-based join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scoring import at_least, clamp_weight, contradiction_band, superseded_depth
+from ..functions.similarity import similar
 from ..functions.text import conflicting_qualifier, new_id, phrase_key, record_alias, short_concept, single_language, usable_keys
-from ..functions.vector import cosine, similar
+from ..functions.vector import cosine
 from ..schema import MEMORIES, conform
 from .durable import cut
 
 DEFAULT = Config()
+#: Pairs that meet in keys, a memory on average, up to which contradictions are looked for among them.
+KEY_PAIRS = 32
+#: Candidate pairs of a component that one task folds.
+FOLD_PAIRS = 200_000
 
 
 def best_duplicate(new: DataFrame, old: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -32,18 +39,30 @@ def best_duplicate(new: DataFrame, old: DataFrame, config: Config = DEFAULT) ->
     return sims.withColumn("r", best).where("r = 1").select(F.col("query_id").alias("memory_id"), F.col("memory_id").alias("duplicate_id"), "sim")
 
 
-def contradictions(memories: DataFrame, links: DataFrame, pairs: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+def key_pairs(links: DataFrame) -> int:
+    """How many pairs of memories meet in keys, a pair once for each key they share."""
+    n = links.groupBy("key_id").agg(F.count("*").cast("double").alias("n"))
+    return int(n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0)
+
+
+def contradictions(memories: DataFrame, links: DataFrame, pairs: DataFrame | None = None, config: Config = DEFAULT, by_keys: bool | None = None) -> DataFrame:
     """(a, b, sim), a earlier than b: memories that share a key and are similar, yet no duplicates.
-    pairs: (query_id, item_id, sim), computed here where not given."""
+    pairs: (query_id, item_id, sim), computed here where not given: from the pairs that meet in keys where these are few
+    (KEY_PAIRS a memory on average), else by a similarity join, so that no hub is paired out. by_keys decides it beforehand."""
     p = config.profile
+    seq = memories.select("memory_id", "seq")
+    one = links.select(F.col("memory_id").alias("query_id"), "key_id")
+    two = links.select(F.col("memory_id").alias("item_id"), "key_id")
+    if pairs is None and (key_pairs(links) <= KEY_PAIRS * memories.count() if by_keys is None else by_keys):
+        met = one.join(two, "key_id").where("query_id <> item_id").select("query_id", "item_id").distinct()
+        met = met.join(memories.select(F.col("memory_id").alias("query_id"), F.col("seq").alias("s1"), F.col("embedding").alias("v1")), "query_id").join(memories.select(F.col("memory_id").alias("item_id"), F.col("seq").alias("s2"), F.col("embedding").alias("v2")), "item_id")
+        met = met.where("s1 < s2").withColumn("sim", cosine(F.col("v1"), F.col("v2")))
+        return met.where(contradiction_band(F.col("sim"), p.contradiction, p.memory_dedup)).select(F.col("query_id").alias("a"), F.col("item_id").alias("b"), "sim")
     if pairs is None:
         pairs = similar(memories.select(F.col("memory_id").alias("query_id"), "embedding"), memories.select(F.col("memory_id").alias("item_id"), "embedding"), least=p.contradiction)
-    seq = memories.select("memory_id", "seq")
     rows = pairs.where(contradiction_band(F.col("sim"), p.contradiction, p.memory_dedup))
     rows = rows.join(seq.select(F.col("memory_id").alias("query_id"), F.col("seq").alias("s1")), "query_id").join(seq.select(F.col("memory_id").alias("item_id"), F.col("seq").alias("s2")), "item_id").where("s1 < s2")
     # similar pairs are few: they meet the links of both ends rather than links one another
-    one = links.select(F.col("memory_id").alias("query_id"), "key_id")
-    two = links.select(F.col("memory_id").alias("item_id"), "key_id")
     return rows.join(one, "query_id").join(two, ["item_id", "key_id"]).select(F.col("query_id").alias("a"), F.col("item_id").alias("b"), "sim").distinct()
 
 
@@ -91,11 +110,8 @@ def resolve_keys(asked: DataFrame, keys: DataFrame, config: Config = DEFAULT) ->
     pairs = sims.where("query_id <> item_id").join(about, "query_id").join(items.drop("embedding"), "item_id").where(F.col("order") < F.col("mine"))
     short = short_concept(F.col("concept"))
     fits = F.when(short, F.lit(p.short_key_merge > 0) & at_least(F.col("sim"), p.short_key_merge or 2.0) & ~conflicting_qualifier(F.col("concept"), F.col("other"))).otherwise(at_least(F.col("sim"), p.key_merge))
-    pairs = cut(pairs.where(fits).select("query_id", "item_id", "sim", "order", "mine"))
-    nodes = pairs.select(F.col("query_id").alias("id")).union(pairs.select("item_id")).distinct()
-    comp = _components(nodes, pairs.select("query_id", "item_id"))
-    folded = cut(pairs.join(comp, pairs["query_id"] == comp["id"]).drop("id").groupBy("root").applyInPandas(_fold_merges, "query_id string, target string"))
-    done = heads.withColumn("own", new_id(F.col("name"))).join(folded, F.col("own") == F.col("query_id"), "left")
+    folded = fold_in_order(pairs.where(fits), gone="query_id")
+    done = heads.withColumn("own", new_id(F.col("name"))).join(folded.withColumnRenamed("item_id", "target"), F.col("own") == F.col("query_id"), "left")
     done = done.select("name", F.coalesce("target", "own").alias("key"), F.when(F.col("target").isNotNull(), "merged").otherwise("new").alias("how"))
     out = rows.join(done, "name", "left")
     how = F.when(F.col("id").isNotNull(), "equal").otherwise(F.col("how"))
@@ -135,27 +151,55 @@ def inherited_links(new: DataFrame, links: DataFrame, keys: DataFrame, config: C
     return rows.withColumn("_near", near).withColumn("_some", some).where(F.col("_near") | ~F.col("_some")).select("key_id", "memory_id", "weight")
 
 
-def _fold_merges(pairs: pd.DataFrame) -> pd.DataFrame:
-    """In order, each key merges into the most similar candidate that itself stands."""
-    merged: dict[str, str] = {}
-    for query, own in sorted(pairs.groupby("query_id"), key=lambda g: g[1]["mine"].iloc[0]):
-        own = own[~own["item_id"].isin(merged)].sort_values(["sim", "order"], ascending=[False, True], kind="stable")
-        if len(own):
-            merged[query] = own["item_id"].iloc[0]
-    return pd.DataFrame({"query_id": list(merged), "target": list(merged.values())}, dtype=object)
+def _fold(gone: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Queries in order, each taking the most similar item that is not gone; then its `gone` column is."""
+
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values(["mine", "query_id", "sim", "order"], ascending=[True, True, False, True], kind="stable")
+        out: list[tuple[str, str]] = []
+        away: set[str] = set()
+        done = None
+        for query, item in zip(pairs["query_id"], pairs["item_id"], strict=True):
+            if query != done and item not in away:
+                done = query
+                out.append((query, item))
+                away.add(query if gone == "query_id" else item)
+        return pd.DataFrame(out, columns=["query_id", "item_id"], dtype=object)
 
+    return run
 
-def _fold_duplicates(pairs: pd.DataFrame) -> pd.DataFrame:
-    """In order, each memory supersedes the most similar earlier one that is still current; a
-    predecessor's own predecessor is forgotten."""
-    gone: set[str] = set()
-    out: list[tuple[str, str]] = []
-    for query, own in sorted(pairs.groupby("query_id"), key=lambda g: g[1]["mine"].iloc[0]):
-        own = own[~own["item_id"].isin(gone)].sort_values(["sim", "order"], ascending=[False, True], kind="stable")
-        if len(own):
-            out.append((query, own["item_id"].iloc[0]))
-            gone.add(out[-1][1])
-    return pd.DataFrame(out, columns=["memory_id", "supersedes"], dtype=object)
+
+def fold_in_order(pairs: DataFrame, gone: str, limit: int = FOLD_PAIRS) -> DataFrame:
+    """(query_id, item_id): what each query takes of its candidates `pairs` (query_id, item_id, sim, order, mine), in the
+    order of `mine`: the most similar item that is not gone, ties to the lower `order`. What took (gone: `query_id`) or what
+    was taken (`item_id`) is gone for all later queries.
+
+    Components of pairs don't matter to one another and are folded in parallel. One of more than `limit` pairs
+    is cut into ranges of `mine` of about that many; range follows range, each after what is gone by then has
+    been taken out, so that no task holds more than a range. The candidates of one query stay together.
+    """
+    pairs = cut(pairs.select("query_id", "item_id", "sim", "order", "mine"))
+    nodes = pairs.select(F.col("query_id").alias("id")).union(pairs.select("item_id")).distinct()
+    comp = _components(nodes, pairs.select("query_id", "item_id"))
+    rows = pairs.join(comp, pairs["query_id"] == comp["id"]).drop("id")
+    size = rows.groupBy("root").agg(F.count("*").alias("n"))
+    most = size.agg(F.max("n")).first()[0] or 0
+    if most <= limit:
+        return cut(rows.groupBy("root").applyInPandas(_fold(gone), "query_id string, item_id string"))
+    rounds = -(-most // limit)
+    # the bounds of all heavy components are quantiles of `mine`, as sketches that merge; what they are changes the work alone
+    heavy = size.where(F.col("n") > limit).select("root")
+    bounds = rows.join(heavy, "root").groupBy("root").agg(F.expr(f"percentile_approx(CAST(mine AS DOUBLE), {[i / rounds for i in range(1, rounds)]!r}, 10000)".replace("[", "array(").replace("]", ")")).alias("bounds"))
+    at = F.coalesce(F.size(F.filter("bounds", lambda x: x < F.col("mine"))), F.lit(0))
+    rows = cut(rows.join(bounds, "root", "left").withColumn("range", F.when(F.col("bounds").isNull(), 0).otherwise(at)).drop("bounds"))
+    out = None
+    for i in range(rounds):
+        part = rows.where(F.col("range") == i).drop("range")
+        if out is not None:
+            part = part.join(out.select(F.col(gone).alias("item_id")), "item_id", "left_anti")
+        done = cut(part.groupBy("root").applyInPandas(_fold(gone), "query_id string, item_id string"))
+        out = done if out is None else cut(out.unionByName(done))
+    return out
 
 
 def add_batch(new: DataFrame, memories: DataFrame, links: DataFrame, keys: DataFrame, now: float, config: Config = DEFAULT) -> dict[str, DataFrame]:
@@ -174,11 +218,9 @@ def add_batch(new: DataFrame, memories: DataFrame, links: DataFrame, keys: DataF
     items = current.select(F.col("memory_id").alias("item_id"), "embedding", F.col("seq").alias("order")).unionByName(rows.select(F.col("memory_id").alias("item_id"), "embedding", F.col("seq").alias("order")))
     sims = similar(rows.select(F.col("memory_id").alias("query_id"), "embedding"), items, least=config.profile.memory_dedup)
     pairs = sims.where("query_id <> item_id").join(items.drop("embedding"), "item_id").join(rows.select(F.col("memory_id").alias("query_id"), F.col("seq").alias("mine")), "query_id").where(F.col("order") < F.col("mine"))
-    pairs = cut(pairs)
-    nodes = pairs.select(F.col("query_id").alias("id")).union(pairs.select("item_id")).distinct()
-    comp = _components(nodes, pairs.select("query_id", "item_id"))
-    chains = pairs.join(comp, pairs["query_id"] == comp["id"]).drop("id").groupBy("root").applyInPandas(_fold_duplicates, "memory_id string, supersedes string")
-    chains = cut(chains)
+    # in order, each memory supersedes the most similar earlier one that is still current; a predecessor's
+    # own predecessor is forgotten
+    chains = fold_in_order(pairs, gone="item_id").toDF("memory_id", "supersedes")
     fresh = rows.join(chains, "memory_id", "left")
     linked_to = F.array().cast("array<string>")
     if "related_to" in rows.columns:

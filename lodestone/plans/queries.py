@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..config import PROFILES
 from ..functions import text as T
 from ..functions.scoring import depth_factor, r6, time_factor
-from ..functions.vector import max_sim, similar
+from ..functions.similarity import similar
+from ..functions.vector import max_sim
 from ..operators import bm25, evaluate, graph, keys, maintain, recall, write
 from ..operators.durable import shared_dir, spread
 from ..schema import prune_keys, prune_links

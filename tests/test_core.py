@@ -12,7 +12,8 @@ from lodestone import config as C
 from lodestone.api import Memory
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
-from lodestone.functions.vector import BigramEmbedder, check_dimension, cosine, embed, similar
+from lodestone.functions.similarity import join_similar, similar
+from lodestone.functions.vector import BigramEmbedder, check_dimension, cosine, embed
 from lodestone.operators import bm25, evaluate, graph, keys, maintain, recall, write
 from lodestone.schema import KEYS, conform
 from lodestone.sources import store as ST
@@ -101,6 +102,83 @@ def test_similarity_kernel_in_blocks(spark):
     assert np.linalg.norm(e[0].embedding) == pytest.approx(1, abs=1e-6) and len(e[1].embedding) == 16
 
 
+@pytest.mark.parametrize("kind", ["random", "clustered", "crowded", "low"])
+def test_similarity_join_equals_brute_force(spark, kind):
+    rng = np.random.default_rng(len(kind))
+    centers = rng.normal(size=(12, 8))
+    draw = lambda n: (rng.normal(size=(n, 8)) if kind in ("random", "low") else centers[rng.integers(0, 12 if kind == "clustered" else 2, n)] + 0.15 * rng.normal(size=(n, 8))).astype(np.float32)
+    left, right = draw(300), draw(400)
+    left[5], right[7] = 0, 0
+    right[20:40], left[30:35] = right[20], right[20]  # copies, on both sides
+    least = -0.2 if kind == "low" else 0.7
+    frame = lambda m, name: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(900, None)], f"{name} long, embedding array<float>")
+    a, b = frame(left, "query_id"), frame(right, "item_id")
+    u = [m.astype(float) / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-30) for m in (left, right)]
+    want = {(i, j): s for (i, j), s in np.ndenumerate(u[0] @ u[1].T) if s + 1e-10 >= least}
+    for cells, chunk in ((None, 2048), (10, 64), (40, 16)):
+        rows = join_similar(a, b, least, cells=cells, chunk_rows=chunk).collect()
+        got = {(r.query_id, r.item_id): r.sim for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    best = join_similar(a, b, None, cells=10, chunk_rows=64, top=2).groupBy("query_id").agg(F.max("sim").alias("s")).collect()
+    assert all(abs(r.s - (u[0] @ u[1].T)[r.query_id].max()) < 1e-9 for r in best) and len(best) == 300
+    # a query table beyond the bound takes the join
+    assert {(r.query_id, r.item_id) for r in similar(a, b, least, block=50).collect()} == want.keys()
+    with pytest.raises(Exception, match="dimensions"):
+        join_similar(a, b.withColumn("embedding", F.slice("embedding", 1, 3)), least, cells=4).count()
+
+
+def test_cells_keep_right_rows_from_most_cells():
+    from lodestone.functions.similarity import Cells
+    from lodestone.functions.vector import unit
+
+    rng = np.random.default_rng(9)
+    centers = unit(rng.normal(size=(64, 32)))
+    rows = unit(centers[rng.integers(0, 64, 4000)] + 0.05 * rng.normal(size=(4000, 32)))
+    c = Cells(centers, 0.9)
+    assert c.reached(rows).mean() < 0.05  # of 64 cells a row is copied to three at most, on average
+
+
+def ordered_fold(pairs, gone):
+    out, away = {}, set()
+    for mine, q in sorted({(p[4], p[0]) for p in pairs}):
+        own = sorted((-p[2], p[3], p[1]) for p in pairs if p[0] == q and p[1] not in away)
+        if own:
+            out[q] = own[0][2]
+            away.add(q if gone == "query_id" else own[0][2])
+    return out
+
+
+@pytest.mark.parametrize("gone", ["query_id", "item_id"])
+def test_fold_in_ranges_equals_the_ordered_fold(spark, gone):
+    rng = np.random.default_rng(len(gone))
+    for n, density in ((60, 0.05), (50, 0.4)):
+        pairs = [(f"n{i}", f"n{j}", float(rng.integers(40, 60)) / 100, j, i) for i in range(n) for j in range(i) if rng.random() < density]
+        df = spark.createDataFrame(pairs, "query_id string, item_id string, sim double, order long, mine long")
+        for limit in (10_000, 60):
+            assert {r.query_id: r.item_id for r in write.fold_in_order(df, gone, limit).collect()} == ordered_fold(pairs, gone)
+
+
+def test_a_chain_of_near_items_folds_range_by_range(spark):
+    n = 100_000
+    df = spark.range(1, n).select(F.format_string("n%06d", "id").alias("query_id"), F.format_string("n%06d", F.col("id") - 1).alias("item_id"), F.lit(0.9).alias("sim"), (F.col("id") - 1).alias("order"), F.col("id").alias("mine"))
+    merged = write.fold_in_order(df, "query_id", limit=40_000)
+    # every other one merges: its neighbour before it stands
+    r = merged.agg(F.count("*"), F.min(F.substring("query_id", 2, 6).cast("int") % 2), F.max(F.substring("query_id", 2, 6).cast("int") % 2)).first()
+    assert tuple(r) == (n // 2, 1, 1)
+
+
+def test_contradictions_by_keys_and_by_similarity_agree(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 4)).astype(np.float32)
+    m = spark.createDataFrame([(f"m{i}", i, x.tolist()) for i, x in enumerate(v)], "memory_id string, seq long, embedding array<float>")
+    links = spark.createDataFrame([(f"k{rng.integers(0, 8)}", f"m{i}") for i in range(60) for _ in range(2)], "key_id string, memory_id string").distinct()
+    c = C.Config(profile=C.dataclasses.replace(C.PROFILES["bgem3"], contradiction=0.3, memory_dedup=0.9))
+    got = [{(r.a, r.b): round(r.sim, 9) for r in write.contradictions(m, links, config=c, by_keys=k).collect()} for k in (True, False, None)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 20
+    n = {k: sum(1 for r in links.collect() if r.key_id == k) for k in {r.key_id for r in links.collect()}}
+    assert write.key_pairs(links) == sum(x * (x - 1) // 2 for x in n.values())
+
+
 def test_bm25_expansion_equals_brute_force(spark):
     vocabulary = ["cat", "cats", "cat's", "cut", "category", "dog", "doge", "a", "ab", "international", "internatinal", "internationalise", "élan", "elan"]
     asked = ["cat", "dog", "a", "international", "elan", "categori"]
