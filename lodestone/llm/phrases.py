@@ -120,9 +120,10 @@ class Suffixes:
         keys = [np.where(self.size > k, code[self.at + k], 0) for k in range(max_n)]
         if max_n == 4 and len(rank) < 1 << 31:  # two words fill one key
             keys = [keys[0] << 32 | keys[1], keys[2] << 32 | keys[3]]
-        order = np.lexsort((*keys[::-1], self.lang, bucket))
+        place = bucket * len(self.langs) + self.lang
+        order = np.lexsort((*keys[::-1], place))
         same = np.ones(len(order), bool)
-        for key in (bucket, self.lang, *keys):
+        for key in (place, *keys):
             same[1:] &= key[order[1:]] == key[order[:-1]]
         same[0] = False
         heads = np.flatnonzero(~same)
@@ -151,21 +152,32 @@ def _pack(rows: pa.RecordBatch) -> bytes:
 
 class Stack:
     """Counts the prefixes of suffixes that come sorted, batch by batch: at each level the prefix that is open, whose
-    count grows until a suffix comes that does not have it."""
+    count grows until a suffix comes that does not have it. Of closed prefixes those of `least` occurrences are told,
+    those of no word, and the `hot` ones (sorted hashes), which may have further occurrences elsewhere."""
 
-    def __init__(self, levels: int):
-        self.levels = levels
+    def __init__(self, levels: int, least: int = 1, hot: np.ndarray | None = None):
+        self.levels, self.least, self.hot = levels, least, np.zeros(0, _U) if hot is None else hot
         self.words: list[str] = []
         self.counts = [0] * levels
 
-    def push(self, suffixes: pa.Array, counts: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """(prefix, count) of all prefixes that these suffixes close, level by level."""
+    def _hot(self, prefixes: pa.Array) -> np.ndarray:
+        return np.isin(_hashes_of(prefixes), self.hot) if len(prefixes) else np.zeros(0, bool)
+
+    def _closed(self, k: int) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+        """The open prefix of level k, closed."""
+        prefix = pa.array(["".join(f"{w}\t" for w in self.words[: k + 1])])
+        if k == 0 or self.counts[k] >= self.least or self._hot(prefix)[0]:
+            yield prefix, k, np.array([self.counts[k]])
+
+    def push(self, suffixes: pa.Array, counts: np.ndarray) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+        """(prefixes, level, counts) that these suffixes close."""
         n = len(suffixes)
         split = pc.split_pattern(suffixes, "\t")
         offsets = split.offsets.to_numpy().astype(np.int64)
-        flat, size = split.flatten(), np.diff(split.offsets.to_numpy()) - 1  # a tab stands at the end
+        flat, size = split.flatten(), np.diff(offsets) - 1  # a tab stands at the end
         offsets -= offsets[0]
         same = np.ones(n, bool)  # whether a row has all words so far in common with the one before
+        warm = np.ones(n, bool)  # whether all its prefixes so far are hot
         rows = np.arange(n)
         first = [w.as_py() for w in flat[: int(size[0])]]
         last = [w.as_py() for w in flat[int(offsets[n - 1]) : int(offsets[n - 1] + size[n - 1])]]
@@ -175,10 +187,9 @@ class Stack:
             equal = np.zeros(n, bool)
             equal[1:] = pc.equal(word.slice(1), word.slice(0, n - 1)).to_numpy(zero_copy_only=False) & have[1:] & have[:-1]
             same &= equal
-            same[0] = have[0] and len(self.words) > k and self.words[: k + 1] == first[: k + 1]
-            goes_on = same[0]
+            same[0] = goes_on = have[0] and len(self.words) > k and self.words[: k + 1] == first[: k + 1]
             if not goes_on and len(self.words) > k:
-                yield pa.array(["".join(f"{w}\t" for w in self.words[: k + 1])]), np.array([self.counts[k]])
+                yield from self._closed(k)
             at = rows[have]
             if not len(at):
                 continue
@@ -187,17 +198,25 @@ class Stack:
             if goes_on:
                 sums[0] += self.counts[k]
             lead = at[heads]
+            told = (sums >= self.least) | (k == 0)
+            look = np.flatnonzero(warm[lead]) if k and len(self.hot) else np.zeros(0, np.int64)
+            prefix = lambda which, k=k: pc.binary_join_element_wise(*(flat.take(pa.array(offsets[which] + j)) for j in range(k + 1)), pa.array([""] * len(which), pa.string()), "\t")
+            if k and len(self.hot):  # only below hot prefixes may others be hot
+                hot = np.zeros(len(lead), bool)
+                hot[look] = self._hot(prefix(lead[look])) if len(look) else False
+                told |= hot
+                warm[:] = False
+                warm[at] = np.repeat(hot, np.diff(np.append(heads, len(at))))
             if have[n - 1]:  # the last one stays open
                 self.counts[k] = int(sums[-1])
-                lead, sums = lead[:-1], sums[:-1]
-            if len(lead):
-                parts = [flat.take(pa.array(offsets[lead] + j)) for j in range(k + 1)]
-                yield pc.binary_join_element_wise(*parts, pa.array([""] * len(lead)), "\t"), sums
+                told[-1] = False
+            if told.any():
+                yield prefix(lead[told]), k, sums[told]
         self.words = last
 
-    def close(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    def close(self) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
         for k in range(len(self.words)):
-            yield pa.array(["".join(f"{w}\t" for w in self.words[: k + 1])]), np.array([self.counts[k]])
+            yield from self._closed(k)
         self.words = []
 
 
@@ -229,24 +248,17 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         release()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = Stack(max_n + 1)
+        stack = Stack(max_n + 1, least, hot)
 
-        def kept(prefixes: pa.Array, counts: np.ndarray) -> pa.RecordBatch | None:
-            depth = pc.count_substring(prefixes, "\t").to_numpy() - 1
-            keep = (counts >= least) | (depth == 0)
-            few = np.flatnonzero(~keep)
-            if len(hot) and len(few):  # parts of hot prefixes are summed afterwards
-                keep[few] = np.isin(_hashes_of(prefixes.take(pa.array(few))), hot)
-            return pa.RecordBatch.from_arrays([prefixes.filter(pa.array(keep)), pa.array(depth[keep].astype(np.int32)), pa.array(counts[keep].astype(np.int64))], ["phrase", "n_words", "f"]) if keep.any() else None
+        def told(prefixes: pa.Array, level: int, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([prefixes, pa.array(np.full(len(counts), level, np.int32)), pa.array(counts.astype(np.int64))], ["phrase", "n_words", "f"])
 
         for batch in batches:
             if batch.num_rows:
                 for closed in stack.push(batch.column(0), batch.column(1).to_numpy()):
-                    if (out := kept(*closed)) is not None:
-                        yield out
+                    yield told(*closed)
         for closed in stack.close():
-            if (out := kept(*closed)) is not None:
-                yield out
+            yield told(*closed)
         release()
 
     dealt = spread(rows).mapInArrow(blocks, "bucket int, block binary").repartition(n, "bucket").select("block")

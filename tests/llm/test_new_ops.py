@@ -76,7 +76,7 @@ def test_stack_counts_prefixes_across_batches():
         stack, got = phrases.Stack(4), Counter()
         batches = [rows[i : i + size] for i in range(0, len(rows), size)]
         closed = [x for b in batches for x in stack.push(pa.array([s for s, _ in b]), np.array([c for _, c in b]))] + list(stack.close())
-        for p, c in closed:
+        for p, _, c in closed:
             assert not set(p.to_pylist()) & set(got)  # each prefix is closed once
             got.update(dict(zip(p.to_pylist(), c.tolist(), strict=True)))
         assert got == want
