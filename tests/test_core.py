@@ -185,25 +185,13 @@ def test_bm25_expansion_equals_brute_force(spark):
     v = spark.createDataFrame([(t,) for t in vocabulary], "term string")
     got = {(r.q_term, r.term): r.term_weight for r in bm25.expand_terms(spark.createDataFrame([(1, q) for q in asked], "query_id long, q_term string"), v).collect()}
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = [i] + [min(row[j] + 1, 0, 10**9) if False else 0 for j in range(len(b))] if False else _row(row, i, x, b)
-        return row[-1]
-
-    def _row(row, i, x, b):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
-        return new
-
     want = {}
     for q in asked:
         for t in vocabulary:
             w = [1.0] if q == t else []
             if t.startswith(q) and len(t) > len(q):
                 w.append(0.375 * len(t) / (len(t) + 0.3 * (len(t) - len(q))))
-            d = distance(q, t)
+            d = edits(q, t)
             if q != t and d <= math.floor(len(q) * 0.2 + 0.5):
                 w.append(0.45 * len(t) / (len(t) + d))
             if w:
@@ -211,6 +199,111 @@ def test_bm25_expansion_equals_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_walking_the_trie_finds_all_near_terms():
+    rng = np.random.default_rng(5)
+    word = lambda low, high: "".join(rng.choice(list("abcé"), rng.integers(low, high)))
+    trie = bm25.Trie(sorted({word(1, 12) for _ in range(600)} | {"a\x00", "a", "\U0010ffff", "\U0010ffffx"}))
+    for budget in (1, 2, 3):
+        asked = sorted({word(8, 9) for _ in range(30)} | {trie.names[i] for i in range(0, len(trie.names), 9) if len(trie.names[i]) == 8})
+        got = {(asked[q], trie.names[t]): d for part in trie.near(asked, budget) for q, t, d in zip(*(x.tolist() for x in part), strict=True)}
+        assert got == {(q, t): edits(q, t) for q in asked for t in trie.names if edits(q, t) <= budget}
+    for q in ("a", "ab", "é", "zz", "\U0010ffff"):
+        assert [trie.names[i] for i in trie.prefixed(q)] == [t for t in trie.names if t.startswith(q) and t != q]
+
+
+def full_scores(docs, asked, prefix, fuzzy):
+    """Scores of all documents for all queries, posting by posting."""
+    split = lambda t: [w for w in (t or "").split(" ") if w]
+    words = {i: split(t) for i, t in docs.items()}
+    df = {}
+    for w in words.values():
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    avg = sum(map(len, words.values())) / max(1, len(words))
+    out = {}
+    for q, text in asked.items():
+        for i, w in words.items():
+            total, answered = 0.0, 0
+            for x in sorted(set(split(text))):
+                hit = False
+                for y in sorted(set(w)):
+                    tw = [1.0] if x == y else []
+                    if prefix and y.startswith(x) and y != x:
+                        tw.append(0.375 * len(y) / (len(y) + 0.3 * (len(y) - len(x))))
+                    if fuzzy and x != y and edits(x, y) <= math.floor(len(x) * 0.2 + 0.5):
+                        tw.append(0.45 * len(y) / (len(y) + edits(x, y)))
+                    if tw:
+                        tf = w.count(y)
+                        hit = True
+                        total += max(tw) * math.log(1 + (len(words) - df[y] + 0.5) / (df[y] + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * len(w) / avg)))
+                answered += hit
+            if answered:
+                out[q, i] = total * answered
+    return out
+
+
+@pytest.mark.parametrize(("prefix", "fuzzy"), [(False, False), (True, True)])
+def test_search_with_bounds_equals_scoring_everything(spark, monkeypatch, prefix, fuzzy):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 16)
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 4)
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abc"), rng.integers(1, 8))) for _ in range(60)]
+    text = lambda n: " ".join(vocabulary[min(int(rng.exponential(12)), 59)] for _ in range(n))
+    docs = {f"d{i:03d}": text(int(rng.integers(0, 30))) for i in range(150)} | {"null": None, "empty": ""}
+    docs |= {"copy1": docs["d007"], "copy2": docs["d007"]}
+    asked = {i: text(int(rng.integers(1, 6))) for i in range(20)} | {90: "zzzzzz", 91: "", 92: None}
+    d = spark.createDataFrame(list(docs.items()), "memory_id string, content string").repartition(4)
+    q = spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    want = full_scores(docs, asked, prefix, fuzzy)
+    index = bm25.Index.build(d)
+    assert index.shards.count() >= 9 and index.stats().first()["n_docs"] == len(docs)
+
+    def ranked(k):
+        for i in asked:
+            own = sorted((-round(s + 1e-10, 6), doc) for (x, doc), s in want.items() if x == i)
+            yield from ((i, doc, r + 1, s) for r, (s, doc) in enumerate(own[:k]))
+
+    for probe, blocks in ((0, 512), (3, 512), (3, 7)):
+        monkeypatch.setattr(bm25, "QUERY_BLOCK", blocks)
+        got = sorted((r.query_id, r.memory_id, r["rank"], -round(r.score + 1e-10, 6)) for r in index.search(q, 5, prefix, fuzzy, probe=probe).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(ranked(5))] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, sorted(ranked(5)), strict=True))
+    terms = {r.term: r.df for r in index.terms().collect()}
+    rows = index.postings().collect()
+    assert terms == {t: sum(r.term == t for r in rows) for t in terms} and len(rows) == sum(terms.values())
+
+
+def test_blocks_that_cannot_reach_a_score_are_not_read(spark):
+    import pyarrow as pa
+
+    # a rare word in one block of documents, a common word everywhere
+    docs = [(i, "common " * (1 + i % 3) + ("rare " * 5 if i < 64 else "filler")) for i in range(640)]
+    index = bm25.Index.build(spark.createDataFrame(docs, "memory_id long, content string").coalesce(1))
+    (row,) = index.shards.collect()
+    shard = bm25.Shard(pa.array(row.docs), row.lens, pa.array(row.terms), np.array(row.dfs), row.at, row.tf, index.stats().first()["avg_len"])
+
+    def asked(least):
+        wanted = spark.createDataFrame([(1, "common", least), (1, "rare", least)], "query_id long, q_term string, least double")
+        stands = spark.createDataFrame([("common", "common", 0.1), ("rare", "rare", 2.0)], "q_term string, term string, v double")
+        row = bm25._packed(wanted, stands, 1).first()
+        return bm25.Asked(row.queries, row.stands)
+
+    q, d, s, read = shard.best(asked(0.0), 10)
+    kth = np.sort(s)[-10]
+    q2, d2, s2, fewer = shard.best(asked(float(kth)), 10)
+    assert set(zip(d, s, strict=True)) >= set(zip(d2, s2, strict=True)) and len(d2) >= 10
+    assert read == 640 + 64 and fewer == 128  # both words' postings of one block
+
+
 # ---------------------------------------------------------------- graph
 
 
