@@ -7,7 +7,9 @@ Reads are DataFrames over an immutable snapshot; writes return a new `Memory` ov
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,15 +93,21 @@ class Memory:
         rows = self._queries(texts).select("query_id").join(n, "query_id", "left").fillna(0, ["n_hits"])
         return rows.withColumn("status", recall_status(F.col("n_hits"), F.lit(active)))
 
-    def recall_memories(self, texts: list[str], top_k: int = 10, hops: int = 1, namespace: str | None = None, min_rel: float = 0.0, min_depth: float = 0.0, contexts: list[str | None] | None = None) -> DataFrame:
-        """Memories that answer each text."""
+    def recall_memories(self, texts: list[str], top_k: int = 10, hops: int = 1, namespace: str | None = None, min_rel: float = 0.0, min_depth: float = 0.0, contexts: list[str | None] | None = None, scorer: Callable[[list[str], list[str]], np.ndarray] | None = None) -> DataFrame:
+        """Memories that answer each text. scorer: of (query, text) pairs, reorders the first `rerank_pool` of them."""
         q, p = self._queries(texts), self.config.profile
         index = self.index or bm25.Index.build(self._unsuperseded())
         if self.config.bm25_scope == "active":
             index = index.keep(graph.active(self.memories, self.now, namespace))
         sparse = index.search(q, self.config.bm25_depth, seq=self.memories)
         sims = self._content_sims(texts, contexts, namespace, -1.0 if p.gate_z > 0 else min(p.content_gate(True), p.content_gate(False)))
-        return recall.hybrid_recall(q, self.keys, self.links, self.memories, self.now, sparse, top_k, hops, namespace, min_rel, min_depth, sims, self.config)
+        wanted = top_k if scorer is None else max(top_k, self.config.rerank_pool)
+        found = recall.hybrid_recall(q, self.keys, self.links, self.memories, self.now, sparse, wanted, hops, namespace, min_rel, min_depth, sims, self.config, limit=max(20, wanted))
+        if scorer is None:
+            return found
+        found = cut(found)
+        picked = recall.rerank(found, scorer, q, self.memories, max(1, min(20, top_k)) * (2 if hops > 1 else 1), self.config)
+        return picked.join(found.drop("rank"), ["query_id", "memory_id"]).select("query_id", "rank", "memory_id", "score", "raw_sim", "hop", "matched_via", "rerank_score")
 
     def recalled(self, texts: list[str], found: DataFrame) -> Memory:
         """The graph after an answer `found` of recall_memories was given: its memories are deeper, the links

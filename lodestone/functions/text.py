@@ -9,7 +9,8 @@ _NOT_WORD = r"[\s\p{P}]+"
 _HANGUL = r"[㄰-㆏가-힣]"
 _ONE_CJK = r"^[\p{IsHangul}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]$"
 _MEANINGFUL = r"[\p{L}\p{N}_.+#-]+"
-_STRUCTURED = r"(?i)(?:^|[^a-z0-9])(v?\d+(?:\.\d+)+|#\d+|(?=[0-9a-f]*\d)[0-9a-f]{7,40})(?![a-z0-9])"
+# Fixed value: versions (with what follows a hyphen or plus), #numbers, hexadecimal ids; no letter or digit beside them.
+_STRUCTURED = r"(?i)(?:^|[^\p{L}\p{N}])((?:v?\d+\.)+\d+(?:[-+][\p{L}\p{N}.-]+)?|#[0-9]+|[a-f0-9]{7,40})(?=$|[^\p{L}\p{N}])"
 # Words that say nothing about what a query is after.
 FILLER = (
     "내", "나의", "뭐", "뭐야", "뭔가", "무슨", "어느", "있어", "있니", "알려", "알려줘", "해줘", "좋아해", "좋아하는", "선호하는", "쓰니", "했어", "관련", "대한",

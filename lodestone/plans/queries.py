@@ -60,9 +60,10 @@ def _covers(query: str, hay: str) -> str:
 def _structured(text: str) -> str:
     """SQL: the structured tokens of a text, in order, distinct. Without look-around: every separator is followed
     by a mark, so that what ends one token leaves the mark before the next."""
-    marked = f"regexp_replace(lower({text}), '([^a-z0-9])', '\\1' || chr(1), 'g')"
-    found = f"regexp_extract_all({marked}, '(?:^|\\x01)(v?[0-9]+(?:\\.\\x01[0-9]+)+|#\\x01[0-9]+|[0-9a-f]{{7,40}})(?:[^a-z0-9\\x01]|$)', 1)"
-    clean = f"list_filter(list_transform({found}, lambda x: replace(x, chr(1), '')), lambda x: regexp_matches(x, '[0-9]'))"
+    marked = f"regexp_replace(lower({text}), '([^\\p{{L}}\\p{{N}}])', '\\1' || chr(1), 'g')"
+    version = "(?:v?[0-9]+\\.\\x01)+[0-9]+(?:[-+]\\x01(?:[\\p{L}\\p{N}]|[.-]\\x01)+)?"
+    found = f"regexp_extract_all({marked}, '(?:^|\\x01)({version}|#\\x01[0-9]+|[a-f0-9]{{7,40}})(?:[^\\p{{L}}\\p{{N}}\\x01]|$)', 1)"
+    clean = f"list_transform({found}, lambda x: replace(x, chr(1), ''))"
     return f"list_filter({clean}, lambda x, i: list_position({clean}, x) = i)"
 
 
@@ -630,10 +631,11 @@ def _overlap(queries: list[str], texts: list[str]) -> np.ndarray:
 
 
 @query(f"""WITH {VECTORS}, {_INDEX}, {_BS}, {_REC}, {_GATED}, s AS (SELECT hr.query_id AS query_id, memory_id, rank AS fused_rank, CAST(len(list_intersect(string_split(lower(coalesce(b.text, '')), ' '), string_split(lower(substr(d.text, 1, 512)), ' '))) AS DOUBLE) AS rerank_score FROM hr JOIN documents d ON d.doc_id = memory_id LEFT JOIN benchmark b ON b.item_id * 50 = hr.query_id),
-  t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS INTEGER) AS rank FROM s) SELECT query_id, rank, memory_id, rerank_score, fused_rank FROM t WHERE rank <= 5""")
+  t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS INTEGER) AS rank FROM s) SELECT query_id, rank, memory_id, rerank_score, fused_rank FROM t WHERE rank <= 5 AND (query_id // 50 % 2 = 1 OR query_id IN (SELECT query_id FROM t WHERE rerank_score >= 6.5))""")
 def rerank_pool(spark, d):
-    q = _both_queries(spark, d).withColumn("query", F.coalesce("query", F.lit("")))
-    return recall.rerank(_recalled(spark, d), _overlap, q, documents(spark, d), top_k=5, config=CONFIG)
+    hangul = F.when(F.floor(F.col("query_id") / 50) % 2 == 1, " 질문").otherwise("")  # such queries have no text of their script to answer them
+    q = _both_queries(spark, d).withColumn("query", F.concat(F.coalesce("query", F.lit("")), hangul))
+    return recall.rerank(_recalled(spark, d), _overlap, q, documents(spark, d), top_k=5, config=dataclasses.replace(CONFIG, rerank_min_score=6.5))
 
 
 # ------------------------------------------------------------------ text
@@ -667,12 +669,14 @@ def literal_key_match(spark, d):
     return keys.literal_hits(asked, named).select("query_id", "key_id")
 
 
-_CODED = "url || ' v' || page_id % 9 || '.' || page_id % 7 || '.x #' || page_id % 50 || ', ' || substr(md5(url), 1, 10) || ' (2.' || page_id % 3 || ')'"
+_CODED = "url || ' v' || page_id % 9 || '.' || page_id % 7 || '.x #' || page_id % 50 || ', ' || substr(md5(url), 1, 10) || ' (2.' || page_id % 3 || ') needs 1.' || page_id % 3 || '.3-beta.' || page_id % 2 || ' now, not deadbeef or 버전1.2.3'"
+#: What the tokens are looked for in: betas of one kind aren't there, nor is every third page's hexadecimal id.
+_SAID = f"CASE WHEN page_id % 3 = 0 THEN replace({_CODED}, 'deadbeef', 'feed') ELSE replace({_CODED}, '-beta.1', '') END"
 
 
 def _coded(spark, d):
     part = lambda n: (F.col("page_id") % n).cast("string")
-    text = F.concat("url", F.lit(" v"), part(9), F.lit("."), part(7), F.lit(".x #"), part(50), F.lit(", "), F.substring(F.md5("url"), 1, 10), F.lit(" (2."), part(3), F.lit(")"))
+    text = F.concat("url", F.lit(" v"), part(9), F.lit("."), part(7), F.lit(".x #"), part(50), F.lit(", "), F.substring(F.md5("url"), 1, 10), F.lit(" (2."), part(3), F.lit(") needs 1."), part(3), F.lit(".3-beta."), part(2), F.lit(" now, not deadbeef or 버전1.2.3"))
     return table(spark, d, "pages").withColumn("text", text)
 
 
@@ -681,9 +685,10 @@ def structured_tokens(spark, d):
     return _coded(spark, d).select("page_id", F.array_join(T.structured_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(f"SELECT page_id, len(list_filter({_structured(_CODED)}, lambda x: NOT contains(lower(html || ' #' || page_id % 40 || ' 2.1'), x))) = 0 AS covered FROM pages")
+@query(f"SELECT page_id, len(list_filter({_structured(_CODED)}, lambda x: NOT contains(lower({_SAID}), x))) = 0 AS covered FROM pages")
 def structured_coverage(spark, d):
-    hay = F.concat("html", F.lit(" #"), (F.col("page_id") % 40).cast("string"), F.lit(" 2.1"))
+    said = lambda a, b: F.replace("text", F.lit(a), F.lit(b))
+    hay = F.when(F.col("page_id") % 3 == 0, said("deadbeef", "feed")).otherwise(said("-beta.1", ""))
     return _coded(spark, d).select("page_id", T.covers_structured(F.col("text"), hay).alias("covered"))
 
 

@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences
+from ..functions.text import aliases, sentences
 from ..functions.vector import Embedder, embed
+from ..operators.durable import cut
 from ..operators.maintain import fold_weights, set_weights
 from ..schema import KEYS, LINKS, MEMORIES, SENTENCES, conform, prune_links
 
@@ -133,17 +134,38 @@ def read_graph_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """keys, memories, links of a whole-graph JSON file (objects by id, as small stores have). A malformed
     file is an error."""
     raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
-    key = "struct<id:string,concept:string,aliases:array<string>,key_type:string,embedding:array<float>>"
-    mem = "struct<id:string,content:string,embedding:array<float>,created_at:double,supersedes:string,depth:double,access_count:int,last_accessed:double,namespace:string,ttl:double,links:array<string>,contradicts:array<string>>"
+    # names that were learned are read apart, so that a malformed entry costs itself alone; a source is text or JSON
+    key = "struct<id:string,concept:string,aliases:array<string>,key_type:string,embedding:array<float>,aliasCandidates:string,learnedAliases:string>"
+    mem = "struct<id:string,content:string,embedding:array<float>,created_at:double,source:string,supersedes:string,depth:double,access_count:int,last_accessed:double,namespace:string,ttl:double,links:array<string>,contradicts:array<string>>"
     shape = f"struct<keys:map<string,{key}>,memories:map<string,{mem}>,links:array<struct<key_id:string,memory_id:string,weight:double>>>"
     doc = raw.select(F.from_json("v", shape, {"mode": "FAILFAST"}).alias("g"))
     k = doc.select(F.posexplode(F.map_values("g.keys")).alias("seq", "k")).select(F.col("k.id").alias("key_id"), "k.*", F.col("seq").cast("long").alias("seq"))
-    m = doc.select(F.posexplode(F.map_values("g.memories")).alias("seq", "m")).select(F.col("m.id").alias("memory_id"), "m.*", F.col("seq").cast("long").alias("seq"))
+    asked = F.map_entries(F.from_json("aliasCandidates", "map<string,struct<count:int,lastSeen:double,queryText:string>>"))
+    asked = F.filter(asked, lambda e: e["value"]["count"].isNotNull() & e["value"]["lastSeen"].isNotNull() & e["value"]["queryText"].isNotNull())
+    asked = F.map_from_entries(F.transform(asked, lambda e: F.struct(e["key"], F.struct(e["value"]["count"].alias("count"), e["value"]["lastSeen"].alias("last_seen"), e["value"]["queryText"].alias("query_text")))))
+    learned = F.filter(F.from_json("learnedAliases", "array<struct<alias:string,addedAt:double,hits:int>>"), lambda a: a["alias"].isNotNull() & a["addedAt"].isNotNull() & a["hits"].isNotNull())
+    learned = F.transform(learned, lambda a: F.struct(a["alias"].alias("alias"), a["addedAt"].alias("added_at"), a["hits"].alias("hits")))
+    k = k.withColumns({"aliases": aliases(F.coalesce("aliases", F.array().cast("array<string>")), F.col("concept")), "alias_candidates": asked, "learned_aliases": learned})
+    m = doc.select(F.posexplode(F.map_values("g.memories")).alias("seq", "m"), F.map_keys("g.memories").alias("_ids")).select(F.col("m.id").alias("memory_id"), "m.*", F.col("seq").cast("long").alias("seq"), "_ids")
+    m = m.withColumn("contradicts", F.array_intersect("contradicts", "_ids"))
     out = {"keys": conform(k, KEYS), "memories": conform(m, MEMORIES), "links": conform(doc.select(F.inline("g.links")), LINKS)}
     out["links"] = prune_links(out["links"], out["keys"], out["memories"]).dropDuplicates(["key_id", "memory_id"])
     return out
 
 
+def load_legacy(spark: SparkSession, graph: str, embedder: Embedder, index: str | None = None, blob: str | None = None) -> dict[str, DataFrame]:
+    """keys, memories, links and sentences of a whole-graph JSON file and, where given, its vector sidecar: a vector is
+    the file's own, else the sidecar's, else made now. Saving the tables makes a store of today's form of them."""
+    t = read_graph_json(spark, graph)
+    side = read_sidecar(spark, index, blob) if index and blob else spark.createDataFrame([], "id string, kind string, part int, embedding array<float>")
+    side = cut(side)  # it is read three times
+    t["keys"] = conform(fill_vectors(t["keys"], side, "k", "key_id", "concept", embedder), KEYS)
+    t["memories"] = conform(fill_vectors(t["memories"], side, "m", "memory_id", "content", embedder), MEMORIES)
+    packs = side.where("kind = 's'").select(F.col("id").alias("memory_id"), F.col("part").alias("sent_idx"), "embedding")
+    t["sentences"] = packs.join(t["memories"].select("memory_id"), "memory_id", "left_semi")
+    return t
+
+
 def read_sidecar(spark: SparkSession, index_path: str, blob_path: str) -> DataFrame:
     """(id, kind, part, embedding) of a float32 blob with a JSON index {schema, dim, entries: {id: {off, n}}};
     entries out of bounds or not a multiple of dim are left out. Ids start with m:, k: or s:."""
@@ -153,7 +175,7 @@ def read_sidecar(spark: SparkSession, index_path: str, blob_path: str) -> DataFr
     blob = spark.read.format("binaryFile").load(blob_path).select("content", "length")  # one file of a small store
     rows = entries.agg(F.collect_list(F.struct("id", "dim", "off", "n")).alias("entries")).withColumn("_one", F.lit(1)).join(blob.withColumn("_one", F.lit(1)), "_one")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for entries, content in zip(part["entries"], part["content"], strict=True):
                 v = np.frombuffer(content[: len(content) // 4 * 4], np.float32)
@@ -164,4 +186,4 @@ def read_sidecar(spark: SparkSession, index_path: str, blob_path: str) -> DataFr
                             out.append((e["id"][2:], e["id"][:1], i, x))
                 yield pd.DataFrame(out, columns=["id", "kind", "part", "embedding"])
 
-    return rows.select("entries", "content").mapInPandas(cut, "id string, kind string, part int, embedding array<float>")
+    return rows.select("entries", "content").mapInPandas(parts, "id string, kind string, part int, embedding array<float>")

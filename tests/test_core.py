@@ -55,7 +55,10 @@ def test_text_functions(spark):
     assert texts(spark, ["one two", "a long concept name here", "fifteen chars!!", "abcdefghij klmnop qrs"], T.short_concept) == [True, False, True, False]
     assert texts(spark, ["한글 text", "kana か", "ㄱ"], T.has_hangul) == [True, False, True]
     assert texts(spark, ["Only one sentence here.", "First sentence here. Second one is here!\nThird line is long\nshort"], T.sentences) == [[], ["First sentence here.", "Second one is here!", "Third line is long"]]
-    assert texts(spark, ["fix v1.2.3 and #42 in deadbeef1", "version 10.4 of feedface", "x1.2y"], T.structured_tokens) == [["v1.2.3", "#42", "deadbeef1"], ["10.4"], []]
+    assert texts(spark, ["fix v1.2.3 and #42 in deadbeef1", "version 10.4 of feedface", "x1.2y", "needs 1.2.3-beta.1 now", "버전1.2.3", "1.0+b-é. 2.0", "#1#2 3.4/5.6", "abcdef #x"], T.structured_tokens) == [
+        ["v1.2.3", "#42", "deadbeef1"], ["10.4", "feedface"], [], ["1.2.3-beta.1"], ["2.3"], ["1.0+b-é.", "2.0"], ["#1", "3.4", "5.6"], []]
+    hay = F.lit("the release 1.2.3 is out")
+    assert list(one(spark, T.covers_structured(F.lit("needs 1.2.3-beta.1 now"), hay), T.covers_structured(F.lit("needs 1.2.3 now"), hay))) == [False, True]
     assert texts(spark, ["what is the C++ api of Foo-Bar"], T.query_tokens) == [["c++", "api", "of", "foo-bar"]]
     assert texts(spark, ["내 what were tell about please 관련 dog and dog"], T.query_tokens) == [["dog", "and", "dog"]]
     assert texts(spark, ["hi", "/cmd longer", "long enough"], T.skip_prompt) == [True, True, False]
@@ -519,6 +522,46 @@ def test_legacy_files(spark, tmp_path):
     assert sorted((r.kind, r.id, r.part, list(r.embedding)) for r in rows) == [("m", "a", 0, [0.0, 1.0]), ("s", "a", 0, [2.0, 3.0]), ("s", "a", 1, [4.0, 5.0])]
 
 
+def test_a_legacy_store_keeps_sources_and_learned_names_and_gets_its_vectors(spark, tmp_path):
+    keys_ = {
+        "k1": {"id": "k1", "concept": "Database", "aliases": ["db", "DB ", "x", "database"], "aliasCandidates": {"pg": {"count": 2, "lastSeen": 5.5, "queryText": "Pg"}, "bad": {"count": "many"}}, "learnedAliases": [{"alias": "store", "addedAt": 3.0, "hits": 4}, {"alias": 7}]},
+        "k2": {"id": "k2", "concept": "plain"},
+    }
+    memories = {
+        "m1": {"id": "m1", "content": "first", "source": "chat", "embedding": [1, 2], "contradicts": ["m2", "gone"]}, "m2": {"id": "m2", "content": "second", "source": {"agent": "a", "turn": 3}},
+        "m3": {"id": "m3", "content": "third", "links": ["m1"]},
+    }
+    (tmp_path / "g.json").write_text(json.dumps({"keys": keys_, "memories": memories, "links": [{"key_id": "k1", "memory_id": "m1"}]}))
+    (tmp_path / "v.idx.json").write_text(json.dumps({"schema": 1, "dim": 2, "entries": {"m:m2": {"off": 0, "n": 2}, "k:k1": {"off": 2, "n": 2}, "s:m1": {"off": 4, "n": 4}, "m:m1": {"off": 0, "n": 2}}}))
+    (tmp_path / "v.bin").write_bytes(struct.pack("<8f", *range(8)))
+    t = ST.load_legacy(spark, str(tmp_path / "g.json"), BigramEmbedder(2), str(tmp_path / "v.idx.json"), str(tmp_path / "v.bin"))
+    k = {r.key_id: r for r in t["keys"].collect()}
+    assert k["k1"].aliases == ["db"] and [(a.alias, a.added_at, a.hits) for a in k["k1"].learned_aliases] == [("store", 3.0, 4)] and k["k2"].learned_aliases is None
+    assert {n: (c["count"], c.last_seen, c.query_text) for n, c in k["k1"].alias_candidates.items()} == {"pg": (2, 5.5, "Pg")}
+    assert list(k["k1"].embedding) == [2.0, 3.0] and len(k["k2"].embedding) == 2
+    m = {r.memory_id: r for r in t["memories"].collect()}
+    assert m["m1"].source == "chat" and json.loads(m["m2"].source) == {"agent": "a", "turn": 3} and m["m3"].source is None
+    assert list(m["m1"].embedding) == [1.0, 2.0] and list(m["m2"].embedding) == [0.0, 1.0] and len(m["m3"].embedding) == 2
+    assert m["m1"].contradicts == ["m2"] and m["m3"].links == ["m1"]
+    assert sorted((r.memory_id, r.sent_idx, list(r.embedding)) for r in t["sentences"].collect()) == [("m1", 0, [4.0, 5.0]), ("m1", 1, [6.0, 7.0])]
+    bare = ST.load_legacy(spark, str(tmp_path / "g.json"), BigramEmbedder(2))  # without a sidecar all is embedded
+    assert bare["memories"].where("size(embedding) = 2").count() == 3 and bare["sentences"].count() == 0
+    s = ST.Store(spark, str(tmp_path / "s"))
+    s.save(t, "bigram:2")
+    assert {r.key_id: r.learned_aliases for r in s.load()["keys"].collect()}["k1"][0].hits == 4
+
+
+def test_rerank_trusts_low_scores_within_one_script_only(spark):
+    c = C.Config(rerank_min_score=0.5)
+    m = spark.createDataFrame([("a", "english text"), ("b", "한국어 글")], "memory_id string, content string")
+    q = spark.createDataFrame([(1, "english"), (2, "질문"), (3, "english")], "query_id long, query string")
+    found = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "b"), (3, 1, "b"), (3, 2, "a")], "query_id long, rank int, memory_id string")
+    # english scores 0.2 everywhere, korean 0.1; query 3 has korean text first by fusion, but not by score
+    scorer = lambda qs, ts: np.array([0.2 if t.startswith("e") else 0.1 for t in ts])
+    got = sorted((r.query_id, r["rank"], r.memory_id) for r in recall.rerank(found, scorer, q, m, 2, c).collect())
+    assert got == [(2, 1, "a"), (2, 2, "b")]
+
+
 def test_transcripts(spark, tmp_path):
     a = tmp_path / "a" / "p"
     a.mkdir(parents=True)
