@@ -19,6 +19,7 @@ from .functions.text import new_id, retag_note, skip_prompt, usable_keys
 from .functions.vector import BigramEmbedder, Embedder, embed
 from .operators import bm25, graph, keys, maintain, recall, write
 from .operators.durable import cut
+from .operators.robust import robust_spread
 from .schema import KEYS, LINKS, MEMORIES, SENTENCES, conform
 from .sources import transcripts
 from .sources.store import Store, sentence_vectors
@@ -67,10 +68,12 @@ class Memory:
         rows = self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
         return embed(rows, "query", self.embedder)
 
+    def _cues(self, texts: list[str], contexts: list[str | None] | None) -> DataFrame:
+        return self._queries([c.strip() if c and c.strip() else t for t, c in zip(texts, contexts or texts, strict=True)]).drop("query")
+
     def _content_sims(self, texts: list[str], contexts: list[str | None] | None, namespace: str | None, least: float) -> DataFrame:
         """Similarities to contents of the texts, or of longer contexts where given."""
-        cues = [c.strip() if c and c.strip() else t for t, c in zip(texts, contexts or texts, strict=True)]
-        return recall.content_similarities(self._queries(cues).drop("query"), graph.active(self.memories, self.now, namespace), self.sentences, least)
+        return recall.content_similarities(self._cues(texts, contexts), graph.active(self.memories, self.now, namespace), self.sentences, least)
 
     # reads ----------------------------------------------------------------
 
@@ -100,9 +103,10 @@ class Memory:
         if self.config.bm25_scope == "active":
             index = index.keep(graph.active(self.memories, self.now, namespace))
         sparse = index.search(q, self.config.bm25_depth, seq=self.memories)
-        sims = self._content_sims(texts, contexts, namespace, -1.0 if p.gate_z > 0 else min(p.content_gate(True), p.content_gate(False)))
+        sims = self._content_sims(texts, contexts, namespace, min(p.content_gate(True), p.content_gate(False)))
+        z = robust_spread(self._cues(texts, contexts), graph.active(self.memories, self.now, namespace), self.sentences) if p.gate_z > 0 else None
         wanted = top_k if scorer is None else max(top_k, self.config.rerank_pool)
-        found = recall.hybrid_recall(q, self.keys, self.links, self.memories, self.now, sparse, wanted, hops, namespace, min_rel, min_depth, sims, self.config, limit=max(20, wanted))
+        found = recall.hybrid_recall(q, self.keys, self.links, self.memories, self.now, sparse, wanted, hops, namespace, min_rel, min_depth, sims, self.config, limit=max(20, wanted), z=z)
         if scorer is None:
             return found
         found = cut(found)

@@ -20,6 +20,7 @@ from ..functions.similarity import similar
 from ..functions.vector import max_sim
 from ..operators import bm25, evaluate, graph, keys, maintain, recall, write
 from ..operators.durable import shared_dir, spread
+from ..operators.robust import robust_spread
 from ..schema import prune_keys, prune_links
 from ..sources import transcripts
 from ..streaming import stateful
@@ -439,25 +440,24 @@ def max_sim_sentences(spark, d):
 _Z = "z1 AS (SELECT query_id, count(*) AS n, max(sim) AS top, median(sim) AS med FROM qm WHERE query_id <> memory_id GROUP BY 1), z2 AS (SELECT query_id, median(abs(sim - med)) AS mad FROM qm JOIN z1 USING (query_id) WHERE query_id <> memory_id GROUP BY 1), z AS (SELECT query_id, n, top, med, mad, CASE WHEN mad > 0 THEN (top - med) / (1.4826 * mad) END AS z FROM z1 JOIN z2 USING (query_id))"
 
 
-def _population(spark, d):
-    return similar(vector_queries(spark, d), vectors(spark, d).memories, least=-2.0, item_id="memory_id").where("query_id <> memory_id")
-
-
 @query(f"WITH {VECTORS}, {_Z} SELECT query_id, n, {r('top')} AS top, {r('med')} AS med, {r('mad')} AS mad, {r('z')} AS z, n < 8 OR z IS NULL OR z + 1e-10 >= 2.8 AS passes FROM z")
 def robust_z_gate(spark, d):
-    z = recall.robust_z(_population(spark, d))
+    z = robust_spread(vector_queries(spark, d), vectors(spark, d).memories, apart=True)
     return z.select("query_id", "n", *(r6(F.col(c)).alias(c) for c in ("top", "med", "mad", "z")), recall.distribution_gate(F.col("z"), F.col("n"), 2.8).alias("passes"))
 
 
 @query(f"WITH {VECTORS}, {_Z} SELECT query_id, top + 1e-10 >= 0.999 OR (top + 1e-10 >= 0.25 AND (n < 8 OR z IS NULL OR z + 1e-10 >= 2.8)) AS found FROM z")
 def anchor_decision(spark, d):
-    p = _population(spark, d)
-    return recall.anchored(p.withColumnRenamed("sim", "raw_sim"), recall.robust_z(p), config=CONFIG)
+    q, m = vector_queries(spark, d), vectors(spark, d).memories
+    best = similar(q, m, item_id="memory_id", top=2).where("query_id <> memory_id").withColumnRenamed("sim", "raw_sim")
+    return recall.anchored(best, robust_spread(q, m, apart=True), config=CONFIG)
 
 
 @query(f"WITH {VECTORS}, t AS (SELECT *, max(sim) OVER (PARTITION BY query_id) AS top FROM qm WHERE query_id <> memory_id) SELECT query_id, memory_id, {r('sim')} AS sim FROM t WHERE sim + 1e-10 >= top * 0.6")
 def relative_floor(spark, d):
-    return recall.relative_floor(_population(spark, d).withColumnRenamed("sim", "score"), 0.6).select("query_id", "memory_id", r6(F.col("score")).alias("sim"))
+    # a score counts from 0.6 of the best on: of negative ones none, as best scores are positive
+    rows = similar(vector_queries(spark, d), vectors(spark, d).memories, least=0.0, item_id="memory_id").where("query_id <> memory_id")
+    return recall.relative_floor(rows.withColumnRenamed("sim", "score"), 0.6).select("query_id", "memory_id", r6(F.col("score")).alias("sim"))
 
 
 _REC = f"""

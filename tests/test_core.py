@@ -14,7 +14,7 @@ from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.functions.similarity import join_similar, similar
 from lodestone.functions.vector import BigramEmbedder, check_dimension, cosine, embed
-from lodestone.operators import bm25, evaluate, graph, keys, maintain, recall, write
+from lodestone.operators import bm25, evaluate, graph, keys, maintain, recall, robust, write
 from lodestone.schema import KEYS, conform
 from lodestone.sources import store as ST
 from lodestone.sources import transcripts as TR
@@ -358,6 +358,32 @@ def test_gates_decide_whether_anything_is_found(spark):
     assert found == {1: True, 2: False}
 
 
+@pytest.mark.parametrize("kind", ["spread", "equal", "even"])
+def test_median_and_deviation_without_all_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(robust, "LISTED", 6)  # so that intervals are refined
+    monkeypatch.setattr(robust, "BINS", 24)
+    monkeypatch.setattr(robust, "ITEMS", 16)
+    rng = np.random.default_rng(len(kind))
+    n = 100 if kind == "even" else 101
+    v = (np.repeat(rng.normal(size=(1, 6)), n, axis=0) if kind == "equal" else rng.normal(size=(n, 6))).astype(np.float32)
+    extra = rng.normal(size=(40, 6)).astype(np.float32)
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, embedding array<float>")
+    items = frame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "memory_id").repartition(3)
+    packs = frame([(int(rng.integers(0, n)), x.tolist()) for x in extra], "memory_id")
+    q = frame([(i, v[i].tolist()) for i in range(0, n, 12)] + [(901, None)], "query_id")
+    sentences, block = {"spread": (packs, 4), "equal": (None, 4096), "even": (packs, 4096)}[kind]
+    monkeypatch.setattr(robust, "BLOCK", block)  # of four: queries beyond the bound meet the items in chunks
+    rows = items if sentences is None else items.unionByName(sentences)
+    sims = similar(q, rows, item_id="memory_id").where("query_id <> memory_id").groupBy("query_id", "memory_id").agg(F.max("sim").alias("sim"))
+    want = {r.query_id: r for r in recall.robust_z(sims).collect()}
+    got = {r.query_id: r for r in robust.robust_spread(q, items, sentences, apart=True).collect()}
+    assert got.keys() == want.keys() and len(got) == 9
+    for i, w in want.items():
+        assert (got[i].n, got[i].top) == (w.n, pytest.approx(w.top, abs=1e-12))
+        assert got[i].med == pytest.approx(w.med, abs=1e-12) and got[i].mad == pytest.approx(w.mad, abs=1e-12)
+    assert robust.robust_spread(q, items.limit(0)).count() == 0 and robust.robust_spread(q.limit(0), items).count() == 0
+
+
 # ---------------------------------------------------------------- writes
 
 
