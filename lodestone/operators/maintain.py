@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.scoring import at_least, clamp_weight
 from ..functions.text import has_hangul, short_concept
+from .fold import after, counted, in_order, stretches
 from .graph import expired
 
 DEFAULT = Config()
@@ -78,21 +79,16 @@ def touch(memories: DataFrame, read: DataFrame, now: float, config: Config = DEF
 
 
 def fold_weights(events: DataFrame, links: DataFrame | None = None, by: tuple[str, ...] = ("key_id", "memory_id"), config: Config = DEFAULT) -> DataFrame:
-    """Link weights after an ordered series of changes (*by, seq, delta), clamped after each one.
+    """(*by, n_events, weight): link weights after an ordered series of changes (*by, seq, delta), clamped after each one.
 
-    Changes of one link are folded in the order of seq; a link's changes in one batch stand in one
-    array, so a batch should hold a bounded span of the log (see the streaming twin).
-    """
+    Changes of one link are folded in the order of seq, as triples that ranges of the log make of them, so that a link may
+    have any number of changes (see `fold`). Links without a weight begin with the default one."""
+    rows = in_order(stretches(events, list(by), config.weight_min, config.weight_max), list(by))
     start = F.lit(config.weight_default)
-    rows = events
     if links is not None:
         rows = rows.join(links.select(*by, F.col("weight").alias("_start")), list(by), "left")
         start = F.coalesce("_start", start)
-    rows = rows.withColumn("_w0", start)
-    lo, hi = F.lit(config.weight_min), F.lit(config.weight_max)
-    steps = rows.groupBy(*by, "_w0").agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
-    weight = F.aggregate("steps", F.col("_w0"), lambda w, s: F.greatest(lo, F.least(hi, w + s["delta"])))
-    return steps.select(*by, F.size("steps").cast("long").alias("n_events"), weight.alias("weight"))
+    return rows.select(*by, "n_events", after(F.col("parts"), start).alias("weight"))
 
 
 def recall_reinforcement(results: DataFrame, key_hits: DataFrame, links: DataFrame, alive: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -107,7 +103,7 @@ def recall_reinforcement(results: DataFrame, key_hits: DataFrame, links: DataFra
     return gain.unionByName(loss).groupBy("key_id", "memory_id").agg(F.sum("delta").alias("delta"))
 
 
-def match_buffer(asked: DataFrame, reads: DataFrame, by: list[str], ttl: float, config: Config = DEFAULT) -> DataFrame:
+def match_buffer(asked: DataFrame, reads: DataFrame, by: list[str], ttl: float, config: Config = DEFAULT, one_ring: bool = False) -> DataFrame:
     """(*by, read_id, query_id, ts, delay): reads that confirm a query about the same thing. Both have `by`, ts
     (seconds) and an id.
 
@@ -115,13 +111,19 @@ def match_buffer(asked: DataFrame, reads: DataFrame, by: list[str], ttl: float,
     seconds old and among the `buffer_size` latest queries. Queries open and reads close like brackets: the
     depth of nesting, a running sum over its running minimum, tells which belong together, so two windows
     do and no pairs are made. A read that finds nothing fresh confirms nothing, and so do later ones
-    until a new query comes, as what lies deeper is older still.
+    until a new query comes, as what lies deeper is older still. one_ring: the latest queries are those of all
+    things together, counted in one order, rather than those of the same thing.
     """
     both = asked.select(*by, "ts", F.col("id").alias("query_id"), F.lit(None).cast("long").alias("read_id")).unionByName(reads.select(*by, "ts", F.lit(None).cast("long").alias("query_id"), F.col("id").alias("read_id")))
     order = ["ts", F.col("read_id").isNotNull(), F.coalesce("query_id", "read_id")]
     past = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_query = F.col("query_id").isNotNull()
-    rows = both.withColumn("sum", F.sum(F.when(is_query, 1).otherwise(-1)).over(past)).withColumn("nth", F.sum(is_query.cast("int")).over(past))
+    if one_ring:
+        both = both.withColumns({"_read": ~is_query, "_id": F.coalesce("query_id", "read_id"), "_query": is_query})
+        both = counted(both, ["ts", "_read", "_id"], "_query").drop("_read", "_id", "_query")
+    else:
+        both = both.withColumn("nth", F.sum(is_query.cast("long")).over(past))
+    rows = both.withColumn("sum", F.sum(F.when(is_query, 1).otherwise(-1)).over(past))
     rows = rows.withColumn("low", F.least(F.lit(0), F.min("sum").over(past)))
     # a read at a new minimum closes nothing; else a query and its read have one level, and take turns there
     before = F.lag("low", 1, 0).over(Window.partitionBy(*by).orderBy(*order))

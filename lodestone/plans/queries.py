@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import PROFILES
 from ..functions import text as T
 from ..functions.scoring import depth_factor, r6, time_factor
-from ..functions.similarity import similar
+from ..functions.similarity import join_similar, similar
 from ..functions.vector import max_sim
 from ..operators import bm25, evaluate, graph, keys, maintain, recall, write
 from ..operators.durable import shared_dir, spread
@@ -379,6 +379,13 @@ def all_pairs_over_threshold(spark, d):
     return _pairs(spark, d, 0.3).withColumn("sim", r6(F.col("sim")))
 
 
+@query(f"WITH {VECTORS}, {_ALL} SELECT a, b, {r('sim')} AS sim FROM ab WHERE sim + 1e-10 >= 0.42")
+def similarity_join(spark, d):
+    e = table(spark, d, "embeddings")
+    rows = join_similar(e.select(F.col("vec_id").alias("a"), "embedding"), e.select(F.col("vec_id").alias("b"), "embedding"), 0.42, "a", "b", cells=24, chunk_rows=64)
+    return rows.where("a < b").withColumn("sim", r6(F.col("sim")))
+
+
 @query(f"WITH {VECTORS}, s AS (SELECT x.vec_id AS memory_id, y.vec_id AS duplicate_id, list_cosine_similarity(x.e, y.e) AS sim FROM v x, v y WHERE x.vec_id <> y.vec_id), t AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY {r('sim')} DESC, duplicate_id) AS o FROM s WHERE sim + 1e-10 >= 0.42) SELECT memory_id, duplicate_id, {r('sim')} AS sim FROM t WHERE o = 1")
 def duplicate_argmax(spark, d):
     m = vectors(spark, d).memories
@@ -799,6 +806,27 @@ def recall_buffer_match(spark, d):
     return _matches(spark, d).select("user_id", "read_id", "query_id", r6(F.col("delay")).alias("delay"))
 
 
+#: The same against one ring of the latest 32 queries of all users.
+_RING = f"""
+o AS MATERIALIZED (SELECT user_id, id, ts, event_type = 'view' AS is_read, row_number() OVER (ORDER BY ts, event_type = 'view', id) AS n FROM ev WHERE event_type IN ('click', 'view')),
+st(n, pending, user_id, read_id, ts, hit) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(u BIGINT, id BIGINT, ts DOUBLE, taken BOOLEAN)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS STRUCT(u BIGINT, id BIGINT, ts DOUBLE, taken BOOLEAN))
+  UNION ALL
+  SELECT n, CASE WHEN NOT is_read THEN list_slice(list_append(pending, {{'u': user_id, 'id': id, 'ts': ts, 'taken': false}}), -32, 33) WHEN fresh THEN list_transform(pending, lambda x, i: {{'u': x.u, 'id': x.id, 'ts': x.ts, 'taken': x.taken OR i = p}}) ELSE pending END,
+    user_id, CASE WHEN is_read THEN id END, ts, CASE WHEN fresh THEN pending[p] END
+  FROM (SELECT *, is_read AND p IS NOT NULL AND ts - pending[p].ts <= {TTL} AS fresh
+    FROM (SELECT o.n AS n, s.pending AS pending, o.user_id AS user_id, o.id AS id, o.ts AS ts, o.is_read AS is_read, list_max(list_filter(list_transform(s.pending, lambda x, i: CASE WHEN NOT x.taken AND x.u = o.user_id THEN i END), lambda x: x IS NOT NULL)) AS p FROM st s JOIN o ON o.n = s.n + 1))),
+mt AS (SELECT user_id, read_id, hit.id AS query_id, ts - hit.ts AS delay FROM st WHERE hit IS NOT NULL)
+"""
+
+
+@query(f"WITH RECURSIVE {LOG}, {_RING} SELECT user_id, read_id, query_id, round(delay + 1e-10, 6) AS delay FROM mt")
+def recall_ring_match(spark, d):
+    e = log(spark, d)
+    rows = maintain.match_buffer(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], TTL, one_ring=True)
+    return rows.select("user_id", "read_id", "query_id", r6(F.col("delay")).alias("delay"))
+
+
 _TAUGHT = dataclasses.replace(CONFIG, profile=PROFILES["bgem3"], promote_n=2, max_aliases=2)
 
 

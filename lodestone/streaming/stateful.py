@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Config
+from ..operators.fold import compose
 
 DEFAULT = Config()
 #: The latest queries of a key, those that a read took marked; `buffer_size` at most.
@@ -54,12 +56,14 @@ def confirm_stream(events: DataFrame, by: str = "user_id", ttl: float | None = N
 
 
 def fold_stream(events: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
-    """Running link weights (by, n_events, weight) of a stream of changes (by, seq, delta), clamped after each."""
+    """Running link weights (by, n_events, weight) of a stream of changes (by, seq, delta), clamped after each: a batch's
+    changes of a link become one triple (see `operators.fold`), which moves the weight that is its state."""
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, w = state.get if state.exists else (0, config.weight_default)
-        for d in pd.concat(list(batches)).sort_values("seq")["delta"]:
-            n, w = n + 1, max(config.weight_min, min(config.weight_max, w + d))
+        delta = pd.concat(list(batches)).sort_values(["seq", "delta"])["delta"].to_numpy(float)
+        (low,), (high,), (shift,) = compose(np.full(len(delta), config.weight_min), np.full(len(delta), config.weight_max), delta, np.zeros(len(delta), int))
+        n, w = n + len(delta), float(min(high, max(low, w + shift)))
         state.update((n, w))
         yield pd.DataFrame([(*key, n, w)], columns=[*by, "n_events", "weight"])
 

@@ -14,7 +14,7 @@ from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.functions.similarity import join_similar, similar
 from lodestone.functions.vector import BigramEmbedder, check_dimension, cosine, embed
-from lodestone.operators import bm25, evaluate, graph, keys, maintain, recall, robust, write
+from lodestone.operators import bm25, evaluate, fold, graph, keys, maintain, recall, robust, write
 from lodestone.schema import KEYS, conform
 from lodestone.sources import store as ST
 from lodestone.sources import transcripts as TR
@@ -429,6 +429,58 @@ def test_maintenance(spark):
     assert maintain.upsert_links(l, spark.createDataFrame([("go", "a"), ("go", "b")], "key_id string, memory_id string")).count() == 5
 
 
+def test_changes_compose(spark):
+    rng = np.random.default_rng(6)
+    group = np.sort(rng.integers(0, 9, 200))
+    delta = rng.normal(size=200)
+    low, high, shift = fold.compose(np.full(200, 0.1), np.full(200, 3.0), delta, group)
+    for i, g in enumerate(np.unique(group)):
+        for x in (-5.0, 0.1, 1.0, 2.2, 9.0):
+            w = x
+            for d in delta[group == g]:
+                w = max(0.1, min(3.0, w + d))
+            assert min(high[i], max(low[i], x + shift[i])) == pytest.approx(w)
+
+
+def test_a_log_folds_as_change_by_change(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"k{rng.integers(0, 3)}", f"m{rng.integers(0, 3)}", int(rng.integers(0, 500)), float(rng.normal())) for _ in range(2000)]
+    links = spark.createDataFrame([("k0", "m0", 2.5), ("k1", "m1", 0.2)], "key_id string, memory_id string, weight double")
+    want = {}
+    for k, m, _, d in sorted(rows):
+        n, w = want.get((k, m), (0, {("k0", "m0"): 2.5, ("k1", "m1"): 0.2}.get((k, m), 1.0)))
+        want[k, m] = n + 1, max(0.1, min(3.0, w + d))
+    got = {(r.key_id, r.memory_id): (r.n_events, r.weight) for r in maintain.fold_weights(spark.createDataFrame(rows, "key_id string, memory_id string, seq long, delta double"), links).collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and got[x][1] == pytest.approx(want[x][1]) for x in want)
+    # a million changes of one link are a few triples
+    many = spark.range(1_000_000).select(F.lit("k").alias("key_id"), F.lit("m").alias("memory_id"), F.col("id").alias("seq"), (F.sin(F.col("id")) * 0.3).alias("delta"))
+    w = 1.0
+    for d in np.sin(np.arange(1_000_000)) * 0.3:
+        w = max(0.1, min(3.0, w + d))
+    parts = fold.stretches(many, ["key_id", "memory_id"], 0.1, 3.0)
+    assert parts.count() <= 8
+    assert maintain.fold_weights(many).first().weight == pytest.approx(w)
+
+
+def test_one_ring_for_all_things(spark):
+    rng = np.random.default_rng(8)
+    rows = [("abcd"[rng.integers(0, 4)], i, float(rng.integers(0, 120)), bool(rng.random() < 0.5)) for i in range(300)]
+    c, pending, want = C.Config(buffer_size=5), [], {}
+    for key, i, ts, read in sorted(rows, key=lambda x: (x[2], x[3], x[1])):
+        if not read:
+            pending = [*pending, [key, i, ts, False]][-5:]
+            continue
+        own = [p for p in pending if p[0] == key and not p[3]]
+        if own and ts - own[-1][2] <= 20.0:
+            own[-1][3] = True
+            want[i] = own[-1][1]
+    df = spark.createDataFrame(rows, "key string, id long, ts double, read boolean").repartition(4)
+    got = {r.read_id: r.query_id for r in maintain.match_buffer(df.where("NOT read"), df.where("read"), ["key"], 20.0, c, one_ring=True).collect()}
+    assert got == want and len(want) > 20
+    n = fold.counted(df, ["ts", "id"], "read").orderBy("ts", "id").collect()
+    assert [r.nth for r in n] == np.cumsum([r.read for r in n]).tolist()
+
+
 def test_a_query_is_confirmed_once(spark):
     """Each read takes the latest fresh query that none took before; the ring holds the newest queries."""
     c = C.Config(buffer_size=3)
