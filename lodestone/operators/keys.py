@@ -91,17 +91,20 @@ def nearest_keys(queries: DataFrame, keys: DataFrame, links: DataFrame, memories
 
 def read_key(key_ids: DataFrame, links: DataFrame, memories: DataFrame, now: float, limit: int = 10, offset: int = 0, namespace: str | None = None, relevance: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
     """(key_id, rank, memory_id, score, weight, total, next_offset): a page of each key's memories by
-    relevance x weight x depth x time. relevance: (memory_id, sim), 1 where not given."""
+    relevance x weight x depth x time. relevance: (memory_id, sim), 1 where not given; with a query_id the pages
+    are those of each query and key, of the memories that have a relevance to the query."""
     limit = max(1, min(50, limit))
     rows = links.join(key_ids.select("key_id"), "key_id", "left_semi").join(active(memories, now, namespace).select("memory_id", "created_at", "depth", "seq"), "memory_id")
-    rel = F.lit(1.0)
-    if relevance is not None:
+    rel, by = F.lit(1.0), ["key_id"]
+    if relevance is not None and "query_id" in relevance.columns:
+        rows, rel, by = rows.join(relevance.select("query_id", "memory_id", F.col("sim").alias("rel")), "memory_id"), F.col("rel"), ["query_id", "key_id"]
+    elif relevance is not None:
         rows, rel = rows.join(relevance.select("memory_id", F.col("sim").alias("rel")), "memory_id", "left"), F.coalesce("rel", F.lit(0.0))
     rows = rows.withColumn("score", rel * F.col("weight") * depth_factor(F.col("depth")) * time_factor(F.col("created_at"), F.col("depth"), now, config))
-    own = Window.partitionBy("key_id")
+    own = Window.partitionBy(*by)
     rank = F.row_number().over(own.orderBy(F.desc(F.round(F.col("score") + 1e-10, 6)), F.desc("created_at"), "seq"))
     rows = rows.withColumn("rank", rank).withColumn("total", F.count("*").over(own)).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    return rows.select("key_id", "rank", "memory_id", "score", "weight", "total", F.when(F.col("total") > offset + limit, offset + limit).alias("next_offset"))
+    return rows.select(*by, "rank", "memory_id", "score", "weight", "total", F.when(F.col("total") > offset + limit, offset + limit).alias("next_offset"))
 
 
 def browse_keys(keys: DataFrame, links: DataFrame, memories: DataFrame, now: float, limit: int = 20, offset: int = 0, hubs_only: bool = False, namespace: str | None = None, config: Config = DEFAULT) -> DataFrame:

@@ -124,13 +124,13 @@ def read_key_ranked(spark, d):
     return rows.select("key_id", "rank", "memory_id", r6(F.col("score")).alias("score"), "total", "next_offset")
 
 
-@query(f"""WITH {VECTORS}, s AS (SELECT km.key_id, vm.memory_id, created_at, sim * {DEPTH} * {TIME} AS score FROM km JOIN vm USING (memory_id) JOIN qm ON qm.memory_id = vm.memory_id AND query_id = 0),
-  t AS (SELECT *, CAST(row_number() OVER (PARTITION BY key_id ORDER BY {r('score')} DESC, created_at DESC, memory_id) AS INTEGER) AS rank FROM s)
-  SELECT key_id, rank, memory_id, {r('score')} AS score FROM t WHERE rank <= 10""")
+@query(f"""WITH {VECTORS}, s AS (SELECT query_id, km.key_id, vm.memory_id, created_at, sim * {DEPTH} * {TIME} AS score FROM km JOIN vm USING (memory_id) JOIN qm ON qm.memory_id = vm.memory_id),
+  t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, key_id ORDER BY {r('score')} DESC, created_at DESC, memory_id) AS INTEGER) AS rank FROM s)
+  SELECT query_id, key_id, rank, memory_id, {r('score')} AS score FROM t WHERE rank <= 10""")
 def read_key_with_query(spark, d):
     g = vectors(spark, d)
-    rel = similar(vector_queries(spark, d).where("query_id = 0"), g.memories, least=-2.0, item_id="memory_id")
-    return keys.read_key(g.keys, g.links, g.memories, NOW, relevance=rel).select("key_id", "rank", "memory_id", r6(F.col("score")).alias("score"))
+    rel = similar(vector_queries(spark, d), g.memories, least=-2.0, item_id="memory_id")
+    return keys.read_key(g.keys, g.links, g.memories, NOW, relevance=rel).select("query_id", "key_id", "rank", "memory_id", r6(F.col("score")).alias("score"))
 
 
 @query(f"WITH {CATALOG} SELECT memory_id, CAST(row_number() OVER (PARTITION BY memory_id ORDER BY weight DESC, seq) AS INTEGER) AS rank, key_id, concept, {r('weight')} AS weight FROM l JOIN k USING (key_id) SEMI JOIN m USING (memory_id)")
@@ -814,7 +814,7 @@ st(n, pending, user_id, read_id, ts, hit) AS (
   UNION ALL
   SELECT n, CASE WHEN NOT is_read THEN list_slice(list_append(pending, {{'u': user_id, 'id': id, 'ts': ts, 'taken': false}}), -32, 33) WHEN fresh THEN list_transform(pending, lambda x, i: {{'u': x.u, 'id': x.id, 'ts': x.ts, 'taken': x.taken OR i = p}}) ELSE pending END,
     user_id, CASE WHEN is_read THEN id END, ts, CASE WHEN fresh THEN pending[p] END
-  FROM (SELECT *, is_read AND p IS NOT NULL AND ts - pending[p].ts <= {TTL} AS fresh
+  FROM (SELECT *, is_read AND p IS NOT NULL AND ts - pending[p].ts <= {20 * TTL} AS fresh
     FROM (SELECT o.n AS n, s.pending AS pending, o.user_id AS user_id, o.id AS id, o.ts AS ts, o.is_read AS is_read, list_max(list_filter(list_transform(s.pending, lambda x, i: CASE WHEN NOT x.taken AND x.u = o.user_id THEN i END), lambda x: x IS NOT NULL)) AS p FROM st s JOIN o ON o.n = s.n + 1))),
 mt AS (SELECT user_id, read_id, hit.id AS query_id, ts - hit.ts AS delay FROM st WHERE hit IS NOT NULL)
 """
@@ -823,7 +823,7 @@ mt AS (SELECT user_id, read_id, hit.id AS query_id, ts - hit.ts AS delay FROM st
 @query(f"WITH RECURSIVE {LOG}, {_RING} SELECT user_id, read_id, query_id, round(delay + 1e-10, 6) AS delay FROM mt")
 def recall_ring_match(spark, d):
     e = log(spark, d)
-    rows = maintain.match_buffer(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], TTL, one_ring=True)
+    rows = maintain.match_buffer(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], 20 * TTL, one_ring=True)
     return rows.select("user_id", "read_id", "query_id", r6(F.col("delay")).alias("delay"))
 
 

@@ -56,14 +56,13 @@ l AS (SELECT l_partkey AS key_id, l_orderkey AS memory_id, greatest(CAST(0.1 AS
 a AS (SELECT * FROM m WHERE NOT (ttl IS NOT NULL AND {NOW} > ttl) AND memory_id NOT IN (SELECT supersedes FROM m WHERE supersedes IS NOT NULL)),
 idf AS (SELECT k.key_id AS key_id, count(l.key_id) AS n_links, (CASE WHEN count(l.key_id) <= 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / count(l.key_id) END) * (CASE WHEN key_type IN ('name', 'proper_noun') THEN 0.5 ELSE 1 END) AS idf
   FROM k LEFT JOIN l ON k.key_id = l.key_id GROUP BY k.key_id, key_type),
-tops AS (SELECT namespace, arg_max(memory_id, price) AS memory_id FROM m GROUP BY 1)
+tops AS (SELECT memory_id FROM m WHERE memory_id % 50 = 0)
 """
 
 
 def seeds(g: Graph) -> DataFrame:
-    """(query_id, memory_id): the dearest order of each status."""
-    rows = g.memories.groupBy("namespace").agg(F.max_by("memory_id", "price").alias("memory_id"))
-    return rows.select(F.col("memory_id").alias("query_id"), "memory_id")
+    """(query_id, memory_id): the stated query set, every order whose key is divisible by 50."""
+    return g.memories.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "memory_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> Graph:
