@@ -14,15 +14,28 @@ from .graph import active, key_counts
 DEFAULT = Config()
 
 
-def literal_hits(queries: DataFrame, keys: DataFrame) -> DataFrame:
-    """(query_id, key_id, literal): keys whose concept or alias the query text names; literal is
-    `alias` where an alias does, else `concept`. Terms meet queries on a shared token, so that only
-    candidate pairs run the pattern."""
+#: Stands in every text, and for terms without a token.
+_ANYWHERE = "\x00"
+
+
+def literal_candidates(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, query, key_id, term, is_alias): the pairs of query texts and names of keys that share the name's
+    rarest token, counted over the query texts: a word that all names begin with brings none of them together, and
+    names with a token that no text has meet none."""
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
     named = keys.select("key_id", F.explode(F.array_union(F.array("concept"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("term"), F.col("concept").alias("c"))
-    named = named.select("key_id", "term", (F.lower("term") != F.lower("c")).alias("is_alias"), F.element_at(F.concat(F.array_sort(tokens(F.col("term"))), F.array(F.lit("\x00"))), 1).alias("token"))
-    asked = queries.select("query_id", "query", F.explode(F.array_union(tokens(F.col("query")), F.array(F.lit("\x00")))).alias("token"))
-    hits = asked.join(named, "token").where(literal_match(F.col("term"), F.col("query")))
+    own = tokens(F.col("term"))
+    named = named.select("key_id", "term", (F.lower("term") != F.lower("c")).alias("is_alias"), F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(_ANYWHERE)))).alias("token"))
+    asked = queries.select("query_id", "query", F.explode(F.array_union(tokens(F.col("query")), F.array(F.lit(_ANYWHERE)))).alias("token"))
+    spread_ = asked.groupBy("token").agg(F.count("*").alias("n"))
+    rare = named.join(spread_, "token", "left").groupBy("key_id", "term", "is_alias").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    return asked.join(rare, "token").drop("token")
+
+
+def literal_hits(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, key_id, literal): keys whose concept or alias the query text names; literal is
+    `alias` where an alias does, else `concept`. Only candidate pairs run the pattern."""
+    hits = literal_candidates(queries, keys).where(literal_match(F.col("term"), F.col("query")))
     return hits.groupBy("query_id", "key_id").agg(F.when(F.max("is_alias"), "alias").otherwise("concept").alias("literal"))
 
 

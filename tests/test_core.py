@@ -349,6 +349,18 @@ def test_search_keys_gates_and_ranking(spark):
     assert set(near) == {"near", "other", "Ann", "far"}
 
 
+def test_names_meet_texts_on_their_rarest_token(spark):
+    # every name begins with a stop word that every text has
+    names = [(f"k{i}", f"a topic{i}", [f"A Thing{i}"]) for i in range(40)] + [("c", "c++", []), ("p", "++", [])]
+    k = spark.createDataFrame(names, "key_id string, concept string, aliases array<string>")
+    q = spark.createDataFrame([(i, f"tell me a topic{i % 10} or a thing{i % 7}, c++ too") for i in range(30)] + [(99, "++"), (100, None)], "query_id long, query string")
+    hits = {(r.query_id, r.key_id, r.literal) for r in keys.literal_hits(q, k).collect()}
+    want = {(i, f"k{i % 10}", "alias" if i % 7 == i % 10 else "concept") for i in range(30)} | {(i, f"k{i % 7}", "alias") for i in range(30)} | {(i, "c", "concept") for i in range(30)} | {(99, "p", "concept")}
+    assert hits >= want - {(i, "p", "concept") for i in range(30)} and {h[:2] for h in hits} >= {w[:2] for w in want}
+    n = keys.literal_candidates(q, k).count()
+    assert n <= 2 * 30 + 30 + 32  # the alphabetically first token, the stop word, would have met 80 names in each text
+
+
 def test_gates_decide_whether_anything_is_found(spark):
     pop = spark.createDataFrame([(1, s) for s in [0.9] + [0.1, 0.11, 0.12, 0.1, 0.09, 0.13, 0.1, 0.12]] + [(2, 0.5)] * 9, "query_id long, sim double")
     z = {r.query_id: r.z for r in recall.robust_z(pop).collect()}
