@@ -7,6 +7,7 @@ Reads are DataFrames over an immutable snapshot; writes return a new `Memory` ov
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,7 @@ from .config import Config
 from .functions.scoring import recall_status
 from .functions.text import new_id, retag_note, skip_prompt, usable_keys
 from .functions.vector import BigramEmbedder, Embedder, embed
-from .operators import bm25, graph, keys, maintain, recall, write
+from .operators import bm25, graph, keys, maintain, oplog, recall, write
 from .operators.durable import cut
 from .operators.robust import robust_spread
 from .schema import KEYS, LINKS, MEMORIES, SENTENCES, conform
@@ -28,7 +29,10 @@ from .sources.store import Store, sentence_vectors
 @dataclasses.dataclass(frozen=True)
 class Memory:
     """A graph snapshot with its embedder, configuration and clock; `indexed` adds a full-text index that writes
-    keep up to date."""
+    keep up to date.
+
+    asked: the weak matches (turn, ts, query, key_id, cosine) of the latest questions, which reads may still take. changes:
+    rows of the operation log that the snapshot has and its store hasn't; rewritten: whether more than those changed."""
 
     keys: DataFrame
     links: DataFrame
@@ -38,6 +42,9 @@ class Memory:
     config: Config = dataclasses.field(default_factory=Config)
     sentences: DataFrame | None = None
     index: bm25.Index | None = None
+    asked: DataFrame | None = None
+    changes: tuple[DataFrame, ...] = ()
+    rewritten: bool = False
 
     @staticmethod
     def empty(spark: SparkSession, now: float, **more) -> Memory:
@@ -52,6 +59,19 @@ class Memory:
         tables = {"keys": self.keys, "links": self.links, "memories": self.memories}
         return store.save(tables if self.sentences is None else {**tables, "sentences": self.sentences}, self.embedder.fingerprint)
 
+    def flush(self, store: Store) -> Memory:
+        """Bring a store that this graph was loaded from up to date: where reads alone changed it, their log rows are
+        added, else a new version is written. The same graph with nothing left to flush."""
+        if self.rewritten:
+            self.save(store)
+        elif self.changes:
+            store.append_log(functools.reduce(DataFrame.unionByName, self.changes), own=True)
+        return dataclasses.replace(self, changes=(), rewritten=False)
+
+    def _seq(self) -> int:
+        """A number for the next changes of links: later than all before by the clock, and in the order of verbs."""
+        return int(self.now * 1e6) + len(self.changes)
+
     @property
     def spark(self) -> SparkSession:
         return self.memories.sparkSession
@@ -83,6 +103,26 @@ class Memory:
         sims = self._content_sims(texts, contexts, namespace, min(p.content_gate(True), p.content_gate(False)))
         return keys.search_keys(self._queries(texts), self.keys, self.links, self.memories, self.now, top_k, namespace, sims, self.config)
 
+    def noted(self, texts: list[str], namespace: str | None = None, contexts: list[str | None] | None = None) -> Memory:
+        """The graph after `recall` answered the texts, one after the other: aliases that they used count hits, and weak
+        matches wait for reads that confirm them, those of the latest `buffer_size` texts that have any."""
+        p, q = self.config.profile, self._queries(texts)
+        sims = cut(self._content_sims(texts, contexts, namespace, min(p.content_gate(True), p.content_gate(False))))
+        found = keys.search_keys(q, self.keys, self.links, self.memories, self.now, 8, namespace, sims, self.config)
+        weak = keys.weak_matches(q, found, self.keys, self.links, self.memories, self.now, namespace, sims, self.config)
+        last = -1 if self.asked is None else self.asked.agg(F.max("turn")).first()[0]
+        base = 0 if last is None else last + 1
+        rows = weak.select((F.col("query_id") + base).alias("turn"), F.lit(float(self.now)).alias("ts"), F.trim("query").alias("query"), "key_id", "cosine")
+        rows = rows if self.asked is None else self.asked.unionByName(rows)
+        kept = rows.select("turn").distinct().orderBy(F.desc("turn")).limit(self.config.buffer_size)
+        seen = self.links.join(graph.active(self.memories, self.now, namespace).select("memory_id"), "memory_id", "left_semi")
+        used = cut(keys.alias_uses(q, self.keys.join(seen.select("key_id"), "key_id", "left_semi")).join(self._learned(), ["key_id", "alias"], "left_semi").select("key_id", "alias"))
+        return dataclasses.replace(self, asked=cut(rows.join(F.broadcast(kept), "turn", "left_semi")), keys=cut(maintain.count_alias_hits(self.keys, used)), changes=(*self.changes, oplog.uses(used)))
+
+    def _learned(self) -> DataFrame:
+        """(key_id, alias) of the names that keys learned."""
+        return self.keys.select("key_id", F.explode("learned_aliases.alias").alias("alias"))
+
     def recall_hint(self, texts: list[str], namespace: str | None = None) -> DataFrame:
         """The nearest keys of texts that no key answers."""
         q = self._queries(texts)
@@ -121,9 +161,10 @@ class Memory:
         named = keys.literal_hits(q, self.keys.where("key_type <> 'concept'").withColumn("aliases", F.array().cast("array<string>"))).select("query_id", "key_id", F.lit(1.0).alias("sim"))
         hits = recall._ranked(sims.unionByName(named).withColumnRenamed("sim", "score").join(self.keys.select("key_id", "seq"), "key_id"), self.config.top_keys).select("query_id", "key_id")
         found = cut(found)
-        delta = maintain.recall_reinforcement(found, hits, self.links, graph.active(self.memories, self.now), self.config)
+        delta = cut(maintain.recall_reinforcement(found, hits, self.links, graph.active(self.memories, self.now), self.config))
         links = maintain.set_weights(self.links, self.links.join(delta, ["key_id", "memory_id"]).select("key_id", "memory_id", (F.col("weight") + F.col("delta")).alias("weight")), self.config)
-        return dataclasses.replace(self, links=cut(links), memories=cut(maintain.touch(self.memories, found, self.now, self.config)))
+        log = (oplog.link_changes(delta.withColumn("seq", F.lit(self._seq()))), oplog.reads(found.withColumn("ts", F.lit(float(self.now)))))
+        return dataclasses.replace(self, links=cut(links), memories=cut(maintain.touch(self.memories, found, self.now, self.config)), changes=(*self.changes, *log))
 
     def inject(self, texts: list[str], top_k: int = 2, namespace: str | None = None, min_rel: float = 0.0, contexts: list[str | None] | None = None, by_depth: bool = False, shallow_slot: bool = False) -> DataFrame:
         """Passages to put before a model's answer to each text."""
@@ -152,7 +193,8 @@ class Memory:
         return keys.browse_keys(self.keys, self.links, self.memories, self.now, limit, offset, hubs_only, namespace, self.config)
 
     def read_memory(self, memory_id: str, via_key: str | None = None, namespace: str | None = None) -> tuple[DataFrame, Memory]:
-        """The memory with its keys, and the graph after the read: deeper memory, stronger link."""
+        """The memory with its keys, and the graph after the read: deeper memory, stronger link. A read by a key takes the
+        latest question that matched the key weakly (see `noted`), and the key may learn its text."""
         me = F.col("memory_id") == memory_id
         row = self.memories.where(me & ~graph.expired(F.col("ttl"), self.now))
         if namespace:
@@ -164,11 +206,26 @@ class Memory:
             raise KeyError(f"memory {memory_id} was superseded by {newer[0]}")
         if via_key is not None and not self.links.where((F.col("key_id") == via_key) & me).limit(1).count():
             raise KeyError(f"memory {memory_id} has no key {via_key}")
-        links = self.links
+        links, log = self.links, [oplog.reads(row.select("memory_id", F.lit(float(self.now)).alias("ts")))]
         if via_key is not None:
+            change = links.where(me & (F.col("key_id") == via_key)).select("key_id", "memory_id", F.lit(self._seq()).alias("seq"), F.lit(self.config.reinforce).alias("delta"))
+            log.append(oplog.link_changes(cut(change)))
             links = maintain.set_weights(links, links.where(me & (F.col("key_id") == via_key)).withColumn("weight", F.col("weight") + self.config.reinforce), self.config)
         memories = maintain.touch(self.memories, row, self.now, self.config)
-        return row.join(keys.memory_keys(row, self.keys, self.links), "memory_id", "left"), dataclasses.replace(self, memories=memories, links=links)
+        after = dataclasses.replace(self, memories=memories, links=links, changes=(*self.changes, *log))
+        return row.join(keys.memory_keys(row, self.keys, self.links), "memory_id", "left"), after._confirmed(via_key, memory_id)
+
+    def _confirmed(self, key_id: str | None, memory_id: str) -> Memory:
+        """After a read of a memory by a key: the latest fresh question that matched the key weakly is taken, once."""
+        if self.asked is None or key_id is None:
+            return self
+        mine = self.asked.where((F.col("key_id") == key_id) & (F.lit(float(self.now)) - F.col("ts") <= self.config.buffer_ttl))
+        hit = mine.orderBy(F.desc("turn")).first()
+        if hit is None:
+            return self
+        left = dataclasses.replace(self, asked=cut(self.asked.where(~((F.col("key_id") == key_id) & (F.col("turn") == hit["turn"])))))
+        row = [(key_id, memory_id, hit["query"], float(hit["cosine"]), float(self.now), int(hit["turn"]))]
+        return left.learn(self.spark.createDataFrame(row, "key_id string, memory_id string, query string, cosine double, ts double, read_id long"))
 
     def learn(self, confirmed: DataFrame) -> Memory:
         """The graph after reads confirmed weakly matched keys (key_id, memory_id, query, cosine, ts, read_id): texts
@@ -177,7 +234,10 @@ class Memory:
         taught = cut(maintain.apply_aliases(self.keys, learned))
         new = learned.where("decision = 'newKey'").select("query", "memory_id", "ts", "name")
         if not new.limit(1).count():
-            return dataclasses.replace(self, keys=taught)
+            # names alone are rows of the log; counts of candidates are in the keys only, and make a new version
+            open_ = learned.where("decision = 'none'").limit(1).count()
+            log = oplog.lessons(learned.where("decision = 'alias'").select("key_id", F.col("query").alias("alias"), "ts"))
+            return dataclasses.replace(self, keys=taught, changes=(*self.changes, log), rewritten=self.rewritten or bool(open_))
         base = (taught.agg(F.max("seq")).first()[0] or 0) + 1
         asked = new.withColumn("seq", F.row_number().over(Window.orderBy("ts", "name")) + F.lit(base)).select("seq", F.col("query").alias("concept"), F.lit("concept").alias("key_type"), "memory_id")
         asked = cut(embed(asked, "concept", self.embedder))
@@ -185,7 +245,7 @@ class Memory:
         made = found.where("how = 'new'").join(asked.select("seq", "key_type", "embedding"), "seq")
         grown = cut(write.record_keys(taught.unionByName(conform(made.withColumn("aliases", F.array().cast("array<string>")), KEYS)), asked, found))
         wanted = found.join(asked.select("seq", "memory_id"), "seq").select("key_id", "memory_id")
-        return dataclasses.replace(self, keys=grown, links=cut(maintain.upsert_links(self.links, wanted, self.config)))
+        return dataclasses.replace(self, keys=grown, links=cut(maintain.upsert_links(self.links, wanted, self.config)), rewritten=True)
 
     def related(self, memory_id: str) -> DataFrame:
         seed = self.memories.where(F.col("memory_id") == memory_id).select(F.col("memory_id").alias("seed_id"))
@@ -239,7 +299,7 @@ class Memory:
 
     def _with(self, before: Memory, fresh: DataFrame) -> Memory:
         """This graph with the sentence vectors and the index of the memories `fresh`, as far as it has any."""
-        out = self
+        out = dataclasses.replace(self, rewritten=True)
         if self.sentences is not None and self.config.sentence_vectors:
             out = dataclasses.replace(out, sentences=cut(self.sentences.unionByName(sentence_vectors(fresh, self.embedder))))
         if before.index is not None:
@@ -249,7 +309,7 @@ class Memory:
 
     def remember(self, items: list[dict]) -> tuple[Memory, dict[str, DataFrame]]:
         """Add memories {content, keys, key_types?, namespace?, ttl?, related_to?, source?} in order; the new graph,
-        and `errors`, `duplicates`, `contradictions` and `hints`."""
+        and `errors`, `duplicates`, `contradictions`, `hints` and `near_keys`."""
         base = (self.memories.agg(F.max("seq")).first()[0] or 0) + 1
         rows = [(base + i, x["content"], list(x.get("keys") or []), dict(x.get("key_types") or {}), x.get("namespace", "default"), x.get("ttl"), list(x.get("related_to") or []), x.get("source")) for i, x in enumerate(items)]
         new = self.spark.createDataFrame(rows, "seq long, content string, concepts array<string>, key_types map<string,string>, namespace string, ttl double, related_to array<string>, source string")
@@ -257,10 +317,11 @@ class Memory:
         own, grown = self._resolved(new)
         ready = cut(new.join(own, "memory_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))))
         out = write.add_batch(ready, self.memories, self.links, grown, self.now, self.config)
-        hints = write.write_hints(new.select("memory_id", F.col("concepts").alias("keys")))
+        given = new.select("memory_id", F.col("concepts").alias("keys"))
+        hints = write.write_hints(given)
         done = dataclasses.replace(self, keys=grown, links=cut(out["links"]), memories=cut(out["memories"]))
         fresh = done.memories.join(new.select("memory_id"), "memory_id", "left_semi")
-        return done._with(self, fresh), {"errors": out["errors"], "duplicates": out["duplicates"], "contradictions": out["contradictions"], "hints": hints}
+        return done._with(self, fresh), {"errors": out["errors"], "duplicates": out["duplicates"], "contradictions": out["contradictions"], "hints": hints, "near_keys": write.near_hints(given, done.links, grown, self.config)}
 
     def correct(self, memory_id: str, content: str, concepts: list[str] | None = None, related_to: list[str] | None = None) -> tuple[Memory, DataFrame]:
         """Supersede the newest version of a memory. Namespace and expiry are the old one's, and so are explicit links
@@ -290,7 +351,7 @@ class Memory:
         return done, note
 
     def _without(self, t: dict[str, DataFrame]) -> Memory:
-        out = dataclasses.replace(self, **t)
+        out = dataclasses.replace(self, **t, rewritten=True)
         if self.sentences is not None:
             out = dataclasses.replace(out, sentences=self.sentences.join(t["memories"].select("memory_id"), "memory_id", "left_semi").select(self.sentences.columns))
         return out if self.index is None else dataclasses.replace(out, index=self.index.keep(t["memories"]))

@@ -39,6 +39,14 @@ def literal_hits(queries: DataFrame, keys: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "key_id").agg(F.when(F.max("is_alias"), "alias").otherwise("concept").alias("literal"))
 
 
+def alias_uses(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, key_id, alias): the alias by which a query text names a key, the first in the key's own order. Whether
+    the text names the concept too doesn't matter."""
+    hits = literal_candidates(queries, keys).where(F.col("is_alias") & literal_match(F.col("term"), F.col("query")))
+    place = keys.select("key_id", F.posexplode("aliases").alias("pos", "term"))
+    return hits.join(place, ["key_id", "term"]).groupBy("query_id", "key_id").agg(F.min_by("term", "pos").alias("alias"))
+
+
 def _best_content(links: DataFrame, alive: DataFrame, content_sims: DataFrame) -> DataFrame:
     """(query_id, key_id, content_sim, content_id): each key's best memory, ties to the earliest."""
     rows = content_sims.join(alive.select("memory_id", "seq"), "memory_id").join(links.select("key_id", "memory_id"), "memory_id")
@@ -94,6 +102,20 @@ def search_keys(queries: DataFrame, keys: DataFrame, links: DataFrame, memories:
     return rows.select("query_id", "rank", "key_id", "concept", "score", "match_type", "content_id", "n_memories", "is_hub", "specificity")
 
 
+def weak_matches(queries: DataFrame, found: DataFrame, keys: DataFrame, links: DataFrame, memories: DataFrame, now: float, namespace: str | None = None, content_sims: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """(query_id, key_id, query, cosine): the keys that a later read may teach a query's text to: those that
+    `search_keys` found (found) by meaning alone, and, for short texts, concept keys that no gate let in but
+    whose similarity reaches the confirmation floor. queries: query_id, query, embedding."""
+    p = config.profile
+    texts = queries.select("query_id", "query", F.coalesce(short_concept(F.col("query")), F.lit(False)).alias("short"))
+    shown = found.where("match_type = 'semantic'").select("query_id", "key_id", F.col("score").alias("cosine"))
+    rows = _candidates(queries, keys, links, memories, now, namespace, content_sims, config, floor=min(config.confirm_floor, p.content_gate(True), p.content_gate(False))).join(texts.where("short"), "query_id")
+    below = ~at_least(F.col("key_sim"), p.key_recall) & at_least(F.col("key_sim"), config.confirm_floor) & ~at_least(F.col("content_sim"), p.content_gate(True))
+    missed = rows.where(F.col("literal").isNull() & ~F.col("key_type").isin("name", "proper_noun") & below)
+    missed = missed.select("query_id", "key_id", round3(F.col("key_sim") + 1e-10).alias("cosine"))
+    return shown.unionByName(missed).join(texts, "query_id").select("query_id", "key_id", "query", "cosine")
+
+
 def nearest_keys(queries: DataFrame, keys: DataFrame, links: DataFrame, memories: DataFrame, now: float, limit: int = 5, namespace: str | None = None, config: Config = DEFAULT) -> DataFrame:
     """As search_keys, without gates: what lies nearest, entity keys too."""
     rows = _score(_candidates(queries, keys, links, memories, now, namespace, None, config, floor=-1.0))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.scoring import at_least, clamp_weight, contradiction_band, superseded_depth
+from ..functions.scoring import at_least, clamp_weight, contradiction_band, round3, superseded_depth
 from ..functions.similarity import similar
 from ..functions.text import conflicting_qualifier, new_id, phrase_key, record_alias, short_concept, single_language, usable_keys
 from ..functions.vector import cosine
@@ -252,3 +252,20 @@ def write_hints(new: DataFrame) -> DataFrame:
     """(memory_id, phrases, mixed_languages) for new memories' keys worth a second look."""
     rows = new.select("memory_id", F.filter("keys", phrase_key).alias("phrases"), (~single_language(F.col("keys"))).alias("mixed_languages"))
     return rows.where((F.size("phrases") > 0) | F.col("mixed_languages"))
+
+
+def near_hints(new: DataFrame, links: DataFrame, keys: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(memory_id, your_key, key_id, existing_concept, similarity): for each of the concepts that a memory was given (new:
+    memory_id, keys) and that a key of its own is named by, the most similar concept key that isn't the memory's, near
+    enough to be found by and too far to merge; ties to the earliest."""
+    p = config.profile
+    given = new.select("memory_id", F.explode("keys").alias("concept")).select("memory_id", F.lower("concept").alias("name")).distinct()
+    own = links.join(new.select("memory_id").distinct(), "memory_id", "left_semi").select("memory_id", "key_id")
+    mine = own.join(keys.select("key_id", F.col("concept").alias("your_key"), F.lower("concept").alias("name"), "embedding"), "key_id").join(given, ["memory_id", "name"])
+    mine = mine.select("memory_id", F.col("key_id").alias("mine"), "your_key", "embedding")
+    asked = mine.select(F.col("mine").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    sims = similar(asked, keys.where("key_type = 'concept'"), least=p.key_recall, item_id="key_id").where(~at_least(F.col("sim"), p.key_merge))
+    pairs = mine.drop("embedding").join(sims.withColumnRenamed("query_id", "mine"), "mine").join(own, ["memory_id", "key_id"], "left_anti")
+    pairs = pairs.join(keys.select("key_id", F.col("concept").alias("existing_concept"), "seq"), "key_id")
+    best = F.row_number().over(Window.partitionBy("memory_id", "mine").orderBy(F.desc(F.round(F.col("sim") + 1e-10, 6)), "seq"))
+    return pairs.withColumn("r", best).where("r = 1").select("memory_id", "your_key", "key_id", "existing_concept", round3(F.col("sim") + 1e-10).alias("similarity"))

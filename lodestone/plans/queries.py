@@ -18,12 +18,14 @@ from ..functions import text as T
 from ..functions.scoring import depth_factor, r6, time_factor
 from ..functions.similarity import join_similar, similar
 from ..functions.vector import max_sim
-from ..operators import bm25, evaluate, graph, keys, maintain, recall, write
+from ..operators import bm25, evaluate, graph, keys, maintain, oplog, recall, write
 from ..operators.durable import shared_dir, spread
 from ..operators.robust import robust_spread
-from ..schema import prune_keys, prune_links
+from ..schema import KEYS, LINKS, MEMORIES, conform, prune_keys, prune_links
 from ..sources import transcripts
+from ..sources.store import Store
 from ..streaming import stateful
+from ..streaming.reinforce import log_stream
 from .testbed import CATALOG, CONFIG, LOG, NOW, TTL, VECTORS, catalog, documents, log, seeds, table, text_queries, turns, vector_queries, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -676,6 +678,17 @@ def literal_key_match(spark, d):
     return keys.literal_hits(asked, named).select("query_id", "key_id")
 
 
+#: Keys by the names that they go by, and each name's place among those of its key.
+_ALIASES = {1: ("mit license", "licensed", "un"), 2: ("all rights", "the"), 3: ("general public license", "cc by", "on")}
+
+
+@query("WITH n(key_id, pos, alias) AS (VALUES %s) SELECT doc_id AS query_id, key_id, arg_min(alias, pos) AS alias FROM documents, n WHERE contains(lower(text), alias) AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])' || alias || '($|[^\\p{L}\\p{N}])') GROUP BY 1, 2" % ", ".join(f"({k}, {i}, '{a}')" for k, names in _ALIASES.items() for i, a in enumerate(names)))
+def alias_uses(spark, d):
+    named = spark.createDataFrame([(k, f"key {k}", list(a)) for k, a in _ALIASES.items()], "key_id int, concept string, aliases array<string>")
+    asked = spread(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
+    return keys.alias_uses(asked, named)
+
+
 _CODED = "url || ' v' || page_id % 9 || '.' || page_id % 7 || '.x #' || page_id % 50 || ', ' || substr(md5(url), 1, 10) || ' (2.' || page_id % 3 || ') needs 1.' || page_id % 3 || '.3-beta.' || page_id % 2 || ' now, not deadbeef or 버전1.2.3'"
 #: What the tokens are looked for in: betas of one kind aren't there, nor is every third page's hexadecimal id.
 _SAID = f"CASE WHEN page_id % 3 = 0 THEN replace({_CODED}, 'deadbeef', 'feed') ELSE replace({_CODED}, '-beta.1', '') END"
@@ -782,6 +795,41 @@ def _changes(spark, d):
     return e.where(kind.isin("purchase", "view", "error")).select("user_id", "k", F.col("id").alias("seq"), delta.alias("delta"))
 
 
+#: Users as keys, numbers of events as memories; purchases, views and errors change links, views are reads.
+_LOGGED = f"""WITH {LOG}, c AS (SELECT user_id, k, list(CAST({_DELTAS} AS DOUBLE) ORDER BY id) AS s FROM ev WHERE event_type IN ('purchase', 'view', 'error') GROUP BY 1, 2),
+  w AS (SELECT user_id, k, {r('list_reduce(s, lambda w, x: greatest(0.1, least(3.0, w + x)), CAST(1.0 AS DOUBLE))')} AS weight FROM c),
+  n AS (SELECT k, count(*) FILTER (event_type = 'view') AS n, max(ts) FILTER (event_type = 'view') AS seen FROM ev GROUP BY 1)
+  SELECT user_id, k, coalesce(weight, 1.0) AS weight, CAST(n AS INTEGER) AS access_count, {r('least(1.0, n * CAST(0.05 AS DOUBLE))')} AS depth, round(seen, 3) AS last_accessed
+  FROM (SELECT DISTINCT user_id, k FROM ev) JOIN n USING (k) LEFT JOIN w USING (user_id, k)"""
+
+
+def _logged_graph(spark, d) -> dict[str, DataFrame]:
+    pairs = log(spark, d).select(F.col("user_id").cast("string").alias("key_id"), F.col("k").cast("string").alias("memory_id")).distinct()
+    return {
+        "keys": conform(pairs.select("key_id").distinct().withColumn("concept", F.concat(F.lit("user "), "key_id")), KEYS),
+        "memories": conform(pairs.select("memory_id").distinct(), MEMORIES),
+        "links": conform(pairs, LINKS),
+    }
+
+
+def _log_rows(e: DataFrame) -> DataFrame:
+    """Log rows of events (id, user_id, event_type, ts, k): at most two of an event."""
+    kind = F.col("event_type")
+    delta = F.when(kind == "purchase", 0.1).when(kind == "view", 0.05).when(kind == "error", -0.2)
+    rows = e.where(kind.isin("purchase", "view", "error")).select(F.col("user_id").cast("string").alias("key_id"), F.col("k").cast("string").alias("memory_id"), F.col("id").alias("seq"), delta.alias("delta"), "ts", "event_type")
+    return oplog.link_changes(rows).unionByName(oplog.reads(rows.where("event_type = 'view'")))
+
+
+def _logged(t: dict[str, DataFrame]) -> DataFrame:
+    rows = t["links"].join(t["memories"].select("memory_id", "access_count", "depth", "last_accessed"), "memory_id")
+    return rows.select(F.col("key_id").cast("long").alias("user_id"), F.col("memory_id").cast("long").alias("k"), r6(F.col("weight")).alias("weight"), "access_count", r6(F.col("depth")).alias("depth"), F.round("last_accessed", 3).alias("last_accessed"))
+
+
+@query(_LOGGED)
+def log_merge(spark, d):
+    return _logged(oplog.merged(_log_rows(log(spark, d)), _logged_graph(spark, d)))
+
+
 #: Reads against a stack of pending queries, event by event: a read takes the latest that none took, if it is fresh.
 _MATCH = f"""
 o AS MATERIALIZED (SELECT user_id, id, ts, k, event_type = 'view' AS is_read, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'view', id) AS n FROM ev WHERE event_type IN ('click', 'view')),
@@ -977,6 +1025,16 @@ def stream_hebbian(spark, d):
     return _drained(spark, stateful.fold_stream(e, ["user_id", "k"]), ["user_id", "k"], "n_events").withColumn("weight", r6(F.col("weight")))
 
 
+@query(ORACLES["log_merge"])
+def stream_log(spark, d):
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store = Store(spark, path)
+    store.save(_logged_graph(spark, d))
+    e = _event_stream(spark, d).select(F.col("event_id").alias("id"), "user_id", "event_type", (F.unix_micros("t") / 1e6).alias("ts"), "k")
+    log_stream(_log_rows(e), store, "events", f"{path}-state", compact_every=0, once=True).awaitTermination()
+    return _logged(store.load())
+
+
 @query("""WITH e AS (SELECT user_id, epoch(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER w >= 7200 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, fresh) AS n FROM g)
   SELECT user_id, round(min(t), 3) AS start, round(max(t) + 7200, 3) AS end, count(*) AS n_events FROM s GROUP BY user_id, n HAVING max(t) + 7200 <= (SELECT max(t) - 3600 FROM e)""")

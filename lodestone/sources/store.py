@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.text import aliases, sentences
 from ..functions.vector import Embedder, embed
+from ..operators import oplog
 from ..operators.durable import cut
-from ..operators.maintain import fold_weights, set_weights
 from ..schema import KEYS, LINKS, MEMORIES, SENTENCES, conform, prune_links
 
 _TABLES = {"keys": KEYS, "memories": MEMORIES, "links": LINKS, "sentences": SENTENCES}
@@ -37,10 +38,15 @@ def fill_vectors(rows: DataFrame, sidecar: DataFrame, kind: str, id_col: str, te
 
 class Store:
     """A directory of immutable snapshot versions with a pointer to the current one, on any file system
-    that Spark reads. Readers keep the version that they opened; one writer at a time."""
+    that Spark reads. Readers keep the version that they opened; one writer at a time.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    What only reinforces is added to the operation log of the version, batch by batch, and merged when the store is
+    read; `compact` makes a new version of it. A batch counts once it is whole. Batches that come between a `load` and
+    the `save` of what was made of it go on to the log of the new version."""
+
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
+        self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
+        self._merged: set[str] = set()  # batches that the tables of this writer have in them
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -68,8 +74,8 @@ class Store:
         return json.loads(self.spark.read.text(f"{self.path}/CURRENT-{have[-1]}.json", wholetext=True).first()[0]) if have else None
 
     def load(self) -> dict[str, DataFrame]:
-        """keys, memories, links and sentences of the current version; empty tables if there is none. Missing fields
-        get defaults, links to nothing are left out."""
+        """keys, memories, links and sentences of the current version, its log merged; empty tables if there is none.
+        Missing fields get defaults, links to nothing are left out."""
         now = self.current()
         if now is None:
             return {name: self.spark.createDataFrame([], schema) for name, schema in _TABLES.items()}
@@ -78,30 +84,62 @@ class Store:
             folder = f"{self.path}/{now['version']}/{name}"
             out[name] = conform(self.spark.read.parquet(folder), schema) if self._fs.exists(self._path(folder)) else self.spark.createDataFrame([], schema)
         out["links"] = prune_links(out["links"], out["keys"], out["memories"])
-        return out
+        batches = self._batches(now["version"])
+        self._merged = set(batches)
+        return out | oplog.merged(self._rows(list(batches.values())), out, self.config) if batches else out
 
     def save(self, tables: dict[str, DataFrame], fingerprint: str | None = None) -> str:
         """Write a new version, then flip the pointer."""
-        version = f"v-{uuid.uuid4().hex}"
+        version, now = f"v-{uuid.uuid4().hex}", self.current() or {}
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{version}/{name}")
         dim = tables["memories"].where("embedding IS NOT NULL").select(F.size("embedding").alias("d")).first() if "memories" in tables else None
-        self._point(json.dumps({"version": version, "fingerprint": fingerprint, "dim": dim and dim["d"]}))
+        streams, batches = dict(now.get("streams", {})), self._batches(now.get("version"))
+        for name, folder in batches.items():
+            if name not in self._merged:
+                self._rows([folder]).write.parquet(f"{self._log(version)}/{name}")
+            elif m := re.fullmatch(r"stream-(.+)/batch-(\d+)", name):
+                streams[m[1]] = max(streams.get(m[1], -1), int(m[2]))
+        self._point(json.dumps({"version": version, "fingerprint": fingerprint, "dim": dim and dim["d"], "streams": streams}))
+        self._merged = set()
         return version
 
-    def append_log(self, events: DataFrame) -> None:
-        """Add reinforcements (key_id, memory_id, seq, delta) to the operation log of the current version."""
-        events.select("key_id", "memory_id", "seq", "delta").write.mode("append").parquet(f"{self.path}/log-{(self.current() or {}).get('version', 'none')}")
+    def _log(self, version: str | None) -> str:
+        return f"{self.path}/log-{version or 'none'}"
+
+    def _batches(self, version: str | None) -> dict[str, str]:
+        """The whole batches of a version's log: name to folder."""
+        top = self._path(self._log(version))
+        found = self._fs.globStatus(self._path(f"{self._log(version)}/*/*/_SUCCESS")) if self._fs.exists(top) else []
+        folders = [f.getPath().getParent() for f in found]
+        return {f"{p.getParent().getName()}/{p.getName()}": p.toString() for p in folders}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(oplog.LOG).parquet(*folders)
+
+    def append_log(self, events: DataFrame, stream: str | None = None, batch: int | None = None, own: bool = False) -> bool:
+        """Add rows (see `operators.oplog`, or changes of links: key_id, memory_id, seq, delta) to the log of the current
+        version. stream and batch: name and number of a stream's batch, which replaces itself when it is run again, and is
+        left out (False) if a version has it already; a stream that starts anew takes another name. own: the tables
+        that this writer will save have these changes in them."""
+        now = self.current() or {}
+        if stream is not None and (batch is None or not re.fullmatch(r"[\w.-]+", stream)):
+            raise ValueError("a batch of a stream has a number, and a name of letters, digits, dots and dashes")
+        if stream is not None and batch <= now.get("streams", {}).get(stream, -1):
+            return False
+        rows = conform(events, oplog.LOG) if "kind" in events.columns else oplog.link_changes(events)
+        name = f"once/{uuid.uuid4().hex}" if stream is None else f"stream-{stream}/batch-{batch}"
+        rows.write.mode("overwrite").parquet(f"{self._log(now.get('version'))}/{name}")
+        if own:
+            self._merged.add(name)
+        return True
 
     def compact(self) -> str | None:
         """Fold the log into a new version; None, and no new version, if there is nothing to fold."""
         now = self.current()
-        if now is None or not self._fs.exists(self._path(f"{self.path}/log-{now['version']}")):
+        if now is None or not self._batches(now["version"]):
             return None
-        t = self.load()
-        events = self.spark.read.parquet(f"{self.path}/log-{now['version']}")
-        folded = fold_weights(events, t["links"]).select("key_id", "memory_id", "weight")
-        return self.save({**t, "links": set_weights(t["links"], folded)}, now.get("fingerprint"))
+        return self.save(self.load(), now.get("fingerprint"))
 
     def migrate(self, embedder: Embedder, force: bool = False, auto: bool = True) -> bool:
         """Embed everything anew if the embedder isn't the one that the store was written with, or has another
