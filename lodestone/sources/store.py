@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,24 +205,32 @@ def load_legacy(spark: SparkSession, graph: str, embedder: Embedder, index: str
     return t
 
 
-def read_sidecar(spark: SparkSession, index_path: str, blob_path: str) -> DataFrame:
+def read_sidecar(spark: SparkSession, index_path: str, blob_path: str, slice_bytes: int = 64 << 20) -> DataFrame:
     """(id, kind, part, embedding) of a float32 blob with a JSON index {schema, dim, entries: {id: {off, n}}};
-    entries out of bounds or not a multiple of dim are left out. Ids start with m:, k: or s:."""
+    entries out of bounds or not a multiple of dim are left out. Ids start with m:, k: or s:.
+
+    Entries are dealt by where they lie in the blob, some `slice_bytes` of it a task, and a task reads no more than
+    the stretch of its own entries, one after the other: the blob may be of any size. Its file system is one that
+    Arrow opens by URI (a local or mounted path, HDFS, an object store)."""
     shape = "struct<schema:int,dim:int,entries:map<string,struct<off:long,n:long>>>"
     index = spark.read.text(index_path, wholetext=True).select(F.from_json("value", shape).alias("i"))
-    entries = index.where("i.schema = 1").select(F.col("i.dim").alias("dim"), F.explode("i.entries").alias("id", "e")).select("id", "dim", "e.off", "e.n")
-    blob = spark.read.format("binaryFile").load(blob_path).select("content", "length")  # one file of a small store
-    rows = entries.agg(F.collect_list(F.struct("id", "dim", "off", "n")).alias("entries")).withColumn("_one", F.lit(1)).join(blob.withColumn("_one", F.lit(1)), "_one")
-
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for entries, content in zip(part["entries"], part["content"], strict=True):
-                v = np.frombuffer(content[: len(content) // 4 * 4], np.float32)
-                out = []
-                for e in entries:
-                    if e["dim"] > 0 and e["off"] >= 0 and e["n"] > 0 and e["off"] + e["n"] <= len(v) and e["n"] % e["dim"] == 0:
-                        for i, x in enumerate(v[e["off"] : e["off"] + e["n"]].reshape(-1, e["dim"])):
-                            out.append((e["id"][2:], e["id"][:1], i, x))
-                yield pd.DataFrame(out, columns=["id", "kind", "part", "embedding"])
-
-    return rows.select("entries", "content").mapInPandas(parts, "id string, kind string, part int, embedding array<float>")
+    entries = index.where("i.schema = 1 AND i.dim > 0").select(F.col("i.dim").alias("dim"), F.explode("i.entries").alias("id", "e")).select("id", "dim", "e.off", "e.n")
+    length = spark.read.format("binaryFile").load(blob_path).select(F.floor(F.col("length") / 4).alias("floats"))  # no content is read for it
+    whole = entries.withColumn("_one", F.lit(1)).join(F.broadcast(length.withColumn("_one", F.lit(1))), "_one")
+    whole = whole.where((F.col("off") >= 0) & (F.col("n") > 0) & (F.col("n") % F.col("dim") == 0) & (F.col("off") + F.col("n") <= F.col("floats")))
+    size = length.first()
+    slices = max(1, -(-4 * (size["floats"] if size else 0) // max(1, slice_bytes)))
+    dealt = whole.select("id", "dim", "off", "n").repartitionByRange(slices, "off").sortWithinPartitions("off")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, name = pafs.FileSystem.from_uri(blob_path) if "://" in blob_path or blob_path.startswith("file:") else (pafs.LocalFileSystem(), blob_path)
+        with fs.open_input_file(name) as blob:
+            for batch in batches:
+                for e in batch.to_pylist():
+                    blob.seek(4 * e["off"])
+                    v = np.frombuffer(blob.read(4 * e["n"]), "<f4")
+                    k = e["n"] // e["dim"]
+                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * e["dim"], pa.int32()), pa.array(v, pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([e["id"][2:]] * k), pa.array([e["id"][:1]] * k), pa.array(range(k), pa.int32()), vectors], ["id", "kind", "part", "embedding"])
+
+    return dealt.mapInArrow(parts, "id string, kind string, part int, embedding array<float>")

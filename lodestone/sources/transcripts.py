@@ -15,10 +15,15 @@ _BLOCKS = "array<struct<type:string,text:string>>"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, mtime, line_no, value) of all *.jsonl files below a directory; a file's lines keep their order."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value"))
-    return files.select("path", "mtime", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).where(F.trim("value") != "")
+    """(path, mtime, start, nth, value) of the lines of all *.jsonl files below a directory.
+
+    Files are read in ranges of spark.sql.files.maxPartitionBytes, cut at line ends, so that one of any size is many
+    tasks. start is where a line's range begins; nth grows within a range, as a range is read from one end to the other
+    by one task. Both together are the order of a file's lines."""
+    # the line end is given, or else a lone carriage return would end a line too
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(path)
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    return rows.where(F.trim("value") != "")
 
 
 def _text(content: Column) -> Column:
@@ -29,8 +34,14 @@ def _text(content: Column) -> Column:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("path").orderBy("line_no")
-    return rows.where(F.trim("content") != "").withColumn("turn", F.row_number().over(order) - 1)
+    """rows that say something, numbered within their file: each range counts its own, and starts where those before it
+    end, so that no task sees a long file whole."""
+    rows = rows.where(F.trim("content") != "")
+    sums = rows.groupBy("path", "start").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("start")) - F.col("_n")  # a row a range
+    place = F.row_number().over(Window.partitionBy("path", "start").orderBy("nth")) - 1
+    rows = rows.withColumn("turn", place).join(sums.select("path", "start", before.alias("_before")), ["path", "start"])
+    return rows.withColumn("turn", (F.col("turn") + F.col("_before")).cast("int")).drop("_before")
 
 
 def read_agent_a(spark: SparkSession, path: str) -> DataFrame:
@@ -39,16 +50,16 @@ def read_agent_a(spark: SparkSession, path: str) -> DataFrame:
     shape = "type string, sessionId string, cwd string, timestamp string, message struct<role:string,content:string>"
     rows = _lines(spark, path).withColumn("j", F.from_json("value", shape)).where(F.col("j.type").isin("user", "assistant"))
     session = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
-    return _numbered(rows.select("path", "mtime", "line_no", F.lit("a").alias("agent"), session.alias("session_id"), F.col("j.cwd").alias("cwd"), F.col("j.type").alias("role"), _text(F.col("j.message.content")).alias("content"), F.col("j.timestamp").alias("ts")))
+    return _numbered(rows.select("path", "mtime", "start", "nth", F.lit("a").alias("agent"), session.alias("session_id"), F.col("j.cwd").alias("cwd"), F.col("j.type").alias("role"), _text(F.col("j.message.content")).alias("content"), F.col("j.timestamp").alias("ts")))
 
 
 def read_agent_b(spark: SparkSession, path: str) -> DataFrame:
     """Turns of logs with session_meta and response_item lines."""
     shape = "type string, timestamp string, payload struct<type:string,role:string,content:string,id:string,cwd:string>"
     rows = _lines(spark, path).withColumn("j", F.from_json("value", shape))
-    meta = rows.where("j.type = 'session_meta'").groupBy("path").agg(F.min_by("j.payload.id", "line_no").alias("session_id"), F.min_by("j.payload.cwd", "line_no").alias("cwd"))
+    meta = rows.where("j.type = 'session_meta'").groupBy("path").agg(F.min_by("j.payload.id", F.struct("start", "nth")).alias("session_id"), F.min_by("j.payload.cwd", F.struct("start", "nth")).alias("cwd"))
     items = rows.where("j.type = 'response_item' AND j.payload.type = 'message' AND j.payload.role IN ('user', 'assistant')").join(meta, "path", "left")
-    return _numbered(items.select("path", "mtime", "line_no", F.lit("b").alias("agent"), "session_id", "cwd", F.col("j.payload.role").alias("role"), _text(F.col("j.payload.content")).alias("content"), F.col("j.timestamp").alias("ts")))
+    return _numbered(items.select("path", "mtime", "start", "nth", F.lit("b").alias("agent"), "session_id", "cwd", F.col("j.payload.role").alias("role"), _text(F.col("j.payload.content")).alias("content"), F.col("j.timestamp").alias("ts")))
 
 
 def read_own(spark: SparkSession, path: str) -> DataFrame:
