@@ -1017,6 +1017,15 @@ def stream_autokey(spark, d):
     return _drained(spark, stateful.confirm_stream(rows, ttl=TTL))
 
 
+@query(f"SELECT * FROM ({ORACLES['alias_promotion'].replace('WHEN n < 2 OR', 'WHEN n < 1 OR')}) WHERE decision <> 'none'")
+def stream_promotion(spark, d):
+    e = _event_stream(spark, d).where("event_type IN ('click', 'view')")
+    text = F.concat(F.when(F.col("k") % 5 == 0, "a longer question about").otherwise("topic"), F.lit(" "), (F.col("k") % 10).cast("string"))
+    rows = e.select(F.col("user_id").alias("key_id"), F.when(F.col("event_type") == "click", "query").otherwise("read").alias("kind"), F.col("t").alias("ts"), F.col("event_id").alias("id"), text.alias("query"), (F.col("event_id") * 7 % 100 / 100.0).alias("cosine"))
+    known = log(spark, d).select(F.col("user_id").alias("key_id")).distinct().select("key_id", F.lit("user").alias("concept"), F.array(F.lit("Topic 3")).alias("aliases"))
+    return _drained(spark, stateful.promote_stream(rows, known, ttl=TTL, config=dataclasses.replace(_TAUGHT, promote_n=1))).select("key_id", "query", "n_confirmed", "decision")
+
+
 @query(ORACLES["hebbian_fold"])
 def stream_hebbian(spark, d):
     kind = F.col("event_type")

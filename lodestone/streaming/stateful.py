@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Config
 from ..operators.fold import compose
+from ..operators.maintain import promotion
 
 DEFAULT = Config()
 #: The latest queries of a key, those that a read took marked; `buffer_size` at most.
@@ -55,6 +56,65 @@ def confirm_stream(events: DataFrame, by: str = "user_id", ttl: float | None = N
     return rows.groupBy(by).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: The latest queries of a key, what each text was confirmed, and how many names the key has learned.
+_LEDGER = "pending array<struct<ts:double,id:long,taken:boolean,query:string,name:string,band:string,had:int>>, ledger array<struct<name:string,n:int,settled:boolean>>, learned int"
+
+
+def promote_stream(events: DataFrame, known: DataFrame, by: str = "key_id", ttl: float | None = None, config: Config = DEFAULT, watermark: str = "1 hour") -> DataFrame:
+    """(by, read_id, query_id, query, n_confirmed, decision, ts) for each read by which a key learns: as
+    `maintain.learn_aliases` decides over the confirmations of `confirm_stream`, read by read.
+
+    events: by, kind (`query` or `read`), ts (timestamp), id, query, cosine (both of queries). known: (by, concept, aliases,
+    and where there are any learned_aliases and alias_candidates), a static table: names that a key has teach it nothing,
+    counts and learned names go on from there. State is per key: `buffer_size` queries, and the texts
+    confirmed so far; a key without events for `prune_age` is forgotten."""
+    ttl = config.buffer_ttl if ttl is None else ttl
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).assign(t=lambda d: d["ts"].astype("datetime64[us]").astype("int64") / 1e6, late=lambda d: d["kind"] == "read").sort_values(["t", "late", "id"])
+        pending, ledger, learned = state.get if state.exists else ([], [], int(rows["learned"].max()))
+        pending, counts = [tuple(p) for p in pending], {e[0]: (e[1], e[2]) for e in ledger}
+        out = []
+        for r in rows.itertuples():
+            pending = [p for p in pending if r.t - p[0] <= ttl]
+            if r.kind == "query":
+                pending = [*pending, (float(r.t), int(r.id), False, r.query, r.name, r.band, int(r.had))][-config.buffer_size :]
+                continue
+            open_ = [n for n, p in enumerate(pending) if not p[2]]
+            if not open_:
+                continue
+            at, query_id, _, text, name, band, had = pending[open_[-1]]
+            pending[open_[-1]] = (at, query_id, True, text, name, band, had)
+            n, settled = counts.get(name, (had, False))
+            if name is None or settled:
+                continue
+            settled = n + 1 >= config.promote_n and band != "none"
+            counts[name] = (n + 1, settled)
+            if settled and (band != "alias" or learned < config.max_aliases):
+                learned += band == "alias"
+                out.append((key[0], int(r.id), query_id, text, n + 1, band, r.ts))
+        state.update((pending, [(name, *c) for name, c in counts.items()], int(learned)))
+        state.setTimeoutTimestamp(max(int((rows["t"].max() + config.prune_age) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[by, "read_id", "query_id", "query", "n_confirmed", "decision", "ts"])
+
+    none = F.array().cast("array<string>")
+    own = known.select(
+        by, F.transform(F.array_append(F.coalesce("aliases", none), F.col("concept")), F.lower).alias("_names"),
+        (F.greatest(F.size("learned_aliases"), F.lit(0)) if "learned_aliases" in known.columns else F.lit(0)).alias("learned"),
+        (F.transform_values("alias_candidates", lambda _, v: v["count"]) if "alias_candidates" in known.columns else F.lit(None).cast("map<string,int>")).alias("_had"),
+    )
+    text = F.trim("query")
+    rows = events.withWatermark("ts", watermark).select(by, "kind", "ts", "id", text.alias("query"), "cosine").join(own, by)
+    name = F.when((F.length("query") >= 2) & ~F.array_contains("_names", F.lower("query")), F.lower("query"))
+    rows = rows.withColumn("name", name).withColumn("band", promotion(F.lit(config.promote_n), F.col("query"), F.col("cosine"), F.lit(0), config))
+    rows = rows.select(by, "kind", "ts", "id", "query", "name", F.coalesce("band", F.lit("none")).alias("band"), F.coalesce(F.try_element_at("_had", F.col("name")), F.lit(0)).alias("had"), "learned")
+    schema = f"{by} {dict(events.dtypes)[by]}, read_id long, query_id long, query string, n_confirmed long, decision string, ts timestamp"
+    return rows.groupBy(by).applyInPandasWithState(step, schema, _LEDGER, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def fold_stream(events: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
     """Running link weights (by, n_events, weight) of a stream of changes (by, seq, delta), clamped after each: a batch's
     changes of a link become one triple (see `operators.fold`), which moves the weight that is its state."""
