@@ -86,7 +86,7 @@ class Memory:
 
     def _queries(self, texts: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
-        return embed(rows, "query", self.embedder)
+        return embed(rows, "query", self.embedder, kind="query")
 
     def _cues(self, texts: list[str], contexts: list[str | None] | None) -> DataFrame:
         return self._queries([c.strip() if c and c.strip() else t for t, c in zip(texts, contexts or texts, strict=True)]).drop("query")

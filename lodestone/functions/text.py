@@ -102,6 +102,16 @@ def preview(text: Column, most: int, marker: str = "…") -> Column:
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - len(marker))), F.lit(marker))).otherwise(text)
 
 
+#: Fixed value: what follows a text that was cut, and names the way to the rest.
+CUT_NOTICE = "\n…[truncated; use read_memory for full content]"
+
+
+def cut_text(text: Column, most: int) -> Column:
+    """Text of at most `most` characters, the notice of a cut included."""
+    head = F.regexp_replace(F.substring(text, 1, max(0, most - len(CUT_NOTICE))), r"\s+\z", "")
+    return F.when(F.length(text) > most, F.concat(head, F.lit(CUT_NOTICE))).otherwise(text)
+
+
 def aliases(found: Column, concept: Column) -> Column:
     """Aliases of two characters or more, distinct regardless of case, without the concept itself."""
     kept = F.filter(found, lambda a: (F.length(F.trim(a)) >= 2) & (F.lower(F.trim(a)) != F.lower(concept)))

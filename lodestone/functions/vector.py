@@ -10,8 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import model_prefix
+
+
 class Embedder(Protocol):
-    """Turns texts into vectors inside Python workers; `fingerprint` names model and settings."""
+    """Turns texts into vectors inside Python workers; `fingerprint` names model and settings. An embedder with a
+    `family` (see `config`) gets its texts with the prefixes of that family."""
 
     fingerprint: str
     dim: int
@@ -35,13 +39,15 @@ class BigramEmbedder:
         return out / np.where(norm == 0, 1, norm)
 
 
-def embed(df: DataFrame, text: str, embedder: Embedder, column: str = "embedding") -> DataFrame:
-    """df with the vectors of a text column; one Arrow batch at a time, the model once a worker."""
+def embed(df: DataFrame, text: str, embedder: Embedder, column: str = "embedding", kind: str = "passage") -> DataFrame:
+    """df with the vectors of a text column; one Arrow batch at a time, the model once a worker. kind: `query` for what is
+    asked, `passage` for what is kept."""
+    prefix = model_prefix(getattr(embedder, "family", None), kind)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(embedder(texts.fillna("").tolist()).astype(np.float32)))
+            yield pd.Series(list(embedder([prefix + t for t in texts.fillna("")]).astype(np.float32)))
 
     return df.withColumn(column, run(F.col(text)))
 

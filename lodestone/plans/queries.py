@@ -620,7 +620,7 @@ def _injected(spark, d):
     return recall.recall_inject(_recalled_wide(spark, d), _named_queries(spark, d), g.keys, g.links, _texts(spark, d), top_k=3, min_rel=0.2, config=CONFIG)
 
 
-@query(f"WITH {VECTORS}, {_INDEX}, {_TEXTS}, {_WIDE}, {_PICKED} SELECT query_id, slot, memory_id, CASE WHEN length(content) > 2000 THEN rtrim(substr(content, 1, 1999)) || '…' ELSE content END AS text, keys FROM ip")
+@query(f"WITH {VECTORS}, {_INDEX}, {_TEXTS}, {_WIDE}, {_PICKED} SELECT query_id, slot, memory_id, CASE WHEN length(content) > 2000 THEN regexp_replace(substr(content, 1, 1953), '\\s+\\z', '') || chr(10) || '…[truncated; use read_memory for full content]' ELSE content END AS text, length(content) > 2000 AS truncated, CASE WHEN length(content) > 2000 THEN CAST(length(content) AS INTEGER) END AS n_chars, keys FROM ip")
 def recall_inject(spark, d):
     return _injected(spark, d).drop("raw_sim")
 
