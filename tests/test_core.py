@@ -361,6 +361,29 @@ def test_names_meet_texts_on_their_rarest_token(spark):
     assert n <= 2 * 30 + 30 + 32  # the alphabetically first token, the stop word, would have met 80 names in each text
 
 
+def test_candidates_carry_tokens_not_texts(spark):
+    # a text in each row of a token is quadratic in its length
+    k = spark.createDataFrame([("k", "red fox", ["the fox"])], "key_id string, concept string, aliases array<string>")
+    q = spark.createDataFrame([(1, "the red fox " + "word " * 50), (1, "the fox"), (None, "red fox"), (2, None)], "query_id long, query string")
+    assert set(keys.literal_candidates(q, k).columns) == {"query_id", "key_id", "term", "is_alias"}
+    assert {tuple(r) for r in keys.literal_hits(q, k).collect()} == {(1, "k", "alias"), (None, "k", "concept")}
+    assert {tuple(r) for r in keys.alias_uses(q, k).collect()} == {(1, "k", "the fox")}
+
+
+def test_key_gate_lets_no_near_copy_through_as_a_certain_one(spark, tmp_path):
+    import duckdb
+
+    from lodestone.plans.queries import ORACLES, QUERIES
+
+    a = np.eye(8)
+    near = a[0] + 0.09 * a[5]  # a cosine of 0.996 to the first, of none to any key of another label
+    rows = [(0, a[0], 0), (1, a[1], 1), (50, a[2], 0), (51, a[2] + 0.09 * a[6], 1), (2, near, 0)]
+    spark.createDataFrame([(i, v.tolist(), label) for i, v, label in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in QUERIES["key_gate"](spark, str(tmp_path)).collect()}
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == set(duckdb.sql(ORACLES["key_gate"]).fetchall()) == {(0, False), (50, False)}
+
+
 def test_gates_decide_whether_anything_is_found(spark):
     pop = spark.createDataFrame([(1, s) for s in [0.9] + [0.1, 0.11, 0.12, 0.1, 0.09, 0.13, 0.1, 0.12]] + [(2, 0.5)] * 9, "query_id long, sim double")
     z = {r.query_id: r.z for r in recall.robust_z(pop).collect()}
