@@ -130,6 +130,25 @@ def test_similarity_join_equals_brute_force(spark, kind):
         join_similar(a, b.withColumn("embedding", F.slice("embedding", 1, 3)), least, cells=4).count()
 
 
+def test_similarities_come_in_bounded_pieces_and_rows_have_few_copies(spark, monkeypatch):
+    from lodestone.functions import similarity
+
+    rng = np.random.default_rng(5)
+    q, m = rng.normal(size=(40, 6)), rng.normal(size=(500, 6))
+    monkeypatch.setattr(similarity, "AT_ONCE", 400)
+    pieces = list(similarity._Kept(q, None, 3).of(m))
+    assert len(pieces) == 50 and all(len(i) <= 400 for i, _, _ in pieces)
+    got = {(a, b) for i, j, _ in pieces for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert {(int(i), j) for j in range(40) for i in np.argsort(-(m @ q[j]))[:3]} <= got and len(got) < 40 * 100
+    # chunks grow with the table: the copies of a row don't
+    plans, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, rows, schema=None, *a, **k: (plans.append((rows, schema)), make(self, rows, schema, *a, **k))[1])
+    e = make(spark, [(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
+    join_similar(e.withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "item_id"), 0.5, cells=2, chunk_rows=4)
+    plan = next(rows for rows, schema in plans if schema == "cell int, n int, m int")
+    assert all(r["n"] <= 2 and r["m"] <= 16 for r in plan)
+
+
 def test_cells_keep_right_rows_from_most_cells():
     from lodestone.functions.similarity import Cells
     from lodestone.functions.vector import unit
