@@ -149,6 +149,21 @@ def test_similarities_come_in_bounded_pieces_and_rows_have_few_copies(spark, mon
     assert all(r["n"] <= 2 and r["m"] <= 16 for r in plan)
 
 
+def test_the_last_round_of_an_expansion_is_not_written(spark, monkeypatch):
+    from lodestone.operators import graph as g
+
+    k = spark.createDataFrame([(i, f"c{i}", "concept") for i in range(3)], "key_id long, concept string, key_type string")
+    l = spark.createDataFrame([(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 3, 2.0), (2, 1, 2.0), (2, 4, 1.0)], "key_id long, memory_id long, weight double")
+    m = spark.createDataFrame([(i, i, None, None) for i in range(1, 5)], "memory_id long, seq long, ttl double, supersedes long")
+    q = spark.createDataFrame([(7, 1, 1.0)], "query_id long, memory_id long, score double")
+    seen, real = [], g.cut
+    monkeypatch.setattr(g, "cut", lambda df: (seen.append(df), real(df))[1])
+    got = {r.memory_id: (round(r.score, 9), r.hop) for r in g.expand(q, k, l, m, 0.0, hops=3).collect()}
+    # round two from 1: key 0 gives 0.15 to 2, key 2 gives 0.2 to 3 and 0.1 to 4; round three from all of those
+    assert got == {1: (1.0825, 1), 2: (0.18, 2), 3: (0.2425, 2), 4: (0.12, 2)}
+    assert [df.agg(F.max("hop")).first()[0] for df in seen] == [2] and all(len(d.where("memory_id = 1 AND score > 1.0").take(1)) == 0 for d in seen)
+
+
 def test_cells_keep_right_rows_from_most_cells():
     from lodestone.functions.similarity import Cells
     from lodestone.functions.vector import unit
