@@ -164,6 +164,21 @@ def test_the_last_round_of_an_expansion_is_not_written(spark, monkeypatch):
     assert [df.agg(F.max("hop")).first()[0] for df in seen] == [2] and all(len(d.where("memory_id = 1 AND score > 1.0").take(1)) == 0 for d in seen)
 
 
+def test_postings_are_added_in_bounded_parts(monkeypatch):
+    from lodestone.operators import bm25 as b
+
+    monkeypatch.setattr(b, "POSTINGS", 10)
+    sizes = np.array([3, 3, 4, 25, 0, 1, 9, 1])
+    parts = list(b._parts(sizes))
+    assert np.concatenate([np.arange(8)[p] for p in parts]).tolist() == list(range(8)) and all(sizes[p].sum() <= 10 or p.stop - p.start <= 2 for p in parts)
+    sums, whole = np.zeros((3, 4)), np.zeros((3, 4))
+    row, place, w = np.array([0, 0, 1, 1, 2]), np.array([1, 1, 0, 3, 2]), np.arange(1.0, 6.0)
+    np.add.at(whole, (row, place), w)
+    for p in (slice(0, 3), slice(3, 5)):
+        b._add(sums, row[p], place[p], w[p])
+    assert (sums == whole).all()
+
+
 def test_cells_keep_right_rows_from_most_cells():
     from lodestone.functions.similarity import Cells
     from lodestone.functions.vector import unit
