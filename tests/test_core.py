@@ -806,3 +806,48 @@ def test_memory_facade(spark):
         g.read_memory("nope")
     with pytest.raises(PermissionError):
         g.list_sessions(None)
+
+
+def _labelled(spark):
+    """400 memories under 4 keys of which each has 100, some by two keys, and 6 queries of which each names a key."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(410, 8))
+    m = spark.createDataFrame([(i, i, "n", float(NOW - i * 9e4), i % 7 / 7, None, None, v[i].tolist(), [i + 1] if i % 90 == 0 else [], []) for i in range(400)], "memory_id long, seq long, namespace string, created_at double, depth double, supersedes long, ttl double, embedding array<double>, links array<long>, contradicts array<long>")
+    k = spark.createDataFrame([(i, i, f"topic {i}", [], "concept", v[400 + i].tolist()) for i in range(4)], "key_id long, seq long, concept string, aliases array<string>, key_type string, embedding array<double>")
+    links = spark.createDataFrame([(i % 4, i, 1.0) for i in range(400)] + [((i + 1) % 4, i, 0.5) for i in range(0, 400, 8)], "key_id long, memory_id long, weight double")
+    q = spark.createDataFrame([(i, v[404 + i].tolist(), f"what is it about topic {i % 4}" if i % 2 else None) for i in range(6)], "query_id long, embedding array<double>, query string")
+    return m, k, links, q
+
+
+def test_dense_evidence_of_memories_that_are_alike_is_kept_once(spark):
+    m, k, links, q = _labelled(spark)
+    c = C.Config(profile=C.PROFILES["testbed"])
+    sims = similar(q, m, least=0.25, item_id="memory_id")
+    d = recall.Dense(q, k, links, m, sims, c)
+    whole = d.all()
+    assert d.by_like.count() <= 6 * 8 and whole.count() > 600  # 8 sets of links, whatever number of memories
+    want = {(r.query_id, r.memory_id, r.rank, round(r.score, 9), round(r.raw_sim, 9), tuple(sorted(r.via))) for r in recall._ranked(whole, 9).collect()}
+    assert {(r.query_id, r.memory_id, r.rank, round(r.score, 9), round(r.raw_sim, 9), tuple(sorted(r.via))) for r in d.best(9).collect()} == want
+    assert d.of(whole).join(whole.select("query_id", "memory_id", F.col("raw_sim").alias("x"), F.size("via").alias("n")), ["query_id", "memory_id"]).where("raw_sim = x and size(via) = n").count() == whole.count()
+
+
+def test_two_hops_tell_the_first_of_those_that_are_alike(spark, monkeypatch):
+    m, k, links, q = _labelled(spark)
+    c = C.dataclasses.replace(C.Config(profile=C.dataclasses.replace(C.PROFILES["testbed"], gate_z=0.0)), dense_depth=3, bm25_depth=3)
+    sparse = spark.createDataFrame([(a, (a * 37 + 11 * b) % 400, b) for a in range(6) for b in range(1, 4)], "query_id long, memory_id long, rank int")
+    sizes, spread = [], recall.expand
+
+    def expand(*args):
+        out = spread(*args)
+        sizes.append(out.count())
+        return out
+
+    def go(min_depth):
+        rows = recall.hybrid_recall(q, k, links, m, NOW, sparse, top_k=5, hops=2, min_rel=0.01, min_depth=min_depth, config=c).collect()
+        return {(r.query_id, r.rank, r.memory_id, round(r.score, 9), round(r.raw_sim, 9), r.hop, tuple(r.matched_via)) for r in rows}
+
+    monkeypatch.setattr(recall, "expand", expand)
+    few = [go(x) for x in (0.0, 0.6)]
+    monkeypatch.setattr(recall, "first_alike", lambda members, n, order, own=recall.first_alike: own(members, 1 if n == 1 else 1000, order))
+    assert few == [go(x) for x in (0.0, 0.6)] and len(few[0]) > 30
+    assert max(sizes[:2]) < min(sizes[2:])
