@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 import struct
 
 import numpy as np
@@ -851,3 +852,26 @@ def test_two_hops_tell_the_first_of_those_that_are_alike(spark, monkeypatch):
     monkeypatch.setattr(recall, "first_alike", lambda members, n, order, own=recall.first_alike: own(members, 1 if n == 1 else 1000, order))
     assert few == [go(x) for x in (0.0, 0.6)] and len(few[0]) > 30
     assert max(sizes[:2]) < min(sizes[2:])
+
+
+def test_related_memories_of_hubs_travel_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PACK", 4)
+    m, k, links, _ = _labelled(spark)
+    seeds = m.where("memory_id % 50 < 2").select(F.col("memory_id").alias("seed_id"))
+    out = graph.related(seeds, k, links, m, NOW, C.Config(related_limit=30))
+    got = {(r.seed_id, r.memory_id, round(r.score, 9), r.n_shared, r.link_type, r.rank) for r in out.collect()}
+    own: dict[int, set[int]] = {}
+    for r in links.collect():
+        own.setdefault(r.memory_id, set()).add(r.key_id)
+    n = {x: sum(x in o for o in own.values()) for x in range(4)}
+    told = {(i, i + 1) for i in range(400) if i % 90 == 0}
+    want = set()
+    for s in (i for i in range(400) if i % 50 < 2):
+        rows = []
+        for i in range(400):
+            met, linked = own[s] & own[i], (s, i) in told or (i, s) in told
+            if i != s and (met or linked):
+                rows.append((-round(sum(1 / n[x] for x in met) + linked + 1e-10, 6), i, round(sum(1 / n[x] for x in met) + linked, 9), len(met), "key" if not linked else "both" if met else "explicit"))
+        want |= {(s, i, score, c, kind, at + 1) for at, (_, i, score, c, kind) in enumerate(sorted(rows)[:30])}
+    assert got == want
+    assert not re.search(r"hashpartitioning\(seed_id#\d+L?, memory_id", out._jdf.queryExecution().toString())  # pairs are not dealt anew
