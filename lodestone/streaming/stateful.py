@@ -115,21 +115,38 @@ def promote_stream(events: DataFrame, known: DataFrame, by: str = "key_id", ttl:
     return rows.groupBy(by).applyInPandasWithState(step, schema, _LEDGER, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def fold_stream(events: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+#: Groups that links are dealt to by hash; the state of a stream is a row for each.
+FOLD_GROUPS = 2048
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def fold_stream(events: DataFrame, by: list[str], config: Config = DEFAULT, groups: int = FOLD_GROUPS) -> DataFrame:
     """Running link weights (by, n_events, weight) of a stream of changes (by, seq, delta), clamped after each: a batch's
-    changes of a link become one triple (see `operators.fold`), which moves the weight that is its state."""
+    changes of a link become one triple (see `operators.fold`), which moves the weight that is its state.
+
+    Links are dealt to `groups` by hash, whose states hold the weights of all their links: a batch costs a call for
+    each group that it meets, not for each link, and writes the states of those anew. A checkpoint goes with its number of groups."""
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, w = state.get if state.exists else (0, config.weight_default)
-        delta = pd.concat(list(batches)).sort_values(["seq", "delta"])["delta"].to_numpy(float)
-        (low,), (high,), (shift,) = compose(np.full(len(delta), config.weight_min), np.full(len(delta), config.weight_max), delta, np.zeros(len(delta), int))
-        n, w = n + len(delta), float(min(high, max(low, w + shift)))
-        state.update((n, w))
-        yield pd.DataFrame([(*key, n, w)], columns=[*by, "n_events", "weight"])
-
-    kinds = dict(events.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "n_events long, weight double"])
-    return events.select(*by, "seq", "delta").groupBy(*by).applyInPandasWithState(step, schema, "n long, weight double", "update", GroupStateTimeout.NoTimeout)
+        known, n, w = state.get if state.exists else ([], [], [])
+        rows = pd.concat(list(batches))
+        g, links = pd.factorize(rows["link"])
+        delta, seq = rows["delta"].to_numpy(float), rows["seq"].to_numpy()
+        order = np.lexsort((delta, seq, g))
+        low, high, shift = compose(np.full(len(g), config.weight_min), np.full(len(g), config.weight_max), delta[order], g[order])
+        at = {link: i for i, link in enumerate(known)}
+        place = np.array([at.setdefault(link, len(at)) for link in links], np.int64)
+        n = np.concatenate([np.array(n, np.int64), np.zeros(len(at) - len(known), np.int64)])
+        w = np.concatenate([np.array(w, float), np.full(len(at) - len(known), float(config.weight_default))])
+        n[place] += np.bincount(g, minlength=len(links))
+        w[place] = np.minimum(high, np.maximum(low, w[place] + shift))
+        state.update((list(at), n.tolist(), w.tolist()))
+        yield pd.DataFrame({"link": list(links), "n_events": n[place], "weight": w[place]})
+
+    own = events.select(*by).schema
+    rows = events.select(F.pmod(F.xxhash64(*by), F.lit(groups)).alias("_group"), F.to_json(F.struct(*by), _EXACT).alias("link"), "seq", "delta")
+    folded = rows.groupBy("_group").applyInPandasWithState(step, "link string, n_events long, weight double", "link array<string>, n array<long>, weight array<double>", "update", GroupStateTimeout.NoTimeout)
+    return folded.select(F.from_json("link", own, _EXACT).alias("l"), "n_events", "weight").select(*(F.col("l")[c].alias(c) for c in by), "n_events", "weight")
 
 
 def idle_sessions(events: DataFrame, by: str = "user_id", gap: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:

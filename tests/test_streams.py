@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import config as C
 from lodestone.operators import maintain
 from lodestone.schema import KEYS, conform
+from lodestone.streaming import stateful
 from lodestone.streaming.stateful import promote_stream
 
 EVENTS = "key_id string, kind string, ts timestamp, id long, query string, cosine double"
@@ -44,3 +45,34 @@ def test_a_stream_promotes_as_the_whole_log_does(spark, tmp_path):
     go()  # from the state that is kept
     got = sorted((r.key_id, r.query, r.n_confirmed, r.decision) for r in spark.read.parquet(out).collect())
     assert got == want
+
+
+def test_weights_of_many_links_are_folded_group_by_group(spark, tmp_path):
+    rng = random.Random(5)
+    c = C.Config()
+    data = [(f"u{rng.randrange(40)}", rng.choice([None, 2**60 + rng.randrange(5)]), i, rng.choice([0.5, 0.9, -0.7])) for i in range(2000)]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "user string, k long, seq long, delta double"
+    for part in (data[:700], data[700:1200], data[1200:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    calls = []
+
+    def go(df, n):
+        df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        calls.append(n)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    rows = stateful.fold_stream(stream, ["user", "k"], c, groups=3)
+    query = rows.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(go).start()
+    query.awaitTermination()
+    kept = sum(p["numRowsTotal"] for p in query.lastProgress["stateOperators"])
+    assert len(calls) == 3 and kept == 3  # a state for each group, not for each link
+    want: dict[tuple, tuple[int, float]] = {}
+    for user, k, _, delta in data:
+        n, w = want.get((user, k), (0, c.weight_default))
+        want[user, k] = n + 1, min(c.weight_max, max(c.weight_min, w + delta))
+    last: dict[tuple, tuple[int, float]] = {}
+    for r in spark.read.parquet(out).collect():
+        last[r.user, r.k] = max(last.get((r.user, r.k), (0, 0.0)), (r.n_events, r.weight))
+    assert last.keys() == want.keys() and len(want) > 200
+    assert all(last[x][0] == want[x][0] and abs(last[x][1] - want[x][1]) < 1e-9 for x in want)
