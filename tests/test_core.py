@@ -875,3 +875,35 @@ def test_related_memories_of_hubs_travel_in_packs(spark, monkeypatch):
         want |= {(s, i, score, c, kind, at + 1) for at, (_, i, score, c, kind) in enumerate(sorted(rows)[:30])}
     assert got == want
     assert not re.search(r"hashpartitioning\(seed_id#\d+L?, memory_id", out._jdf.queryExecution().toString())  # pairs are not dealt anew
+
+
+def test_what_judges_a_pair_rides_along_with_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"l{i % 3}" if i % 7 else None, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 4)))]
+    e = spark.createDataFrame(rows, "id long, label string, embedding array<float>").select(F.struct("id", "label").alias("x"), "embedding")
+    for block in (4096, 10):  # sent to the workers, and joined as a table
+        got = similar(e, e.withColumnRenamed("x", "y"), 0.5, "x", "y", block=block).collect()
+        plain = similar(e.select(F.col("x.id").alias("x"), "embedding"), e.select(F.col("x.id").alias("y"), "embedding"), 0.5, "x", "y").collect()
+        assert len(got) == len(plain) > 60 and {(r.x.id, r.y.id) for r in got} == {(r.x, r.y) for r in plain}
+        assert all(v.label == rows[v.id][1] for r in got for v in (r.x, r.y))
+
+
+@pytest.mark.parametrize("name", ["calibration_prf", "threshold_sweep", "prior_weighted_fp", "all_pairs_over_threshold"])
+def test_similar_pairs_meet_no_join(spark, name):
+    from lodestone.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0]
+
+
+def test_right_chunks_are_fewer_the_more_left_ones_there_are(spark, monkeypatch):
+    from lodestone.functions import similarity
+
+    plans, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, rows, schema=None, *a, **k: (plans.append((rows, schema)), make(self, rows, schema, *a, **k))[1])
+    e = make(spark, [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(2).normal(size=(200, 6)))], "x long, embedding array<double>")
+    for size, n, m in ((24 * 200, 2, 16), (24 * 20, 10, 8), (0, 50, 4)):
+        monkeypatch.setattr(similarity, "CHUNK_BYTES", size)
+        pairs = join_similar(e, e.withColumnRenamed("x", "y"), 0.5, "x", "y", cells=1, chunk_rows=4)
+        assert [(r["n"], r["m"]) for rows, schema in plans if schema == "cell int, n int, m int" for r in rows][-1] == (n, m)
+        assert pairs.count() == similar(e, e.withColumnRenamed("x", "y"), 0.5, "x", "y").count()
