@@ -50,7 +50,6 @@ def contradictions(memories: DataFrame, links: DataFrame, pairs: DataFrame | Non
     pairs: (query_id, item_id, sim), computed here where not given: from the pairs that meet in keys where these are few
     (KEY_PAIRS a memory on average), else by a similarity join, so that no hub is paired out. by_keys decides it beforehand."""
     p = config.profile
-    seq = memories.select("memory_id", "seq")
     one = links.select(F.col("memory_id").alias("query_id"), "key_id")
     two = links.select(F.col("memory_id").alias("item_id"), "key_id")
     if pairs is None and (key_pairs(links) <= KEY_PAIRS * memories.count() if by_keys is None else by_keys):
@@ -58,8 +57,12 @@ def contradictions(memories: DataFrame, links: DataFrame, pairs: DataFrame | Non
         met = met.join(memories.select(F.col("memory_id").alias("query_id"), F.col("seq").alias("s1"), F.col("embedding").alias("v1")), "query_id").join(memories.select(F.col("memory_id").alias("item_id"), F.col("seq").alias("s2"), F.col("embedding").alias("v2")), "item_id")
         met = met.where("s1 < s2").withColumn("sim", cosine(F.col("v1"), F.col("v2")))
         return met.where(contradiction_band(F.col("sim"), p.contradiction, p.memory_dedup)).select(F.col("query_id").alias("a"), F.col("item_id").alias("b"), "sim")
-    if pairs is None:
-        pairs = similar(memories.select(F.col("memory_id").alias("query_id"), "embedding"), memories.select(F.col("memory_id").alias("item_id"), "embedding"), least=p.contradiction)
+    if pairs is None:  # order and keys of the memories ride along, so that a pair is judged where it is found
+        own = memories.select("memory_id", "seq", "embedding").join(links.groupBy("memory_id").agg(F.collect_set("key_id").alias("in_keys")), "memory_id")
+        own = own.select(F.struct("memory_id", "seq", "in_keys").alias("x"), "embedding")
+        met = similar(own, own.withColumnRenamed("x", "y"), p.contradiction, "x", "y").where("x.seq < y.seq").where(contradiction_band(F.col("sim"), p.contradiction, p.memory_dedup))
+        return met.where(F.arrays_overlap("x.in_keys", "y.in_keys")).select(F.col("x.memory_id").alias("a"), F.col("y.memory_id").alias("b"), "sim")
+    seq = memories.select("memory_id", "seq")
     rows = pairs.where(contradiction_band(F.col("sim"), p.contradiction, p.memory_dedup))
     rows = rows.join(seq.select(F.col("memory_id").alias("query_id"), F.col("seq").alias("s1")), "query_id").join(seq.select(F.col("memory_id").alias("item_id"), F.col("seq").alias("s2")), "item_id").where("s1 < s2")
     # similar pairs are few: they meet the links of both ends rather than links one another

@@ -907,3 +907,13 @@ def test_right_chunks_are_fewer_the_more_left_ones_there_are(spark, monkeypatch)
         pairs = join_similar(e, e.withColumnRenamed("x", "y"), 0.5, "x", "y", cells=1, chunk_rows=4)
         assert [(r["n"], r["m"]) for rows, schema in plans if schema == "cell int, n int, m int" for r in rows][-1] == (n, m)
         assert pairs.count() == similar(e, e.withColumnRenamed("x", "y"), 0.5, "x", "y").count()
+
+
+def test_contradictions_judge_pairs_where_they_are_found(spark):
+    m = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 1, [0.9, 0.44]), ("c", 2, [0.9, 0.44]), ("d", 3, [0.0, 1.0]), ("e", 4, [0.9, 0.44])], "memory_id string, seq long, embedding array<double>")
+    links = spark.createDataFrame([("k", "a"), ("l", "a"), ("k", "b"), ("l", "b"), ("n", "c"), ("k", "d")], "key_id string, memory_id string")
+    c = C.Config(profile=C.dataclasses.replace(C.PROFILES["bgem3"], contradiction=0.8, memory_dedup=0.94))
+    found = write.contradictions(m, links, config=c, by_keys=False)
+    assert [(r.a, r.b) for r in found.collect()] == [("a", "b")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not {"Join", "Aggregate"} & set(re.findall(r"\b(?:Join|Aggregate)\b", plan.split("MapInArrow")[0]))
