@@ -31,12 +31,13 @@ FOLD_PAIRS = 200_000
 def best_duplicate(new: DataFrame, old: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(memory_id, duplicate_id, sim): for each new memory the most similar other one at or above the
     duplicate threshold, ties to the earliest; across namespaces unless the config says otherwise."""
-    sims = similar(new.select(F.col("memory_id").alias("query_id"), "embedding"), old, least=config.profile.memory_dedup, item_id="memory_id").where("query_id <> memory_id")
-    sims = sims.join(old.select("memory_id", "seq", F.col("namespace").alias("ns")), "memory_id")
-    if config.dedup_scope == "namespace":
-        sims = sims.join(new.select(F.col("memory_id").alias("query_id"), "namespace"), "query_id").where("ns <=> namespace")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("sim") + 1e-10, 6)), "seq"))
-    return sims.withColumn("r", best).where("r = 1").select(F.col("query_id").alias("memory_id"), F.col("memory_id").alias("duplicate_id"), "sim")
+    scope = ["namespace"] if config.dedup_scope == "namespace" else []
+    sims = similar(new.select(F.struct("memory_id", *scope).alias("x"), "embedding"), old.select(F.struct("memory_id", "seq", *scope).alias("y"), "embedding"), config.profile.memory_dedup, "x", "y").where("x.memory_id <> y.memory_id")
+    if scope:
+        sims = sims.where("x.namespace <=> y.namespace")
+    # a task sends its best of a memory alone, however many are alike
+    best = sims.groupBy(F.col("x.memory_id").alias("memory_id")).agg(F.min(F.struct((-F.round(F.col("sim") + 1e-10, 6)).alias("o"), F.col("y.seq").alias("seq"), F.col("y.memory_id").alias("duplicate_id"), "sim")).alias("b"))
+    return best.select("memory_id", "b.duplicate_id", "b.sim")
 
 
 def key_pairs(links: DataFrame) -> int:

@@ -917,3 +917,15 @@ def test_contradictions_judge_pairs_where_they_are_found(spark):
     assert [(r.a, r.b) for r in found.collect()] == [("a", "b")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not {"Join", "Aggregate"} & set(re.findall(r"\b(?:Join|Aggregate)\b", plan.split("MapInArrow")[0]))
+
+
+@pytest.mark.parametrize("scope", ["global", "namespace"])
+def test_best_duplicate_sends_one_row_a_memory(spark, scope):
+    rows = [("a", 3, "x", [1.0, 0.0]), ("b", 2, "y", [1.0, 0.0]), ("c", 1, "x", [1.0, 0.01]), ("d", 0, "x", [0.0, 1.0]), ("e", 4, None, [1.0, 0.0]), ("f", 5, None, [1.0, 0.2])]
+    m = spark.createDataFrame(rows, "memory_id string, seq long, namespace string, embedding array<double>")
+    c = C.Config(profile=C.dataclasses.replace(C.PROFILES["bgem3"], memory_dedup=0.9), dedup_scope=scope)
+    best = write.best_duplicate(m, m, c)
+    want = {"global": {"a": "b", "b": "a", "c": "b", "e": "b", "f": "c"}, "namespace": {"a": "c", "c": "a", "e": "f", "f": "e"}}[scope]
+    assert {r.memory_id: r.duplicate_id for r in best.collect()} == want
+    plan = best._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" in plan
