@@ -929,3 +929,19 @@ def test_best_duplicate_sends_one_row_a_memory(spark, scope):
     assert {r.memory_id: r.duplicate_id for r in best.collect()} == want
     plan = best._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
     assert "Join" not in plan and "Window" not in plan and "Aggregate" in plan
+
+
+def test_joins_by_memory_keep_to_all_partitions(spark):
+
+    k = spark.createDataFrame([(i, f"c{i}", i) for i in range(5)], "key_id long, concept string, seq long")
+    l = spark.range(200).select((F.col("id") % 5).alias("key_id"), (F.col("id") % 50).alias("memory_id"), F.lit(1.0).alias("weight")).distinct()
+    m = spark.range(50).select(F.col("id").alias("memory_id"), F.col("id").alias("seq"), *(F.array().cast("array<bigint>").alias(c) for c in ("links", "contradicts")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = keys.memory_keys(m.where("memory_id < 40"), k, l)
+        left = maintain.forget(m.where("memory_id >= 40"), k, l, m)["links"]
+        for found in (left, rows.select("memory_id", "rank")):
+            assert found.rdd.getNumPartitions() == 4
+        assert rows.count() == left.count() == l.where("memory_id < 40").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
