@@ -335,6 +335,22 @@ def test_search_with_bounds_equals_scoring_everything(spark, monkeypatch, prefix
     assert terms == {t: sum(r.term == t for r in rows) for t in terms} and len(rows) == sum(terms.values())
 
 
+def test_shards_are_told_of_their_own_rare_terms(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 16)
+    docs = [(i, f"a{i} and {'b' * (1 + i % 3)}") for i in range(640)]
+    told, packed = [], bm25._packed
+    monkeypatch.setattr(bm25, "_packed", lambda wanted, stands, blocks: (told.append(stands.count()), packed(wanted, stands, blocks))[1])
+    asked = [(1, "a"), (2, "a63 bb"), (3, "a"), (4, "zzz")]
+    want = full_scores(dict(docs), dict(asked), True, True)
+    index = bm25.Index.build(spark.createDataFrame(docs, "memory_id long, content string").coalesce(2))
+    assert index.shards.count() == 40
+    for blocks in (512, 1):
+        monkeypatch.setattr(bm25, "QUERY_BLOCK", blocks)
+        got = {(r.query_id, r.memory_id): r.score for r in index.search(spark.createDataFrame(asked, "query_id long, query string"), 700, probe=0).collect()}
+        assert got == pytest.approx(want)
+    assert told == [3, 3]  # `and` of `a`, two of `bb`; a term of one document is told to one shard
+
+
 def test_blocks_that_cannot_reach_a_score_are_not_read(spark):
     import pyarrow as pa
 
