@@ -870,6 +870,29 @@ def test_two_hops_tell_the_first_of_those_that_are_alike(spark, monkeypatch):
     assert max(sizes[:2]) < min(sizes[2:])
 
 
+@pytest.mark.parametrize(("held", "at_once"), [(1 << 23, 1 << 20), (40, 7)])
+def test_last_round_meets_links_in_blocks_of_queries(spark, monkeypatch, held, at_once):
+    rng = np.random.default_rng(17)
+    n = lambda x: int(rng.integers(0, x))
+    m = spark.createDataFrame([(i, i, "n", float(NOW), 0.5, i - 1 if i % 9 == 5 else None, 1.0 if i % 11 == 0 else None, [n(150)] if i % 6 == 0 else []) for i in range(150)], "memory_id long, seq long, namespace string, created_at double, depth double, supersedes long, ttl double, links array<long>")
+    k = spark.createDataFrame([(i, i, f"c{i}", "name" if i % 3 else "concept") for i in range(30)], "key_id long, seq long, concept string, key_type string")
+    pairs = sorted({(n(30), n(130)) for _ in range(220)} | {(3, i) for i in range(0, 130, 3)})
+    links = spark.createDataFrame([(a, b, 0.1 + n(29) / 10) for a, b in pairs], "key_id long, memory_id long, weight double").repartition(3)
+    start = spark.createDataFrame([(q, q * 7 + j, 1.0 + j) for q in range(20) for j in range(1 + q % 2)] + [(50, 149, 1.0), (51, 0, 1.0)], "query_id long, memory_id long, score double")
+    texts = lambda df, *ids: df.select(*(F.col(c).cast("string").alias(c) if c in ids else c for c in df.columns))
+    monkeypatch.setattr(graph, "HELD", held)
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
+    for hops, linked in ((2, None), (3, graph.explicit_pairs(m)), (3, None)):
+        out = graph.expand(start, k, links, m, NOW, hops, pairs=linked)
+        got = {(r.query_id, r.memory_id): (r.score, r.hop) for r in out.collect()}
+        plain = graph.expand(texts(start, "query_id"), k, links, m, NOW, hops, pairs=linked)  # pairs of other ids are exchanged
+        want = {(int(r.query_id), r.memory_id): (r.score, r.hop) for r in plain.collect()}
+        assert out.count() == len(got) == len(want) > 200 and {x: h for x, (_, h) in got.items()} == {x: h for x, (_, h) in want.items()}
+        assert all(abs(got[x][0] - want[x][0]) < 1e-9 for x in want)
+        top = out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        assert "Aggregate" not in top and "Join" not in top and [c for c in plain._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in c]
+
+
 def test_related_memories_of_hubs_travel_in_packs(spark, monkeypatch):
     monkeypatch.setattr(graph, "PACK", 4)
     m, k, links, _ = _labelled(spark)
