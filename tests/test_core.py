@@ -935,6 +935,18 @@ def test_similar_pairs_meet_no_join(spark, name):
     assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0]
 
 
+def test_contents_of_keys_are_judged_where_they_are_found(spark, monkeypatch):
+    m, k, links, q = _labelled(spark)
+    sims = similar(q, m, least=-1.0, item_id="memory_id")
+    q = q.drop("query")
+    told, best = [], keys._best_content
+    monkeypatch.setattr(keys, "_best_content", lambda rows: (told.append(rows), best(rows))[1])
+    got, want = (keys._candidates(q, k, links, m, NOW, None, x, C.Config(), -1.0).select("query_id", "key_id", "content_sim", "content_id").collect() for x in (None, sims))
+    key = lambda rows: {(r.query_id, r.key_id): (round(r.content_sim, 9), r.content_id) for r in rows}
+    assert key(got) == key(want) and len(got) == 24
+    assert ["Join" in x._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0] for x in told] == [False, True]
+
+
 def test_right_chunks_are_fewer_the_more_left_ones_there_are(spark, monkeypatch):
     from lodestone.functions import similarity
 
